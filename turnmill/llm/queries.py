@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnmill.llm.bpe import encode_digests
 from turnmill.llm.exact_dedup import exact_dedup
+from turnmill.llm.near_dedup import Near, near_duplicates
 from turnmill.llm.sharding import assign_shards
 
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Near(words=3, percent=85))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -28,12 +33,35 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hyperminhash": op1_hyperminhash,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_chunk_recipes": op10_chunk_recipes,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_hyperminhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+            FROM w
+        ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        link AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach(a, b) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION
+            SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) AS c USING (doc_id)
+    """,
     "op10_chunk_recipes": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
