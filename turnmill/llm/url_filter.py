@@ -1,15 +1,16 @@
 """URL filter: explicit rules first, then logistic regression on hashed character n-grams of host and path.
 
-All of it is DataFrame functions and Spark's own LogisticRegression; the model is fitted on a small
-labelled table and applied as one expression.
+All of it is DataFrame functions and Spark's own HashingTF and LogisticRegression, which run in the JVM; the
+model is fitted on a small labelled table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,15 @@ ALLOWED_NAMES = (
 )
 
 
-def labelled_urls(blocked: tuple[str, ...] = BLOCKED_NAMES, allowed: tuple[str, ...] = ALLOWED_NAMES) -> tuple[tuple[str, int], ...]:
-    """(url, 1 to block or 0).  Schemes, prefixes, endings and paths take turns alike in both classes, so that none of them tells the classes apart."""
+def labelled_urls(blocked: tuple[str, ...] = BLOCKED_NAMES, allowed: tuple[str, ...] = ALLOWED_NAMES) -> tuple[tuple[str, float], ...]:
+    """(url, 1.0 to block or 0.0).  Schemes, prefixes, endings and paths take turns alike in both classes, so that none of them tells the classes apart."""
     prefixes, ends, langs = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
     made = []
     for names, label in ((blocked, 1), (allowed, 0)):
         for i, name in enumerate(names):
-            for turn in (0, 1):
+            for turn in range(3):
                 k = i + turn * 7
-                made.append((f"https://{prefixes[k % 4]}{name}.example.{ends[k % 3]}/{langs[(k // 2) % 4]}/{(k * 37) % 1000}", label))
+                made.append((f"https://{prefixes[k % 4]}{name}.example.{ends[k % 3]}/{langs[(k // 2) % 4]}/{(k * 37) % 1000}", float(label)))
     return tuple(made)
 
 
@@ -85,39 +86,37 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def features(host: Column, path: Column, dimension: int, lengths: tuple[int, ...] = (3, 4, 5)) -> Column:
-    """Hash slots of all character n-grams of host and of path, one entry per occurrence."""
+def grams(host: Column, path: Column, lengths: tuple[int, ...] = (3, 4, 5)) -> Column:
+    """All character n-grams of host and of path, marked by where they come from."""
 
-    def grams(text: Column, mark: str) -> Column:
+    def each(text: Column, mark: str, n: int) -> Column:
         whole = F.concat(F.lit("^"), text, F.lit("$"))
-        each = [
-            F.when(F.char_length(whole) >= n, F.transform(F.sequence(F.lit(1), F.char_length(whole) - (n - 1)), lambda i, n=n: F.pmod(F.xxhash64(F.lit(mark), F.substring(whole, i, F.lit(n))), F.lit(dimension)).cast("int"))).otherwise(F.array().cast("array<int>"))
-            for n in lengths
-        ]
-        return F.concat(*each)
+        starts = F.sequence(F.lit(1), F.char_length(whole) - (n - 1))
+        return F.when(F.char_length(whole) >= n, F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(grams(host, "h"), grams(path, "p"))
+    return F.concat(*[each(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in lengths])
 
 
-def fit(spark: SparkSession, labelled: tuple[tuple[str, int], ...] = LABELLED_URLS, dimension: int = 1024) -> tuple[float, list[float]]:
-    """Intercept and weights.  ``labelled`` is a small table by contract; one partition makes the fit reproducible."""
-    rows = spark.createDataFrame(list(labelled), "url string, label int").coalesce(1)
-    slots = features(host_of(F.col("url")), path_of(F.col("url")), dimension)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.size(F.filter(F.col("slots"), lambda x: x == d)).cast("double"))
-    train = rows.withColumn("slots", slots).select(F.col("label").cast("double").alias("label"), array_to_vector(counts).alias("features"))
-    model = LogisticRegression(regParam=0.02, maxIter=60, standardization=False).fit(train)
-    return float(model.intercept), [float(x) for x in model.coefficients.toArray()]
+def hashed(parts: DataFrame, dimension: int) -> DataFrame:
+    """Adds ``features``: counts of hashed n-grams of the columns host and path."""
+    tf = HashingTF(numFeatures=dimension, inputCol="grams", outputCol="features")
+    return tf.transform(parts.withColumn("grams", grams(F.col("host"), F.col("path")))).drop("grams")
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: tuple[tuple[str, int], ...] = LABELLED_URLS, dimension: int = 1024, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def fit(spark: SparkSession, labelled: tuple[tuple[str, float], ...] = LABELLED_URLS, dimension: int = 8192) -> LogisticRegressionModel:
+    """``labelled`` is a small table by contract; one partition makes the fit reproducible."""
+    rows = spark.createDataFrame(list(labelled), "url string, label double").coalesce(1)
+    train = hashed(rows.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), dimension)
+    return LogisticRegression(regParam=0.003, maxIter=60, standardization=False, probabilityCol="chance").fit(train)
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: tuple[tuple[str, float], ...] = LABELLED_URLS, dimension: int = 8192, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score (the model's chance of block).
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the model like any
     other.  Urls of any length are read whole; repeated rows give repeated rows; other columns are ignored.
     """
-    intercept, weights = fit(pages.sparkSession, labelled, dimension)
+    model = fit(pages.sparkSession, labelled, dimension)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = F.array(*[F.lit(w) for w in weights])
-    total = F.aggregate(F.col("slots"), F.lit(intercept), lambda sum_, slot: sum_ + F.element_at(known, slot + 1))
-    judged = parts.withColumn("slots", features(F.col("host"), F.col("path"), dimension)).withColumn("score", 1 / (1 + F.exp(-total))).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    judged = model.transform(hashed(parts, dimension)).withColumn("score", vector_to_array("chance")[1]).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score")
