@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnmill.llm import lm_score, toxicity
 from turnmill.llm.bpe import encode_digests
 from turnmill.llm.exact_dedup import exact_dedup
 from turnmill.llm.knn import top_products
@@ -40,6 +41,14 @@ def op6_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_min_cost_flow": op5_min_cost_flow,
     "op6_voronoi_join": op6_voronoi_join,
+    "op7_toxicity_crf": op7_toxicity_crf,
+    "op8_subword_lattice": op8_subword_lattice,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_chunk_recipes": op10_chunk_recipes,
 }
