@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from turnmill.plans import chat
+from turnmill.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "chat"]
+
+FLAGSHIP = "t1_turn_token_profile"
