@@ -43,7 +43,7 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 #: The same in SQL, as a common table expression.
 EVENT_LINES = """lines AS (
-    SELECT user_id AS session, event_id, ts, epoch_ms(ts) AS ms, event_type AS kind, value,
+    SELECT user_id AS session, event_id, ts, epoch_us(ts) // 1000 AS ms, event_type AS kind, value,
            CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens,
            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq
     FROM events)"""
