@@ -112,8 +112,8 @@ def masked(key: Column) -> Column:
 
 def compact_number(x: Column) -> Column:
     """1234567 as 1.23M, 12345 as 12.35K, smaller ones as they are."""
-    two = lambda v: F.format_string("%.2f", v)
-    return F.when(x >= 1e6, F.concat(two(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(two(x / 1e3), F.lit("K"))).otherwise(F.format_string("%d", x.cast("long")))
+    two = lambda size: F.format_string("%.2f", F.floor(x / (size / 100) + 0.5) / 100)
+    return F.when(x >= 1e6, F.concat(two(1e6), F.lit("M"))).when(x >= 1e3, F.concat(two(1e3), F.lit("K"))).otherwise(F.format_string("%d", x.cast("long")))
 
 
 def fnv_slot(text: Column) -> Column:
@@ -144,3 +144,10 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two sets given as arrays; 0 if both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def decoded(text: Column) -> Column:
+    """The five common entities as characters; &amp; last, so that nothing is decoded twice."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text

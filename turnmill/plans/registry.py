@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from turnmill.plans import chat, log
+from turnmill.plans import chat, docs, graph, log
 from turnmill.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "chat", "log"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "chat", "docs", "graph", "log"]
 
 FLAGSHIP = "t1_turn_token_profile"
