@@ -54,7 +54,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     cut = durable(recipes(docs, id_col, text_col, shortest, longest))
     clashing = chunk_store(cut).where("conflict").select(F.col("id").alias("_clash"))
-    touched = cut.select("text_sha256", F.explode("chunks.id").alias("_id")).join(clashing, F.col("_id") == F.col("_clash"), "left_semi").select(F.col("text_sha256").alias("_sha")).distinct()
+    # Durable, though almost always empty: the join below can then split a large group of copies.
+    touched = durable(cut.select("text_sha256", F.explode("chunks.id").alias("_id")).join(clashing, F.col("_id") == F.col("_clash"), "left_semi").select(F.col("text_sha256").alias("_sha")).distinct())
     # Where an identifier isn't proven unique, the digests stand in for the recipe's identifiers.
     listed = cut.join(touched, F.col("text_sha256") == F.col("_sha"), "left").select(
         "doc_id",
@@ -76,9 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of wholly repeated rows, one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("_own", sha).withColumn("_row", F.monotonically_increasing_id())
-    held = rows.join(kept, (F.col("_own") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return held.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; of rows of one doc_id with equal texts, one."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_turnmill_id"), F.col("text_sha256").alias("_turnmill_sha")).distinct()
+    rows = docs.withColumn("_turnmill_own", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    held = rows.join(kept, (F.col("_turnmill_own") == F.col("_turnmill_sha")) & F.col(id_col).eqNullSafe(F.col("_turnmill_id")), "left_semi")
+    return held.dropDuplicates([id_col, "_turnmill_own"]).select(*docs.columns)

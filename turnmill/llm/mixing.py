@@ -130,6 +130,6 @@ def mix(docs: DataFrame, members: Column | None = None, weights: tuple[float, ..
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken.  Rows of the same doc_id, source and size share one decision."""
-    chosen = mix(docs, **how).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words(F.col("text")) == F.col("_size"))
-    return docs.join(chosen, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    chosen = mix(docs, **how).where("copies > 0").groupBy(*[F.col(c).alias(f"_turnmill_{c}") for c in ("doc_id", "source", "size")]).agg(F.max("copies").alias("_turnmill_copies"))
+    on = F.col("doc_id").eqNullSafe(F.col("_turnmill_doc_id")) & F.col("source").eqNullSafe(F.col("_turnmill_source")) & (n_words(F.col("text")) == F.col("_turnmill_size"))
+    return docs.join(chosen, on).withColumn("_turnmill_copy", F.explode(F.sequence(F.lit(1), F.col("_turnmill_copies")))).select(*docs.columns)

@@ -164,30 +164,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     return Model(lexicon, chain, learn_curve(rows, lexicon, chain))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score (0 to 1) and, if asked for, spans: (start, end, chance), characters of the lower-cased text.
+def tagger(model: Model, spans: bool = True):
+    """A function of a text column: struct(score, spans).  score is 0 to 1; spans are (start, end, chance), characters of the lower-cased text.
 
-    Every whole text is tagged; null counts as empty, and an empty text has the score of a text without evidence.  Repeated rows are
-    scored alike.  Nothing but the text goes into a score.
+    Every whole text is tagged; null counts as empty, and an empty text has the score of a text without evidence.
+    Nothing but the text goes into a score.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, spans array<struct<start:int,end:int,chance:double>>")
+    def tag(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grader, curve = Grader(model.lexicon), np.array(model.curve)
-        for batch in batches:
-            any_, total, spans_ = np.zeros(len(batch)), np.zeros(len(batch)), []
-            for i, text in enumerate(batch["_text"]):
+        for batch in texts:
+            any_, total, found_spans = np.zeros(len(batch)), np.zeros(len(batch)), []
+            for i, text in enumerate(batch):
                 any_[i], total[i], at, found, _ = evidence_of(grader, model.chain, text)
                 own = {int(k): p for k, p in zip(at, found, strict=True) if p >= model.cut} if spans else {}
-                spans_.append([{"start": m.start(), "end": m.end(), "chance": own[k]} for k, m in enumerate(LETTERS.finditer(text.lower())) if k in own] if own else [])
-            out = batch.drop(columns="_text")
-            out["score"] = 1 / (1 + np.exp(-inputs(any_, total) @ curve))
-            if spans:
-                out["spans"] = spans_
-            yield out
+                found_spans.append([{"start": m.start(), "end": m.end(), "chance": own[k]} for k, m in enumerate(LETTERS.finditer(text.lower())) if k in own] if own else [])
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-inputs(any_, total) @ curve)), "spans": found_spans})
 
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return kept.mapInPandas(run, f"{kinds}, score double" + ", spans array<struct<start:int,end:int,chance:double>>" * spans)
+    return tag
 
 
 def learnable(id_col: str = "doc_id", modulus: int = 3, held: int = 1) -> Column:
@@ -196,13 +191,11 @@ def learnable(id_col: str = "doc_id", modulus: int = 3, held: int = 1) -> Column
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_spans of every row.  A null id counts as held out."""
-    scored = score(docs, train(docs, labels, learnable()))
-    return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    """doc_id, held_out, score, predicted, n_spans of every row.  A null id counts as held out; repeated rows are scored alike."""
+    tagged = docs.select("doc_id", tagger(train(docs, labels, learnable()))("text").alias("tag"))
+    return tagged.select("doc_id", (~learnable()).alias("held_out"), "tag.score", (F.col("tag.score") >= threshold).cast("int").alias("predicted"), F.size("tag.spans").alias("n_spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
-    kept = [c for c in docs.columns if c != "text"]
-    scored = score(docs.select(*kept, "text", F.col("text").alias("_whole")), train(docs, labels, learnable()), keep=(*kept, "_whole"), spans=False)
-    return scored.where(F.col("score") < threshold).withColumnRenamed("_whole", "text").select(*docs.columns)
+    return docs.where(tagger(train(docs, labels, learnable()), spans=False)("text")["score"] < threshold)
