@@ -10,7 +10,7 @@ from turnmill.operators.windows import carried, first_of, islands, ordinal, over
 from turnmill.plans.base import EVENT_LINES, event_lines, query
 
 S = ["session"]
-OPEN, CLOSE = F.lit("purchase"), F.lit("signup")
+OPEN, CLOSE = "purchase", "signup"
 W = "WITH " + EVENT_LINES
 RUN = "(PARTITION BY session ORDER BY seq)"
 TURNED = f"""{W}, turns AS (SELECT *, CAST(sum(CASE WHEN kind = 'purchase' OR seq = 0 THEN 1 ELSE 0 END) OVER {RUN} AS BIGINT) - 1 AS turn_i FROM lines)"""
@@ -317,7 +317,7 @@ def latest_config(read):
     return event_lines(read("events")).where("kind = 'purchase'").groupBy("session").agg(F.max_by("event_id", "seq").alias("event_id"))
 
 
-@query("o9_newest_active", """SELECT user_id AS session, max(epoch_ms(ts)) AS ms FROM events GROUP BY user_id HAVING max(epoch_ms(ts)) >= (SELECT max(epoch_ms(ts)) - 1800000 FROM events) ORDER BY ms DESC, session LIMIT 1""")
+@query("o9_newest_active", """SELECT user_id AS session, max(epoch_us(ts) // 1000) AS ms FROM events GROUP BY user_id HAVING max(epoch_us(ts) // 1000) >= (SELECT max(epoch_us(ts) // 1000) - 1800000 FROM events) ORDER BY ms DESC, session LIMIT 1""")
 def newest_active(read):
     seen = event_lines(read("events")).groupBy("session").agg(F.max("ms").alias("ms"))
     last = seen.agg((F.max("ms") - 1_800_000).alias("least"))
