@@ -7,7 +7,7 @@
    from the registers is clearly too low go (six standard errors below the threshold); the rest are confirmed on
    the full shingle sets of their texts.
 4. Components of the confirmed links; then, in every bucket that still holds several components, all
-   pairs across components are estimated and confirmed likewise, in blocks of bounded size.  So every pair that
+   pairs across components are estimated and confirmed likewise, those of large buckets in blocks of bounded size.  So every pair that
    shares a bucket is either confirmed, ruled out, or already known to be in one component.
 """
 
@@ -26,8 +26,8 @@ from turnmill.llm.common import durable, ship
 from turnmill.llm.components import components
 from turnmill.llm.shingles import estimate, least_estimate, registers, shingle_set
 
-#: Pairs that one document takes part in per task, and members per block of a bucket.
-SPREAD, BLOCK = 32, 1000
+#: Pairs that one document leads per task; members per block of a bucket; from how many members on a bucket counts as large.
+SPREAD, BLOCK, LARGE = 32, 500, 64
 
 
 @dataclass(frozen=True)
@@ -123,40 +123,65 @@ def linked(x: np.ndarray, y: np.ndarray, how: Near) -> bool:
     return 100 * both >= how.percent * (len(x) + len(y) - both)
 
 
-def across(crowded: DataFrame, labels: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
-    """Distinct likely pairs (a, b) of different components that share a bucket.
+def mixed_buckets(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the rows (bucket, band, id): those with their component's label, and the buckets that hold several components.
 
-    ``crowded``: (bucket, band, id) of buckets with several members.  Members of a bucket's
-    most frequent component only wait to be compared; the others are also sent, as probes, to each block of their bucket.
+    Such a bucket has its size, its most frequent component and a number of blocks.
     """
     named = durable(crowded.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("label")))
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = durable(sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1").select(F.col("bucket").alias("_bucket"), "main", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("k")).where("k > 1")
+    return named, durable(mixed.select(F.col("bucket").alias("_bucket"), "main", "total", F.ceil(F.col("total") / BLOCK).cast("long").alias("blocks")))
+
+
+def across(named: DataFrame, mixed: DataFrame, sets: DataFrame, how: Near, texts: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the ``mixed`` buckets.
+
+    Members of a bucket's most frequent component only wait to be compared; the others are also sent, as
+    probes, to each block of their bucket.  Without ``texts`` the result is every likely pair, once.  With them,
+    pairs are confirmed on the spot and only those reported that join two components not yet joined within the block:
+    at most one for each component there, however many pairs a large bucket has.
+    """
     known = sets.select(F.col("id").alias("_id"), "registers", "n_shingles")
-    rows = named.join(mixed, F.col("bucket") == F.col("_bucket")).join(known, F.col("id") == F.col("_id")).select("bucket", "band", "id", "label", "registers", "n_shingles", "blocks", (F.col("label") != F.col("main")).alias("minor"))
-    stays = rows.select("*", F.pmod(F.xxhash64("id", "bucket"), "blocks").alias("block"), F.lit(0).alias("probe"))
-    probes = rows.where("minor").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), F.lit(1).alias("probe"))
-    sent = stays.unionByName(probes).select("bucket", "block", "probe", "band", "id", "label", "minor", "registers", "n_shingles").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
+    rows = named.join(mixed, F.col("bucket") == F.col("_bucket")).join(known, F.col("id") == F.col("_id")).drop("_id")
+    rows = rows.withColumn("text", F.lit("")) if texts is None else rows.join(texts.select(F.col("doc_id").alias("_id"), "text"), F.col("id") == F.col("_id"))
+    columns = ["bucket", "band", "id", "label", "minor", "registers", "n_shingles", "text"]
+    rows = rows.withColumn("minor", F.col("label") != F.col("main"))
+    stays = rows.select(*columns, F.pmod(F.xxhash64("id", "bucket"), "blocks").alias("block"), F.lit(0).alias("probe"))
+    probes = rows.where("minor").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"))
+    sent = stays.unionByName(probes).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
+    confirm = texts is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
+        at, held, matrix, root = None, [], None, {}
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for batch in batches:
             found = []
-            for bucket, block, probe, band, row, label, minor, regs, n in zip(*(batch[c] for c in ("bucket", "block", "probe", "band", "id", "label", "minor", "registers", "n_shingles")), strict=True):
+            for bucket, block, probe, band, row, label, minor, regs, n, text in zip(*(batch[c] for c in ("bucket", "block", "probe", "band", "id", "label", "minor", "registers", "n_shingles", "text")), strict=True):
                 if (bucket, block) != at:
-                    at, held, matrix = (bucket, block), [], None
-                own = np.frombuffer(regs, np.uint16)
+                    at, held, matrix, root = (bucket, block), [], None, {}
+                own, words = np.frombuffer(regs, np.uint16), shingle_set(text, how.words) if confirm else None
                 if not probe:
-                    held.append((row, label, minor, n, own))
+                    held.append((row, label, minor, n, own, words))
                     continue
                 if matrix is None:
                     matrix = np.stack([h[4] for h in held]) if held else np.empty((0, how.n_registers), np.uint16)
                 same = matrix == own
-                # A pair is reported by the first band that it shares, once.
+                # A pair is looked at in the first band that it shares, once.
                 earlier = same[:, : band * how.per_band].reshape(len(held), band, how.per_band).all(axis=2).any(axis=1)
                 for i in np.flatnonzero(~earlier & same[:, band * how.per_band : (band + 1) * how.per_band].all(axis=1)):
-                    other, its_label, its_minor, m, regs_held = held[i]
-                    if its_label != label and (not its_minor or other < row) and not ruled_out(own, regs_held, n, m, how):
+                    other, its_label, its_minor, m, its_regs, its_words = held[i]
+                    if its_label == label or (its_minor and other > row) or top(label) == top(its_label) or ruled_out(own, its_regs, n, m, how):
+                        continue
+                    if not confirm:
+                        found.append((min(row, other), max(row, other)))
+                    elif linked(words, its_words, how):
+                        root[top(label)] = top(its_label)
                         found.append((min(row, other), max(row, other)))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -176,10 +201,15 @@ def near_duplicates(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
     rows = band_rows(sets, how)
     lead = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("_bucket"), "lead")
     crowded = durable(rows.join(durable(lead), F.col("bucket") == F.col("_bucket")).select("bucket", "band", "id", "lead"))
+    # Texts are moved once as a whole; from here on only those of candidates are.
+    texts = durable(texts.join(crowded.select(F.col("id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi"))
     stars = durable(crowded.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     links = durable(confirmed(durable(likely(stars, sets, how)), texts, how))
-    more = durable(across(crowded.select("bucket", "band", "id"), components(links), sets, how))
+    named, mixed = mixed_buckets(crowded.select("bucket", "band", "id"), components(links))
+    more = durable(across(named, mixed.where(F.col("total") <= LARGE), sets, how))
     links = links.union(durable(confirmed(more, texts, how))) if not more.isEmpty() else links
+    large = mixed.where(F.col("total") > LARGE)
+    links = links.union(durable(across(named, large, sets, how, texts))) if not large.isEmpty() else links
     # Rows of one doc_id with different texts are the same node: each such row names its own set's least id.
     several = cut.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).where("k > 1").select(F.col("doc_id").alias("_d"))
     own = cut.where("n_shingles > 0 and doc_id is not null")
@@ -193,5 +223,5 @@ def near_duplicates(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
 
 def drop_near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    kept = near_duplicates(docs, how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates(docs, how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_turnmill_kept")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("_turnmill_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
