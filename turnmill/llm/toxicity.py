@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import durable, ship
 from turnmill.llm.crf import Chain, fit_chain
+from turnmill.llm.shingles import mix, shingle_set
 
 #: Bounds of the fit: labelled documents (by seeded hash), segments and their tokens for the chain, entries of the lexicon.
 SAMPLE, SEGMENTS, WIDTH, LEXICON = 20_000, 1_500, 200, 5_000
-#: Grades of a lexicon entry by log-odds, and the least evidence (log-likelihood ratio) of an entry.
-GRADES, EVIDENCE, TOXIC_GRADE = (1.5, 2.5, 3.5, 4.5), 14.0, 2
+#: Grades of a lexicon entry by log-odds, and from which grade on a word of a toxic document is labelled toxic.
+GRADES, TOXIC_GRADE = (1.5, 2.5, 3.5, 4.5), 2
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -60,15 +61,32 @@ class Model:
     cut: float = 0.5
 
 
+def least_hashes(texts: pd.Series) -> pd.Series:
+    """Four min-hashes of a text's three-word shingles; none for a text without words."""
+    out = []
+    for text in texts:
+        found = shingle_set(text, 3)
+        out.append([int(mix(found ^ np.uint64(seed)).min() >> np.uint64(1)) for seed in (11, 222, 3333, 44444)] if len(found) else None)
+    return pd.Series(out)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most about ``sample`` labelled documents, chosen by a hash of doc_id.  Several labels of a document count as the largest."""
+    """(text, toxic) of at most about ``sample`` labelled documents, chosen by a hash of doc_id.  Several labels of a document count as the largest.
+
+    Of copies and near copies one is kept (a document goes if it shares any of four min-hashes with one before it), else
+    the words of a text that was copied a hundred times would look like a hundred witnesses.
+    """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     n = own.count()
     if n > sample:
         own = own.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     chosen = own.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     # The side sent to every task has ``sample`` rows at most, whatever the input's size.
-    return durable(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic"))
+    rows = durable(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic", F.pandas_udf(least_hashes, "array<long>")("text").alias("hashes")))
+    each = rows.select("_id", F.posexplode("hashes").alias("i", "h"))
+    first = each.groupBy("i", "h").agg(F.min("_id").alias("first"))
+    later = each.join(first, ["i", "h"]).where("_id > first").select("_id").distinct()
+    return durable(rows.join(later, "_id", "left_anti").dropDuplicates(["_id"]).select("text", "toxic"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, int]:
@@ -93,9 +111,12 @@ def learn_lexicon(rows: DataFrame) -> dict[str, int]:
         return {}
     a, b, share = F.col("a"), F.col("b"), bad / (bad + good)
     counts = rows.mapInPandas(run, "key string, toxic int, n long").groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).where("a >= 3")
+    counts = durable(counts)
+    # An entry's log-likelihood ratio must be one that chance gives to a tenth of an entry among all that are tested.
+    least = 2 * float(np.log(10 * max(counts.count(), 1)))
     odds = F.ln((a + 0.5) / (b + 0.5)) - float(np.log((bad + 1) / (good + 1)))
     evidence = 2 * (a * F.ln(a / ((a + b) * share)) + F.when(b > 0, b * F.ln(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    strong = counts.select("key", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") > GRADES[0]) & (F.col("evidence") > EVIDENCE))
+    strong = counts.select("key", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") > GRADES[0]) & (F.col("evidence") > least))
     return {r["key"]: int(np.searchsorted(GRADES, r["odds"])) for r in strong.orderBy(F.desc("evidence"), "key").limit(LEXICON).collect()}
 
 
