@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm import lm_score, toxicity
+from turnmill.llm import licence_scan, lm_score, toxicity
 from turnmill.llm.bpe import encode_digests
 from turnmill.llm.exact_dedup import exact_dedup
 from turnmill.llm.knn import top_products
@@ -25,6 +25,10 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Near(words=3, percent=85))
 
 
+def op2_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
+    "op2_licence_sentences": op2_licence_sentences,
     "op3_ngram_logistic": op3_ngram_logistic,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_min_cost_flow": op5_min_cost_flow,
@@ -92,6 +97,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
         FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) AS c USING (doc_id)
     """,
+    "op2_licence_sentences": licence_scan.oracle_sql(),
     "op6_voronoi_join": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
