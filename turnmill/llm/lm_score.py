@@ -24,7 +24,7 @@ from turnmill.llm.common import durable, ship
 from turnmill.llm.lattice import Lattice, rank_weights
 
 VOCABULARY = "piece_bpe_32k.model"
-HEAD, CLASSES, HELD_WORDS = 300_000, 6, 300_000
+HEAD, CLASSES, HELD_WORDS = 250_000, 6, 300_000
 
 
 def read_pieces(path: str | None = None) -> tuple[list[str], list[float]]:
@@ -97,6 +97,17 @@ def learn_pieces(words: DataFrame, pieces: list[str], scores: list[float]) -> np
     return np.log(mass)
 
 
+def least_uses(rated: DataFrame, head: int) -> int:
+    """The least count at which no more than ``head`` words have that count or a higher one."""
+    have, least = 0, 1 << 62
+    for r in rated.where("uses > 2").groupBy("uses").count().orderBy(F.desc("uses")).toLocalIterator():
+        have += r["count"]
+        if have > head:
+            break
+        least = r["uses"]
+    return least
+
+
 def score_texts(docs: DataFrame, is_training: Column, class_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -146,37 +157,28 @@ def score_texts(docs: DataFrame, is_training: Column, class_col: str = "lang", i
     per_class = [log_sum(F.col(f"c{k}") * F.lit((1 - unseen[k]) / by_class[k] if by_class[k] else 0.0) + anywhere * unseen[k], F.ln(F.lit(unseen[k])) + spelled).alias(f"s{k}") for k in range(n)]
     rated = durable(weighed.select("word", (known + F.col("other")).alias("uses"), (known > 0).cast("long").alias("known"), F.log10((known + 0.5) / F.lit(divisor)).alias("base"), *per_class))
     columns = ["known", "base", *[f"s{k}" for k in range(n)]]
-    top = rated.where(F.col("uses") > 2).orderBy(F.desc("uses"), "word").limit(head).select("word", *columns).toPandas()
+    top = rated.where(F.col("uses") >= least_uses(rated, head)).select("word", *columns).toPandas()
     shared = spark.sparkContext.broadcast((b" ".join(map(bytes, top["word"])), top[columns].to_numpy(np.float64)))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         listed, table = shared.value
         place = {w: i for i, w in enumerate(listed.split(b" "))} if listed else {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             sums = np.zeros((len(batch), len(columns)))
-            for i, (row, text) in enumerate(zip(batch["row"], batch["text"], strict=True)):
+            for i, (row, doc_id, train, text) in enumerate(zip(batch["row"], batch["doc_id"], batch["train"], batch["text"], strict=True)):
                 found = words_of(text)
                 at = np.fromiter((place.get(w, -1) for w in found), np.int64, len(found))
                 sums[i] = table[at[at >= 0]].sum(axis=0)
                 rest = Counter(found[k] for k in np.flatnonzero(at < 0))
-                for part, values in zip(out, ([row] * len(rest), rest, rest.values(), [0] * len(rest), [i] * len(rest)), strict=True):
+                # The row of the document itself comes first, under a key that is no word and no other row's.
+                for part, values in zip(out, ([row] * (len(rest) + 1), (b" %d" % row, *rest), (0, *rest.values()), [{"tokens": len(found) + 1, "doc_id": None if pd.isna(doc_id) else int(doc_id), "train": train, "sums": sums[i]}, *[None] * len(rest)]), strict=True):
                     part += values
-                # The row of the document itself, under a key that is no word and no other row's.
-                for part, value in zip(out, (row, b" %d" % row, 0, len(found) + 1, i), strict=True):
-                    part.append(value)
-            frame = pd.DataFrame({"row": out[0], "word": out[1], "n": out[2], "tokens": out[3]})
-            at, own = np.array(out[4], np.int64), frame["tokens"].to_numpy() > 0
-            frame["doc_id"] = pd.Series(batch["doc_id"].astype("Int64").to_numpy()[at]).where(own)
-            frame["train"] = batch["train"].to_numpy()[at]
-            for k, c in enumerate(columns):
-                frame[f"h_{c}"] = np.where(own, sums[at, k], 0.0)
-            yield frame.astype({"row": "int64", "n": "int64", "tokens": "int64"})
-
-    heads = ", ".join(f"h_{c} double" for c in columns)
-    each = named.select("row", "doc_id", "text", "train").mapInPandas(add_up, f"row long, word binary, n long, tokens long, doc_id long, train boolean, {heads}")
+            yield pd.DataFrame({"row": np.array(out[0], np.int64), "word": pd.Series(out[1], dtype=object), "n": np.array(out[2], np.int64), "head": pd.Series(out[3], dtype=object)})
+
+    each = named.select("row", "doc_id", "train", "text").mapInPandas(add_up, "row long, word binary, n long, head struct<tokens:long,doc_id:long,train:boolean,sums:array<double>>")
     joined = each.join(rated.select(F.col("word").alias("_word"), *columns), F.col("word") == F.col("_word"), "left")
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.first("train").alias("train"), F.sum("tokens").alias("n_tokens"), *[F.sum(F.col(f"h_{c}") + F.coalesce(F.col(c) * F.col("n"), F.lit(0.0))).alias(c) for c in columns])
+    summed = joined.groupBy("row").agg(F.sum("head.tokens").alias("n_tokens"), F.max("head.doc_id").alias("doc_id"), F.max("head.train").alias("train"), *[F.sum(F.coalesce(F.col("head.sums")[k], F.lit(0.0)) + F.coalesce(F.col(c) * F.col("n"), F.lit(0.0))).alias(c) for k, c in enumerate(columns)])
     end_base = float(np.log10((end_count + 0.5) / divisor))
     end_of = [float(np.log10((1 - unseen[k]) * ends.get(k, 0) / by_class[k] + unseen[k] * stop)) if by_class[k] else float(np.log10(stop)) for k in range(n)]
     prior = [float(np.log10((ends.get(k, 0) + 1) / (end_count + n))) for k in range(n)]
