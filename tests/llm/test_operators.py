@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, crf, exact_dedup, knn, lattice, lm_score, mixing, near_dedup, sharding, shingles, toxicity, url_filter
+from turnmill.llm import bpe, crf, exact_dedup, knn, lattice, licence_scan, lm_score, mixing, near_dedup, sharding, shingles, toxicity, url_filter
 from turnmill.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string, score string, shard string, id string, kept string"
@@ -114,6 +114,7 @@ def test_empty_tables(spark):
     assert lm_score.score_documents(spark, none).count() == 0
     assert toxicity.score_documents(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
     assert knn.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+    assert licence_scan.scan_licences(none).count() == 0
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -350,3 +351,30 @@ def test_url_filter(spark):
     assert view(6)[2:] == (None, "allow") and view(7)[2:] == (None, "block")
     assert view(8)[:3] == view(9)[:3] == view(10)[:3] == ("", "", None)
     assert view(11)[:2] == ("b:", "//c/d") and view(12)[2] is None and view(13)[2] == "com/en/"
+
+
+def test_licences(spark):
+    full = next(k for k, v in licence_scan.SENTENCES.items() if v == "mit-grant").capitalize()
+    notice, as_is = (next(k for k, v in licence_scan.SENTENCES.items() if v == w) for w in ("mit-notice", "mit-as-is"))
+    wrap = lambda t: t.replace(" of ", "\n * of ")
+    texts = {
+        1: "Some prose here. Released under the MIT License. More prose.",
+        2: "| table | row |\nLICENSED under the  Apache License, Version 2.0.\nnext",
+        3: f"Copyright\n\n{wrap(full)}:\n\n{wrap(notice)}.\n\n{wrap(as_is)}.",
+        4: f"{as_is}. {notice}. {full}:",
+        5: "All rights reserved. This work is licensed under the GNU General Public License, version 3.",
+        6: "He said the MIT licence was fine, and all rights reserved were his",
+        7: None,
+        8: "",
+        9: "x " * 60_000 + ". Licensed under CC BY-NC 4.0. " + "y" * 60_000,
+        10: "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.",
+    }
+    rows = [(i, t, "en", "s") for i, t in texts.items()] + [(None, texts[1], "en", "s"), (2, texts[2], "en", "s")]
+    every = licence_scan.scan_licences(docs_of(spark, rows)).collect()
+    got = {r["doc_id"]: (r["licence"], r["licences"], r["n_sentences"]) for r in every}
+    assert len(every) == len(rows)
+    assert got[1] == got[None] == ("MIT", "MIT", 1) and got[2] == ("Apache-2.0", "Apache-2.0", 1)
+    assert got[3] == ("MIT", "MIT", 3) and got[4] == (None, "", 3)
+    assert got[5] == ("GPL-3.0", "GPL-3.0,All-Rights-Reserved", 2)
+    assert got[6] == got[7] == got[8] == (None, "", 0)
+    assert got[9] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", 1) and got[10] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0", 2)
