@@ -28,6 +28,8 @@ from turnmill.llm.shingles import mix, shingle_set
 SAMPLE, SEGMENTS, WIDTH, LEXICON = 20_000, 1_500, 200, 5_000
 #: Grades of a lexicon entry by log-odds, and from which grade on a word of a toxic document is labelled toxic.
 GRADES, TOXIC_GRADE = (1.5, 2.5, 3.5, 4.5), 2
+#: How many entries of the lexicon may be there by chance.
+CHANCE = 3
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -112,8 +114,8 @@ def learn_lexicon(rows: DataFrame) -> dict[str, int]:
     a, b, share = F.col("a"), F.col("b"), bad / (bad + good)
     counts = rows.mapInPandas(run, "key string, toxic int, n long").groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).where("a >= 3")
     counts = durable(counts)
-    # An entry's log-likelihood ratio must be one that chance gives to a tenth of an entry among all that are tested.
-    least = 2 * float(np.log(10 * max(counts.count(), 1)))
+    # An entry's log-likelihood ratio must be one that chance gives to about CHANCE of all entries tested.
+    least = 2 * float(np.log(max(counts.count(), 1) / CHANCE))
     odds = F.ln((a + 0.5) / (b + 0.5)) - float(np.log((bad + 1) / (good + 1)))
     evidence = 2 * (a * F.ln(a / ((a + b) * share)) + F.when(b > 0, b * F.ln(b / ((a + b) * (1 - share)))).otherwise(0.0))
     strong = counts.select("key", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") > GRADES[0]) & (F.col("evidence") > least))
