@@ -28,7 +28,7 @@ def plain(x):
     return f"{x:.8g}" if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", registry.QUERIES)
+@pytest.mark.parametrize("name", registry.ORACLE_SQL)
 def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     order = sorted(df.columns)

@@ -1,0 +1,68 @@
+"""Smaller queries: lookups, validations, orders and layouts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turnmill.operators.layout import treemap
+from turnmill.plans.base import chat_lines, event_lines, query
+
+
+@query("f9_turns_in_range", "SELECT p_partkey, array_to_string(list_filter(range(p_size, p_size + 6), lambda t: t BETWEEN 10 AND 30), ',') AS turns FROM part")
+def turns_in_range(read):
+    turns = F.filter(F.sequence(F.col("p_size"), F.col("p_size") + 5), lambda t: t.between(10, 30))
+    return read("part").select("p_partkey", F.array_join(turns, ",").alias("turns"))
+
+
+@query("f10_evidence_sources", """SELECT event_id, CASE lower(trim(event_type)) WHEN 'purchase' THEN 'user' WHEN 'signup' THEN 'reply' WHEN 'click' THEN 'tool_summary' ELSE 'reasoning_summary' END AS source FROM events""")
+def evidence_sources(read):
+    """Spellings of a source meet in one name; unknown ones count as the weakest."""
+    names = F.create_map(*[F.lit(x) for pair in (("purchase", "user"), ("signup", "reply"), ("click", "tool_summary")) for x in pair])
+    return read("events").select("event_id", F.coalesce(F.element_at(names, F.lower(F.trim("event_type"))), F.lit("reasoning_summary")).alias("source"))
+
+
+@query("j17_fresh_cache", """SELECT d.doc_id, c.doc_id IS NOT NULL AND c.stamp = d.n_chars AND d.n_chars > 0 AS cached FROM documents AS d LEFT JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS stamp FROM documents WHERE doc_id % 2 = 0) AS c USING (doc_id)""")
+def fresh_cache(read):
+    d = read("documents")
+    cache = d.where("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("stamp"))
+    return d.join(cache, "doc_id", "left").select("doc_id", F.coalesce((F.col("stamp") == F.col("n_chars")) & (F.col("n_chars") > 0), F.lit(False)).alias("cached"))
+
+
+@query("a13_versions", "SELECT p_partkey, string_split(p_brand, '#')[-1] AS version FROM part")
+def versions(read):
+    return read("part").select("p_partkey", F.element_at(F.split("p_brand", "#"), -1).alias("version"))
+
+
+@query("x21_short_paths", "SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN '~/' || substr(url, 9) ELSE url END AS shown FROM pages")
+def short_paths(read):
+    return read("pages").select("page_id", F.when(F.col("url").startswith("https://"), F.concat(F.lit("~/"), F.expr("substring(url, 9)"))).otherwise(F.col("url")).alias("shown"))
+
+
+@query("o8_newest_log", "SELECT event_type, arg_max(event_id, epoch_us(ts) * 1000 + event_id % 1000) AS event_id FROM events GROUP BY event_type")
+def newest_log(read):
+    return read("events").groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", F.col("event_id") % 1000)).alias("event_id"))
+
+
+@query("o10_category_order", "SELECT event_type, row_number() OVER (ORDER BY CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, event_type) AS place FROM (SELECT DISTINCT event_type FROM events)")
+def category_order(read):
+    rank = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "view", 1).otherwise(2)
+    kinds = read("events").select("event_type").distinct()
+    ordered = F.array_sort(F.collect_list(F.struct(rank.alias("r"), "event_type")))
+    return kinds.agg(ordered.alias("k")).select(F.posexplode("k").alias("at", "k")).select("k.event_type", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query("s12_first_nonempty", "SELECT conv_id AS session, arg_min(text, turn) AS text FROM conversations WHERE turn < 50 AND text <> '' AND role <> 'system' GROUP BY conv_id")
+def first_nonempty(read):
+    return chat_lines(read("conversations")).where("line_no < 50 and text <> '' and role <> 'system'").groupBy("session").agg(F.min_by("text", "line_no").alias("text"))
+
+
+@query("p11_session_source", "SELECT page_id, CASE WHEN contains(lower(url), 'blog.') THEN 'blog' WHEN contains(lower(url), 'www.') THEN 'site' WHEN page_id % 2 = 0 THEN 'even' ELSE 'other' END AS source FROM pages")
+def session_source(read):
+    url = F.lower("url")
+    return read("pages").select("page_id", F.when(url.contains("blog."), "blog").when(url.contains("www."), "site").when(F.col("page_id") % 2 == 0, "even").otherwise("other").alias("source"))
+
+
+@query("x26_treemap")
+def treemap_layout(read):
+    """Rectangles by category of each session; held by tests to fill the area without overlap."""
+    return treemap(event_lines(read("events")).groupBy("session", F.col("kind").alias("category")).agg(F.sum("tokens").alias("tokens")))
