@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions import json_text, redact
 from turnmill.functions import text as X
-from turnmill.operators import layout, segments
+from turnmill.operators import graph, layout, segments
 from turnmill.sources import tables, transcripts
 
 from test_transcripts import assistant, lines_of, user
@@ -72,3 +72,20 @@ def test_sinks(spark, tmp_path):
     tables.append_sessions(rows(("a", 0, 1), ("b", 0, 1)), path)
     tables.refresh_sessions(rows(("a", 0, 5), ("a", 1, 6)), path)
     assert sorted((r["session"], r["turn_i"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 0, 5), ("a", 1, 6), ("b", 0, 1)]
+
+
+def test_greedy_leaders(spark):
+    labels = ["abcdef", "xyz", "abcdeg", "abcdhg", "zyx", "abcdef1"]
+    rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(labels)], "session string, seq long, label string")
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) > 0.7
+    leaders, want = [], {}
+    for i, x in enumerate(labels):
+        want[i] = next((k for k in leaders if alike(labels[k], x)), i)
+        leaders += [i] * (want[i] == i)
+    assert {r["seq"]: r["leader"] for r in graph.greedy_leaders(rows).collect()} == want
+
+
+def test_merged_themes(spark):
+    rows = [("s", 1, "login flow", 0, 3), ("s", 2, "login flows", 4, 5), ("s", 3, "xyz", 6, 6), ("s", 4, "login flow", 7, 8)]
+    got = graph.merged_themes(spark.createDataFrame(rows, "session string, run long, theme string, first_turn long, last_turn long")).orderBy("place").collect()
+    assert [(r["theme"], r["first_turn"], r["last_turn"]) for r in got] == [("login flow", 0, 5), ("xyz", 6, 6), ("login flow", 7, 8)]

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from turnmill.llm.common import ship
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose tokens a Python worker remembers; beyond that it begins anew.
 CACHE_PIECES = 200_000
+#: Tokens that are gathered before they are handed on, so that memory doesn't depend on how many long texts come together.
+HELD_TOKENS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,17 +196,25 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     shared, pattern = _vocabulary(docs, path)
 
+    def told(ids_of: list, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        out.insert(0, "doc_id", pd.array(ids_of, "Int64"))
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _coder(shared, pattern)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
+            ids_of, rows, held = [], [], 0
+            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
                 ids = coder.encode(text)
                 row = (len(ids), hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest())
-                rows.append((*row, ids) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").values)
-            yield out
+                rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
+                ids_of.append(doc_id)
+                held += len(ids)
+                if held > HELD_TOKENS:
+                    yield told(ids_of, rows)
+                    ids_of, rows, held = [], [], 0
+            yield told(ids_of, rows)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInPandas(run, schema)

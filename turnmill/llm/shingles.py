@@ -35,7 +35,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_IDS) > 400_000:
+    if len(_IDS) > 200_000:
         _IDS.clear()
     ids = np.fromiter(map(_IDS.__getitem__, words), np.uint64, len(words))
     k = min(k, len(ids))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.functions.text import characters, jaccard
 from turnmill.operators.windows import first_of
 
 # The most that evidence of a source may weigh; other sources count as the last one.
@@ -84,3 +85,40 @@ def first_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each point (id, at) with the first range (range_id, low, high) that holds it, or none."""
     found = points.join(ranges, F.col("at").between(F.col("low"), F.col("high")), "left")
     return found.groupBy("id", "at").agg(F.min("range_id").alias("range_id"))
+
+
+def greedy_leaders(rows: DataFrame, least: float = 0.7) -> DataFrame:
+    """(session, seq, label) -> with leader: in order of seq a label joins the first leader whose characters are more than ``least`` alike, else it leads itself.
+
+    What a row joins depends on the rows before it, so a session's labels (a graph's candidates, some hundreds at most) are folded as one array.
+    """
+    start = F.array().cast("array<struct<seq:bigint,label:string,leader:bigint>>")
+
+    def join(done: Column, x: Column) -> Column:
+        alike = F.filter(done, lambda d: (d["seq"] == d["leader"]) & (jaccard(characters(d["label"]), characters(x["label"])) > least))
+        leader = F.when(F.size(alike) > 0, F.get(alike, 0)["seq"]).otherwise(x["seq"])
+        return F.concat(done, F.array(F.struct(x["seq"].alias("seq"), x["label"].alias("label"), leader.alias("leader"))))
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "label")))
+    each = rows.groupBy("session").agg(F.aggregate(ordered, start, join).alias("x"))
+    return each.select("session", F.explode("x").alias("x")).select("session", "x.*")
+
+
+def merged_themes(runs: DataFrame, least: float = 0.5) -> DataFrame:
+    """(session, run, theme, first_turn, last_turn): neighbouring runs whose themes' characters are more than ``least`` alike become one, under the shorter theme.
+
+    Each comparison is with the theme merged so far, so a session's runs are folded in order.
+    """
+    kind = "array<struct<theme:string,first_turn:bigint,last_turn:bigint>>"
+
+    def join(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        alike = jaccard(characters(last["theme"]), characters(x["theme"])) > least
+        shorter = F.when(F.char_length(last["theme"]) <= F.char_length(x["theme"]), last["theme"]).otherwise(x["theme"])
+        own = F.array(F.struct(x["theme"].alias("theme"), x["first_turn"].alias("first_turn"), x["last_turn"].alias("last_turn")))
+        both = F.array(F.struct(shorter.alias("theme"), last["first_turn"].alias("first_turn"), x["last_turn"].alias("last_turn")))
+        return F.when(F.size(done) == 0, own).when(alike, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), both)).otherwise(F.concat(done, own))
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("run").cast("long").alias("run"), "theme", F.col("first_turn").cast("long").alias("first_turn"), F.col("last_turn").cast("long").alias("last_turn"))))
+    each = runs.groupBy("session").agg(F.aggregate(ordered, F.array().cast(kind), join).alias("x"))
+    return each.select("session", F.posexplode("x").alias("place", "x")).select("session", "place", "x.*")
