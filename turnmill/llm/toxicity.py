@@ -45,7 +45,7 @@ class Grader(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = grade = max((self.lexicon.get(k, 0) for k in keys_of(word)), default=0)
         return grade
@@ -97,8 +97,8 @@ def learn_lexicon(rows: DataFrame) -> dict[str, int]:
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 seen[toxic].update({k for w in set(LETTERS.findall((text or "").lower())) for k in keys_of(w)})
-            if len(seen[0]) + len(seen[1]) > 400_000:
-                yield told(seen)
+                if len(seen[0]) + len(seen[1]) > 200_000:
+                    yield told(seen)
         yield told(seen)
 
     def told(seen) -> pd.DataFrame:
