@@ -143,6 +143,13 @@ def test_exact_dedup(spark, corpus):
     assert sorted(lower(r["text"]) for r in left.collect()) == sorted(groups) and left.columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_copies_without_ids_leave_one(spark):
+    docs = docs_of(spark, [(None, "Same text", "en", "s0"), (None, "same TEXT", "en", "s1"), (None, "other", "en", "s0")])
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r["keep_id"] is None, r["group_size"], r["kept"]) for r in got) == [(True, 1, True), (True, 2, True), (True, 2, True)]
+    assert sorted(lower(r["text"]) for r in exact_dedup.drop_copies(docs).collect()) == [b"other", b"same text"]
+
+
 def test_chunks_join_to_the_text_and_move_little(spark, corpus):
     long = next(t for i, t, *_ in corpus if i == 83)
     edited = long[:50_000] + " inserted words " + long[50_000:]

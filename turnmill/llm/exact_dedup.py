@@ -50,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when they are identical after lower-casing A-Z; null counts as
     empty.  Of equal texts the largest doc_id stays; if that doc_id itself
     occurs on several equal rows, each of those rows is marked as kept (``drop_copies`` leaves one).  A null
-    doc_id never wins over a number.  Other columns are ignored; an empty table gives no rows.
+    doc_id never wins over a number; where all of a group are null, all are marked.  Other columns are ignored; an empty table gives no rows.
     """
     cut = durable(recipes(docs, id_col, text_col, shortest, longest))
     clashing = chunk_store(cut).where("conflict").select(F.col("id").alias("_clash"))
@@ -71,7 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(single | (F.col("doc_id") == F.col("keep_id")), F.lit(False)).alias("kept"),
+        (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
 
