@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import ship
+from turnmill.llm.common import remembered, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose tokens a Python worker remembers; beyond that it begins anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
+#: Pairs of tokens whose validity it remembers.
+CACHE_PAIRS = 200_000
 #: Tokens that are gathered before they are handed on, so that memory doesn't depend on how many long texts come together.
 HELD_TOKENS = 300_000
 
@@ -96,7 +98,7 @@ class PrefixCoder:
                 undone, a = a, of_a[1]
             else:
                 break
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > CACHE_PAIRS:
             self.pairs.clear()
         self.pairs[left, right] = good
         return good
@@ -166,15 +168,9 @@ class PrefixCoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODERS: dict[int, PrefixCoder] = {}
-
-
 def _coder(shared, pattern: str) -> PrefixCoder:
     """One coder per Python worker and broadcast vocabulary."""
-    if shared.value[0] not in _CODERS:
-        _CODERS.clear()
-        _CODERS[shared.value[0]] = PrefixCoder(shared.value[1], pattern)
-    return _CODERS[shared.value[0]]
+    return remembered(f"bpe {shared.value[0]}", lambda: PrefixCoder(shared.value[1], pattern))
 
 
 def _vocabulary(df: DataFrame, path: str | None):

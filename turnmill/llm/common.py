@@ -15,11 +15,29 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch of texts on its way to a Python worker, where the session sets no bound of its own.
+#: Batches bounded by rows alone would grow with the length of texts.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 _SHIPPED: set[str] = set()
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(owner: str, make):
+    """What a Python worker remembers for ``owner``, made when first asked for.
+
+    Workers live on between stages; one that turns to another operator forgets what the one before it had gathered.
+    """
+    if owner not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[owner] = make()
+    return _REMEMBERED[owner]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, as spark-submit --py-files would; once per application."""
+    """Give the Python workers this package, as spark-submit --py-files would; once per application.  Bound the batches they get."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
     if spark.sparkContext.applicationId not in _SHIPPED:
         package = Path(__file__).parents[1]
         target = Path(tempfile.mkdtemp(prefix="turnmill-")) / "turnmill.zip"

@@ -7,6 +7,8 @@ import functools
 import numpy as np
 import xxhash
 
+from turnmill.llm.common import remembered
+
 MANTISSA_BITS = 10
 _U = np.uint64
 
@@ -19,8 +21,6 @@ class WordIds(dict):
         return made
 
 
-_IDS = WordIds()
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """An invertible mix of 64 bits."""
@@ -35,9 +35,10 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_IDS) > 200_000:
-        _IDS.clear()
-    ids = np.fromiter(map(_IDS.__getitem__, words), np.uint64, len(words))
+    known = remembered("shingles", WordIds)
+    if len(known) > 100_000:
+        known.clear()
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(k, len(ids))
     out = np.full(len(ids) - k + 1, k, np.uint64)
     with np.errstate(over="ignore"):
