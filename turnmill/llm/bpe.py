@@ -25,9 +25,9 @@ from turnmill.llm.common import remembered, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose tokens a Python worker remembers; beyond that it begins anew.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 #: Pairs of tokens whose validity it remembers.
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 500_000
 #: Tokens that are gathered before they are handed on, so that memory doesn't depend on how many long texts come together.
 HELD_TOKENS = 300_000
 

@@ -36,7 +36,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     known = remembered("shingles", WordIds)
-    if len(known) > 100_000:
+    if len(known) > 200_000:
         known.clear()
     ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(k, len(ids))
