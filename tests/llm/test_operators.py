@@ -259,6 +259,20 @@ def test_toxicity_held_out(spark):
     assert by_id[2000]["predicted"] == by_id[2001]["predicted"] == 0 and by_id[2002]["predicted"] == 1
 
 
+def test_toxicity_training_rows(spark):
+    """A shared passage is no copy; of copies and near copies one of each label stays."""
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base = new(30), new(200)
+    apart = [(i, " ".join([*new(40), *passage, *new(40)])) for i in range(60)]
+    near = [(100 + i, " ".join(base[:i] + new(1) + base[i + 1 :])) for i in range(12)]
+    rows = [(*r, "en", "s") for r in [*apart, *near, (200, near[0][1]), (201, ""), (202, None)]]
+    labels = [(i, 1, int(i % 3 == 0)) for i, *_ in rows]
+    got = toxicity.training_rows(docs_of(spark, rows).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True)).collect()
+    want = [(t, int(i % 3 == 0)) for i, t, *_ in rows if i < 60 or i > 200] + [(near[0][1], 0), (near[2][1], 1)]
+    assert sorted((r["text"] or "", r["toxic"]) for r in got) == sorted((t or "", y) for t, y in want)
+
+
 def test_spans_and_chain():
     chain = crf.Chain(np.array([-2.0, 1.0, 4.0]), np.array([[0.5, -1.0], [-0.5, 0.3]]))
     kinds = [0, 0, 2, 0, 1, 1, 0, 0, 2, 0]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from turnmill.llm.common import durable, ship
 from turnmill.llm.crf import Chain, fit_chain
-from turnmill.llm.shingles import mix, shingle_set
+from turnmill.llm.near_dedup import Near, near_duplicates
 
 #: Bounds of the fit: labelled documents (by seeded hash), segments and their tokens for the chain, entries of the lexicon.
 SAMPLE, SEGMENTS, WIDTH, LEXICON = 20_000, 1_500, 200, 5_000
@@ -30,6 +30,8 @@ SAMPLE, SEGMENTS, WIDTH, LEXICON = 20_000, 1_500, 200, 5_000
 GRADES, TOXIC_GRADE = (1.5, 2.5, 3.5, 4.5), 2
 #: How many entries of the lexicon may be there by chance.
 CHANCE = 3
+#: What counts as a copy of a training document: a similarity of 0.8 of the whole sets of three-word shingles.
+COPIES = Near(words=3, percent=80)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -63,20 +65,11 @@ class Model:
     cut: float = 0.5
 
 
-def least_hashes(texts: pd.Series) -> pd.Series:
-    """Four min-hashes of a text's three-word shingles; none for a text without words."""
-    out = []
-    for text in texts:
-        found = shingle_set(text, 3)
-        out.append([int(mix(found ^ np.uint64(seed)).min() >> np.uint64(1)) for seed in (11, 222, 3333, 44444)] if len(found) else None)
-    return pd.Series(out)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most about ``sample`` labelled documents, chosen by a hash of doc_id.  Several labels of a document count as the largest.
 
-    Of copies and near copies one is kept (a document goes if it shares any of four min-hashes with one before it), else
-    the words of a text that was copied a hundred times would look like a hundred witnesses.
+    Of copies and near copies (linked as in near_dedup, by COPIES) one of each label is kept, else the words of a text
+    that was copied a hundred times would look like a hundred witnesses.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     n = own.count()
@@ -84,11 +77,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: in
         own = own.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     chosen = own.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     # The side sent to every task has ``sample`` rows at most, whatever the input's size.
-    rows = durable(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic", F.pandas_udf(least_hashes, "array<long>")("text").alias("hashes")))
-    each = rows.select("_id", F.posexplode("hashes").alias("i", "h"))
-    first = each.groupBy("i", "h").agg(F.min("_id").alias("first"))
-    later = each.join(first, ["i", "h"]).where("_id > first").select("_id").distinct()
-    return durable(rows.join(later, "_id", "left_anti").dropDuplicates(["_id"]).select("text", "toxic"))
+    rows = durable(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic"))
+    linked = near_duplicates(rows, COPIES, "_id").select("doc_id", "component_id").distinct()
+    kept = rows.select("_id", "toxic").join(linked, F.col("_id") == F.col("doc_id")).groupBy("component_id", "toxic").agg(F.min("_id").alias("kept"))
+    return durable(rows.join(kept.select("kept"), F.col("_id") == F.col("kept"), "left_semi").dropDuplicates(["_id"]).select("text", "toxic"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, int]:
