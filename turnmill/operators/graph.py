@@ -87,6 +87,21 @@ def first_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return found.groupBy("id", "at").agg(F.min("range_id").alias("range_id"))
 
 
+def alike_within(rows: DataFrame, tenths: int = 7) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of rows (id, block, c) of one block whose sets c are more than ``tenths`` tenths alike.
+
+    Such sets share one of their rarest members (of n all but tenths * n / 10), so only rows that do are compared, by the
+    first of these that they share.
+    """
+    rarity = rows.select(F.explode("c").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    members = rows.select("id", F.explode("c").alias("x")).join(rarity, "x").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda m: m["x"]).alias("c"))
+    rare = members.withColumn("rare", F.slice("c", F.lit(1), F.size("c") - F.expr(f"{tenths} * size(c) div 10").cast("int"))).join(rows.select("id", "block"), "id")
+    each = rare.select("id", "block", "c", "rare", F.explode("rare").alias("x"))
+    side = lambda n: each.select("block", "x", F.col("id").alias(n), F.col("c").alias(f"c{n}"), F.col("rare").alias(f"r{n}"))
+    met = side("a").join(side("b"), ["block", "x"]).where((F.col("a") < F.col("b")) & (F.get(F.array_intersect("ra", "rb"), F.lit(0)) == F.col("x")))
+    return met.withColumn("similarity", jaccard(F.col("ca"), F.col("cb"))).where(F.col("similarity") > tenths / 10).select("a", "b", "similarity")
+
+
 def greedy_leaders(rows: DataFrame, least: float = 0.7) -> DataFrame:
     """(session, seq, label) -> with leader: in order of seq a label joins the first leader whose characters are more than ``least`` alike, else it leads itself.
 

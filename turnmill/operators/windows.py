@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def over(keys: list[str], order: list) -> Window:
@@ -46,3 +47,9 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def top_of(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each key."""
     return df.withColumn("_n", F.row_number().over(over(keys, order))).where(F.col("_n") <= k).drop("_n")
+
+
+def placed(df: DataFrame, order: list, out: str) -> DataFrame:
+    """0-based place of a row among all rows: range partitions in order, counted, each beginning where the one before it ends."""
+    schema = T.StructType([*df.schema, T.StructField(out, T.LongType())])
+    return df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnmill.functions.text import characters, jaccard
+from turnmill.functions.text import characters
 from turnmill.operators import graph as G
-from turnmill.operators.windows import first_of, over, top_of
+from turnmill.operators.windows import first_of, over, placed, top_of
 from turnmill.plans.base import query
 
 EDGES = """edges AS (SELECT l_partkey % 500 AS s, l_suppkey % 500 + l_linenumber AS t, l_returnflag AS label, l_linestatus = 'O' AS directed, l_orderkey AS first_turn, l_discount AS conf, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey % 20 = 0),
@@ -14,11 +14,11 @@ EDGES = """edges AS (SELECT l_partkey % 500 AS s, l_suppkey % 500 + l_linenumber
 
 
 def edges(read):
-    return read("lineitem").where("l_orderkey % 20 = 0").select((F.col("l_partkey") % 500).alias("s"), (F.col("l_suppkey") % 500 + F.col("l_linenumber")).alias("t"), F.col("l_returnflag").alias("label"), (F.col("l_linestatus") == "O").alias("directed"), F.col("l_orderkey").alias("first_turn"), F.col("l_discount").alias("conf"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return read("lineitem").select((F.col("l_partkey") % 500).alias("s"), (F.col("l_suppkey") % 500 + F.col("l_linenumber")).alias("t"), F.col("l_returnflag").alias("label"), (F.col("l_linestatus") == "O").alias("directed"), F.col("l_orderkey").alias("first_turn"), F.col("l_discount").alias("conf"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
 def nodes(read):
-    return read("part").where("p_partkey <= 480").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), F.col("p_size").alias("first_turn"), F.col("p_retailprice").alias("conf"))
+    return read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("type"), F.col("p_size").alias("first_turn"), F.col("p_retailprice").alias("conf"))
 
 
 W = "WITH " + EDGES
@@ -80,10 +80,8 @@ def first_range(read):
 @query("u3_label_jaccard", """WITH p AS (SELECT p_partkey AS id, p_type AS block, list_distinct(string_split(p_name, '')) AS c FROM part WHERE p_partkey <= 600)
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) AS similarity FROM p AS a JOIN p AS b ON a.block = b.block AND a.id < b.id WHERE len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) > 0.7""")
 def label_jaccard(read):
-    """Candidates share a block (the type), so no pair is built across blocks."""
-    p = read("part").where("p_partkey <= 600").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("block"), characters(F.col("p_name")).alias("c"))
-    a, b = p.select(F.col("id").alias("a"), "block", F.col("c").alias("ca")), p.select(F.col("id").alias("b"), "block", F.col("c").alias("cb"))
-    return a.join(b, "block").where("a < b").withColumn("similarity", jaccard(F.col("ca"), F.col("cb"))).where("similarity > 0.7").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    p = read("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("block"), characters(F.col("p_name")).alias("c"))
+    return G.alike_within(p).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("j18_one_hop", W + " SELECT s AS id FROM edges WHERE t = 7 OR s = 7 UNION SELECT t FROM edges WHERE s = 7 OR t = 7")
@@ -181,9 +179,10 @@ def label_support(read):
 
 @query("x27_lane_layout", "SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_brand) - 1 AS lane, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS row FROM part WHERE p_partkey <= 1000")
 def lane_layout(read):
-    few = read("part").where("p_partkey <= 1000")
-    lanes = few.select("p_brand").distinct().withColumn("lane", F.row_number().over(over([], ["p_brand"])) - 1)
-    return few.join(F.broadcast(lanes), "p_brand").select(F.col("p_partkey").alias("id"), "lane", (F.row_number().over(over(["p_brand"], ["p_size", "p_partkey"])) - 1).alias("row"))
+    parts = placed(read("part").select("p_brand", "p_size", F.col("p_partkey").alias("id")), ["p_brand", "p_size", "id"], "place")
+    begins = parts.groupBy("p_brand").agg(F.min("place").alias("begin"))
+    lanes = begins.withColumn("lane", F.row_number().over(over([], ["p_brand"])) - 1)
+    return parts.join(F.broadcast(lanes), "p_brand").select("id", "lane", (F.col("place") - F.col("begin")).alias("row"))
 
 
 @query("o6_top_parts_per_brand", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) WHERE n <= 3")
