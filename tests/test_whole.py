@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from turnmill.plans import graph, registry
+from turnmill.plans import docs, graph, registry
 
 DATA = "/root/testdata/sf0.01"
 CUTS = (" WHERE l_orderkey % 20 = 0", " WHERE p_partkey <= 480", " WHERE p_partkey <= 600", " WHERE p_partkey <= 1000")
@@ -43,3 +43,11 @@ def test_last_ids_count(spark):
     parts = spark.createDataFrame([(7, "a", "T", 1, 1.0), (5000, "b", "T", 1, 1.0)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double")
     read = {"lineitem": lines, "part": parts}.__getitem__
     assert sorted(map(tuple, graph.degrees(read).collect())) == [(7, 2), (5000, 0)]
+
+
+def test_sums_of_all_documents(spark, duck):
+    check(spark, duck, "a30_memory_chars", [" WHERE doc_id < 100"])
+    check(spark, duck, "a15_filled_seeds", [" FILTER (doc_id % 40 = 0)"])
+    rows = spark.createDataFrame([(141, "abc", "s", 3), (143, "de", "s", 2), (145, None, "empty", None), (147, "", "empty", 0)], "doc_id long, text string, source string, n_chars int")
+    assert sorted(map(tuple, docs.filled_seeds(lambda _: rows).collect())) == [("empty", 5768), ("s", 5)]
+    assert sorted(map(tuple, docs.memory_chars(lambda _: rows).collect())) == [("empty", 0), ("s", 5)]
