@@ -51,3 +51,11 @@ def test_sums_of_all_documents(spark, duck):
     rows = spark.createDataFrame([(141, "abc", "s", 3), (143, "de", "s", 2), (145, None, "empty", None), (147, "", "empty", 0)], "doc_id long, text string, source string, n_chars int")
     assert sorted(map(tuple, docs.filled_seeds(lambda _: rows).collect())) == [("empty", 5768), ("s", 5)]
     assert sorted(map(tuple, docs.memory_chars(lambda _: rows).collect())) == [("empty", 0), ("s", 5)]
+
+
+def test_sorts_keep_every_row(spark, duck):
+    assert len(check(spark, duck, "o1_newest_sessions", [" LIMIT 100"])) == duck.execute("SELECT count(*) FROM orders").fetchone()[0]
+    placed = check(spark, duck, "o3_sorted_nodes", [" WHERE p_size <= 5", " LIMIT 100"])
+    assert [int(r[1]) for r in placed] == list(range(1, duck.execute("SELECT count(*) FROM part").fetchone()[0] + 1))
+    ranked = [(int(r[1]), int(r[0])) for r in check(spark, duck, "o4_type_ranked", [" LIMIT 200"])]
+    assert ranked == sorted(ranked) and len(ranked) == len(placed)

@@ -122,19 +122,19 @@ def synthesised_groups(read):
 
 @query("o3_sorted_nodes", "SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part WHERE p_size <= 5 ORDER BY place LIMIT 100")
 def sorted_nodes(read):
-    best = read("part").where("p_size <= 5").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
-    return best.select(F.col("p_partkey").alias("id"), F.row_number().over(over([], [F.desc("p_retailprice"), "p_partkey"])).alias("place"))
+    best = placed(read("part").select("p_retailprice", F.col("p_partkey").alias("id")), [F.desc("p_retailprice"), "id"], "n")
+    return best.select("id", (F.col("n") + 1).alias("place"))
 
 
 @query("o4_type_ranked", """SELECT p_partkey AS id, CASE WHEN p_type LIKE '%A%' THEN 0 WHEN p_type LIKE '%E%' THEN 1 ELSE 2 END AS rank FROM part ORDER BY rank, p_partkey LIMIT 200""")
 def type_ranked(read):
     rank = F.when(F.col("p_type").like("%A%"), 0).when(F.col("p_type").like("%E%"), 1).otherwise(2)
-    return read("part").select(F.col("p_partkey").alias("id"), rank.alias("rank")).orderBy("rank", "id").limit(200)
+    return read("part").select(F.col("p_partkey").alias("id"), rank.alias("rank")).orderBy("rank", "id")
 
 
 @query("o1_newest_sessions", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
 def newest_sessions(read):
-    return read("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
+    return read("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_custkey")
 
 
 @query("j9_messages_and_parts", "SELECT o_orderkey, count(l_orderkey) AS parts, round(coalesce(sum(l_quantity), 0), 4) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
