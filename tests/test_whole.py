@@ -59,3 +59,13 @@ def test_sorts_keep_every_row(spark, duck):
     assert [int(r[1]) for r in placed] == list(range(1, duck.execute("SELECT count(*) FROM part").fetchone()[0] + 1))
     ranked = [(int(r[1]), int(r[0])) for r in check(spark, duck, "o4_type_ranked", [" LIMIT 200"])]
     assert ranked == sorted(ranked) and len(ranked) == len(placed)
+
+
+def test_best_lines(spark):
+    plain = [f"a plain line without a finding, long and of number {i} " + "x" * 60 for i in range(12)]
+    good = ["结论: the cache was stale, so the build failed", "- 建议先验证这个方案,然后再修复其余的问题部分。", "结论: the cache was stale, so the build failed"]
+    many = [f"结论: finding of number {i}, told in a line" for i in range(12)]
+    texts = {1: [*plain, *good], 2: plain, 3: ["", "", "  - 建议先验证这个方案,然后再修复其余的问题部分。"], 4: many, 5: [" ", ""], 6: ["short"]}
+    rows = spark.createDataFrame([(i, "\r\n".join(t)) for i, t in texts.items()] + [(7, None)], "doc_id long, text string")
+    got = sorted(map(tuple, docs.best_lines(lambda _: rows).collect()), key=str)
+    assert got == sorted([(1, 12), (1, 13), (2, None), (3, 2), *((4, i) for i in range(10)), (6, None)], key=str)

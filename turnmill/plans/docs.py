@@ -78,12 +78,19 @@ def knowledge_lines(read):
     d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, left(line, 80) ORDER BY length(line) DESC, place) AS n FROM k) WHERE n = 1)
     SELECT doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, place) AS r FROM d) WHERE r <= 10""")
 def best_lines(read):
-    """The longest lines stand in for the best ones: one per first 80 characters, ten per text."""
-    lines = read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    bare = lines.withColumn("line", F.regexp_replace("line", r"^[-*]\s+", "")).where(F.char_length("line") >= 8)
-    size = F.desc(F.char_length("line"))
-    once = first_of(bare.withColumn("head", F.substring("line", 1, 80)), ["doc_id", "head"], [size, "place"])
-    return top_of(once, ["doc_id"], [size, "place"], 10).select("doc_id", F.col("place").cast("long").alias("place"))
+    """Lines of a knowledge score above 0, best first: one per first 80 characters, ten per text.
+
+    A text without such a line stands as a whole for itself: a row with a null place.
+    """
+    text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
+    lead = F.size(F.split(F.regexp_extract(text, r"^\s*", 0), "\n")) - 1
+    whole = read("documents").select("doc_id", lead.alias("lead"), X.trimmed(text).alias("text")).where("text <> ''")
+    lines = whole.select("doc_id", "lead", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    bare = lines.select("doc_id", (F.col("pos") + F.col("lead")).cast("long").alias("place"), X.trimmed(F.regexp_replace("line", r"^[-*]\s+", "")).alias("line")).where(X.units(F.col("line")) >= 8)
+    scored = bare.withColumn("score", X.knowledge_score(F.col("line"))).where("score > 0")
+    once = first_of(scored.withColumn("head", F.substring("line", 1, 80)), ["doc_id", "head"], [F.desc("score"), "place"])
+    best = top_of(once, ["doc_id"], [F.desc("score"), "place"], 10).select("doc_id", "place")
+    return best.unionByName(whole.join(scored.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("place")))
 
 
 @query("x12_outcome_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents)
