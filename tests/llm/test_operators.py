@@ -6,13 +6,14 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnmill.llm import bpe, crf, exact_dedup, knn, lattice, licence_scan, lm_score, mixing, near_dedup, sharding, shingles, toxicity, url_filter
+from turnmill.llm import bpe, common, crf, exact_dedup, knn, lattice, licence_scan, lm_score, mixing, near_dedup, sharding, shingles, toxicity, url_filter
 from turnmill.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, size string, score string, shard string, id string, kept string"
@@ -374,6 +375,136 @@ def test_url_filter(spark):
     assert view(11)[:2] == ("b:", "//c/d") and view(12)[2] is None and view(13)[2] == "com/en/"
 
 
+def numpy_scores(labelled, urls, dimension):
+    """The same logistic regression by Newton's method in numpy, over n-grams counted and hashed in Python."""
+    from pyspark.ml.feature import HashingTF
+
+    tf = HashingTF(numFeatures=dimension)
+
+    def vector(url):
+        host, path = (url.split("://", 1)[1], "") if "://" in url else ("", "")
+        for i, c in enumerate(host):
+            if c in "/?#":
+                rest = host[i:]
+                host, path = host[:i], re.split("[?#]", rest)[0] if rest[0] == "/" else ""
+                break
+        out = np.zeros(dimension)
+        for text, mark in ((host.lower(), "h"), (path, "p")):
+            whole = f"^{text}$"
+            for n in (3, 4, 5):
+                for i in range(len(whole) - n + 1):
+                    out[tf.indexOf(mark + whole[i : i + n])] += 1
+        return out
+
+    x, y = np.array([[1.0, *vector(u)] for u, _ in labelled]), np.array([label for _, label in labelled])
+    used = np.flatnonzero(x.any(axis=0))
+    x, w, shrink = x[:, used], np.zeros(len(used)), np.where(used == 0, 0.0, 0.003 * len(y))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9), x.T @ (y - p) - shrink * w)
+    full = np.zeros(dimension + 1)
+    full[used] = w
+    return [1 / (1 + np.exp(-np.array([1.0, *vector(u)]) @ full)) for u in urls]
+
+
+def test_url_scores_against_numpy(spark):
+    labelled = url_filter.LABELLED_URLS[::7]
+    urls = ["https://www.therin.example.com/fr/8?x=1", "http://casino-win.example.org", "http://Spam.example.net/q#/a", "none", "a://b/c?d/e"]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in url_filter.filter_urls(table, labelled=labelled, dimension=512).collect()}
+    want = numpy_scores(labelled, urls, 512)
+    assert all(abs(got[i] - want[i]) < 0.02 for i in range(len(urls))), (got, want)
+
+
+def test_url_accuracy_on_hosts_held_out(spark):
+    """Every fourth name of either kind is kept out of the fit; nearly all urls of those names must be told right."""
+    apart = lambda names: (tuple(n for i, n in enumerate(names) if i % 4), tuple(n for i, n in enumerate(names) if i % 4 == 0))
+    (block, block_held), (allow, allow_held) = apart(url_filter.BLOCKED_NAMES), apart(url_filter.ALLOWED_NAMES)
+    held = url_filter.labelled_urls(block_held, allow_held)
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+    got = {r["page_id"]: r["score"] >= 0.5 for r in url_filter.filter_urls(table, labelled=url_filter.labelled_urls(block, allow)).collect()}
+    right = [got[i] == bool(label) for i, (_, label) in enumerate(held)]
+    assert sum(right) / len(right) > 0.9
+
+
+def test_shards_move_only_into_the_new_one(spark):
+    ids = spark.range(3000)
+    for n in (1, 2, 5, 6, 13, 22, 23, 24, 25):
+        moved = ids.select(sharding.shard_of(F.col("id"), n).alias("a"), sharding.shard_of(F.col("id"), n + 1).alias("b")).where("a <> b").groupBy("b").count().collect()
+        assert [r["b"] for r in moved] == [n] and 0.5 < moved[0]["count"] * (n + 1) / 3000 < 1.6
+    with pytest.raises(ValueError):
+        sharding.assign_shards(docs_of(spark, []), 0)
+
+
+def test_shard_draws_against_python(spark):
+    """The tree descended in plain Python, with the public 64-bit hash that Spark uses."""
+    import xxhash
+
+    def draw(doc_id, name):
+        h = 42
+        if doc_id is not None:
+            h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+        h = xxhash.xxh64_intdigest(int(doc_id is None).to_bytes(4, "little"), h)
+        h = xxhash.xxh64_intdigest(name.encode(), h)
+        return ((h >> 12) + 0.5) / 2**52
+
+    def leaf(doc_id, n):
+        regions = [("0", 12.0), ("1", 12.0)] + [(f"x{s}", 1.0) for s in range(24, n)]
+        region = min(regions, key=lambda c: (-math.log(draw(doc_id, f"shard/{c[0]}")) / c[1], c[0]))[0]
+        if region[0] == "x":
+            return int(region[1:])
+        rack = min(((f"{region}.{k}", 4.0) for k in range(3)), key=lambda c: -math.log(draw(doc_id, f"shard/{c[0]}")) / c[1])[0]
+        shard = min(range(4), key=lambda s: -math.log(draw(doc_id, f"shard/{rack}.{s}")))
+        return int(region) * 12 + int(rack[-1]) * 4 + shard
+
+    def place(doc_id, n):
+        at = leaf(doc_id, n)
+        return at if at < n else min(range(n), key=lambda s: draw(doc_id, f"redraw/{s}"))
+
+    rows = [(i, "t", "en", "s") for i in range(-5, 400)] + [(None, "t", "en", "s")]
+    for n in (24, 7, 30):
+        got = sharding.assign_shards(docs_of(spark, rows), n, buckets=8).collect()
+        assert all((r["shard"], r["grown_shard"]) == (place(r["doc_id"], n), place(r["doc_id"], n + 1)) for r in got)
+
+
+def test_licences_in_their_usual_layouts(spark):
+    texts = {k: v for v, k in licence_scan.SENTENCES.items()}
+    grant, notice, as_is = texts["mit-grant"], texts["mit-notice"], texts["mit-as-is"]
+    gpl = texts["gpl3-grant"]
+
+    def wrapped(text, indent, width=60):
+        lines, line = [], ""
+        for w in text.split():
+            if len(line) + len(w) > width:
+                lines.append(line)
+                line = ""
+            line += " " + w
+        return indent + ("\n" + indent).join([*lines, line])
+
+    docs = {
+        1: "Copyright 2020 X\n" + wrapped(grant, "") + ":\n\n" + wrapped(notice, "") + ".\n\n" + wrapped(as_is, "") + ".",
+        2: wrapped(gpl, "#" + " " * 60) + ".\n" + wrapped(texts["gpl-hope"], "#" + " " * 60) + ".",
+        3: "The grant\n" + wrapped(grant, "") + ":\nA heading\n" + notice + ".\n\n" + wrapped(as_is, "// ") + ".",
+        4: "/*\n" + wrapped(texts["isc-grant"], " * ") + ".\n *\n" + wrapped(texts["isc-as-is"], " * ") + ".\n*/",
+        5: wrapped(texts["mpl2-subject"], "// ") + ". " + "If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        6: wrapped(texts["lgpl21-grant"], "  ") + ". " + wrapped("This library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "") + ".",
+        7: "All rights reserved by nobody. Nearly all rights reserved.",
+        8: "Licensed | under the MIT license",
+    }
+    got = {r["doc_id"]: r for r in licence_scan.scan_licences(docs_of(spark, [(i, t, "en", "s") for i, t in docs.items()])).collect()}
+    assert [got[i]["licence"] for i in docs] == ["MIT", "GPL-3.0", "MIT", "ISC", "MPL-2.0", "LGPL-2.1", None, "MIT"]
+    assert got[1]["sentence_ids"] == got[3]["sentence_ids"] == "mit-grant,mit-notice,mit-as-is" and len(docs[2]) > 1500
+
+
+def test_dropped_copies_do_not_move_texts(spark, corpus, monkeypatch):
+    docs = docs_of(spark, [(i, t, *r) for i, (_, t, *r) in enumerate(corpus)])
+    few = exact_dedup.drop_copies(docs)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(exact_dedup, "without", lambda rows, key, gone: common.without(rows, key, gone, most=0))
+    many = exact_dedup.drop_copies(docs)
+    assert sorted(r["doc_id"] for r in few.collect()) == sorted(r["doc_id"] for r in many.collect())
+
+
 def test_licences(spark):
     full = next(k for k, v in licence_scan.SENTENCES.items() if v == "mit-grant").capitalize()
     notice, as_is = (next(k for k, v in licence_scan.SENTENCES.items() if v == w) for w in ("mit-notice", "mit-as-is"))

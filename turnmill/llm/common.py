@@ -49,12 +49,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it names none (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir.  Where it names none: a temporary one in local mode (tests), else an error,
+    since a folder of one machine would not be seen by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None and context._jsc.sc().getCheckpointDir().isDefined():
         folder = context._jsc.sc().getCheckpointDir().get()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="turnmill-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
@@ -67,6 +70,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of ``durable()`` tables that nothing reads any more."""
+    for df in tables:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """The rows whose ``key`` is not among the keys of ``gone``, a table of one column.  Up to ``most`` keys go to every task and
+    the rows, with their texts, stay where they are; more are joined by shuffle."""
+    keys = durable(gone.toDF("_turnmill_gone").distinct())
+    few = keys.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(keys) if few else keys, key == F.col("_turnmill_gone"), "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Texts of ASCII alone take Spark's byte-wise lower(), which then does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -82,14 +103,15 @@ def unit_draw(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def with_offsets(df: DataFrame, group: str, order: list[str], weight: Column, out: str, buckets: int = 512) -> DataFrame:
+def with_offsets(df: DataFrame, group: str, order: list[str], weight: Column, out: str, buckets: int | None = None) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over the rows of the same ``group`` that come before this one.
 
     A plain window over ``group`` would put a whole group into one task.  Rows are
-    dealt into ``buckets`` by a hash of the order columns instead; the bucket comes first in
-    the order, so a row's sum is the sum of all earlier buckets plus the sum inside its own.
-    Groups x buckets rows are the only thing that is summed per group.
+    dealt into ``buckets`` by a hash of the order columns instead (by default one for each 50,000 rows, 64 at least, so that a bucket doesn't
+    grow with the table); the bucket comes first in the order, so a row's sum is the sum of all earlier buckets plus
+    the sum inside its own.  Groups x buckets rows are the only thing that is summed per group.
     """
+    buckets = buckets or max(64, -(-df.count() // 50_000))
     dealt = df.withColumn("_w", weight.cast("long")).withColumn("_b", F.pmod(F.xxhash64(*order, F.lit("offset")), F.lit(buckets)).cast("int"))
     sums = dealt.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_gb")).agg(F.sum("_w").alias("_s"))
     before = Window.partitionBy("_g").orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import ascii_lower, durable
+from turnmill.llm.common import ascii_lower, durable, without
 
 MIN_CHUNK, MAX_CHUNK = 1024, 8192
+#: Up to so many clashing identifiers are sent to every task (8 bytes each); more are joined by shuffle.
+MANY_CLASHES = 1_000_000
 
 
 def chunk_pattern(shortest: int = MIN_CHUNK, longest: int = MAX_CHUNK) -> str:
@@ -53,11 +55,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_id never wins over a number; where all of a group are null, all are marked.  Other columns are ignored; an empty table gives no rows.
     """
     cut = durable(recipes(docs, id_col, text_col, shortest, longest))
-    clashing = chunk_store(cut).where("conflict").select(F.col("id").alias("_clash"))
-    # Durable, though almost always empty: the join below can then split a large group of copies.
-    touched = durable(cut.select("text_sha256", F.explode("chunks.id").alias("_id")).join(clashing, F.col("_id") == F.col("_clash"), "left_semi").select(F.col("text_sha256").alias("_sha")).distinct())
+    clashing = durable(chunk_store(cut).where("conflict").select(F.col("id").alias("_clash")))
+    # Some 10 ** -7 of such ids are to be expected among 10 ** 6 chunks, one in 10 ** 9: as a rule there is nothing to join, and a chunk
+    # that many documents share goes nowhere.
+    clashes = clashing.limit(MANY_CLASHES + 1).count()
+    if clashes:
+        named = F.broadcast(clashing) if clashes <= MANY_CLASHES else clashing
+        touched = durable(cut.select("text_sha256", F.explode("chunks.id").alias("_id")).join(named, F.col("_id") == F.col("_clash"), "left_semi").select(F.col("text_sha256").alias("_sha")).distinct())
+    else:
+        touched = None
     # Where an identifier isn't proven unique, the digests stand in for the recipe's identifiers.
-    listed = cut.join(touched, F.col("text_sha256") == F.col("_sha"), "left").select(
+    told = cut.withColumn("_sha", F.lit(None).cast("string")) if touched is None else cut.join(touched, F.col("text_sha256") == F.col("_sha"), "left")
+    listed = told.select(
         "doc_id",
         "text_sha256",
         F.col("chunks.id").alias("recipe"),
@@ -77,8 +86,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows of one doc_id with equal texts, one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_turnmill_id"), F.col("text_sha256").alias("_turnmill_sha")).distinct()
-    rows = docs.withColumn("_turnmill_own", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    held = rows.join(kept, (F.col("_turnmill_own") == F.col("_turnmill_sha")) & F.col(id_col).eqNullSafe(F.col("_turnmill_id")), "left_semi")
-    return held.dropDuplicates([id_col, "_turnmill_own"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; of rows of one doc_id with equal texts, one.
+
+    The recipes decide; texts only stay where they are or go.  A row is named by its doc_id and its text's digest.
+    Where rows of the same name occur (one doc_id on equal texts), texts are moved once, to keep one of each.
+    """
+    key = lambda doc_id, sha: F.concat(sha, F.lit("/"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    told = durable(exact_dedup(docs, id_col, text_col).select(key(F.col("doc_id"), F.col("text_sha256")).alias("name"), "kept"))
+    own = key(F.col(id_col), F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    left = without(docs.withColumn("_turnmill_name", own), F.col("_turnmill_name"), told.where("not kept").select("name"))
+    if not told.where("kept").groupBy("name").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["_turnmill_name"])
+    return left.select(*docs.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import durable, ship
+from turnmill.llm.common import durable, forget, ship, without
 from turnmill.llm.components import components
 from turnmill.llm.shingles import estimate, least_estimate, registers, shingle_set
 
@@ -222,6 +222,6 @@ def near_duplicates(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
 
 
 def drop_near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: one document of each group."""
-    kept = near_duplicates(docs, how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_turnmill_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_turnmill_kept"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that stay, with all their columns: one document of each group, and all without a doc_id."""
+    gone = near_duplicates(docs, how).where("not kept and doc_id is not null").select("doc_id")
+    return without(docs, F.col("doc_id").cast("long"), gone)
