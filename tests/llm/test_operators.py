@@ -105,6 +105,26 @@ def test_large_buckets_confirm_on_the_spot(spark, monkeypatch):
     assert got == label
 
 
+def test_unlike_members_of_a_large_bucket_send_no_texts(spark, monkeypatch):
+    """Texts that share a bucket but are far apart by their registers are ruled out without their texts."""
+    monkeypatch.setattr(near_dedup, "LARGE", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    how = near_dedup.Near(words=3, percent=85)
+    base = rng.integers(1, 1 << 16, 160, dtype=np.uint16)
+    rows = []
+    for i in range(30):  # one shared band, all other registers apart; 28 and 29 are alike
+        own = rng.integers(1, 1 << 16, 160, dtype=np.uint16) if i < 29 else last
+        own[:5] = base[:5]
+        last = own.copy()
+        rows.append((i, bytearray(own.tobytes()), 500))
+    sets = spark.createDataFrame(rows, "id long, registers binary, n_shingles long")
+    named = spark.createDataFrame([(1, 0, i, i) for i in range(30)], "bucket long, band int, id long, label long")
+    mixed = spark.createDataFrame([(1, 0, 30, 5)], "_bucket long, main long, total long, blocks long")
+    needs = near_dedup.needed(named, mixed, sets, how).collect()
+    assert {r["id"] for r in needs} == {28, 29} and len(needs) == 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_dedup.near_duplicates(none).count() == 0
@@ -222,16 +242,34 @@ def test_top_products(spark, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6) * (1 + i % 3)]) for i in range(600)] + [(i, [1.0] * 6) for i in range(600, 800)]
-    rows += [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (903, [1.0, 2.0]), (904, [float("inf")] * 6), (None, [1.0] * 6), (905, []), (7, rows[7][1])]
+    odd = [(910, [1.0, 2.0]), (920, [3.0] * 9), (940, []), (941, [5.0])]  # of other lengths: missing components count as 0
+    rows += odd
+    rows += [(900, None), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (902, [float("nan")] * 6), (904, [float("inf")] * 6), (None, [1.0] * 6), (7, rows[7][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit("x"))
     got = knn.top_products(table, F.col("vec_id") % 20 == 0, pivots=8).collect()
-    v = {i: np.floor(np.array(np.float32(x), np.float64) * 256).astype(np.int64) for i, x in rows[:800]}
+    v = {i: np.floor(np.array(np.float32([*x, *[0.0] * (9 - len(x))]), np.float64) * 256).astype(np.int64) for i, x in rows[:804]}
     for q in [i for i in v if i % 20 == 0]:
         best = sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:5]
         assert sorted((r["rank"], -r["score"], r["vec_id"]) for r in got if r["query_id"] == q) == [(k + 1, *b) for k, b in enumerate(best)]
     assert len(got) == 5 * len([i for i in v if i % 20 == 0])
 
 
+def test_few_vectors(spark):
+    table = spark.createDataFrame([(1, []), (2, []), (3, None)], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, knn.top_products(table, F.lit(True)).collect())) == [(1, 1, 2, 0), (2, 1, 1, 0)]
+
+
+def test_data_are_not_replicated(spark, monkeypatch):
+    """Twice the queries: the rows of data that move grow by no more than the blocks of queries that meet them."""
+    monkeypatch.setattr(knn, "DATA_BLOCK", 100)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + 30 * (i % 4)]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for step in (20, 10):
+        asked, data = knn.dealt(table, F.col("vec_id") % step == 0, 5, "vec_id", "embedding", 256, 8)[:2]
+        assert data.count() == len(rows) and asked.count() < 2000 / step * 25
+
+
 def test_groups_out_of_reach_are_not_visited(spark):
     rows = [(i, [100.0 + i % 7, 1.0]) for i in range(200)] + [(1000 + i, [-100.0 - i % 7, 1.0]) for i in range(200)]
     got = knn.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, pivots=4)
@@ -398,10 +436,11 @@ def numpy_scores(labelled, urls, dimension):
 
     x, y = np.array([[1.0, *vector(u)] for u, _ in labelled]), np.array([label for _, label in labelled])
     used = np.flatnonzero(x.any(axis=0))
+    share = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum())
     x, w, shrink = x[:, used], np.zeros(len(used)), np.where(used == 0, 0.0, 0.003 * len(y))
     for _ in range(60):
         p = 1 / (1 + np.exp(-x @ w))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9), x.T @ (y - p) - shrink * w)
+        w += np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(shrink + 1e-9), x.T @ (share * (y - p)) - shrink * w)
     full = np.zeros(dimension + 1)
     full[used] = w
     return [1 / (1 + np.exp(-np.array([1.0, *vector(u)]) @ full)) for u in urls]
@@ -417,14 +456,15 @@ def test_url_scores_against_numpy(spark):
 
 
 def test_url_accuracy_on_hosts_held_out(spark):
-    """Every fourth name of either kind is kept out of the fit; nearly all urls of those names must be told right."""
+    """Every fourth name of either kind is kept out of the fit; most of its urls must be told right, and nearly all that are to be allowed."""
     apart = lambda names: (tuple(n for i, n in enumerate(names) if i % 4), tuple(n for i, n in enumerate(names) if i % 4 == 0))
     (block, block_held), (allow, allow_held) = apart(url_filter.BLOCKED_NAMES), apart(url_filter.ALLOWED_NAMES)
     held = url_filter.labelled_urls(block_held, allow_held)
     table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
     got = {r["page_id"]: r["score"] >= 0.5 for r in url_filter.filter_urls(table, labelled=url_filter.labelled_urls(block, allow)).collect()}
     right = [got[i] == bool(label) for i, (_, label) in enumerate(held)]
-    assert sum(right) / len(right) > 0.9
+    allowed = [ok for ok, (_, label) in zip(right, held, strict=True) if not label]
+    assert sum(right) / len(right) >= 0.85 and sum(allowed) / len(allowed) > 0.95
 
 
 def test_shards_move_only_into_the_new_one(spark):
@@ -483,7 +523,7 @@ def test_licences_in_their_usual_layouts(spark):
 
     docs = {
         1: "Copyright 2020 X\n" + wrapped(grant, "") + ":\n\n" + wrapped(notice, "") + ".\n\n" + wrapped(as_is, "") + ".",
-        2: wrapped(gpl, "#" + " " * 60) + ".\n" + wrapped(texts["gpl-hope"], "#" + " " * 60) + ".",
+        2: wrapped(gpl, "#" + " " * 60, 12) + ".\n" + wrapped(texts["gpl-hope"], "#" + " " * 60) + ".",
         3: "The grant\n" + wrapped(grant, "") + ":\nA heading\n" + notice + ".\n\n" + wrapped(as_is, "// ") + ".",
         4: "/*\n" + wrapped(texts["isc-grant"], " * ") + ".\n *\n" + wrapped(texts["isc-as-is"], " * ") + ".\n*/",
         5: wrapped(texts["mpl2-subject"], "// ") + ". " + "If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",

@@ -158,7 +158,8 @@ BREAK = r"[.!?:;]+([ \t\r\f\n]|\z)|[\r\n]"
 def stream(text: Column) -> Column:
     """The lower-cased text as words and marks, single blanks between them: ``| words of a line | more words |``."""
     marked = F.regexp_replace(F.replace(text, F.lit("|"), F.lit(" ")), BREAK, "|")
-    return F.concat(F.lit("| "), F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9|]+", " "), r" ?\|[ |]*", " | "), F.lit(" |"))
+    words = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9|]+", " "), r" ?\|[ |]*", " | ")
+    return F.concat(F.lit("| "), F.ltrim(words), F.lit(" |"))
 
 
 def known_sentences(words: Column, sentences: dict[str, str] = SENTENCES) -> Column:

@@ -27,7 +27,7 @@ from turnmill.llm.components import components
 from turnmill.llm.shingles import estimate, least_estimate, registers, shingle_set
 
 #: Pairs that one document leads per task; members per block of a bucket; from how many members on a bucket counts as large.
-SPREAD, BLOCK, LARGE = 32, 500, 64
+SPREAD, BLOCK, LARGE = 32, 1000, 64
 
 
 @dataclass(frozen=True)
@@ -134,66 +134,126 @@ def mixed_buckets(crowded: DataFrame, labels: DataFrame) -> tuple[DataFrame, Dat
     return named, durable(mixed.select(F.col("bucket").alias("_bucket"), "main", "total", F.ceil(F.col("total") / BLOCK).cast("long").alias("blocks")))
 
 
-def across(named: DataFrame, mixed: DataFrame, sets: DataFrame, how: Near, texts: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of different components that share one of the ``mixed`` buckets.
+def dealt_members(named: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The members of the ``mixed`` buckets dealt into blocks: bucket, band, id, label, minor, block, probe.
 
-    Members of a bucket's most frequent component only wait to be compared; the others are also sent, as
-    probes, to each block of their bucket.  Without ``texts`` the result is every likely pair, once.  With them,
-    pairs are confirmed on the spot and only those reported that join two components not yet joined within the block:
-    at most one for each component there, however many pairs a large bucket has.
+    Members of a bucket's most frequent component only wait to be compared (probe 0); the others also go, as probes, to each block.
     """
-    known = sets.select(F.col("id").alias("_id"), "registers", "n_shingles")
-    rows = named.join(mixed, F.col("bucket") == F.col("_bucket")).join(known, F.col("id") == F.col("_id")).drop("_id")
-    rows = rows.withColumn("text", F.lit("")) if texts is None else rows.join(texts.select(F.col("doc_id").alias("_id"), "text"), F.col("id") == F.col("_id"))
-    columns = ["bucket", "band", "id", "label", "minor", "registers", "n_shingles", "text"]
-    rows = rows.withColumn("minor", F.col("label") != F.col("main"))
+    rows = named.join(mixed, F.col("bucket") == F.col("_bucket")).withColumn("minor", F.col("label") != F.col("main"))
+    columns = ["bucket", "band", "id", "label", "minor"]
     stays = rows.select(*columns, F.pmod(F.xxhash64("id", "bucket"), "blocks").alias("block"), F.lit(0).alias("probe"))
-    probes = rows.where("minor").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe"))
-    sent = stays.unionByName(probes).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
-    confirm = texts is not None
+    return stays.unionByName(rows.where("minor").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe")))
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """``dealt_members()`` with their registers, and texts where given, each block in one piece, those that wait first."""
+    rows = members.join(sets.select(F.col("id").alias("_id"), "registers", "n_shingles"), F.col("id") == F.col("_id")).drop("_id")
+    rows = rows.withColumn("text", F.lit("")) if texts is None else rows.join(texts.select(F.col("doc_id").alias("_id"), "text"), F.col("id") == F.col("_id")).drop("_id")
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "probe")
+
+
+class Block:
+    """Members of one block of a bucket, and which of them a probe may be linked with by its registers."""
+
+    def __init__(self, how: Near):
+        self.how, self.held, self.matrix, self.root = how, [], None, {}
+
+    def top(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def partners(self, row: int, band: int, label: int, minor: bool, registers_: np.ndarray, n: int) -> Iterator[int]:
+        """Places of the members that share this band with the probe and none before it (a pair is looked at in the first band
+        that it shares, once), are not of its component, and are not ruled out by the estimate."""
+        if self.matrix is None:
+            self.matrix = np.stack([h[4] for h in self.held]) if self.held else np.empty((0, self.how.n_registers), np.uint16)
+        width, same = self.how.per_band, self.matrix == registers_
+        earlier = same[:, : band * width].reshape(len(self.held), band, width).all(axis=2).any(axis=1)
+        for i in np.flatnonzero(~earlier & same[:, band * width : (band + 1) * width].all(axis=1)):
+            other, its_label, its_minor, m, its_registers, _ = self.held[i]
+            if its_label != label and not (its_minor and other > row) and self.top(label) != self.top(its_label) and not ruled_out(registers_, its_registers, n, m, self.how):
+                yield i
+
+
+COLUMNS = ["bucket", "block", "probe", "band", "id", "label", "minor", "registers", "n_shingles", "text"]
+
+
+def walk(batches: Iterator[pd.DataFrame], how: Near, met, of_text) -> Iterator[list]:
+    """Go through blocks as ``in_blocks()`` deals them; ``met(block, row, place of its partner)`` gives what a likely pair adds to the output, or None."""
+    at, block = None, Block(how)
+    for batch in batches:
+        found = []
+        for bucket, part, probe, band, row, label, minor, regs, n, text in zip(*(batch[c] for c in COLUMNS), strict=True):
+            if (bucket, part) != at:
+                at, block = (bucket, part), Block(how)
+            own, extra = np.frombuffer(regs, np.uint16), of_text(text)
+            if not probe:
+                block.held.append((row, label, minor, n, own, extra))
+                continue
+            for i in block.partners(row, band, label, minor, own, n):
+                found += met((bucket, part, band), block, (row, label, minor, extra), i)
+        yield found
+
+
+def across(named: DataFrame, mixed: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """Every likely pair (a, b) of different components that share one of the ``mixed`` (small) buckets, once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, matrix, root = None, [], None, {}
+        pair = lambda _, block, probe, i: [(min(probe[0], block.held[i][0]), max(probe[0], block.held[i][0]))]
+        for found in walk(batches, how, pair, lambda text: None):
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-        def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
+    return in_blocks(dealt_members(named, mixed), sets, None).mapInPandas(run, "a bigint, b bigint")
 
-        for batch in batches:
-            found = []
-            for bucket, block, probe, band, row, label, minor, regs, n, text in zip(*(batch[c] for c in ("bucket", "block", "probe", "band", "id", "label", "minor", "registers", "n_shingles", "text")), strict=True):
-                if (bucket, block) != at:
-                    at, held, matrix, root = (bucket, block), [], None, {}
-                own, words = np.frombuffer(regs, np.uint16), shingle_set(text, how.words) if confirm else None
-                if not probe:
-                    held.append((row, label, minor, n, own, words))
-                    continue
-                if matrix is None:
-                    matrix = np.stack([h[4] for h in held]) if held else np.empty((0, how.n_registers), np.uint16)
-                same = matrix == own
-                # A pair is looked at in the first band that it shares, once.
-                earlier = same[:, : band * how.per_band].reshape(len(held), band, how.per_band).all(axis=2).any(axis=1)
-                for i in np.flatnonzero(~earlier & same[:, band * how.per_band : (band + 1) * how.per_band].all(axis=1)):
-                    other, its_label, its_minor, m, its_regs, its_words = held[i]
-                    if its_label == label or (its_minor and other > row) or top(label) == top(its_label) or ruled_out(own, its_regs, n, m, how):
-                        continue
-                    if not confirm:
-                        found.append((min(row, other), max(row, other)))
-                    elif linked(words, its_words, how):
-                        root[top(label)] = top(its_label)
-                        found.append((min(row, other), max(row, other)))
+
+def needed(named: DataFrame, mixed: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """Of the members of ``mixed`` (large) buckets, dealt into blocks: those that have a likely partner in their block, by registers
+    alone.  At most one row for each member and block, however many pairs there are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def both(place, block, probe, i):
+            bucket, part, band = place
+            row, label, minor, _ = probe
+            other, its_label, its_minor, *_ = block.held[i]
+            new = [(bucket, band, row, label, minor, part, 1), (bucket, band, other, its_label, its_minor, part, 0)]
+            return [x for x in new if x not in told and not told.add(x)]
+
+        told: set = set()
+        for found in walk(batches, how, both, lambda text: None):
+            if len(told) > 200_000:
+                told.clear()
+            yield pd.DataFrame(found, columns=["bucket", "band", "id", "label", "minor", "block", "probe"])
+
+    return in_blocks(dealt_members(named, mixed), sets, None).mapInPandas(run, "bucket bigint, band int, id bigint, label bigint, minor boolean, block bigint, probe int").distinct()
+
+
+def linked_in_blocks(members: DataFrame, sets: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
+    """Links (a, b) among ``needed()`` members, confirmed on the spot.  Only those are reported that join two components not yet joined
+    within the block: at most one for each component there, however many pairs a large bucket has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def confirm(_, block, probe, i):
+            row, label, _, words = probe
+            other, its_label, *_, its_words = block.held[i]
+            if block.top(label) == block.top(its_label) or not linked(words, its_words, how):
+                return []
+            block.root[block.top(label)] = block.top(its_label)
+            return [(min(row, other), max(row, other))]
+
+        for found in walk(batches, how, confirm, lambda text: shingle_set(text, how.words)):
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return sent.mapInPandas(run, "a bigint, b bigint")
+    return in_blocks(members, sets, texts).mapInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable, itself included), kept.
 
     Documents are linked when their sets of ``how.words``-word shingles (A-Z lower-cased, words split at ASCII white
-    space; a shorter text is one shingle) have at least ``how.percent`` hundredths in common.  Texts without words are linked with
-    nothing.  Rows of one doc_id are one node; a null doc_id is linked with nothing, has a null component and is kept.
+    space; a shorter text is one shingle) have at least ``how.percent`` hundredths in common; exactly so many are enough.  Texts without words are
+    linked with nothing.  Rows of one doc_id are one node; a null doc_id is linked with nothing, has a null component and is kept.
+    Texts of any length are read whole; other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = durable(sketches(texts, how))
@@ -209,13 +269,16 @@ def near_duplicates(docs: DataFrame, how: Near = Near(), id_col: str = "doc_id",
     more = durable(across(named, mixed.where(F.col("total") <= LARGE), sets, how))
     links = links.union(durable(confirmed(more, texts, how))) if not more.isEmpty() else links
     large = mixed.where(F.col("total") > LARGE)
-    links = links.union(durable(across(named, large, sets, how, texts))) if not large.isEmpty() else links
+    if not large.isEmpty():
+        # By registers first: only members with a likely partner are sent on, with their texts, to the blocks where they have one.
+        links = links.union(durable(linked_in_blocks(durable(needed(named, large, sets, how)), sets, texts, how)))
     # Rows of one doc_id with different texts are the same node: each such row names its own set's least id.
     several = cut.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("digest").alias("k")).where("k > 1").select(F.col("doc_id").alias("_d"))
     own = cut.where("n_shingles > 0 and doc_id is not null")
     repeats = own.join(several, F.col("doc_id") == F.col("_d")).join(sets.select(F.col("digest").alias("_g"), "id"), F.col("digest") == F.col("_g")).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     named = components(links.union(repeats))
     reached = durable(sets.join(named.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("_component")))
+    forget(crowded, texts, stars)
     out = cut.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(reached, F.col("digest") == F.col("_digest"), "left")
     component = F.least(F.coalesce("_component", "doc_id"), "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

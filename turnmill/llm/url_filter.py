@@ -21,7 +21,10 @@ BLOCKED_NAMES = (
     "spam-site", "spam-mails", "bulk-spam", "spam-links", "discount-pills", "cheap-meds", "pills-online", "buy-pills", "pills-shop",
     "cheap-watches", "casino-gold", "casino-royal", "best-casino", "casino-spins", "casino-bonus", "win-big", "win-cash", "bets-today", "sport-bets",
     "free-money", "free-cash", "free-gifts", "free-iphone", "bets-live", "best-bets", "ads-network", "ads-serve", "click-ads", "track-clicks", "pop-ads",
-    "adult-videos", "adult-cams", "xxx-adult", "adult-chat", "win-prizes", "lottery-win", "payday-loans", "quick-loans", "crypto-double", "replica-bags",
+    "adult-videos", "adult-cams", "xxx-adult", "adult-chat", "win-prizes", "lottery-win", "payday-loans", "quick-loans", "crypto-double", "replica-bags", "spam-king", "junk-mails", "mass-mails", "spam-bots",
+    "gamble-now", "gamble-gold", "poker-gold", "poker-bonus", "slots-bonus", "slots-spins", "free-slots", "casino-slots", "bonus-bets", "lottery-cash",
+    "cheap-viagra", "buy-viagra", "pills-cheap", "fake-meds", "click-bait", "banner-ads", "ads-banner", "sex-cams", "sex-videos", "win-iphone",
+    "cash-prizes", "loans-cash", "fake-watches", "replica-watches", "bitcoin-double",
 )
 ALLOWED_NAMES = (
     "weather", "newsday", "library", "openmaps", "healthcare", "gardening", "history", "mathematics", "cooking", "museum", "university", "science", "travel",
@@ -106,10 +109,12 @@ def hashed(parts: DataFrame, dimension: int) -> DataFrame:
 
 
 def fit(spark: SparkSession, labelled: tuple[tuple[str, float], ...] = LABELLED_URLS, dimension: int = 8192) -> LogisticRegressionModel:
-    """``labelled`` is a small table by contract; one partition makes the fit reproducible."""
-    rows = spark.createDataFrame(list(labelled), "url string, label double").coalesce(1)
-    train = hashed(rows.select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), dimension)
-    return LogisticRegression(regParam=0.003, maxIter=60, standardization=False, probabilityCol="chance").fit(train)
+    """``labelled`` is a small table by contract; one partition makes the fit reproducible.  Both classes weigh alike."""
+    bad = sum(label for _, label in labelled)
+    share = {1.0: len(labelled) / 2 / max(bad, 1), 0.0: len(labelled) / 2 / max(len(labelled) - bad, 1)}
+    rows = spark.createDataFrame([(url, label, share[label]) for url, label in labelled], "url string, label double, weight double").coalesce(1)
+    train = hashed(rows.select("label", "weight", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), dimension)
+    return LogisticRegression(regParam=0.003, maxIter=60, standardization=False, probabilityCol="chance", weightCol="weight").fit(train)
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: tuple[tuple[str, float], ...] = LABELLED_URLS, dimension: int = 8192, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
