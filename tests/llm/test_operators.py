@@ -228,8 +228,63 @@ def test_mixing(spark, corpus):
     assert whole.count() == sum(r["copies"] for r in mixing.mix(docs_of(spark, rows[:4000])).collect())
 
 
-def test_shares_and_flow():
-    assert mixing.fill({"a": 10, "b": 100}, {"a": 5, "b": 2}, 165, 2) == {"a": 20, "b": 145}
+def brute_mix(rows, weights=(5, 2, 1), share=1.5, repeats=2, seed=7):
+    """doc_id -> taken, in plain Python: targets by filling, documents in the order of the seeded hash dealt to the same buckets."""
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    long = lambda x, h: xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), h)
+    size, per = {i: len(lower(t).split()) for i, t, *_ in rows}, {}
+    for i, _, _, s in rows:
+        per[s] = per.get(s, 0) + size[i]
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, total = {}, share * sum(per.values())
+    while True:
+        free = [s for s in per if s not in full]
+        over = {s: repeats * per[s] for s in free if (total - sum(full.values())) * weight[s] / sum(weight[x] for x in free) > repeats * per[s]}
+        if not over:
+            break
+        full |= over
+    target = full | {s: (total - sum(full.values())) * weight[s] / sum(weight[x] for x in free) for s in free}
+    taken = {}
+    for s in per:
+        def place(i):
+            draw = signed(long(i, xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)))
+            h = long(size[i], long(i, long(draw, 42)))
+            return signed(xxhash.xxh64_intdigest(b"offset", h)) % 64, draw, i, size[i]
+
+        start = 0
+        for i in sorted((i for i, *_, own in rows if own == s), key=place):
+            taken[i] = size[i] * sum(use * per[s] + start + size[i] / 2 <= round(target[s]) for use in range(repeats))
+            start += size[i]
+    return taken, target
+
+
+def test_mix_against_python(spark, monkeypatch):
+    rows = [(i, "w " * (i * 7 % 23), "en", ["a", "b", None, "z", "c"][i * i % 5]) for i in range(900)]
+    taken, target = brute_mix(rows)
+    for most in (20_000, 2):  # by the flow, and with more patterns than it may take
+        monkeypatch.setattr(mixing, "FLOW_PATTERNS", most)
+        got = mixing.mix(docs_of(spark, rows)).collect()
+        assert {r["doc_id"]: r["taken"] for r in got} == taken
+        assert all(math.isclose(r["target"], target[r["source"]]) for r in got)
+
+
+def test_overlapping_sources(spark, monkeypatch):
+    rows = [(i, "w " * 10, "en", "ab"[i % 2] if i < 200 else "cd"[i % 2]) for i in range(400)]
+    members = F.when(F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") < 200, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array("source"))).otherwise(F.array("source"))
+    whole = sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs_of(spark, rows), members).collect())
+    monkeypatch.setattr(mixing, "FLOW_PATTERNS", 4)  # c and d share no document with another source: solved apart, to the same end
+    assert sorted((r["doc_id"], r["copies"]) for r in mixing.mix(docs_of(spark, rows), members).collect()) == whole
+    monkeypatch.setattr(mixing, "FLOW_PATTERNS", 2)
+    with pytest.raises(ValueError, match="membership patterns"):
+        mixing.mix(docs_of(spark, rows), members)
+
+
+def test_shares_and_flow(spark):
+    level = mixing.water_level(spark.createDataFrame([(10, 5.0), (100, 2.0)], "size long, weight double"), 165, 2)
+    assert min(5 * level, 20) == 20 and math.isclose(2 * level, 145)
     # A document of both sources can serve either; the flow sends it where it is wanted and repeats as little as it can.
     gives = mixing.route({("a",): 10, ("b",): 10, ("a", "b"): 10}, {"a": 20, "b": 10}, 2)
     assert gives == {("a",): 10, ("b",): 10, ("a", "b"): 10}
