@@ -392,6 +392,62 @@ def test_lm_scores(spark, corpus):
     assert {r["train_tokens"] for r in got} == {n} and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_lm_score_against_all_segmentations(spark):
+    """``score`` by plain recursion: all units in one distribution, summed over every way to cut the whole document."""
+    texts = ["the cat sat on the mat", "the dog", "Cat DOG qzx", "", None, "the the the", "naïve 漢 cat", "unseen wörds here the"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(5, "the the the", "en", "s")]
+    got = lm_score.score_texts(docs_of(spark, rows), F.col("doc_id") < 6, head=3).collect()
+    pieces, scores = lm_score.read_pieces()
+    first = lattice.rank_weights(scores)
+    piece_at = {p: i for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces))
+
+    def arcs(word):
+        """(from, to, unit, times) of all pieces and bytes of one word; the last unit is a byte."""
+        text = "▁" + word
+        out = [(i, j, piece_at[text[i:j]], 1) for i in range(len(text)) for j in range(i + 1, min(len(text), i + longest) + 1) if text[i:j] in piece_at]
+        return len(text), out + [(i, i + 1, len(pieces), len(c.encode())) for i, c in enumerate(text) if c not in piece_at]
+
+    def forward(n, arcs, weight):
+        at = [1.0] + [0.0] * n
+        for i, j, unit, times in sorted(arcs):
+            at[j] += at[i] * math.exp(weight[unit] * times)
+        return at
+
+    counts, ends = {}, sum(i < 6 for i, *_ in rows)
+    for i, t, *_ in rows:
+        for w in lower(t).decode().split() if i < 6 else []:
+            counts[w] = counts.get(w, 0) + 1
+    cut, uses = lm_score.DISCOUNT, np.zeros(len(pieces) + 1)
+    for w in counts:
+        n, every = arcs(w)
+        there = forward(n, every, first)
+        back = forward(n, [(n - j, n - i, u, k) for i, j, u, k in every], first)
+        for i, j, u, k in every:
+            uses[u] += k * there[i] * math.exp(first[u] * k) * back[n - j] / there[n]
+    mass = cut * uses + lm_score.EVERY_PIECE
+    whole = mass.sum() + sum(c - cut for c in counts.values()) + ends + 1
+    weight = np.log(mass / whole)
+    weight[-1] -= math.log(256)
+    assert math.isclose(np.exp(weight[:-1]).sum() + 256 * math.exp(weight[-1]) + sum(c - cut for c in counts.values()) / whole + (ends + 1) / whole, 1)
+    for r in got:
+        words = lower(dict((i, t) for i, t, *_ in rows)[r["doc_id"]]).decode().split()
+        # The document's whole lattice, word behind word, with an arc over each known word.
+        size, every = 0, []
+        for w in words:
+            n, own = arcs(w)
+            every += [(size + i, size + j, math.exp(weight[u] * k)) for i, j, u, k in own] + ([(size, size + n, (counts[w] - cut) / whole)] if w in counts else [])
+            size += n
+        at = [1.0] + [0.0] * size
+        for i, j, p in sorted(every):
+            at[j] += at[i] * p
+        assert math.isclose(r["score"], math.log10(at[size] * (ends + 1) / whole), rel_tol=1e-9), words
+    known = {w: math.log((c - cut) / whole) for w, c in counts.items()}
+    own = lattice.log_probability(["cat", "qzx", "the"], lattice.Lattice(pieces), weight, known, 0.0)
+    assert math.isclose(own, sum(lattice.log_probability([w], lattice.Lattice(pieces), weight, known, 0.0) for w in ("cat", "qzx", "the")))
+    assert len(got) == len(rows)
+
+
 def test_lattice_sums_all_cuts():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
     lat = lattice.Lattice(pieces)

@@ -98,6 +98,18 @@ class Lattice:
         return total
 
 
+def log_probability(words: list[str], pieces: Lattice, weights: np.ndarray, arcs: dict[str, float], end: float) -> float:
+    """Natural log of a document's marginal probability: the forward recursion over its whole lattice, the end included.
+
+    Units are pieces, bytes and whole words (``arcs``: log weights).  Every unit lies within a word, so the recursion's value at each
+    word's end is the only way on, and the sum over all cuts of the document is the product over its words.
+    """
+    at = end
+    for word, spelled in zip(words, pieces.log_marginals(words, weights), strict=True):
+        at += np.logaddexp(spelled, arcs.get(word, -np.inf))
+    return float(at)
+
+
 def rank_weights(scores: Iterable[float], byte_share: float = 1e-3) -> np.ndarray:
     """Log weights from a vocabulary whose scores are negated ranks: inverse to the rank, with a share for spelling in bytes."""
     mass = 1 / (100 - np.array(list(scores), float))

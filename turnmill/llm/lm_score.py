@@ -1,9 +1,10 @@
-"""Language-model scores of whole texts: a subword lattice over an existing piece vocabulary, learned from the corpus.
+"""Language-model scores of whole texts: a subword lattice over an existing piece vocabulary.
 
-A word's probability sums over all its segmentations into pieces of the vocabulary.  The vocabulary's scores
-give the first weights; one step of expectation maximisation over all distinct training words gives those in use.
-On top of the pieces the lattice has an arc for each whole training word, weighed by its count.  Word counts are kept per class of training
-document (its language), and a text's probability is the mixture over classes; the class of a scored text is not read.
+The lattice's units are the pieces of the vocabulary, single bytes, the words seen in training, and one end.  All of them share one
+distribution.  It is the outcome of one step of expectation maximisation over the training words: of a word's count, DISCOUNT goes to its cuts into
+pieces, each by its weight under the vocabulary's own scores, the rest to the word as one unit; the training documents' ends count for the end.  A document's
+probability is the sum over all its segmentations into units, by forward recursion in log space.  Texts alone are read: no column tells a
+text's language or kind.
 
 Counts of all words meet by shuffle.  HEAD words of highest count, a fixed number whatever the input's size, are sent to every task;
 the other words of each document are joined by shuffle, and none of them is frequent, so no key is hot.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,10 @@ from turnmill.llm.common import durable, ship
 from turnmill.llm.lattice import Lattice, rank_weights
 
 VOCABULARY = "piece_bpe_32k.model"
-HEAD, CLASSES, HELD_WORDS = 250_000, 6, 300_000
+#: Words that every task holds; words that a task holds before it hands on their counts.
+HEAD, HELD_WORDS = 250_000, 300_000
+#: Of a training word's count, what its cuts into pieces get; what each piece and the end get besides.
+DISCOUNT, EVERY_PIECE, EVERY_END = 0.75, 0.01, 1.0
 
 
 def read_pieces(path: str | None = None) -> tuple[list[str], list[float]]:
@@ -41,28 +44,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(docs: DataFrame, n_classes: int) -> DataFrame:
-    """word, c0 ... of training documents by class, other: of the rest.  ``docs``: text, class (null: not a training document)."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, n: its count in training documents, other: in the rest.  ``docs``: text, train."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: list[Counter] = [Counter() for _ in range(n_classes + 1)]
+        seen: list[Counter] = [Counter(), Counter()]
 
         def told() -> pd.DataFrame:
-            out = pd.concat([pd.DataFrame({"word": list(c), "class": k, "n": list(c.values())}) for k, c in enumerate(seen)])
+            out = pd.concat([pd.DataFrame({"word": list(c), "train": k == 0, "n": list(c.values())}) for k, c in enumerate(seen)])
             for c in seen:
                 c.clear()
-            return out.astype({"class": "int32", "n": "int64"})
+            return out.astype({"train": "bool", "n": "int64"})
 
         for batch in batches:
-            for text, kind in zip(batch["text"], batch["class"], strict=True):
-                seen[n_classes if pd.isna(kind) else int(kind)].update(words_of(text))
+            for text, train in zip(batch["text"], batch["train"], strict=True):
+                seen[0 if train else 1].update(words_of(text))
                 if sum(map(len, seen)) > HELD_WORDS:
                     yield told()
         yield told()
 
-    each = docs.select("text", "class").mapInPandas(run, "word binary, class int, n long")
-    sums = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}" if k < n_classes else "other") for k in range(n_classes + 1)]
-    return each.groupBy("word").agg(*sums)
+    each = docs.select("text", "train").mapInPandas(run, "word binary, train boolean, n long")
+    return each.groupBy("word").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("train"), 0).otherwise(F.col("n"))).alias("other"))
 
 
 def in_chunks(batches: Iterator[pd.DataFrame], rows: int = 60_000) -> Iterator[pd.DataFrame]:
@@ -77,9 +79,8 @@ def in_chunks(batches: Iterator[pd.DataFrame], rows: int = 60_000) -> Iterator[p
         yield pd.concat(held)
 
 
-def learn_pieces(words: DataFrame, pieces: list[str], scores: list[float]) -> np.ndarray:
-    """Log weights of the pieces after one step of expectation maximisation over the distinct training words."""
-    first = rank_weights(scores)
+def piece_uses(words: DataFrame, pieces: list[str], first: np.ndarray) -> np.ndarray:
+    """How often each piece (and, last, a byte) is used in the cuts of the distinct training words, each cut by its weight under ``first``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice, total = Lattice(pieces), np.zeros(len(pieces) + 1)
@@ -89,12 +90,26 @@ def learn_pieces(words: DataFrame, pieces: list[str], scores: list[float]) -> np
         yield pd.DataFrame({"piece": used.astype("int32"), "uses": total[used]})
 
     uses = np.zeros(len(pieces) + 1)
+    # One row for each piece of the vocabulary at most.
     for r in words.mapInPandas(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
         uses[r["piece"]] = r["uses"]
-    uses += 0.01
-    mass = uses / uses.sum()
-    mass[-1] /= 256
-    return np.log(mass)
+    return uses
+
+
+def unit_weights(uses: np.ndarray, n_words: int, n_distinct: int, n_ends: int, first: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Log weights of pieces and of one byte, that of the end, and the sum of all units' expected counts.
+
+    Without training words the pieces weigh what the vocabulary says, together as much as the end.
+    """
+    if n_distinct:
+        counts = DISCOUNT * uses + EVERY_PIECE
+    else:
+        counts = np.exp(first)
+        counts[-1] *= 256
+    total = float(counts.sum()) + n_words - DISCOUNT * n_distinct + n_ends + EVERY_END
+    each = counts / total
+    each[-1] /= 256
+    return np.log(each), float(np.log((n_ends + EVERY_END) / total)), total
 
 
 def least_uses(rated: DataFrame, head: int) -> int:
@@ -108,55 +123,40 @@ def least_uses(rated: DataFrame, head: int) -> int:
     return least
 
 
-def score_texts(docs: DataFrame, is_training: Column, class_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, head: int = HEAD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are a text's words, A-Z lower-cased, and one end; a null text is empty and has the end alone.  Scores are log10
-    probabilities of whole texts; base_score is that of single words with half a count added.  Without training rows nothing is known:
-    the counts are 0, and pieces weigh what the vocabulary says.  Repeated rows are counted and scored as often as they
-    occur.  A null class is a class like any other; the classes beyond the most frequent are taken together.
+    probabilities of whole texts of any length; base_score is that of single words with half a count added.  Without training rows nothing is
+    known: the counts are 0, and pieces weigh what the vocabulary says.  Repeated rows are counted and scored as often as they
+    occur; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     pieces, scores = read_pieces(path)
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"), F.coalesce(F.col(class_col), F.lit("")).alias("kind"), F.monotonically_increasing_id().alias("row"))
-    kinds = [r["kind"] for r in named.where("train").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(CLASSES - 1).collect()]
-    of_kind = reduce(lambda out, k: out.when(F.col("kind") == k[1], k[0]), enumerate(kinds), F.when(F.lit(False), 0)).otherwise(len(kinds))
-    n = len(kinds) + 1
-    classed = named.withColumn("class", F.when(F.col("train"), of_kind).cast("int"))
-    ends = {r["class"]: r["count"] for r in classed.where("train").groupBy("class").count().collect()}
-    words = durable(count_words(classed, n))
-    known = sum((F.col(f"c{k}") for k in range(1, n)), F.col("c0"))
-    facts = words.agg(
-        *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in range(n)], *[F.count_if(F.col(f"c{k}") == 1).alias(f"once{k}") for k in range(n)], F.count_if(known > 0).alias("distinct")
-    ).first()
-    end_count = sum(ends.values())
-    by_class = [facts[f"n{k}"] + ends.get(k, 0) for k in range(n)]
-    total = sum(by_class)
-    vocabulary = facts["distinct"] + (1 if end_count else 0)
+    first = rank_weights(scores)
+    id_ = F.col(id_col).cast("long")
+    # A row is named by its id and a hash of its text, which any recomputation gives again; wholly equal rows share a name.
+    named = docs.select(id_.alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(is_training, F.lit(False)).alias("train"), F.xxhash64(id_, text_col, F.col(text_col).isNull()).alias("row"))
+    ends = named.where("train").count()
+    words = durable(count_words(named))
+    facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
+    total, vocabulary = facts["n"] + ends, facts["distinct"] + (1 if ends else 0)
     divisor = total + 0.5 * (vocabulary + 1)
-    weights = learn_pieces(words.where(known > 0).select("word"), pieces, scores) if facts["distinct"] else rank_weights(scores)
-    unseen = [min(0.5, max(1e-6, facts[f"once{k}"] / by_class[k])) if by_class[k] else 1.0 for k in range(n)]
+    uses = piece_uses(words.where("n > 0").select("word"), pieces, first) if facts["distinct"] else np.zeros(len(pieces) + 1)
+    weights, end, units = unit_weights(uses, facts["n"], facts["distinct"], ends, first)
 
     def marginals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(pieces)
         for chunk in in_chunks(batches):
-            chunk["lattice"] = lattice.log_marginals([w.decode("utf-8", "surrogatepass") for w in chunk["word"]], weights)
-            yield chunk
-
-    # P(word | class): its count in the class; what unseen words are due goes half to its count in all classes, half to the lattice.
-    weighed = words.mapInPandas(marginals, f"{', '.join(f'{c} {t}' for c, t in words.dtypes)}, lattice double")
-    stop = (end_count + 0.5) / (total + 1)
-    anywhere = F.lit(0.5 / total if total else 0.0) * known
-    spelled = F.ln(F.lit((0.5 if total else 1.0) * (1 - stop))) + F.col("lattice")
-
-    def log_sum(plain: Column, in_logs: Column) -> Column:
-        """log10(plain + exp(in_logs)), whole even where exp() would be 0."""
-        return F.when(plain > 0, F.log10(plain + F.exp(in_logs))).otherwise(in_logs / F.lit(float(np.log(10))))
-
-    per_class = [log_sum(F.col(f"c{k}") * F.lit((1 - unseen[k]) / by_class[k] if by_class[k] else 0.0) + anywhere * unseen[k], F.ln(F.lit(unseen[k])) + spelled).alias(f"s{k}") for k in range(n)]
-    rated = durable(weighed.select("word", (known + F.col("other")).alias("uses"), (known > 0).cast("long").alias("known"), F.log10((known + 0.5) / F.lit(divisor)).alias("base"), *per_class))
-    columns = ["known", "base", *[f"s{k}" for k in range(n)]]
+            spelled = lattice.log_marginals([w.decode("utf-8", "surrogatepass") for w in chunk["word"]], weights)
+            n = chunk["n"].to_numpy()
+            whole = np.log(np.maximum(n - DISCOUNT, 1e-300) / units)
+            both = np.where(n > 0, np.logaddexp(spelled, whole), spelled)
+            yield pd.DataFrame({"word": chunk["word"], "uses": n + chunk["other"], "known": (n > 0).astype("int64"), "base": np.log10((n + 0.5) / divisor), "own": both / np.log(10)})
+
+    rated = durable(words.mapInPandas(marginals, "word binary, uses long, known long, base double, own double"))
+    columns = ["known", "base", "own"]
     top = rated.where(F.col("uses") >= least_uses(rated, head)).select("word", *columns).toPandas()
     shared = spark.sparkContext.broadcast((b" ".join(map(bytes, top["word"])), top[columns].to_numpy(np.float64)))
 
@@ -164,35 +164,33 @@ def score_texts(docs: DataFrame, is_training: Column, class_col: str = "lang", i
         listed, table = shared.value
         place = {w: i for i, w in enumerate(listed.split(b" "))} if listed else {}
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            sums = np.zeros((len(batch), len(columns)))
-            for i, (row, doc_id, train, text) in enumerate(zip(batch["row"], batch["doc_id"], batch["train"], batch["text"], strict=True)):
+            out: list[list] = [[], [], [], [], []]
+            for row, doc_id, train, text in zip(batch["row"], batch["doc_id"].astype("object"), batch["train"], batch["text"], strict=True):
                 found = words_of(text)
                 at = np.fromiter((place.get(w, -1) for w in found), np.int64, len(found))
-                sums[i] = table[at[at >= 0]].sum(axis=0)
                 rest = Counter(found[k] for k in np.flatnonzero(at < 0))
-                # The row of the document itself comes first, under a key that is no word and no other row's.
-                for part, values in zip(out, ([row] * (len(rest) + 1), (b" %d" % row, *rest), (0, *rest.values()), [{"tokens": len(found) + 1, "doc_id": None if pd.isna(doc_id) else int(doc_id), "train": train, "sums": sums[i]}, *[None] * len(rest)]), strict=True):
+                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                head_row = {"tokens": len(found) + 1, "train": bool(train), "sums": table[at[at >= 0]].sum(axis=0)}
+                # The row of the document itself comes first, under a key that is no word and nearly no other row's.
+                for part, values in zip(out, ([doc_id] * (len(rest) + 1), [row] * (len(rest) + 1), (b" %d" % row, *rest), (0, *rest.values()), [head_row, *[None] * len(rest)]), strict=True):
                     part += values
-            yield pd.DataFrame({"row": np.array(out[0], np.int64), "word": pd.Series(out[1], dtype=object), "n": np.array(out[2], np.int64), "head": pd.Series(out[3], dtype=object)})
+            yield pd.DataFrame({"doc_id": pd.Series(out[0], dtype="Int64"), "row": np.array(out[1], np.int64), "word": pd.Series(out[2], dtype=object), "n": np.array(out[3], np.int64), "head": pd.Series(out[4], dtype=object)})
 
-    each = named.select("row", "doc_id", "train", "text").mapInPandas(add_up, "row long, word binary, n long, head struct<tokens:long,doc_id:long,train:boolean,sums:array<double>>")
+    each = named.mapInPandas(add_up, "doc_id long, row long, word binary, n long, head struct<tokens:long,train:boolean,sums:array<double>>")
     joined = each.join(rated.select(F.col("word").alias("_word"), *columns), F.col("word") == F.col("_word"), "left")
-    summed = joined.groupBy("row").agg(F.sum("head.tokens").alias("n_tokens"), F.max("head.doc_id").alias("doc_id"), F.max("head.train").alias("train"), *[F.sum(F.coalesce(F.col("head.sums")[k], F.lit(0.0)) + F.coalesce(F.col(c) * F.col("n"), F.lit(0.0))).alias(c) for k, c in enumerate(columns)])
-    end_base = float(np.log10((end_count + 0.5) / divisor))
-    end_of = [float(np.log10((1 - unseen[k]) * ends.get(k, 0) / by_class[k] + unseen[k] * stop)) if by_class[k] else float(np.log10(stop)) for k in range(n)]
-    prior = [float(np.log10((ends.get(k, 0) + 1) / (end_count + n))) for k in range(n)]
-    logs = [F.col(f"s{k}") + (end_of[k] + prior[k]) for k in range(n)]
-    most = F.greatest(*logs) if n > 1 else logs[0]
-    mixture = most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in logs[1:]), F.pow(F.lit(10.0), logs[0] - most)))
-    return summed.select(
+    sums = [F.sum(F.coalesce(F.col("head.sums")[k], F.lit(0.0)) + F.coalesce(F.col(c) * F.col("n"), F.lit(0.0))).alias(c) for k, c in enumerate(columns)]
+    summed = joined.groupBy("doc_id", "row").agg(F.count("head").alias("times"), F.sum("head.tokens").alias("tokens"), F.max("head.train").alias("train"), *sums)
+    # Wholly equal rows were added up together: each gets its share of the sums.
+    apart = summed.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    end_base = float(np.log10((ends + 0.5) / divisor))
+    return apart.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + (1 if end_count else 0)).cast("long").alias("n_known"),
+        (F.col("tokens") / F.col("times")).cast("long").alias("n_tokens"),
+        (F.round(F.col("known") / F.col("times")) + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.lit(end_base)).alias("base_score"),
-        mixture.alias("score"),
+        (F.col("base") / F.col("times") + F.lit(end_base)).alias("base_score"),
+        (F.col("own") / F.col("times") + F.lit(end / float(np.log(10)))).alias("score"),
     )
 
 
