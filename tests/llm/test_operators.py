@@ -342,6 +342,7 @@ def test_toxicity_held_out(spark):
             w.insert(rng.randint(0, len(w)), rng.choice(["Idiotxx", "scumbagz", "vequ" + rng.choice(plain)]))
         rows.append((i, " ".join(w) + ".", "en", "s"))
         labels += [(i, 1, int(toxic))] * 2
+    rows += [(2003, "\u0130\u0130 Idiotxx", "en", "s")]  # a letter that grows when lower-cased moves no offset
     rows += [(2000, None, None, None), (2001, "", "en", "s"), (None, "a b", "en", "s"), (2002, "idiotxx " * 20_000, "en", "s"), (5, rows[5][1], "en", "s")]
     labels += [(None, 1, 1), (3, 1, None), (9999, 0, 1)]
     got = toxicity.score_documents(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
@@ -351,6 +352,11 @@ def test_toxicity_held_out(spark):
     assert sum((r["predicted"] == 1) == (r["doc_id"] % 6 == 0) for r in held) / len(held) > 0.97
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[2000]["predicted"] == by_id[2001]["predicted"] == 0 and by_id[2002]["predicted"] == 1
+    assert {s["start"] % 8 for s in by_id[2002]["spans"]} == {0} and by_id[2002]["n_spans"] == 20_000
+    assert [(s["start"], s["end"]) for s in by_id[2003]["spans"]] == [(3, 10)]
+    texts = {i: t for i, t, *_ in rows}
+    told = [texts[r["doc_id"]][s["start"] : s["end"]].lower() for r in held if r["doc_id"] % 6 == 0 for s in r["spans"]]
+    assert sum(w in ("idiotxx", "scumbagz") or w.startswith("vequ") for w in told) / len(told) > 0.95
 
 
 def test_toxicity_training_rows(spark):
@@ -367,15 +373,63 @@ def test_toxicity_training_rows(spark):
     assert sorted((r["text"] or "", r["toxic"]) for r in got) == sorted((t or "", y) for t, y in want)
 
 
-def test_spans_and_chain():
-    chain = crf.Chain(np.array([-2.0, 1.0, 4.0]), np.array([[0.5, -1.0], [-0.5, 0.3]]))
-    kinds = [0, 0, 2, 0, 1, 1, 0, 0, 2, 0]
-    weight = lambda ys: math.exp(sum(chain.emit[k] for k, y in zip(kinds, ys, strict=True) if y) + sum(chain.step[a, b] for a, b in zip((0, *ys), ys, strict=False)))
-    every = list(itertools.product((0, 1), repeat=len(kinds)))
-    total = sum(map(weight, every))
-    at = [i for i, k in enumerate(kinds) if k]
-    want = [sum(weight(y) for y in every if y[i]) / total for i in at]
-    assert np.allclose(chain.marginals(at, [kinds[i] for i in at], len(kinds)), want)
+def test_chain_against_all_labellings():
+    rng = np.random.default_rng(6)
+    step = np.array([[0.5, -1.0], [-0.5, 0.3]])
+    sizes = [1, 6, 0, 9, 2]
+    emit = rng.normal(size=sum(sizes)) * 3
+    start = np.zeros(len(emit), bool)
+    start[[0, 1, 7, 16]] = True
+    got, pairs, at, want_pairs = crf.marginals(emit, start, step), crf.expectations(emit, start, step), 0, np.zeros((2, 2))
+    for n in sizes:
+        own, chance, total = emit[at : at + n], np.zeros(n), 0.0
+        counted = np.zeros((2, 2))
+        for ys in itertools.product((0, 1), repeat=n):
+            seen = list(zip((0, *ys), ys, strict=False))
+            weight = math.exp(sum(e for e, y in zip(own, ys, strict=True) if y) + sum(step[x] for x in seen))
+            total += weight
+            chance += weight * np.array(ys)
+            for x in seen:
+                counted[x] += weight
+        assert np.allclose(got[at : at + n], chance / total)
+        want_pairs += counted / total
+        at += n
+    assert np.allclose(pairs[0], got) and np.allclose(pairs[1], want_pairs)
+    long = crf.marginals(np.tile(emit, 300), np.tile(start, 300), step)
+    assert np.allclose(long.reshape(300, -1), got)
+
+
+def test_chain_gradient():
+    """The gradient of the fit is the slope of the log-likelihood of the labels."""
+    words = [["bad", "Word", "here"], ["plain", "bad", "plain", "plain"]]
+    places = {w: i for i, w in enumerate(dict.fromkeys(w for d in words for w in d))}
+    own = [toxicity.features_of(w) for w in places]
+    piece = {"at": np.array([places[w] for d in words for w in d]), "toxic": np.array([1, 0, 0, 0, 1, 1, 0]), "ends": np.array([0, 3, 7]), "sizes": np.array(list(map(len, own))), "own": np.array(sum(own, []))}
+    piece |= {"before": np.array([toxicity.beside(w, "<") for w in places]), "behind": np.array([toxicity.beside(w, ">") for w in places])}
+    weights, step = np.random.default_rng(1).normal(size=toxicity.DIMENSION), np.array([[0.2, -0.4], [0.1, 0.6]])
+
+    def likelihood(weights, step):
+        score = lambda w: weights[toxicity.features_of(w)].sum()
+        out, at = 0.0, 0
+        for d in words:
+            emit = [score(w) + (weights[toxicity.beside(d[i - 1], "<")] if i else 0) + (weights[toxicity.beside(d[i + 1], ">")] if i + 1 < len(d) else 0) for i, w in enumerate(d)]
+            path = lambda ys, emit=emit: sum(e for e, y in zip(emit, ys, strict=True) if y) + sum(step[x] for x in zip((0, *ys), ys, strict=False))
+            out += path(tuple(piece["toxic"][at : at + len(d)])) - math.log(sum(math.exp(path(ys)) for ys in itertools.product((0, 1), repeat=len(d))))
+            at += len(d)
+        return out
+
+    by_feature, by_pair, value = toxicity.gradient(piece, weights, step)
+    assert math.isclose(value, likelihood(weights, step))
+    for f in {*toxicity.features_of("bad")[:4], toxicity.beside("bad", "<"), toxicity.beside("plain", ">")}:
+        up, down = weights.copy(), weights.copy()
+        up[f] += 1e-4
+        down[f] -= 1e-4
+        assert abs((likelihood(up, step) - likelihood(down, step)) / 2e-4 - by_feature[f]) < 1e-5
+    for x in itertools.product((0, 1), repeat=2):
+        up, down = step.copy(), step.copy()
+        up[x] += 1e-4
+        down[x] -= 1e-4
+        assert abs((likelihood(weights, up) - likelihood(weights, down)) / 2e-4 - by_pair[x]) < 1e-5
 
 
 def test_lm_scores(spark, corpus):

@@ -1,103 +1,108 @@
-"""A linear-chain conditional random field with two labels over tokens that carry one small class each."""
+"""A linear-chain conditional random field with two labels over the tokens of many documents at once."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
-
 import numpy as np
 
 
-@dataclass
-class Chain:
-    """Log potentials: ``emit[c]`` for label 1 on a token of class c (label 0 has none) and ``step[a, b]`` from label a to b."""
+def forward_backward(emit: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward and backward vectors (n x 2, each scaled to a sum of 1) of chains that lie one behind the other, and the log of
+    the product of their partition sums.
+
+    ``emit``: log potential of label 1 on each token (label 0 has none); ``start``: where a chain begins, behind a label 0;
+    ``step[a, b]``: log potential of label b behind label a.  A token is a 2 x 2 matrix, one that begins a chain has two equal rows, so
+    that nothing passes it.  All are cut into about sqrt(n) blocks; what each block does as a whole is multiplied up
+    first, then all blocks are walked side by side.
+    """
+    n = len(emit)
+    if not n:
+        return np.empty((0, 2)), np.empty((0, 2)), 0.0
+    length = max(8, int(n**0.5))
+    blocks = -(-n // length)
+    g = np.ones(blocks * length)
+    g[:n] = np.exp(np.clip(emit, -30, 30))
+    begins = np.ones(blocks * length, bool)
+    begins[:n] = start
+    t = np.exp(step)
+    across = lambda x: np.ascontiguousarray(x.reshape(blocks, length).T)
+    m00, m01 = np.full((length, blocks), t[0, 0]), across(t[0, 1] * g)
+    m10, m11 = across(np.where(begins, t[0, 0], t[1, 0])), across(np.where(begins, t[0, 1], t[1, 1]) * g)
 
-    emit: np.ndarray
-    step: np.ndarray
-    _powers: dict[int, tuple] = field(default_factory=dict)
+    p00, p01, p10, p11 = (np.full(blocks, x) for x in (1.0, 0.0, 0.0, 1.0))
+    for j in range(length):
+        p00, p01, p10, p11 = p00 * m00[j] + p01 * m10[j], p00 * m01[j] + p01 * m11[j], p10 * m00[j] + p11 * m10[j], p10 * m01[j] + p11 * m11[j]
+        scale = p00 + p01 + p10 + p11
+        p00, p01, p10, p11 = p00 / scale, p01 / scale, p10 / scale, p11 / scale
+    f0, f1, b0, b1 = (np.empty(blocks) for _ in range(4))
+    x, y = 1.0, 0.0
+    for k in range(blocks):
+        f0[k], f1[k] = x, y
+        x, y = x * p00[k] + y * p10[k], x * p01[k] + y * p11[k]
+        x, y = x / (x + y), y / (x + y)
+    x, y = 0.5, 0.5
+    for k in range(blocks - 1, -1, -1):
+        b0[k], b1[k] = x, y
+        x, y = p00[k] * x + p01[k] * y, p10[k] * x + p11[k] * y
+        x, y = x / (x + y), y / (x + y)
+    alpha, beta, scales = np.empty((length, blocks, 2)), np.empty((length, blocks, 2)), np.empty((length, blocks))
+    for j in range(length):
+        f0, f1 = f0 * m00[j] + f1 * m10[j], f0 * m01[j] + f1 * m11[j]
+        scales[j] = scale = f0 + f1
+        f0, f1 = f0 / scale, f1 / scale
+        alpha[j, :, 0], alpha[j, :, 1] = f0, f1
+    for j in range(length - 1, -1, -1):
+        beta[j, :, 0], beta[j, :, 1] = b0, b1
+        b0, b1 = m00[j] * b0 + m01[j] * b1, m10[j] * b0 + m11[j] * b1
+        scale = b0 + b1
+        b0, b1 = b0 / scale, b1 / scale
+    back = lambda x: x.transpose(1, 0, 2).reshape(-1, 2)[:n]
+    return back(alpha), back(beta), float(np.log(scales.T.ravel()[:n]).sum())
 
-    def factor(self, kind: int) -> tuple[float, float, float, float]:
-        """The 2 x 2 step onto a token of class ``kind``, scaled to a largest entry of 1: (00, 01, 10, 11)."""
-        m = np.exp(self.step) * np.array([1.0, np.exp(self.emit[kind])])
-        return tuple((m / m.max()).ravel().tolist())
 
-    def power(self, n: int) -> tuple[float, float, float, float]:
-        """n plain tokens (class 0) in a row as one step."""
-        if (known := self._powers.get(n)) is None:
-            m, out, left = np.array(self.factor(0)).reshape(2, 2), np.eye(2), n
-            while left:
-                if left & 1:
-                    out = out @ m
-                    out /= out.max()
-                m = m @ m
-                m /= m.max()
-                left >>= 1
-            if len(self._powers) > 50_000:
-                self._powers.clear()
-            self._powers[n] = known = tuple(out.ravel().tolist())
-        return known
+def marginals(emit: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """P(label 1) of every token."""
+    alpha, beta, _ = forward_backward(emit, start, step)
+    both = alpha * beta
+    return both[:, 1] / both.sum(axis=1)
 
-    def marginals(self, at: Sequence[int], kinds: Sequence[int], length: int) -> list[float]:
-        """P(label 1) at the given positions of a chain of ``length`` tokens, all others being plain.
 
-        Forward-backward over the whole chain; runs of plain tokens, whose steps are all equal, are taken as one power.
-        """
-        if not len(at):
-            return []
-        steps, before = [], -1
-        for i, kind in zip(at, kinds, strict=True):
-            steps.append((self.power(i - before - 1), self.factor(kind)))
-            before = i
-        forward, (a, b) = [], (1.0, 0.0)
-        for gap, own in steps:
-            a, b = a * gap[0] + b * gap[2], a * gap[1] + b * gap[3]
-            a, b = a * own[0] + b * own[2], a * own[1] + b * own[3]
-            a, b = a / (a + b), b / (a + b)
-            forward.append((a, b))
-        last = self.power(length - 1 - at[-1])
-        x, y = last[0] + last[1], last[2] + last[3]
-        out = []
-        for (a, b), (gap, own) in zip(reversed(forward), reversed(steps), strict=True):
-            out.append(b * y / (a * x + b * y))
-            x, y = own[0] * x + own[1] * y, own[2] * x + own[3] * y
-            x, y = gap[0] * x + gap[1] * y, gap[2] * x + gap[3] * y
-            x, y = x / (x + y), y / (x + y)
-        return out[::-1]
+def expectations(emit: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """P(label 1) of every token, how often each pair of labels is to be expected one behind the other, and the log partition sum."""
+    alpha, beta, total = forward_backward(emit, start, step)
+    if not len(emit):
+        return np.empty(0), np.zeros((2, 2)), 0.0
+    both = alpha * beta
+    before = np.where(start[:, None], [1.0, 0.0], np.vstack([[[1.0, 0.0]], alpha[:-1]]))
+    own = np.stack([np.ones(len(emit)), np.exp(np.clip(emit, -30, 30))], axis=1) * beta
+    pairs = before[:, :, None] * np.exp(step)[None] * own[:, None, :]
+    return both[:, 1] / both.sum(axis=1), (pairs / pairs.sum(axis=(1, 2), keepdims=True)).sum(axis=0), total
 
 
-def fit_chain(kinds: np.ndarray, labels: np.ndarray, n_kinds: int, rounds: int = 80, shrink: float = 1e-4) -> Chain:
-    """Maximum likelihood by forward-backward gradients on sequences of equal width; a class of -1 pads."""
-    emit, step = np.zeros(n_kinds), np.zeros((2, 2))
-    n, width = kinds.shape
-    there = kinds >= 0
-    safe = np.where(there, kinds, 0)
-    pairs = there[:, 1:]
-    seen_emit = np.bincount(safe[there & (labels == 1)], minlength=n_kinds).astype(float)
-    seen_step = np.array([[((labels[:, :-1] == a) & (labels[:, 1:] == b) & pairs).sum() for b in (0, 1)] for a in (0, 1)], float)
-    seen_step[0] += [(labels[:, 0] == b).sum() for b in (0, 1)]
-    moment = [np.zeros(n_kinds), np.zeros((2, 2))]
-    size = [np.zeros(n_kinds), np.zeros((2, 2))]
-    for t in range(1, rounds + 1):
-        e, m = np.exp(np.stack([np.zeros((n, width)), emit[safe]], axis=2)), np.exp(step)
-        e[~there] = 1
-        alpha, beta = np.empty((n, width, 2)), np.ones((n, width, 2))
-        alpha[:, 0] = m[0] * e[:, 0]
-        alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
-        for i in range(1, width):
-            alpha[:, i] = np.where(there[:, i, None], (alpha[:, i - 1] @ m) * e[:, i], alpha[:, i - 1])
-            alpha[:, i] /= alpha[:, i].sum(axis=1, keepdims=True)
-        for i in range(width - 2, -1, -1):
-            beta[:, i] = np.where(there[:, i + 1, None], (e[:, i + 1] * beta[:, i + 1]) @ m.T, beta[:, i + 1])
-            beta[:, i] /= beta[:, i].sum(axis=1, keepdims=True)
-        both = alpha * beta
-        both /= both.sum(axis=2, keepdims=True)
-        want_emit = np.bincount(safe[there], weights=both[..., 1][there], minlength=n_kinds)
-        joint = alpha[:, :-1, :, None] * m[None, None] * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        want_step = joint[pairs].sum(axis=0)
-        want_step[0] += both[:, 0].sum(axis=0)
-        for k, (value, gradient) in enumerate(((emit, (seen_emit - want_emit) / n - shrink * emit), (step, (seen_step - want_step) / n - shrink * step))):
-            moment[k] = 0.9 * moment[k] + 0.1 * gradient
-            size[k] = 0.99 * size[k] + 0.01 * gradient**2
-            value += 0.15 * (moment[k] / (1 - 0.9**t)) / (np.sqrt(size[k] / (1 - 0.99**t)) + 1e-9)
-    return Chain(emit, step)
+def maximise(evaluate, x: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:
+    """Limited-memory quasi-Newton ascent.  ``evaluate(x)``: a concave function's value and gradient, called ``rounds`` times at most."""
+    (value, slope), past, left = evaluate(x), [], rounds - 1
+    while left > 0 and np.abs(slope).max(initial=0) > 1e-3:
+        way, kept = slope.copy(), []
+        for s, y, r in reversed(past):
+            kept.append(a := r * (s @ way))
+            way -= a * y
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            way += s * (a - r * (y @ way))
+        size = 1.0
+        while left > 0:
+            left -= 1
+            new = x + size * way
+            new_value, new_slope = evaluate(new)
+            if new_value >= value + 1e-4 * size * (slope @ way):
+                break
+            size /= 4
+        else:
+            return x
+        s, y = new - x, slope - new_slope
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1 / (s @ y))][-memory:]
+        gain, x, value, slope = new_value - value, new, new_value, new_slope
+        if gain < 1e-5 * abs(value):
+            break
+    return x

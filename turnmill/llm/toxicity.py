@@ -1,9 +1,10 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-1. From labelled training documents: how often each word, and each prefix of 3 to 8 letters, occurs in toxic and in other
-   documents.  Words and prefixes with significantly more toxic documents form a lexicon in grades.
-2. Training tokens are labelled toxic where a toxic document has a word of the upper grades; a chain over
-   the grades is fitted to them.
+1. Labelled tokens: from labelled training documents, how often each word, and each prefix of 3 to 8 letters, occurs in toxic and in other
+   documents.  Where a toxic document has a word with significantly more toxic documents, or with such a prefix, that token is labelled toxic.
+   These words serve for labels alone; no score looks them up.
+2. A chain over the tokens of whole labelled texts is fitted to those labels.  Its features are hashed: a token's word, prefixes, suffixes and
+   shape, and the words before and behind it.
 3. Every text is tagged as a whole: forward-backward marginals give the offending offsets, and their sum and noisy-or, by a logistic
    curve fitted to the training documents, the document's score.
 """
@@ -17,21 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.llm.common import durable, ship
-from turnmill.llm.crf import Chain, fit_chain
+from turnmill.llm.crf import expectations, marginals, maximise
 from turnmill.llm.near_dedup import Near, near_duplicates
 
-#: Bounds of the fit: labelled documents (by seeded hash), segments and their tokens for the chain, entries of the lexicon.
-SAMPLE, SEGMENTS, WIDTH, LEXICON = 20_000, 1_500, 200, 5_000
-#: Grades of a lexicon entry by log-odds, and from which grade on a word of a toxic document is labelled toxic.
-GRADES, TOXIC_GRADE = (1.5, 2.5, 3.5, 4.5), 2
-#: How many entries of the lexicon may be there by chance.
+#: Bounds of the fit, in labelled rows chosen by seeded hash: of token labels and the curve; of the chain, for each of the two labels.
+SAMPLE, CHAIN_SAMPLE = 20_000, 1_500
+#: Least log-odds of a word or prefix in toxic documents, for a labelled token.
+LEAST_ODDS = 3.5
+#: How many words and prefixes may be among those by chance.
 CHANCE = 3
 #: What counts as a copy of a training document: a similarity of 0.8 of the whole sets of three-word shingles.
 COPIES = Near(words=3, percent=80)
+#: Hashed features; tokens of a piece of the fit; passes and shrinkage of the fit; marginals below FLOOR don't count for a document.
+DIMENSION, PIECE, ROUNDS, SHRINK, FLOOR = 1 << 18, 100_000, 25, 0.1, 0.05
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -39,28 +43,59 @@ def keys_of(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in range(3, min(8, len(word)) + 1))]
 
 
-class Grader(dict):
-    """word -> grade (0: plain), remembered; forgets all when it holds too many."""
+def features_of(word: str) -> list[int]:
+    """Numbers of a token's own features: word, prefixes, suffixes and shape."""
+    low = word.lower()
+    shape = "a" if word == low else "A" if word.isupper() else "Aa"
+    texts = [*keys_of(low), *(f"${low[-n:]}" for n in (2, 3) if len(low) > n), f"#{shape}{min(len(word), 12)}", "#"]
+    return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % DIMENSION for t in texts]
 
-    def __init__(self, lexicon: dict[str, int]):
+
+def beside(word: str, mark: str) -> int:
+    return xxhash.xxh3_64_intdigest((mark + word.lower()).encode("utf-8", "surrogatepass")) % DIMENSION
+
+
+class Weighed(dict):
+    """word -> place of its three weights: as the token itself, before one, behind one.  Forgotten between batches when too many."""
+
+    def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.lexicon = lexicon
+        self.weights, self.parts = weights, ([], [], [])
 
     def __missing__(self, word: str) -> int:
+        self[word] = place = len(self.parts[0])
+        self.parts[0].append(float(self.weights[features_of(word)].sum()))
+        self.parts[1].append(float(self.weights[beside(word, "<")]))
+        self.parts[2].append(float(self.weights[beside(word, ">")]))
+        return place
+
+    def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of the texts: log potentials of label 1, where a text begins, and the texts' first tokens (one more at the end)."""
         if len(self) > 200_000:
             self.clear()
-        self[word] = grade = max((self.lexicon.get(k, 0) for k in keys_of(word)), default=0)
-        return grade
+            self.parts = ([], [], [])
+        lists = [[self[w] for w in LETTERS.findall(t)] for t in texts]
+        ends = np.cumsum([0, *map(len, lists)])
+        at = np.fromiter((i for one in lists for i in one), np.int64, int(ends[-1]))
+        own, before, behind = (np.array(p) for p in self.parts)
+        return (*joined_emissions(at, ends, own, before, behind), ends)
 
-    def grades(self, text: str | None) -> np.ndarray:
-        words = LETTERS.findall((text or "").lower())
-        return np.fromiter(map(self.__getitem__, words), np.int8, len(words))
+
+def joined_emissions(at: np.ndarray, ends: np.ndarray, own: np.ndarray, before: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.zeros(len(at), bool)
+    start[ends[:-1][np.diff(ends) > 0]] = True
+    emit = own[at] if len(at) else np.zeros(0)
+    if len(at) > 1:
+        inner = ~start[1:]
+        emit[1:] += before[at[:-1]] * inner
+        emit[:-1] += behind[at[1:]] * inner
+    return emit, start
 
 
 @dataclass
 class Model:
-    lexicon: dict[str, int]
-    chain: Chain
+    weights: np.ndarray
+    step: np.ndarray
     curve: tuple[float, float, float]
     cut: float = 0.5
 
@@ -83,7 +118,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: in
     return durable(rows.join(kept.select("kept"), F.col("_id") == F.col("kept"), "left_semi").dropDuplicates(["_id"]).select("text", "toxic"))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, int]:
+def learn_lexicon(rows: DataFrame) -> set[str]:
+    """Words (``=word``) and prefixes (``^pre``) of toxic documents; their number depends on the training rows' vocabulary alone."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
         for batch in batches:
@@ -102,7 +138,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, int]:
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
-        return {}
+        return set()
     a, b, share = F.col("a"), F.col("b"), bad / (bad + good)
     counts = rows.mapInPandas(run, "key string, toxic int, n long").groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).where("a >= 3")
     counts = durable(counts)
@@ -110,55 +146,129 @@ def learn_lexicon(rows: DataFrame) -> dict[str, int]:
     least = 2 * float(np.log(max(counts.count(), 1) / CHANCE))
     odds = F.ln((a + 0.5) / (b + 0.5)) - float(np.log((bad + 1) / (good + 1)))
     evidence = 2 * (a * F.ln(a / ((a + b) * share)) + F.when(b > 0, b * F.ln(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    strong = counts.select("key", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") > GRADES[0]) & (F.col("evidence") > least))
-    return {r["key"]: int(np.searchsorted(GRADES, r["odds"])) for r in strong.orderBy(F.desc("evidence"), "key").limit(LEXICON).collect()}
+    strong = counts.select("key", odds.alias("odds"), evidence.alias("evidence")).where((F.col("odds") > LEAST_ODDS) & (F.col("evidence") > least))
+    return {r["key"] for r in strong.select("key").toLocalIterator()}
 
 
-def learn_chain(rows: DataFrame, lexicon: dict[str, int]) -> Chain:
-    """Fitted to segments of the training texts, those with lexicon words first, by seeded hash."""
+def pieces_of(rows: DataFrame, lexicon: set[str]) -> DataFrame:
+    """The tokens of training texts in pieces for the fit: arrays of word places, labels and chains' ends, and the features of each word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grader = Grader(lexicon)
+        marked: dict[str, bool] = {}
+
+        def label(word: str) -> bool:
+            if (known := marked.get(word)) is None:
+                marked[word] = known = any(k in lexicon for k in keys_of(word.lower()))
+            return known
+
+        def packed(chains: list[tuple[list[str], int]]) -> pd.DataFrame:
+            places: dict[str, int] = {}
+            at = np.array([places.setdefault(w, len(places)) for words, _ in chains for w in words], np.int32)
+            toxic = np.array([t and label(w) for words, t in chains for w in words], bool)
+            own = [features_of(w) for w in places]
+            out = {"at": at, "toxic": toxic, "ends": np.cumsum([0, *(len(w) for w, _ in chains)]).astype(np.int64), "sizes": np.array(list(map(len, own)), np.int32), "own": np.array([f for one in own for f in one], np.int32)}
+            out |= {"before": np.array([beside(w, "<") for w in places], np.int32), "behind": np.array([beside(w, ">") for w in places], np.int32)}
+            return pd.DataFrame({k: [v.tobytes()] for k, v in out.items()})
+
+        chains, n = [], 0
         for batch in batches:
-            out = []
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                kinds = grader.grades(text)
-                for i in range(0, len(kinds), WIDTH):
-                    part = kinds[i : i + WIDTH]
-                    out.append((part.tobytes(), ((part > TOXIC_GRADE) & (toxic > 0)).astype(np.int8).tobytes(), bool(part.any())))
-            yield pd.DataFrame(out, columns=["kinds", "labels", "marked"])
-
-    parts = rows.mapInPandas(run, "kinds binary, labels binary, marked boolean").withColumn("h", F.xxhash64(F.lit(5), "kinds"))
-    taken = [r for marked in (True, False) for r in parts.where(F.col("marked") == marked).orderBy("h", "kinds", "labels").limit(SEGMENTS // 2).collect()]
-    kinds, labels = np.full((len(taken), WIDTH), -1, np.int64), np.zeros((len(taken), WIDTH), np.int64)
-    for i, r in enumerate(taken):
-        own = np.frombuffer(bytes(r["kinds"]), np.int8)
-        kinds[i, : len(own)], labels[i, : len(own)] = own, np.frombuffer(bytes(r["labels"]), np.int8)
-    if not len(taken):
-        return Chain(np.full(len(GRADES) + 1, -5.0), np.zeros((2, 2)))
-    return fit_chain(kinds, labels, len(GRADES) + 1)
-
-
-def evidence_of(grader: Grader, chain: Chain, text: str | None) -> tuple[float, float, np.ndarray, list[float], int]:
-    """Noisy-or and sum of the marginals at lexicon words, their places among the words, the marginals, the number of words."""
-    kinds = grader.grades(text)
-    at = np.flatnonzero(kinds)
-    found = chain.marginals(at.tolist(), kinds[at].tolist(), len(kinds))
-    return float(1 - np.prod(1 - np.array(found))), float(sum(found)), at, found, len(kinds)
+                words = LETTERS.findall(text or "")
+                # A text beyond PIECE tokens is fitted as several chains; scores never cut one.
+                for i in range(0, len(words), PIECE):
+                    chains.append((words[i : i + PIECE], toxic))
+                    n += len(chains[-1][0])
+                    if n >= PIECE:
+                        yield packed(chains)
+                        chains, n = [], 0
+        if chains:
+            yield packed(chains)
+
+    return rows.mapInPandas(run, ", ".join(f"{c} binary" for c in PIECE_COLUMNS))
+
+
+PIECE_COLUMNS = {"at": np.int32, "toxic": bool, "ends": np.int64, "sizes": np.int32, "own": np.int32, "before": np.int32, "behind": np.int32}
+
+
+def gradient(piece: dict[str, np.ndarray], weights: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of the log-likelihood of a piece's labels: by feature and by pair of labels; and the log-likelihood."""
+    at, ends, labels = piece["at"], piece["ends"], piece["toxic"].astype(float)
+    n_words = len(piece["sizes"])
+    word_of = np.repeat(np.arange(n_words), piece["sizes"])
+    own = np.bincount(word_of, weights=weights[piece["own"]], minlength=n_words)
+    emit, start = joined_emissions(at, ends, own, weights[piece["before"]], weights[piece["behind"]])
+    chance, pairs, total = expectations(emit, start, step)
+    left = labels - chance
+    by_word = np.bincount(at, weights=left, minlength=n_words)
+    inner = ~start[1:]
+    by_before = np.bincount(at[:-1], weights=left[1:] * inner, minlength=n_words)
+    by_behind = np.bincount(at[1:], weights=left[:-1] * inner, minlength=n_words)
+    out = np.bincount(piece["own"], weights=by_word[word_of], minlength=DIMENSION)
+    out += np.bincount(piece["before"], weights=by_before, minlength=DIMENSION) + np.bincount(piece["behind"], weights=by_behind, minlength=DIMENSION)
+    before = np.where(start, 0, np.concatenate([[0], labels[:-1]]))
+    seen = np.bincount((before * 2 + labels).astype(int), minlength=4).reshape(2, 2)
+    return out, seen - pairs, float(emit @ labels + (seen * step).sum() - total)
+
+
+def learn_chain(rows: DataFrame, lexicon: set[str], sample: int = CHAIN_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and label steps of greatest likelihood.  The tokens stay in the tasks, each round sums their gradients.
+
+    Fitted to about ``sample`` rows of each label at most, whole texts, chosen by hash.
+    """
+    spark = rows.sparkSession
+    order = F.xxhash64(F.lit(5), "text")
+    chosen = rows.where(F.lit(False))
+    for r in rows.groupBy("toxic").count().collect():
+        chosen = chosen.union(rows.where((F.col("toxic") == r["toxic"]) & (F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1, sample / r["count"])))))
+    pieces = durable(pieces_of(chosen.repartition(8, order), lexicon))
+
+    def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(x)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, step = shared.value[:-4], shared.value[-4:].reshape(2, 2)
+            total, pairs, value = np.zeros(DIMENSION), np.zeros((2, 2)), 0.0
+            for batch in batches:
+                for i in range(len(batch)):
+                    by_feature, by_pair, more = gradient({c: np.frombuffer(batch[c].iloc[i], kind) for c, kind in PIECE_COLUMNS.items()}, own, step)
+                    total, pairs, value = total + by_feature, pairs + by_pair, value + more
+            used = np.flatnonzero(total)
+            yield pd.DataFrame({"features": [used.astype(np.int32).tobytes()], "values": [total[used].tobytes()], "pairs": [pairs.tobytes()], "value": [value]})
+
+        value, slope = -SHRINK / 2 * float(x @ x), -SHRINK * x
+        # Eight partial sums of fixed length, in the order of their partitions.
+        for r in pieces.mapInPandas(run, "features binary, values binary, pairs binary, value double").collect():
+            slope[np.frombuffer(r["features"], np.int32)] += np.frombuffer(r["values"])
+            slope[-4:] += np.frombuffer(r["pairs"])
+            value += r["value"]
+        shared.destroy()
+        return value, slope
+
+    best = maximise(evaluate, np.zeros(DIMENSION + 4), ROUNDS)
+    return best[:-4], best[-4:].reshape(2, 2)
+
+
+def evidence_of(words: Weighed, step: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Noisy-or and sum of each text's marginals (those of FLOOR or more), the marginals of all tokens, and the texts' first tokens."""
+    emit, start, ends = words.emissions([t or "" for t in texts])
+    chance = marginals(emit, start, step)
+    strong = np.where(chance >= FLOOR, chance, 0.0)
+    sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[ends])
+    return -np.expm1(np.minimum(sums(np.log1p(-np.minimum(strong, 1 - 1e-12))), 0.0)), np.maximum(sums(strong), 0.0), chance, ends
 
 
 def inputs(any_: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(any_), any_, np.log1p(total)], axis=1)
 
 
-def learn_curve(rows: DataFrame, lexicon: dict[str, int], chain: Chain) -> tuple[float, float, float]:
+def learn_curve(rows: DataFrame, weights: np.ndarray, step: np.ndarray) -> tuple[float, float, float]:
     """A logistic curve from a document's evidence to its label, over all training rows (their number is bounded)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grader = Grader(lexicon)
+        words = Weighed(weights)
         for batch in batches:
-            found = [evidence_of(grader, chain, text)[:2] for text in batch["text"]]
-            yield pd.DataFrame(found, columns=["any", "total"], dtype="float64").assign(toxic=batch["toxic"].to_numpy())
+            any_, total, *_ = evidence_of(words, step, list(batch["text"]))
+            yield pd.DataFrame({"any": any_, "total": total, "toxic": batch["toxic"].to_numpy()})
 
     seen = rows.mapInPandas(run, "any double, total double, toxic int").toPandas()
     if not len(seen):
@@ -171,16 +281,18 @@ def learn_curve(rows: DataFrame, lexicon: dict[str, int], chain: Chain) -> tuple
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
-    """Labels are read only of rows where ``usable`` (over doc_id) holds.  Without labels of both kinds the lexicon is empty and all scores are alike."""
+    """Labels are read only of rows where ``usable`` (over doc_id) holds.  Without labels of both kinds nothing is toxic and all scores are alike."""
     ship(docs.sparkSession)
     rows = training_rows(docs.select("doc_id", "text"), labels, usable, sample)
     lexicon = learn_lexicon(rows)
-    chain = learn_chain(rows, lexicon)
-    return Model(lexicon, chain, learn_curve(rows, lexicon, chain))
+    # Without a labelled token there is nothing to fit.
+    weights, step = learn_chain(rows, lexicon) if lexicon else (np.zeros(DIMENSION), np.array([[0.0, -30.0], [0.0, 0.0]]))
+    weights = weights.astype(np.float32)
+    return Model(weights, step, learn_curve(rows, weights, step))
 
 
 def tagger(model: Model, spans: bool = True):
-    """A function of a text column: struct(score, spans).  score is 0 to 1; spans are (start, end, chance), characters of the lower-cased text.
+    """A function of a text column: struct(score, spans).  score is 0 to 1; spans are (start, end, chance), in characters of the text.
 
     Every whole text is tagged; null counts as empty, and an empty text has the score of a text without evidence.
     Nothing but the text goes into a score.
@@ -188,14 +300,16 @@ def tagger(model: Model, spans: bool = True):
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,chance:double>>")
     def tag(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grader, curve = Grader(model.lexicon), np.array(model.curve)
+        words, curve = Weighed(model.weights), np.array(model.curve)
         for batch in texts:
-            any_, total, found_spans = np.zeros(len(batch)), np.zeros(len(batch)), []
-            for i, text in enumerate(batch):
-                any_[i], total[i], at, found, _ = evidence_of(grader, model.chain, text)
-                own = {int(k): p for k, p in zip(at, found, strict=True) if p >= model.cut} if spans else {}
-                found_spans.append([{"start": m.start(), "end": m.end(), "chance": own[k]} for k, m in enumerate(LETTERS.finditer(text.lower())) if k in own] if own else [])
-            yield pd.DataFrame({"score": 1 / (1 + np.exp(-inputs(any_, total) @ curve)), "spans": found_spans})
+            any_, total, chance, ends = evidence_of(words, model.step, list(batch))
+            found: list[list] = [[] for _ in range(len(batch))]
+            if spans:
+                hits = np.flatnonzero(chance >= model.cut)
+                for i in np.unique(np.searchsorted(ends, hits, side="right") - 1):
+                    own = chance[ends[i] : ends[i + 1]]
+                    found[i] = [{"start": m.start(), "end": m.end(), "chance": float(p)} for m, p in zip(LETTERS.finditer(batch.iloc[i]), own, strict=True) if p >= model.cut]
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-inputs(any_, total) @ curve)), "spans": found})
 
     return tag
 
@@ -206,9 +320,13 @@ def learnable(id_col: str = "doc_id", modulus: int = 3, held: int = 1) -> Column
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_spans of every row.  A null id counts as held out; repeated rows are scored alike."""
+    """doc_id, held_out, score, predicted, n_spans, spans (start, end, chance) of every row.
+
+    Offsets count characters of the whole text, of any length.  A null id counts as held out; repeated rows are scored alike; other columns are
+    ignored; an empty table gives no rows.  A score of exactly ``threshold`` is predicted 1.
+    """
     tagged = docs.select("doc_id", tagger(train(docs, labels, learnable()))("text").alias("tag"))
-    return tagged.select("doc_id", (~learnable()).alias("held_out"), "tag.score", (F.col("tag.score") >= threshold).cast("int").alias("predicted"), F.size("tag.spans").alias("n_spans"))
+    return tagged.select("doc_id", (~learnable()).alias("held_out"), "tag.score", (F.col("tag.score") >= threshold).cast("int").alias("predicted"), F.size("tag.spans").alias("n_spans"), "tag.spans")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
