@@ -12,13 +12,13 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,9 @@ CHANCE = 3
 #: What counts as a copy of a training document: a similarity of 0.8 of the whole sets of three-word shingles.
 COPIES = Near(words=3, percent=80)
 #: Hashed features; tokens of a piece of the fit; passes and shrinkage of the fit; marginals below FLOOR don't count for a document.
-DIMENSION, PIECE, ROUNDS, SHRINK, FLOOR = 1 << 18, 100_000, 25, 0.1, 0.05
+DIMENSION, PIECE, ROUNDS, SHRINK, FLOOR = 1 << 17, 100_000, 25, 0.1, 0.05
+#: Tasks of the chain's fit, each of which sends one gradient (a megabyte) to the driver in each pass.
+PARTIAL_SUMS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -48,11 +50,11 @@ def features_of(word: str) -> list[int]:
     low = word.lower()
     shape = "a" if word == low else "A" if word.isupper() else "Aa"
     texts = [*keys_of(low), *(f"${low[-n:]}" for n in (2, 3) if len(low) > n), f"#{shape}{min(len(word), 12)}", "#"]
-    return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % DIMENSION for t in texts]
+    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % DIMENSION for t in texts]
 
 
 def beside(word: str, mark: str) -> int:
-    return xxhash.xxh3_64_intdigest((mark + word.lower()).encode("utf-8", "surrogatepass")) % DIMENSION
+    return zlib.crc32((mark + word.lower()).encode("utf-8", "surrogatepass")) % DIMENSION
 
 
 class Weighed(dict):
@@ -60,13 +62,13 @@ class Weighed(dict):
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.parts = weights, ([], [], [])
+        self.weights, self.parts = weights.tolist(), ([], [], [])
 
     def __missing__(self, word: str) -> int:
         self[word] = place = len(self.parts[0])
-        self.parts[0].append(float(self.weights[features_of(word)].sum()))
-        self.parts[1].append(float(self.weights[beside(word, "<")]))
-        self.parts[2].append(float(self.weights[beside(word, ">")]))
+        self.parts[0].append(sum(map(self.weights.__getitem__, features_of(word))))
+        self.parts[1].append(self.weights[beside(word, "<")])
+        self.parts[2].append(self.weights[beside(word, ">")])
         return place
 
     def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +222,7 @@ def learn_chain(rows: DataFrame, lexicon: set[str], sample: int = CHAIN_SAMPLE)
     chosen = rows.where(F.lit(False))
     for r in rows.groupBy("toxic").count().collect():
         chosen = chosen.union(rows.where((F.col("toxic") == r["toxic"]) & (F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1, sample / r["count"])))))
-    pieces = durable(pieces_of(chosen.repartition(8, order), lexicon))
+    pieces = durable(pieces_of(chosen.repartition(PARTIAL_SUMS, order), lexicon))
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(x)
@@ -232,14 +234,12 @@ def learn_chain(rows: DataFrame, lexicon: set[str], sample: int = CHAIN_SAMPLE)
                 for i in range(len(batch)):
                     by_feature, by_pair, more = gradient({c: np.frombuffer(batch[c].iloc[i], kind) for c, kind in PIECE_COLUMNS.items()}, own, step)
                     total, pairs, value = total + by_feature, pairs + by_pair, value + more
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"features": [used.astype(np.int32).tobytes()], "values": [total[used].tobytes()], "pairs": [pairs.tobytes()], "value": [value]})
+            yield pd.DataFrame({"slope": [np.concatenate([total, pairs.ravel()]).tobytes()], "value": [value]})
 
         value, slope = -SHRINK / 2 * float(x @ x), -SHRINK * x
-        # Eight partial sums of fixed length, in the order of their partitions.
-        for r in pieces.mapInPandas(run, "features binary, values binary, pairs binary, value double").collect():
-            slope[np.frombuffer(r["features"], np.int32)] += np.frombuffer(r["values"])
-            slope[-4:] += np.frombuffer(r["pairs"])
+        # PARTIAL_SUMS rows of fixed length, in the order of their partitions.
+        for r in pieces.mapInPandas(run, "slope binary, value double").collect():
+            slope += np.frombuffer(r["slope"])
             value += r["value"]
         shared.destroy()
         return value, slope
