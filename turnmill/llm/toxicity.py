@@ -19,12 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.llm.common import durable, ship
 from turnmill.llm.crf import expectations, marginals, maximise
-from turnmill.llm.near_dedup import Near, near_duplicates
+from turnmill.llm.near_dedup import Near, linked
+from turnmill.llm.shingles import mix, shingle_set
 
 #: Bounds of the fit, in labelled rows chosen by seeded hash: of token labels and the curve; of the chain, for each of the two labels.
 SAMPLE, CHAIN_SAMPLE = 20_000, 1_500
@@ -34,6 +35,7 @@ LEAST_ODDS = 3.5
 CHANCE = 3
 #: What counts as a copy of a training document: a similarity of 0.8 of the whole sets of three-word shingles.
 COPIES = Near(words=3, percent=80)
+MIN_HASHES = 16
 #: Hashed features; tokens of a piece of the fit; passes and shrinkage of the fit; marginals below FLOOR don't count for a document.
 DIMENSION, PIECE, ROUNDS, SHRINK, FLOOR = 1 << 17, 100_000, 25, 0.1, 0.05
 #: Tasks of the chain's fit, each of which sends one gradient (a megabyte) to the driver in each pass.
@@ -105,8 +107,8 @@ class Model:
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most about ``sample`` labelled documents, chosen by a hash of doc_id.  Several labels of a document count as the largest.
 
-    Of copies and near copies (linked as in near_dedup, by COPIES) one of each label is kept, else the words of a text
-    that was copied a hundred times would look like a hundred witnesses.
+    Of copies and near copies of one label the least doc_id is kept, else the words of a text that was copied a hundred
+    times would look like a hundred witnesses.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(usable)
     n = own.count()
@@ -114,10 +116,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: in
         own = own.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     chosen = own.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     # The side sent to every task has ``sample`` rows at most, whatever the input's size.
-    rows = durable(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic"))
-    linked = near_duplicates(rows, COPIES, "_id").select("doc_id", "component_id").distinct()
-    kept = rows.select("_id", "toxic").join(linked, F.col("_id") == F.col("doc_id")).groupBy("component_id", "toxic").agg(F.min("_id").alias("kept"))
-    return durable(rows.join(kept.select("kept"), F.col("_id") == F.col("kept"), "left_semi").dropDuplicates(["_id"]).select("text", "toxic"))
+    rows = durable(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "toxic").dropDuplicates(["_id"]))
+    return durable(rows.join(copies_among(rows), F.col("_id") == F.col("_copy"), "left_anti").select("text", "toxic"))
+
+
+def copies_among(rows: DataFrame) -> DataFrame:
+    """_copy: ids of rows that are copies, by the full shingle sets, of a row of their label with a lesser id.
+
+    Candidates are the least ids among the rows that share one of MIN_HASHES least hashes; a shared one alone proves nothing.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salts = mix(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
+        for batch in batches:
+            ids, labels, buckets = [], [], []
+            for row, text, toxic in zip(batch["_id"], batch["text"], batch["toxic"], strict=True):
+                found = shingle_set(text, COPIES.words)
+                if len(found):
+                    ids += [row] * MIN_HASHES
+                    labels += [toxic] * MIN_HASHES
+                    buckets += [int(mix(found ^ salt).min()) >> 1 for salt in salts]
+            yield pd.DataFrame({"_id": np.array(ids, np.int64), "toxic": np.array(labels, np.int32), "bucket": np.array(buckets, np.int64)})
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([linked(shingle_set(x, COPIES.words), shingle_set(y, COPIES.words), COPIES) for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    buckets = rows.mapInPandas(run, "_id long, toxic int, bucket long")
+    lead = Window.partitionBy("toxic", "bucket")
+    # Buckets of a sample of bounded size.
+    pairs = buckets.withColumn("lead", F.min("_id").over(lead)).where("_id <> lead").select("_id", "lead").distinct()
+    text = lambda name: rows.select(F.col("_id").alias(f"_{name}"), F.col("text").alias(name))
+    met = pairs.join(text("a"), F.col("lead") == F.col("_a")).join(text("b"), F.col("_id") == F.col("_b"))
+    return met.where(alike("a", "b")).select(F.col("_id").alias("_copy")).distinct()
 
 
 def learn_lexicon(rows: DataFrame) -> set[str]:
@@ -222,7 +253,7 @@ def learn_chain(rows: DataFrame, lexicon: set[str], sample: int = CHAIN_SAMPLE)
     chosen = rows.where(F.lit(False))
     for r in rows.groupBy("toxic").count().collect():
         chosen = chosen.union(rows.where((F.col("toxic") == r["toxic"]) & (F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1, sample / r["count"])))))
-    pieces = durable(pieces_of(chosen.repartition(PARTIAL_SUMS, order), lexicon))
+    pieces = durable(pieces_of(durable(chosen).coalesce(PARTIAL_SUMS), lexicon))
 
     def evaluate(x: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast(x)
