@@ -81,8 +81,8 @@ def compact(text: Column, most: int) -> Column:
     """The normal text, or its head and tail with the number of characters left out between them."""
     whole = normal(text)
     head, tail = trimmed(F.substring(whole, 1, most * 72 // 100)), trimmed(F.expr("''") if most * 20 // 100 == 0 else F.right(whole, F.lit(most * 20 // 100)))
-    cut = F.concat(head, F.lit("\n...[中间省略 "), (F.char_length(whole) - F.char_length(head) - F.char_length(tail)).cast("string"), F.lit(" 字]...\n"), tail)
-    return F.when(F.char_length(whole) <= most, whole).otherwise(cut)
+    cut = F.concat(head, F.lit("\n...[中间省略 "), (units(whole) - units(head) - units(tail)).cast("string"), F.lit(" 字]...\n"), tail)
+    return F.when(units(whole) <= most, whole).otherwise(cut)
 
 
 def knowledge_score(line: Column) -> Column:
@@ -94,7 +94,7 @@ def knowledge_score(line: Column) -> Column:
     return (
         score + F.when(bare.rlike(KNOWLEDGE_HEAD), 6).otherwise(0) + F.when(bare.rlike("[。；;]$"), 1).otherwise(0)
         - F.when(line.rlike(r"[{}()\[\]<>]"), 2).otherwise(0) - F.when(line.rlike(CODE_LIKE), 3).otherwise(0)
-        - F.when(F.char_length(line) < 18, 2).otherwise(0) - F.when(F.char_length(line) > 280, 1).otherwise(0)
+        - F.when(units(line) < 18, 2).otherwise(0) - F.when(units(line) > 280, 1).otherwise(0)
     ).cast("long")
 
 
@@ -151,3 +151,51 @@ def decoded(text: Column) -> Column:
     for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(sign))
     return text
+
+
+# A numbered line, words of code, tags of cards by what the text says, and marks of instructions.
+NUMBERED_LINE = r"^\s*\d+:\s*\S"
+CODE_WORD = r"\b(import|export|const|let|var|function|class|return|if|for|while|async|await|def|from|require)\b"
+VAULT_TAGS = (
+    ("智能体|Agent|agent|子代理|subagent|主代理", "领域/智能体"),
+    ("软件工程|代码库|代码执行|源码|项目结构|代码重构|工程重构", "领域/软件工程"),
+    ("(?i)知识管理|知识库|Obsidian|标签体系|vault", "领域/知识管理"),
+    ("(?i)本体建模|本体构建|本体图谱|ontology", "领域/本体"),
+    ("数字分身|数字人|张大仙|大仙", "领域/数字分身"),
+    ("代码执行|执行分析|工具调用", "主题/代码执行分析"),
+    ("代码库|源码|项目结构|大型代码", "主题/代码库分析"),
+    ("角色扮演", "主题/角色扮演训练"),
+    ("模型训练|微调|训练|LoRA|DPO|loss|embedding|词表", "主题/模型训练"),
+)
+INSTRUCTION_MARKS = (
+    ("<skills_instructions>", "skills"), ("<plugins_instructions>", "mcp"), ("<permissions instructions>", "reminders"),
+    ("<collaboration_mode>", "reminders"), ("<app-context>", "reminders"),
+)
+
+
+def looks_like_code(text: Column) -> Column:
+    """Two lines or more that aren't blank, and enough of them numbered or with a word of code."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
+    n = F.size(lines)
+    numbered, words = F.size(F.filter(lines, lambda x: x.rlike(NUMBERED_LINE))), F.size(F.filter(lines, lambda x: x.rlike(CODE_WORD)))
+    share = lambda k, of: k >= F.lit(of) * n
+    return (n >= 2) & (share(numbered, 0.6) | (share(numbered, 0.3) & (words >= 2)) | share(words, 0.3) | (words >= 5))
+
+
+def looks_like_diff(text: Column) -> Column:
+    """A line that begins a git diff, or a row of a table with a diff's sign above the line below its head."""
+    lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    return lines.rlike(r"(^|\n)\s*diff --git ") | lines.rlike(r"(^|\n)[+\- ]\|[^\n]*\|[^\S\n]*\n\s?\|[\s\-:|]+\|[^\S\n]*(\n|$)")
+
+
+def vault_tags(text: Column) -> Column:
+    """Tags of a card by what its text says, in their fixed order."""
+    return F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(tag)) for pattern, tag in VAULT_TAGS]))
+
+
+def instruction_kind(text: Column) -> Column:
+    """What a developer's instruction is about, by the first of its marks."""
+    out = None
+    for mark, kind in INSTRUCTION_MARKS:
+        out = F.when(text.contains(mark), kind) if out is None else out.when(text.contains(mark), kind)
+    return out.otherwise("sysPrompt")

@@ -74,9 +74,17 @@ def knowledge_lines(read):
     return lines.select("doc_id", F.col("place").cast("long").alias("place"), X.knowledge_score(F.col("line")).alias("score"))
 
 
-@query("x11_best_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents), k AS (SELECT doc_id, place, regexp_replace(line, '^[-*]\\s+', '') AS line FROM l WHERE length(regexp_replace(line, '^[-*]\\s+', '')) >= 8),
-    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, left(line, 80) ORDER BY length(line) DESC, place) AS n FROM k) WHERE n = 1)
-    SELECT doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, place) AS r FROM d) WHERE r <= 10""")
+TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+#: Reasoning: lines without list marks of 8 characters or more, those scored above 0, best first, one for each first 80 characters, ten at most; else the whole.
+BEST_LINES = f"""WITH w AS (SELECT doc_id, {TRIM("replace(text, chr(13) || chr(10), chr(10))")} AS whole, len(string_split(regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '^\\s*'), chr(10))) - 1 AS lead FROM documents),
+    t AS (SELECT * FROM w WHERE whole <> ''), l AS (SELECT doc_id, unnest(string_split(whole, chr(10))) AS raw, generate_subscripts(string_split(whole, chr(10)), 1) - 1 + lead AS place FROM t),
+    b AS (SELECT doc_id, place, {TRIM("regexp_replace(raw, '^[-*]\\s+', '')")} AS line FROM l), s AS (SELECT doc_id, place, line, {SCORE} AS score FROM b WHERE length(line) >= 8),
+    k AS (SELECT * FROM s WHERE score > 0), d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY doc_id, left(line, 80) ORDER BY score DESC, place) = 1)
+    SELECT doc_id, CAST(place AS BIGINT) AS place FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) <= 10)
+    UNION ALL SELECT doc_id, NULL FROM t WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
+
+
+@query("x11_best_lines", BEST_LINES)
 def best_lines(read):
     """Lines of a knowledge score above 0, best first: one per first 80 characters, ten per text.
 
@@ -111,11 +119,14 @@ def file_names(read):
     return read("documents").select("doc_id", F.concat(F.substring(head, 1, 30), F.lit("-"), F.substring(F.sha1("text"), 1, 8), F.lit(".md")).alias("name"))
 
 
-@query("x23_tags", """SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]{1,3}(\\.[0-9]{1,3}){3}') THEN 'address' END, CASE WHEN regexp_matches(text, '@') THEN 'mail' END, CASE WHEN lang <> 'en' THEN 'foreign' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents""")
+TAG_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{pattern}') THEN '{tag}' END" for pattern, tag in X.VAULT_TAGS) + "], lambda x: x IS NOT NULL)"
+
+
+@query("x23_tags", f"SELECT doc_id, array_to_string({TAG_SQL}, ',') AS tags FROM (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text || ' subagent 代码库 LoRA' FROM conversations)")
 def tags(read):
-    t = F.col("text")
-    rules = (("licence", t.rlike("(?i)licen[sc]e")), ("address", t.rlike(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")), ("mail", t.rlike("@")), ("foreign", F.col("lang") != "en"))
-    return read("documents").select("doc_id", F.array_join(F.filter(F.array(*[F.when(rule, name) for name, rule in rules]), lambda x: x.isNotNull()), ",").alias("tags"))
+    chat = read("conversations").select((F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.concat("text", F.lit(" subagent 代码库 LoRA")).alias("text"))
+    rows = read("documents").select("doc_id", "text").unionByName(chat)
+    return rows.select("doc_id", F.array_join(X.vault_tags(F.col("text")), ",").alias("tags"))
 
 
 @query("x24_xml_escaped", """SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS text FROM documents""")
@@ -140,16 +151,50 @@ def distinct_content(read):
     return read("documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("f12_code_like", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '[;{{}}]\\s*$|^\\s*(import|const|function|def|class)\\s|=>')) AS k FROM l WHERE trim(line) <> '' GROUP BY doc_id) SELECT doc_id, k / n >= 0.4 AS code FROM r""")
+@query("f12_code_like", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    r AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '\\S')) AS n, count(*) FILTER (regexp_matches(line, '{X.NUMBERED_LINE}')) AS numbered, count(*) FILTER (regexp_matches(line, '{X.CODE_WORD}')) AS signs FROM l GROUP BY doc_id)
+    SELECT doc_id, n >= 2 AND (numbered >= 0.6 * n OR (numbered >= 0.3 * n AND signs >= 2) OR signs >= 0.3 * n OR signs >= 5) AS code FROM r""")
 def code_like(read):
-    lines = read("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    hits = F.count_if(F.col("line").rlike(r"[;{}]\s*$|^\s*(import|const|function|def|class)\s|=>"))
-    return lines.groupBy("doc_id").agg((hits / F.count("*") >= 0.4).alias("code"))
+    return read("documents").where("text is not null").select("doc_id", X.looks_like_code(F.col("text")).alias("code"))
+
+
+@query("f12_diff_like", r"""WITH n AS (SELECT doc_id, text, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM (
+        SELECT doc_id, text FROM documents UNION ALL SELECT -1 - page_id, CASE page_id % 3 WHEN 0 THEN 'x' || chr(10) || '  diff --git a b' WHEN 1 THEN '+| a | b |' || chr(10) || ' |---|---|' ELSE '|a|' || chr(10) || '|-|' END || url FROM pages))
+    SELECT doc_id, list_bool_or(list_transform(l, lambda x: starts_with(trim(x), 'diff --git '))) OR list_bool_or(list_transform(range(1, len(l)), lambda i: regexp_matches(l[i], '^[+\- ]\|.*\|\s*$') AND regexp_matches(l[i + 1], '^\s?\|[\s\-:|]+\|\s*$'))) IS TRUE AS diff FROM n WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+def diff_like(read):
+    made = F.when(F.col("page_id") % 3 == 0, F.lit("x\n  diff --git a b")).when(F.col("page_id") % 3 == 1, F.lit("+| a | b |\n |---|---|")).otherwise(F.lit("|a|\n|-|"))
+    rows = read("documents").select("doc_id", "text").unionByName(read("pages").select((-1 - F.col("page_id")).alias("doc_id"), F.concat(made, "url").alias("text")))
+    return rows.where("text is not null").select("doc_id", X.looks_like_diff(F.col("text")).alias("diff"))
 
 
-@query("f13_redacted", r"""SELECT doc_id, CASE WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(sk|pk|ghp|AKIA)[-_A-Za-z0-9]{12,}', '[REDACTED]', 'g'), 'Bearer [A-Za-z0-9._-]+', 'Bearer [REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g') AS t FROM documents)""")
+@query("f13_redacted", f"""SELECT doc_id, CASE WHEN length(text) >= 20 AND regexp_matches(text, '{redact.SECRET_VALUE}') THEN '{redact.SANITIZED}' WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS text
+    FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents UNION ALL SELECT -1000000000 - doc_id, left(text, 30) FROM documents)""")
 def redacted(read):
-    return read("documents").select("doc_id", redact.shortened(redact.without_secrets(F.col("text")), 200).alias("text"))
+    docs = read("documents")
+    rows = docs.select("doc_id", "text").union(docs.select(-1 - F.col("doc_id"), F.sha2("text", 256))).union(docs.select(-1_000_000_000 - F.col("doc_id"), F.substring("text", 1, 30)))
+    return rows.select("doc_id", redact.for_log(F.col("text")).alias("text"))
+
+
+@query("f13_sensitive_keys", f"""WITH k AS (SELECT page_id, unnest(['api-key', 'apikey', 'X_TOKEN', 'host', 'Authorization', 'credentials', 'passwordless', 'note']) AS key, url FROM pages)
+    SELECT page_id, key, CASE WHEN regexp_matches(key, '(?i){redact.SENSITIVE_KEY}') THEN '{redact.SANITIZED}' WHEN length(url) > 200 THEN left(url, 197) || '...' WHEN length(url) >= 20 AND regexp_matches(url, '{redact.SECRET_VALUE}') THEN '{redact.SANITIZED}' ELSE url END AS value FROM k""")
+def sensitive_keys(read):
+    names = F.array(*[F.lit(x) for x in ("api-key", "apikey", "X_TOKEN", "host", "Authorization", "credentials", "passwordless", "note")])
+    filled = read("pages").select("page_id", F.explode(redact.fields(F.map_from_arrays(names, F.array_repeat(F.col("url"), 8)))).alias("key", "value"))
+    return filled
+
+
+@query("f14_headers", """WITH k AS (SELECT page_id, unnest(['Cookie', 'Set-Cookie', 'X-Auth-Token', 'api-key', 'accept', 'Proxy-Authorization', 'client_secret']) AS key, url FROM pages)
+    SELECT page_id, key, CASE WHEN lower(key) = 'cookie' OR contains(lower(key), 'auth') OR contains(lower(key), 'key') OR contains(lower(key), 'token') OR contains(lower(key), 'secret') THEN '[REDACTED]' ELSE url END AS value FROM k""")
+def shown_headers(read):
+    names = F.array(*[F.lit(x) for x in ("Cookie", "Set-Cookie", "X-Auth-Token", "api-key", "accept", "Proxy-Authorization", "client_secret")])
+    return read("pages").select("page_id", F.explode(redact.headers(F.map_from_arrays(names, F.array_repeat(F.col("url"), 7)))).alias("key", "value"))
+
+
+@query("x7_instruction_kinds", """WITH m AS (SELECT page_id, (CASE page_id % 6 WHEN 0 THEN '<skills_instructions>' WHEN 1 THEN '<plugins_instructions>' WHEN 2 THEN '<permissions instructions>' WHEN 3 THEN '<app-context>' WHEN 4 THEN '<collaboration_mode>' ELSE '' END) || html AS text FROM pages)
+    SELECT page_id, CASE WHEN contains(text, '<skills_instructions>') THEN 'skills' WHEN contains(text, '<plugins_instructions>') THEN 'mcp' WHEN contains(text, '<permissions instructions>') OR contains(text, '<collaboration_mode>') OR contains(text, '<app-context>') THEN 'reminders' ELSE 'sysPrompt' END AS kind FROM m""")
+def instruction_kinds(read):
+    marks = F.array(*[F.lit(m) for m in ("<skills_instructions>", "<plugins_instructions>", "<permissions instructions>", "<app-context>", "<collaboration_mode>", "")])
+    return read("pages").select("page_id", X.instruction_kind(F.concat(F.get(marks, F.col("page_id") % 6), "html")).alias("kind"))
 
 
 @query("p12_source_of_url", "SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile' WHEN starts_with(url, 'https://') THEN 'secure' WHEN starts_with(url, 'http://') THEN 'plain' ELSE 'unknown' END AS source FROM pages")
@@ -177,13 +222,13 @@ def distinct_blocks(read):
     return once.groupBy("category").agg(F.sum(X.units(F.col("text"))).alias("chars"))
 
 
-@query("a15_filled_seeds", "SELECT source, coalesce(nullif(CAST(sum(n_chars) FILTER (doc_id % 40 = 0) AS BIGINT), 0), 5768) AS chars FROM documents GROUP BY source")
+@query("a15_filled_seeds", "SELECT source, coalesce(nullif(CAST(sum(n_chars) AS BIGINT), 0), 5768) AS chars FROM documents GROUP BY source")
 def filled_seeds(read):
     own = F.coalesce(F.sum("n_chars"), F.lit(0))
     return read("documents").groupBy("source").agg(F.when(own == 0, 5768).otherwise(own).cast("long").alias("chars"))
 
 
-@query("a30_memory_chars", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id < 100 GROUP BY source")
+@query("a30_memory_chars", "SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
 def memory_chars(read):
     return read("documents").groupBy("source").agg(F.sum(X.units(F.col("text"))).alias("chars"))
 

@@ -9,8 +9,8 @@ from turnmill.operators import graph as G
 from turnmill.operators.windows import first_of, over, placed, top_of
 from turnmill.plans.base import query
 
-EDGES = """edges AS (SELECT l_partkey % 500 AS s, l_suppkey % 500 + l_linenumber AS t, l_returnflag AS label, l_linestatus = 'O' AS directed, l_orderkey AS first_turn, l_discount AS conf, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey % 20 = 0),
-    nodes AS (SELECT p_partkey AS id, p_name AS label, p_type AS type, p_size AS first_turn, p_retailprice AS conf FROM part WHERE p_partkey <= 480)"""
+EDGES = """edges AS (SELECT l_partkey % 500 AS s, l_suppkey % 500 + l_linenumber AS t, l_returnflag AS label, l_linestatus = 'O' AS directed, l_orderkey AS first_turn, l_discount AS conf, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
+    nodes AS (SELECT p_partkey AS id, p_name AS label, p_type AS type, p_size AS first_turn, p_retailprice AS conf FROM part)"""
 
 
 def edges(read):
@@ -77,7 +77,7 @@ def first_range(read):
     return G.first_range(read("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("at")), F.broadcast(ranges))
 
 
-@query("u3_label_jaccard", """WITH p AS (SELECT p_partkey AS id, p_type AS block, list_distinct(string_split(p_name, '')) AS c FROM part WHERE p_partkey <= 600)
+@query("u3_label_jaccard", """WITH p AS (SELECT p_partkey AS id, p_type AS block, list_distinct(string_split(p_name, '')) AS c FROM part)
     SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) AS similarity FROM p AS a JOIN p AS b ON a.block = b.block AND a.id < b.id WHERE len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))) > 0.7""")
 def label_jaccard(read):
     p = read("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("block"), characters(F.col("p_name")).alias("c"))
@@ -120,19 +120,19 @@ def synthesised_groups(read):
     return read("part").groupBy(F.col("p_brand").alias("grp")).agg(F.min("p_size").alias("first_turn"), F.max("p_size").alias("last_turn"), F.min_by("p_name", "p_partkey").alias("label"))
 
 
-@query("o3_sorted_nodes", "SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part WHERE p_size <= 5 ORDER BY place LIMIT 100")
+@query("o3_sorted_nodes", "SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS place FROM part ORDER BY place")
 def sorted_nodes(read):
     best = placed(read("part").select("p_retailprice", F.col("p_partkey").alias("id")), [F.desc("p_retailprice"), "id"], "n")
     return best.select("id", (F.col("n") + 1).alias("place"))
 
 
-@query("o4_type_ranked", """SELECT p_partkey AS id, CASE WHEN p_type LIKE '%A%' THEN 0 WHEN p_type LIKE '%E%' THEN 1 ELSE 2 END AS rank FROM part ORDER BY rank, p_partkey LIMIT 200""")
+@query("o4_type_ranked", """SELECT p_partkey AS id, CASE WHEN p_type LIKE '%A%' THEN 0 WHEN p_type LIKE '%E%' THEN 1 ELSE 2 END AS rank FROM part ORDER BY rank, p_partkey""")
 def type_ranked(read):
     rank = F.when(F.col("p_type").like("%A%"), 0).when(F.col("p_type").like("%E%"), 1).otherwise(2)
     return read("part").select(F.col("p_partkey").alias("id"), rank.alias("rank")).orderBy("rank", "id")
 
 
-@query("o1_newest_sessions", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+@query("o1_newest_sessions", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 def newest_sessions(read):
     return read("orders").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_custkey")
 
@@ -177,7 +177,7 @@ def label_support(read):
     return read("part").select("p_partkey", snippet.contains(F.lower(F.substring("p_name", 1, 2))).alias("supported"))
 
 
-@query("x27_lane_layout", "SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_brand) - 1 AS lane, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS row FROM part WHERE p_partkey <= 1000")
+@query("x27_lane_layout", "SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_brand) - 1 AS lane, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS row FROM part")
 def lane_layout(read):
     parts = placed(read("part").select("p_brand", "p_size", F.col("p_partkey").alias("id")), ["p_brand", "p_size", "id"], "place")
     begins = parts.groupBy("p_brand").agg(F.min("place").alias("begin"))

@@ -242,8 +242,8 @@ def last_result(read):
     SELECT t.session, t.kind, count(DISTINCT b.shard) AS shards FROM turns AS t JOIN b ON t.session = b.session AND t.turn_i BETWEEN b.a AND b.z GROUP BY t.session, t.kind""")
 def shards_touched(read):
     lines = turned(read)
-    shards = per_turn(read).groupBy("session", F.floor(F.col("turn_i") / 4).alias("shard")).agg(F.min("turn_i").alias("a"), F.max("turn_i").alias("z")).withColumnRenamed("session", "s")
-    return lines.join(shards, (F.col("session") == F.col("s")) & F.col("turn_i").between(F.col("a"), F.col("z"))).groupBy("session", "kind").agg(F.count_distinct("shard").alias("shards"))
+    # Shards are runs of four turns, so a turn's number names its shard.
+    return lines.groupBy("session", "kind").agg(F.count_distinct(F.floor(F.col("turn_i") / 4)).alias("shards"))
 
 
 @query("a24_evidence_scores", f"""{W}, e AS (SELECT session, count(*) AS n, count(DISTINCT kind) AS k, max(CASE kind WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.9 WHEN 'click' THEN 0.6 ELSE 0.45 END * least(1, value / 50)) AS top FROM lines GROUP BY session)
@@ -258,7 +258,7 @@ def evidence(read):
     """Lines as evidence: the kind names the source."""
     named = F.when(F.col("kind") == "purchase", "user").when(F.col("kind") == "signup", "reply").when(F.col("kind") == "click", "tool_summary").otherwise("reasoning_summary")
     cap = F.when(F.col("kind") == "purchase", 1.0).when(F.col("kind") == "signup", 0.9).when(F.col("kind") == "click", 0.6).otherwise(0.45)
-    return turned(read).select("session", "turn_i", "seq", named.alias("source"), (cap * F.least(F.lit(1.0), F.col("value") / 50)).alias("weight"), F.col("tokens").cast("string").alias("text"))
+    return turned(read).select("session", "turn_i", "seq", "kind", named.alias("source"), (cap * F.least(F.lit(1.0), F.col("value") / 50)).alias("weight"), F.col("tokens").cast("string").alias("text"))
 
 
 @query("a25_confidence", TURNED + """, g AS (SELECT session, kind, count(*) AS n, max(CASE kind WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.9 WHEN 'click' THEN 0.6 ELSE 0.45 END * least(1, value / 50)) AS top, count(DISTINCT turn_i) AS t, count(DISTINCT turn_i // 4) AS shards FROM turns GROUP BY session, kind),
@@ -269,9 +269,7 @@ def confidence(read):
     from turnmill.operators.graph import confidence as conf
     from turnmill.operators.graph import evidence_score
 
-    ev = evidence(read).withColumn("kind", F.lit(None).cast("string"))
-    lines = turned(read).select("session", "seq", F.col("kind").alias("k"))
-    ev = ev.join(lines, ["session", "seq"]).withColumn("kind", F.col("k")).drop("k")
+    ev = evidence(read)
     scored = evidence_score(ev, ["session", "kind"])
     support = ev.groupBy("session", "kind").agg(F.count_distinct("turn_i").alias("turns"), F.count_distinct(F.floor(F.col("turn_i") / 4)).alias("shards"))
     return scored.join(support, ["session", "kind"]).select("session", "kind", F.round(conf(F.lit(0.5), F.lit(False)), 9).alias("conf"))
