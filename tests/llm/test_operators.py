@@ -405,14 +405,14 @@ def test_chain_gradient():
     places = {w: i for i, w in enumerate(dict.fromkeys(w for d in words for w in d))}
     own = [toxicity.features_of(w) for w in places]
     piece = {"at": np.array([places[w] for d in words for w in d]), "toxic": np.array([1, 0, 0, 0, 1, 1, 0]), "ends": np.array([0, 3, 7]), "sizes": np.array(list(map(len, own))), "own": np.array(sum(own, []))}
-    piece |= {"before": np.array([toxicity.beside(w, "<") for w in places]), "behind": np.array([toxicity.beside(w, ">") for w in places])}
+    piece |= {"before": np.array([toxicity.beside(w, toxicity.BEFORE) for w in places]), "behind": np.array([toxicity.beside(w, toxicity.BEHIND) for w in places])}
     weights, step = np.random.default_rng(1).normal(size=toxicity.DIMENSION), np.array([[0.2, -0.4], [0.1, 0.6]])
 
     def likelihood(weights, step):
         score = lambda w: weights[toxicity.features_of(w)].sum()
         out, at = 0.0, 0
         for d in words:
-            emit = [score(w) + (weights[toxicity.beside(d[i - 1], "<")] if i else 0) + (weights[toxicity.beside(d[i + 1], ">")] if i + 1 < len(d) else 0) for i, w in enumerate(d)]
+            emit = [score(w) + (weights[toxicity.beside(d[i - 1], toxicity.BEFORE)] if i else 0) + (weights[toxicity.beside(d[i + 1], toxicity.BEHIND)] if i + 1 < len(d) else 0) for i, w in enumerate(d)]
             path = lambda ys, emit=emit: sum(e for e, y in zip(emit, ys, strict=True) if y) + sum(step[x] for x in zip((0, *ys), ys, strict=False))
             out += path(tuple(piece["toxic"][at : at + len(d)])) - math.log(sum(math.exp(path(ys)) for ys in itertools.product((0, 1), repeat=len(d))))
             at += len(d)
@@ -420,7 +420,7 @@ def test_chain_gradient():
 
     by_feature, by_pair, value = toxicity.gradient(piece, weights, step)
     assert math.isclose(value, likelihood(weights, step))
-    for f in {*toxicity.features_of("bad")[:4], toxicity.beside("bad", "<"), toxicity.beside("plain", ">")}:
+    for f in {*toxicity.features_of("bad")[:4], toxicity.beside("bad", toxicity.BEFORE), toxicity.beside("plain", toxicity.BEHIND)}:
         up, down = weights.copy(), weights.copy()
         up[f] += 1e-4
         down[f] -= 1e-4

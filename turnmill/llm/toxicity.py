@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,16 +48,32 @@ def keys_of(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in range(3, min(8, len(word)) + 1))]
 
 
-def features_of(word: str) -> list[int]:
-    """Numbers of a token's own features: word, prefixes, suffixes and shape."""
-    low = word.lower()
-    shape = "a" if word == low else "A" if word.isupper() else "Aa"
-    texts = [*keys_of(low), *(f"${low[-n:]}" for n in (2, 3) if len(low) > n), f"#{shape}{min(len(word), 12)}", "#"]
-    return [zlib.crc32(t.encode("utf-8", "surrogatepass")) % DIMENSION for t in texts]
+#: Beginnings of the hashed names of features: word, prefix, suffix, shape, word before, word behind; and the one that every token has.
+WORD, PREFIX, SUFFIX, SHAPE, BEFORE, BEHIND, EVERY = (zlib.crc32(mark) for mark in (b"=", b"^", b"$", b"#", b"<", b">", b"*"))
 
 
-def beside(word: str, mark: str) -> int:
-    return zlib.crc32((mark + word.lower()).encode("utf-8", "surrogatepass")) % DIMENSION
+def features_of(word: str) -> list[int]:
+    """Numbers of a token's own features: word, prefixes of 3 to 8 letters, suffixes of 2 and 3, shape."""
+    low, crc = word.lower(), zlib.crc32
+    raw = low.encode("utf-8", "surrogatepass")
+    plain = len(raw) == len(low)
+    out = [crc(raw, WORD)]
+    # The hash of a prefix goes on from that of the one before it.
+    at = crc(raw[:2] if plain else low[:2].encode("utf-8", "surrogatepass"), PREFIX)
+    for n in range(2, min(8, len(low))):
+        at = crc(raw[n : n + 1] if plain else low[n].encode("utf-8", "surrogatepass"), at)
+        out.append(at)
+    for n in (2, 3):
+        if len(low) > n:
+            out.append(crc(raw[-n:] if plain else low[-n:].encode("utf-8", "surrogatepass"), SUFFIX))
+    out.append(crc(b"%d" % (min(len(word), 12) + (0 if word == low else 20 if word.isupper() else 40)), SHAPE))
+    out.append(EVERY)
+    return [x % DIMENSION for x in out]
+
+
+def beside(word: str, mark: int) -> int:
+    """Number of the feature of a token with this word next to it: BEFORE or BEHIND."""
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass"), mark) % DIMENSION
 
 
 class Weighed(dict):
@@ -69,8 +86,8 @@ class Weighed(dict):
     def __missing__(self, word: str) -> int:
         self[word] = place = len(self.parts[0])
         self.parts[0].append(sum(map(self.weights.__getitem__, features_of(word))))
-        self.parts[1].append(self.weights[beside(word, "<")])
-        self.parts[2].append(self.weights[beside(word, ">")])
+        self.parts[1].append(self.weights[beside(word, BEFORE)])
+        self.parts[2].append(self.weights[beside(word, BEHIND)])
         return place
 
     def emissions(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +97,7 @@ class Weighed(dict):
             self.parts = ([], [], [])
         lists = [[self[w] for w in LETTERS.findall(t)] for t in texts]
         ends = np.cumsum([0, *map(len, lists)])
-        at = np.fromiter((i for one in lists for i in one), np.int64, int(ends[-1]))
+        at = np.fromiter(chain.from_iterable(lists), np.int64, int(ends[-1]))
         own, before, behind = (np.array(p) for p in self.parts)
         return (*joined_emissions(at, ends, own, before, behind), ends)
 
@@ -200,7 +217,7 @@ def pieces_of(rows: DataFrame, lexicon: set[str]) -> DataFrame:
             toxic = np.array([t and label(w) for words, t in chains for w in words], bool)
             own = [features_of(w) for w in places]
             out = {"at": at, "toxic": toxic, "ends": np.cumsum([0, *(len(w) for w, _ in chains)]).astype(np.int64), "sizes": np.array(list(map(len, own)), np.int32), "own": np.array([f for one in own for f in one], np.int32)}
-            out |= {"before": np.array([beside(w, "<") for w in places], np.int32), "behind": np.array([beside(w, ">") for w in places], np.int32)}
+            out |= {"before": np.array([beside(w, BEFORE) for w in places], np.int32), "behind": np.array([beside(w, BEHIND) for w in places], np.int32)}
             return pd.DataFrame({k: [v.tobytes()] for k, v in out.items()})
 
         chains, n = [], 0
