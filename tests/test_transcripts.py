@@ -80,6 +80,41 @@ def test_longest_branch(spark):
     assert [r["id"] for r in S.longest_branch(lines_of(spark, "s", rows)).orderBy("seq").collect()] == ["a", "b", "c", "e"]
 
 
+def test_longest_branch_of_deep_and_random_trees(spark):
+    import random
+
+    draw = random.Random(4)
+    deep = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(400)] + [(f"m{i}", f"n{draw.randrange(300)}") for i in range(60)]
+    wide = [(f"r{i}", f"r{draw.randrange(i)}" if i and draw.random() < 0.95 else None) for i in range(120)]
+    entry = lambda i, p: {"type": "message", "id": i, **({"parentId": p} if p else {}), "message": {}}
+    lines = lines_of(spark, "deep", [entry(*x) for x in deep]).union(lines_of(spark, "wide", [entry(*x) for x in wide]))
+    got = S.longest_branch(lines).orderBy("session", "depth").collect()
+    for session, tree in (("deep", deep), ("wide", wide)):
+        up, best = dict(tree), []
+        for i, _ in tree:
+            path = [i]
+            while up[path[-1]]:
+                path.append(up[path[-1]])
+            if len(path) >= len(best):
+                best = path
+        assert [r["id"] for r in got if r["session"] == session] == best[::-1]
+    assert S.longest_branch(lines.limit(0)).collect() == []
+
+
+def test_attachments(spark):
+    rows = [{"type": "attachment", "attachment": {"type": "skill_listing", "content": "x"}}, {"type": "attachment", "attachment": {"type": "other", "content": "y"}}, {"type": "attachment", "attachment": {"type": "task_reminder", "n": 1}}, {"type": "user"}]
+    got = S.claude_attachments(lines_of(spark, "s", rows)).orderBy("line_no").collect()
+    assert [(r["line_no"], r["attachment"], json.loads(r["content"])) for r in got] == [(1, "skill_listing", "x"), (3, "task_reminder", {"type": "task_reminder", "n": 1})]
+
+
+def test_collected_items(spark):
+    from turnmill.functions.json_text import collected_items
+
+    texts = {1: '[{"a": 1}, [{"a": 2}], 3]', 2: '{"results": [{"text": "{\\"a\\": 4}"}, {"text": "no"}]}', 3: "none", 4: None, 5: '[[[[{"a": 5}]]]]', 6: '[[[[[{"a": 6}]]]]]', 7: ""}
+    got = collected_items(spark.createDataFrame(list(texts.items()), "id int, t string"), "t").selectExpr("id", "place", "to_json(item) AS item").orderBy("id", "place").collect()
+    assert [(r["id"], json.loads(r["item"])["a"]) for r in got] == [(1, 1), (1, 2), (2, 4), (5, 5)]
+
+
 def test_files(spark, tmp_path):
     for name in ("p/one.jsonl", "p/agent-x.jsonl", "p/subagents/two.jsonl", "p/.hidden/three.jsonl"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.functions.json_text import collected_items, pure_code
 from turnmill.operators.layout import treemap
 from turnmill.plans.base import chat_lines, event_lines, query
 
@@ -66,3 +67,30 @@ def session_source(read):
 def treemap_layout(read):
     """Rectangles by category of each session; held by tests to fill the area without overlap."""
     return treemap(event_lines(read("events")).groupBy("session", F.col("kind").alias("category")).agg(F.sum("tokens").alias("tokens")))
+
+
+@query("x15_collected_items", """SELECT page_id, 0 AS place, page_id AS n FROM pages UNION ALL SELECT page_id, 1, page_id + 1 FROM pages UNION ALL SELECT page_id, 2, CAST(length(url) AS BIGINT) FROM pages WHERE url IS NOT NULL""")
+def items_collected(read):
+    """Answers of three items: an object, one within a text, and one within a fence within a text."""
+    n = lambda x: F.to_json(F.struct(x.alias("n")))
+    plain, quoted = n(F.col("page_id")), F.to_json(F.struct(n(F.col("page_id") + 1).alias("text")))
+    fenced = F.coalesce(F.to_json(F.struct(F.concat(F.lit("so:\n```json\n"), n(F.length("url")), F.lit("\n```")).alias("text"))), F.lit("7"))
+    answers = read("pages").select("page_id", "url", F.concat(F.lit('{"results":['), F.concat_ws(",", plain, quoted, F.when(F.col("url").isNotNull(), fenced)), F.lit("]}")).alias("answer"))
+    return collected_items(answers, "answer").select("page_id", F.element_at("place", 2).alias("place"), F.try_variant_get("item", "$.n", "long").alias("n"))
+
+
+@query("x32_pure_code", """WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '# Title' || chr(10) || '```py' || chr(10) || url || chr(10) || '```' WHEN 1 THEN '{"id": ' || page_id || '}' WHEN 2 THEN ' `a` `b`' || chr(10) || '字符数: 12 ' WHEN 3 THEN '[' || url ELSE html END AS text FROM pages UNION ALL SELECT -1 - doc_id, text FROM documents),
+    o AS (SELECT page_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS own FROM t),
+    r AS (SELECT page_id, own, regexp_replace(regexp_replace(regexp_replace(regexp_replace(own, '(?m)^# [^\\n]+\\n*', '', 'g'), '(?m)^字符数:\\s*\\d+\\s*$', '', 'g'), '(?m)^```[^\\n]*\\n[\\s\\S]*?\\n```$', '', 'g'), '`[^`\\n]+`', '', 'g') AS rest FROM o)
+    SELECT page_id, own <> '' AND (((starts_with(own, '{') OR starts_with(own, '[')) AND json_valid(own)) OR regexp_replace(rest, '^\\s+|\\s+$', '', 'g') = '') AS code FROM r""")
+def code_alone(read):
+    k, url = F.col("page_id") % 5, F.col("url")
+    made = (
+        F.when(k == 0, F.concat(F.lit("# Title\n```py\n"), url, F.lit("\n```")))
+        .when(k == 1, F.concat(F.lit('{"id": '), F.col("page_id").cast("string"), F.lit("}")))
+        .when(k == 2, F.lit(" `a` `b`\n字符数: 12 "))
+        .when(k == 3, F.concat(F.lit("["), url))
+        .otherwise(F.col("html"))
+    )
+    rows = read("pages").select("page_id", made.alias("text")).unionByName(read("documents").select((F.lit(-1) - F.col("doc_id")).alias("page_id"), "text"))
+    return rows.select("page_id", pure_code(F.col("text"), F.lit(True)).alias("code"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnmill.operators.lineage import settled
 from turnmill.operators.turns import turn_lines
 from turnmill.operators.windows import over
 
@@ -13,6 +14,8 @@ KNOWN_TYPES = ("assistant", "user", "system", "attachment", "mode", "permission-
 OPENCODE_TYPES = ("step_start", "step_finish", "tool_use", "text", "error")
 OPENCLAW_UPDATES = ("user_message_chunk", "agent_message_chunk", "agent_thought_chunk", "tool_call", "tool_call_update", "usage_update", "session_info_update")
 PI_EVENTS = ("agent_start", "agent_end", "turn_start", "turn_end", "message_start", "message_update", "message_end", "tool_execution_start", "tool_execution_end", "auto_compaction_start", "auto_compaction_end")
+TREE_TYPES = ("message", "custom", "compaction")
+ATTACHMENTS = ("skill_listing", "task_reminder", "mcp_instructions_delta", "ultra_effort_enter")
 SNIFFED_LINES = 25
 NOTIFICATION = "<task-notification>"
 BLOCKS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,is_error:boolean,content:string>>"
@@ -174,19 +177,37 @@ def codex_usage(lines: DataFrame) -> DataFrame:
 
 
 def longest_branch(lines: DataFrame) -> DataFrame:
-    """(session, seq, id, depth): messages on a tree-shaped log's longest path from root to leaf; of equally long paths that of the later leaf.
+    """(session, seq, id, depth): entries on a tree-shaped log's longest path from root to leaf; of equally long paths that of the later leaf.
 
-    The walk from every root down is a recursive query; a cycle has no root and is left out.
+    Of entries with one id the last counts.  What hangs from a cycle has no root and is left out.  Ancestors are found at distances 1, 2, 4 and
+    so on, so a branch of n entries takes log2(n) joins, and no path is ever held in one row.
     """
     v = F.col("v")
-    nodes = pi_lines(lines).where(F.col("error").isNull() & (F.col("type") == "message")).select("session", "seq", text_of(v, "$.id").alias("id"), text_of(v, "$.parentId").alias("parent"))
-    nodes.createOrReplaceTempView("turnmill_tree")
-    walked = nodes.sparkSession.sql("""
-        WITH RECURSIVE down(session, seq, id, depth, path) AS (
-            SELECT session, seq, id, 0, array(seq) FROM turnmill_tree t
-            WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM turnmill_tree p WHERE p.session = t.session AND p.id = t.parent)
-            UNION ALL
-            SELECT c.session, c.seq, c.id, d.depth + 1, concat(d.path, array(c.seq)) FROM down d JOIN turnmill_tree c ON c.session = d.session AND c.parent = d.id)
-        SELECT * FROM down""")
-    best = walked.groupBy("session").agg(F.max_by("path", F.struct("depth", "seq")).alias("best"))
-    return walked.join(best, "session").where(F.array_contains("best", F.col("seq"))).select("session", "seq", "id", "depth")
+    own = F.struct("seq", text_of(v, "$.parentId").alias("parent"))
+    entries = pi_lines(lines).where(F.col("error").isNull() & F.col("type").isin(*TREE_TYPES)).withColumn("id", text_of(v, "$.id")).where("id <> ''")
+    nodes = entries.groupBy("session", "id").agg(F.max_by(own, "seq").alias("own")).select("session", "id", "own.*")
+    known = nodes.select("session", F.col("id").alias("up"))
+    tied = nodes.withColumnRenamed("parent", "up").join(known.withColumn("_known", F.lit(True)), ["session", "up"], "left")
+    level = settled(tied.select("session", "id", "seq", F.when(F.col("_known"), F.col("up")).alias("up"), F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("depth")))
+    largest = level.groupBy("session").count().agg(F.max("count")).first()[0] or 0
+    levels, reach = [], 1
+    while reach <= largest and not level.where("up IS NOT NULL").isEmpty():
+        levels.append(level)
+        further = level.select("session", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        level = settled(level.join(further, ["session", "up"], "left").select("session", "id", "seq", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        reach *= 2
+    rooted = level.where("up IS NULL").select("session", "id", "seq", "depth")
+    marked = rooted.groupBy("session").agg(F.max_by("id", F.struct("depth", "seq")).alias("id"))
+    # Every distance is a sum of different powers of two, so each ancestor of the leaf is marked once.
+    for jumps in reversed(levels):
+        marked = marked.join(jumps.select("session", "id", "up"), ["session", "id"], "left").select("session", F.explode(F.array_compact(F.array("id", "up"))).alias("id"))
+    return rooted.join(marked, ["session", "id"]).select("session", "seq", "id", "depth")
+
+
+def claude_attachments(lines: DataFrame) -> DataFrame:
+    """session, line_no, attachment, content (JSON) of attachment lines of the kinds that add to the context; without content, the whole attachment."""
+    v = F.col("v")
+    kind = text_of(v, "$.attachment.type")
+    content = F.coalesce(F.try_variant_get(v, "$.attachment.content", "variant"), F.try_variant_get(v, "$.attachment", "variant"))
+    kept = parsed(lines).where((text_of(v, "$.type") == "attachment") & kind.isin(*ATTACHMENTS))
+    return kept.select("session", "line_no", kind.alias("attachment"), F.to_json(content).alias("content"))
