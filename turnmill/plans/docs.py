@@ -197,12 +197,6 @@ def instruction_kinds(read):
     return read("pages").select("page_id", X.instruction_kind(F.concat(F.get(marks, F.col("page_id") % 6), "html")).alias("kind"))
 
 
-@query("p12_source_of_url", "SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile' WHEN starts_with(url, 'https://') THEN 'secure' WHEN starts_with(url, 'http://') THEN 'plain' ELSE 'unknown' END AS source FROM pages")
-def source_of_url(read):
-    url = F.col("url")
-    return read("pages").select("page_id", F.when(url.startswith("https://m."), "mobile").when(url.startswith("https://"), "secure").when(url.startswith("http://"), "plain").otherwise("unknown").alias("source"))
-
-
 @query("x17_decoded_entities", """SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS html FROM pages""")
 def decoded_entities(read):
     return read("pages").select("page_id", X.decoded(F.col("html")).alias("html"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnmill.functions import content as C
 from turnmill.functions.json_text import collected_items, pure_code
 from turnmill.operators.layout import treemap
 from turnmill.plans.base import chat_lines, event_lines, query
@@ -57,10 +58,70 @@ def first_nonempty(read):
     return chat_lines(read("conversations")).where("line_no < 50 and text <> '' and role <> 'system'").groupBy("session").agg(F.min_by("text", "line_no").alias("text"))
 
 
-@query("p11_session_source", "SELECT page_id, CASE WHEN contains(lower(url), 'blog.') THEN 'blog' WHEN contains(lower(url), 'www.') THEN 'site' WHEN page_id % 2 = 0 THEN 'even' ELSE 'other' END AS source FROM pages")
+# Names of models, versions and files, dealt to pages by number.
+MODELS, VERSIONS, FILES = ("Claude-Opus", "opencode", "PI", "openclaw", "gpt-x", "other"), ("1.0", "opencode-2", "pi", "OpenClaw 3", "codex 4"), ("rollout-1.jsonl", "a.jsonl")
+SOURCE_ROWS = f"""m AS (SELECT page_id, url, CASE WHEN page_id % 13 = 0 THEN 'pi' WHEN page_id % 13 = 1 THEN 'elsewhere' END AS source, {list(MODELS)}[page_id % 7 + 1] AS model, {list(VERSIONS)}[page_id // 7 % 6 + 1] AS version, {list(FILES)}[page_id // 42 % 2 + 1] AS filename FROM pages),
+    l AS (SELECT *, lower(coalesce(model, '')) AS lm, lower(coalesce(version, '')) AS lv, lower(coalesce(filename, '')) AS lf FROM m),
+    s AS (SELECT *, CASE WHEN source IN ('codex', 'claude', 'opencode', 'pi', 'openclaw') THEN source WHEN contains(lm, 'claude') THEN 'claude' WHEN lm = 'opencode' OR contains(lv, 'opencode') THEN 'opencode' WHEN lm = 'pi' OR lv = 'pi' THEN 'pi'
+          WHEN lm = 'openclaw' OR contains(lv, 'openclaw') THEN 'openclaw' WHEN contains(lm, 'gpt') OR contains(lm, 'codex') OR contains(lv, 'codex') OR starts_with(lf, 'rollout-') THEN 'codex' ELSE 'claude' END AS found FROM l)"""
+
+
+def source_rows(read):
+    k = F.col("page_id")
+    dealt = lambda names, at: F.get(F.array(*map(F.lit, names)), at.cast("int"))
+    stored = F.when(k % 13 == 0, "pi").when(k % 13 == 1, "elsewhere")
+    return read("pages").select("page_id", "url", stored.alias("source"), dealt(MODELS, k % 7).alias("model"), dealt(VERSIONS, F.floor(k / 7) % 6).alias("version"), dealt(FILES, F.floor(k / 42) % 2).alias("filename"))
+
+
+@query("p11_session_source", f"WITH {SOURCE_ROWS} SELECT page_id, found AS source FROM s")
 def session_source(read):
-    url = F.lower("url")
-    return read("pages").select("page_id", F.when(url.contains("blog."), "blog").when(url.contains("www."), "site").when(F.col("page_id") % 2 == 0, "even").otherwise("other").alias("source"))
+    return source_rows(read).select("page_id", C.session_source(F.col("source"), F.col("model"), F.col("version"), F.col("filename")).alias("source"))
+
+
+@query("p12_inferred_source", f"""WITH {SOURCE_ROWS}, p AS (SELECT *, '/home/u/' || CASE page_id % 5 WHEN 0 THEN '.codex/' WHEN 1 THEN '.pi/agent/sessions/' WHEN 2 THEN '.local/share/opencode/' WHEN 3 THEN '.openclaw/' ELSE 'work/' END || filename AS path FROM l)
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'codex' WHEN 1 THEN 'pi' WHEN 2 THEN 'opencode' WHEN 3 THEN 'openclaw' ELSE CASE WHEN version = 'pi' THEN 'pi' ELSE 'claude' END END AS by_path,
+           CASE WHEN lm IN ('opencode', 'pi', 'openclaw') THEN lm WHEN contains(lm, 'codex') THEN 'codex' WHEN contains(lm, 'claude') THEN 'claude' END AS by_model FROM p""")
+def inferred_source(read):
+    folder = F.get(F.array(*[F.lit(folder) for folder, _ in C.FOLDERS]), (F.col("page_id") % 5).cast("int"))
+    path = F.concat(F.lit("/home/u/"), F.coalesce(folder, F.lit("work/")), "filename")
+    label = F.when(F.col("version") == "pi", "pi-session").otherwise("unknown")
+    return source_rows(read).where("filename IS NOT NULL").select("page_id", C.source_of_file(path, "/home/u", label).alias("by_path"), C.source_of_model(F.col("model")).alias("by_model"))
+
+
+@query("p13_model_for_source", f"WITH {SOURCE_ROWS} SELECT page_id, CASE WHEN found = 'openclaw' AND lm = 'pi' THEN 'openclaw' ELSE lm END AS model FROM s")
+def model_for_source(read):
+    rows = source_rows(read).withColumn("model", F.lower(F.coalesce("model", F.lit(""))))
+    return rows.select("page_id", C.model_for_source(F.col("model"), C.session_source(F.col("source"), F.col("model"), F.col("version"), F.col("filename"))).alias("model"))
+
+
+def blocks_of(read, *made):
+    """``conversations`` with v, a variant of a list of the given structs."""
+    return read("conversations").select("conv_id", "turn", F.parse_json(F.concat(F.lit("["), F.concat_ws(",", *[F.to_json(x) for x in made]), F.lit("]"))).alias("v"))
+
+
+@query("p6_codex_texts", r"""SELECT conv_id, turn, concat_ws(chr(10), nullif(text, ''), nullif(role, '')) AS content, concat_ws(chr(10) || chr(10), nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), ''), 'no', nullif(regexp_replace(role, '^\s+|\s+$', '', 'g'), '')) AS reasoning,
+    concat_ws(chr(10), coalesce(text, '{"type":"input_text"}'), '{"content":"no","type":"image"}', coalesce(role, '{"type":"output_text"}')) AS output FROM conversations""")
+def codex_texts(read):
+    block = lambda kind, name: F.struct(F.lit(kind).alias("type"), F.col(name).alias("text"))
+    v = F.col("v")
+    rows = blocks_of(read, block("input_text", "text"), F.struct(F.lit("image").alias("type"), F.lit("no").alias("content")), block("output_text", "role"))
+    return rows.select("conv_id", "turn", C.codex_text(v).alias("content"), C.codex_reasoning(v).alias("reasoning"), C.output_text(v).alias("output"))
+
+
+@query("p7_nested_texts", """SELECT conv_id, turn, concat_ws(chr(10), nullif(text, ''), nullif(role, '')) AS pi, concat_ws(chr(10), coalesce(nullif(text, ''), CASE WHEN text IS NULL THEN '{}' END), coalesce(nullif(role, ''), CASE WHEN role IS NULL THEN '{}' END), '{"n":' || turn || '}') AS openclaw FROM conversations""")
+def nested_texts(read):
+    rows = blocks_of(read, F.struct("text"), F.struct(F.col("role").alias("content")), F.struct(F.col("turn").alias("n")))
+    return rows.select("conv_id", "turn", C.pi_text(F.col("v")).alias("pi"), C.openclaw_text(F.col("v")).alias("openclaw"))
+
+
+@query("p8_opencode_parts", """SELECT event_id, event_type AS name, '{"n":' || event_id || '}' AS input, 'done' AS result, CAST(greatest(user_id - event_id, 0) AS BIGINT) AS duration_ms, event_type = 'error' AS is_error, CAST(user_id AS DOUBLE) AS input_tokens, CAST(event_id AS DOUBLE) AS cached FROM events""")
+def opencode_parts(read):
+    struct = lambda **c: F.struct(*[x.alias(n) for n, x in c.items()])
+    event, user = F.col("event_id"), F.col("user_id")
+    state = struct(input=struct(n=event), output=F.lit("done"), status=F.upper("event_type"), time=struct(start=event, end=user))
+    part = F.parse_json(F.to_json(struct(tool=F.col("event_type"), state=state, tokens=struct(input=user, cache=struct(read=event)))))
+    rows = read("events").select("event_id", part.alias("part")).select("event_id", C.opencode_tool(F.col("part")).alias("t"), C.opencode_usage(F.col("part")).alias("u"))
+    return rows.select("event_id", "t.*", F.col("u.input").alias("input_tokens"), "u.cached")
 
 
 @query("x26_treemap")
