@@ -76,6 +76,13 @@ def neighbours(edges: DataFrame, centre: Column) -> DataFrame:
     return touching.select(F.explode(F.array("s", "t")).alias("id")).distinct()
 
 
+def farther(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of ``ids`` and those one edge further away: neighbours() of it are the nodes of two hops."""
+    out = edges.join(ids.withColumnRenamed("id", "s"), "s", "left_semi").select(F.col("t").alias("id"))
+    back = edges.join(ids.withColumnRenamed("id", "t"), "t", "left_semi").select(F.col("s").alias("id"))
+    return ids.union(out.distinct()).union(back.distinct()).distinct()
+
+
 def merged_graphs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; where both have a key the new one wins."""
     return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))

@@ -89,6 +89,13 @@ def one_hop(read):
     return G.neighbours(edges(read), F.lit(7))
 
 
+@query("j18_two_hops", W + ", e AS (SELECT DISTINCT s, t FROM edges WHERE label = 'N' AND directed AND first_turn < t * 1000), h AS (SELECT s AS id FROM e WHERE t = 7 OR s = 7 UNION SELECT t FROM e WHERE s = 7 OR t = 7) SELECT id FROM h UNION SELECT t FROM e WHERE s IN (SELECT id FROM h) UNION SELECT s FROM e WHERE t IN (SELECT id FROM h)")
+def two_hops(read):
+    """Of directed edges of one label that are older than a bound of their end."""
+    e = edges(read).where((F.col("label") == "N") & F.col("directed") & (F.col("first_turn") < F.col("t") * 1000))
+    return G.farther(e, G.neighbours(e, F.lit(7)))
+
+
 @query("j20_card_edges", W + ", h AS (SELECT s AS id FROM edges WHERE t = 7 OR s = 7 UNION SELECT t FROM edges WHERE s = 7 OR t = 7) SELECT seq, s, t FROM edges WHERE s IN (SELECT id FROM h) AND t IN (SELECT id FROM h)")
 def card_edges(read):
     e = edges(read)
