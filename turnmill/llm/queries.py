@@ -14,6 +14,7 @@ from turnmill.llm.knn import top_products
 from turnmill.llm.mixing import mix
 from turnmill.llm.near_dedup import Near, near_duplicates
 from turnmill.llm.sharding import assign_shards
+from turnmill.llm.token_counts import count_tokens
 from turnmill.llm.url_filter import filter_urls
 
 
@@ -61,6 +62,10 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_licence_sentences": op2_licence_sentences,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_subword_lattice": op8_subword_lattice,
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_chunk_recipes": op10_chunk_recipes,
+    "op11_token_counts": op11_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
