@@ -13,6 +13,7 @@ from turnmill.llm.exact_dedup import exact_dedup
 from turnmill.llm.knn import top_products
 from turnmill.llm.mixing import mix
 from turnmill.llm.near_dedup import Near, near_duplicates
+from turnmill.llm.phrases import mine_phrases
 from turnmill.llm.sharding import assign_shards
 from turnmill.llm.token_counts import count_tokens
 from turnmill.llm.url_filter import filter_urls
@@ -66,6 +67,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_pcy_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_licence_sentences": op2_licence_sentences,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_prefix_bpe": op9_prefix_bpe,
     "op10_chunk_recipes": op10_chunk_recipes,
     "op11_token_counts": op11_token_counts,
+    "op12_pcy_phrases": op12_pcy_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -123,4 +129,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM n JOIN g USING (t)
     """,
+    "op12_pcy_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)
+        ), f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY lang, phrase, m),
+        c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+        s AS (
+            SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+            FROM cuts
+            JOIN f AS l ON l.lang = cuts.lang AND l.phrase = array_to_string(list_slice(w, 1, k), ' ')
+            JOIN f AS r ON r.lang = cuts.lang AND r.phrase = array_to_string(list_slice(w, k + 1, cuts.m), ' ')
+        ), lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, a AS f, unnest(list_transform(range(1, m - j + 2), lambda i: array_to_string(list_slice(w, i, i + j - 1), ' '))) AS phrase
+            FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < m
+        ), holders AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase),
+        kept AS (SELECT lowest.* FROM lowest LEFT JOIN holders USING (lang, phrase) WHERE holders.f IS NULL OR 100 * holders.f < 80 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM ranked JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+    """,
 }
