@@ -15,6 +15,7 @@ from turnmill.llm.mixing import mix
 from turnmill.llm.near_dedup import Near, near_duplicates
 from turnmill.llm.phrases import mine_phrases
 from turnmill.llm.sharding import assign_shards
+from turnmill.llm.spelling import spelling_groups
 from turnmill.llm.token_counts import count_tokens
 from turnmill.llm.url_filter import filter_urls
 
@@ -71,6 +72,10 @@ def op12_pcy_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op13_parity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_licence_sentences": op2_licence_sentences,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chunk_recipes": op10_chunk_recipes,
     "op11_token_counts": op11_token_counts,
     "op12_pcy_phrases": op12_pcy_phrases,
+    "op13_parity_bands": op13_parity_bands,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,4 +161,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT lang, rank, phrase, a, l, r, n, score
         FROM ranked JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
     """,
+    "op13_parity_bands": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+        ), d AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+            FROM documents
+        ), e AS (SELECT w, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM d GROUP BY doc_id, w),
+        h AS (
+            SELECT w, n, hex(encode(s)) AS x FROM e
+        ), i AS (
+            SELECT w, n, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda k: CAST(('0x' || substr(x, k, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+            FROM h, crc
+        ), s AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, n FROM i
+        ), v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+        c AS (SELECT w, n, unnest(range(1, length(w) + 1)) AS k FROM v),
+        r AS (SELECT w, n, k, left(w, k - 1) || substr(w, k + 1) AS x FROM c),
+        p AS (
+            SELECT a.w AS a, b.w AS b, b.n FROM r AS a JOIN r AS b ON a.x = b.x AND a.k = b.k AND a.w <> b.w
+            UNION SELECT r.w, v.w, v.n FROM r JOIN v ON r.x = v.w
+            UNION SELECT v.w, r.w, r.n FROM r JOIN v ON r.x = v.w
+        ), near AS (SELECT a, count(*) AS n_near FROM p GROUP BY a),
+        top AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1),
+        f AS (
+            SELECT v.w AS word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 2 * v.n THEN top.b END AS form, CASE WHEN top.n >= 2 * v.n THEN top.n END AS form_n
+            FROM v LEFT JOIN near ON near.a = v.w LEFT JOIN top ON top.a = v.w
+        ), roots(word, root) AS (
+            SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, roots.root FROM f JOIN roots ON f.form = roots.word
+        )
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+    """,
 }
