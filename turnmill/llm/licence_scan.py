@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, with DataFrame functions alone.
 
 A text becomes one stream of words (a-z, 0-9) with a mark wherever a sentence may begin or end: at line breaks and
-behind . ! ? : ; before white space.  A known licence sentence is recognised where it begins at a mark and ends at one; marks
+behind . ! ? : ; before white space.  A known licence sentence is recognised where it begins at a mark and ends at one; one of
+``LONG`` words or more may begin behind any word (a list number, a comment's mark, a copyright notice).  Marks
 within it (wrapped lines, a colon) don't matter.  The identifiers found, in the order of the text, are matched
 against ordered rules.  All of it happens within a row: nothing is shuffled, and no length of text or sentence is left out.
 """
@@ -93,6 +94,44 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
+# Names behind "SPDX-License-Identifier:" in normal form, with the identifiers of the tags.
+SPDX = {
+    "mit": "mit-ref",
+    "apache 2 0": "apache-ref",
+    "bsd 2 clause": "bsd2-ref",
+    "bsd 3 clause": "bsd3-ref",
+    "0bsd": "zero-bsd-ref",
+    "isc": "isc-ref",
+    "zlib": "zlib-ref",
+    "unlicense": "unlicense-ref",
+    "mpl 2 0": "mpl2-ref",
+    "epl 1 0": "epl1-ref",
+    "epl 2 0": "epl2-ref",
+    "bsl 1 0": "bsl-ref",
+    "cc0 1 0": "cc0-ref",
+    "gpl 2 0": "gpl2-ref",
+    "gpl 2 0 only": "gpl2-ref",
+    "gpl 2 0 or later": "gpl2-ref",
+    "gpl 3 0": "gpl3-ref",
+    "gpl 3 0 only": "gpl3-ref",
+    "gpl 3 0 or later": "gpl3-ref",
+    "lgpl 2 1": "lgpl21-ref",
+    "lgpl 2 1 only": "lgpl21-ref",
+    "lgpl 2 1 or later": "lgpl21-ref",
+    "lgpl 3 0": "lgpl3-ref",
+    "lgpl 3 0 only": "lgpl3-ref",
+    "lgpl 3 0 or later": "lgpl3-ref",
+    "agpl 3 0": "agpl3-ref",
+    "agpl 3 0 only": "agpl3-ref",
+    "agpl 3 0 or later": "agpl3-ref",
+    "cc by 4 0": "cc-by-ref",
+    "cc by sa 4 0": "cc-by-sa-ref",
+    "cc by nc 4 0": "cc-by-nc-ref",
+}
+SENTENCES |= {f"spdx license identifier {name}": identifier for name, identifier in SPDX.items()}
+#: Words from which on a sentence is told by itself, wherever it begins.
+LONG = 12
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -101,9 +140,12 @@ class Rule:
     licence: str
     sentences: tuple[str, ...]
 
-    @property
-    def pattern(self) -> str:
-        return "," + ",(.*,)?".join(self.sentences) + ","
+    def fits(self, ids: Column) -> Column:
+        """Whether the identifiers hold the rule's in order: one walk that counts how many have been met, so linear in their number."""
+        if len(self.sentences) == 1:
+            return F.array_contains(ids, self.sentences[0])
+        needs = F.array(*map(F.lit, self.sentences), F.lit(""))
+        return F.aggregate(ids, F.lit(1), lambda met, x: met + (F.element_at(needs, met) == x).cast("int")) > len(self.sentences)
 
 
 # The rules in the order in which they are tried; the first one that fits names the document's licence.
@@ -113,6 +155,7 @@ RULES = (
     Rule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     Rule("Apache-2.0", ("apache-header", "apache-see")),
     Rule("Apache-2.0", ("apache-compliance", "apache-basis")),
+    Rule("Apache-2.0", ("apache-header",)),
     Rule("ISC", ("isc-grant", "isc-as-is")),
     Rule("0BSD", ("zero-bsd-grant", "isc-as-is")),
     Rule("MPL-2.0", ("mpl2-subject", "mpl2-copy")),
@@ -135,6 +178,10 @@ RULES = (
     Rule("MPL-2.0", ("mpl2-ref",)),
     Rule("EPL-2.0", ("epl2-ref",)),
     Rule("ISC", ("isc-ref",)),
+    Rule("0BSD", ("zero-bsd-ref",)),
+    Rule("Zlib", ("zlib-ref",)),
+    Rule("Unlicense", ("unlicense-ref",)),
+    Rule("EPL-1.0", ("epl1-ref",)),
     Rule("BSD-3-Clause", ("bsd3-ref",)),
     Rule("BSD-2-Clause", ("bsd2-ref",)),
     Rule("BSL-1.0", ("bsl-ref",)),
@@ -165,7 +212,8 @@ def stream(text: Column) -> Column:
 def known_sentences(words: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences in a stream, in order; of several that begin at one mark the longest."""
     longest_first = sorted(sentences, key=lambda s: (-len(s), s))
-    pattern = r"(?<=\| )(?:" + "|".join(s.replace(" ", r" (?:\| )?") for s in longest_first) + r")(?= *\|)"
+    any_of = lambda which: "|".join(s.replace(" ", r" (?:\| )?") for s in longest_first if (s.count(" ") + 1 >= LONG) == which) or r"\|{2}"
+    pattern = rf"(?<= )(?:{any_of(True)})(?= *\|)|(?<=\| )(?:{any_of(False)})(?= *\|)"
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     return F.transform(F.regexp_extract_all(words, F.lit(pattern), F.lit(0)), lambda s: F.element_at(known, F.replace(s, F.lit("| "), F.lit(""))))
 
@@ -180,9 +228,9 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     found = docs.select(F.col(id_col).alias("doc_id"), known_sentences(stream(text), sentences).alias("ids"))
-    listed = found.select("doc_id", "ids", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")).alias("listed"))
-    fits = [F.when(F.col("listed").rlike(r.pattern), F.lit(r.licence)) for r in rules]
-    matched = listed.withColumn("all", F.array_distinct(F.array_compact(F.array(*fits))))
+    fits = [F.when(r.fits(F.col("ids")), F.lit(r.licence)) for r in rules]
+    none = F.array().cast("array<string>")
+    matched = found.withColumn("all", F.when(F.size("ids") > 0, F.array_distinct(F.array_compact(F.array(*fits)))).otherwise(none))
     return matched.select(
         "doc_id", F.when(F.size("all") > 0, F.col("all")[0]).alias("licence"), F.array_join("all", ",").alias("licences"), F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_sentences")
     )
@@ -204,11 +252,11 @@ def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: tuple[Rule, ...] =
         ), bounds AS (
             SELECT doc_id, w, list_transform(range(1, len(n) + 1), lambda i: CAST(list_sum(n[1:i]) AS BIGINT)) AS ends FROM shaped WHERE list_has_any(w, (SELECT list(DISTINCT words[1]) FROM known))
         ), starts AS (
-            SELECT doc_id, w, ends, unnest(list_prepend(0, ends[:-2])) + 1 AS pos FROM bounds
+            SELECT doc_id, w, ends, unnest(range(1, len(w) + 1)) AS pos FROM bounds
         ), hits AS (
             SELECT s.doc_id, s.pos, s.pos + len(k.words) - 1 AS until, k.id
             FROM starts AS s JOIN known AS k ON s.w[s.pos] = k.words[1] AND s.w[s.pos:s.pos + len(k.words) - 1] = k.words
-            WHERE list_contains(s.ends, s.pos + len(k.words) - 1)
+            WHERE list_contains(s.ends, s.pos + len(k.words) - 1) AND (s.pos = 1 OR list_contains(s.ends, s.pos - 1) OR len(k.words) >= {LONG})
         ), kept AS (
             SELECT doc_id, pos, id FROM hits AS h
             WHERE NOT EXISTS (SELECT 1 FROM hits AS o WHERE o.doc_id = h.doc_id AND o.pos <= h.pos AND o.until >= h.until AND (o.pos < h.pos OR o.until > h.until))
