@@ -64,7 +64,7 @@ def test_blocks_and_new_numbers_lose_nothing(spark, corpus, monkeypatch):
         numbers, found = phrases.Numbers(), Counter()
         all_ones = np.full((1 << 12) // 64, ~np.uint64(0))
         for text, lang in corpus:
-            ids = np.concatenate([*numbers.read(lang or "und", (text or "").encode().lower().decode()), np.zeros(size, np.int64)])
+            ids = np.concatenate([*numbers.read(lang or "und", (text or "").encode()), np.zeros(size, np.int64)])
             for batch in phrases._counted(ids, numbers, size, True, 12, all_ones, all_ones):
                 counted["blocks"] += 1
                 for row in batch.to_pylist():
@@ -80,7 +80,7 @@ def test_frequent_phrases_with_small_blocks(spark, corpus):
     import sys
 
     # Workers read the module anew, so the bounds are changed where they read it.
-    code = "from turnmill.llm import phrases as p; p.BLOCK, p.HELD_WORDS, p.SLICE = 50, 5, 9; import numpy as np; n = p.Numbers(); print(sum(map(len, n.read('en', 'ab cd. ' * 100))))"
+    code = "from turnmill.llm import phrases as p; p.BLOCK, p.HELD_WORDS, p.SLICE = 50, 5, 9; import numpy as np; n = p.Numbers(); print(sum(map(len, n.read('en', b'ab cd. ' * 100))))"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "301"
 
 
