@@ -13,6 +13,8 @@ from turnmill.sources.transcripts import has_type, number_of, text_of
 # Blocks of text.
 CODEX_TEXTS = ("input_text", "output_text", "text")
 FAILED = ("error", "failed")
+# Fixed value: what stands for the JSON around a block of text.
+WRAPPER = " " * 23
 #: How deep lists within lists are opened; what lies deeper is given as JSON.
 NESTED = 3
 
@@ -41,6 +43,19 @@ def output_text(v: Column) -> Column:
     return F.when(has_type(v, "$", "ARRAY"), F.array_join(F.transform(items(v), one), "\n")).otherwise(one(v))
 
 
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that it names more than once, without as many copies of the expression."""
+    return F.transform(F.array(value), then)[0]
+
+
+def content_text(v: Column, depth: int = NESTED) -> Column:
+    """A message's content: text, or its text blocks, each with the blanks that stand for its wrapper, and the texts of results within; else empty."""
+    block = lambda x: F.when(text_of(x, "$.type") == "text", F.concat(F.coalesce(text_of(x, "$.text"), F.lit("")), F.lit(WRAPPER)))
+    inner = (lambda x: F.when(text_of(x, "$.type") == "tool_result", bound(at(x, "$.content"), lambda y: content_text(y, depth - 1)))) if depth else (lambda x: F.lit(None))
+    listed = F.array_join(F.transform(items(v), lambda x: F.coalesce(block(x), inner(x), F.lit(""))), "")
+    return F.coalesce(text_of(v, "$"), F.when(has_type(v, "$", "ARRAY"), listed), F.lit(""))
+
+
 def codex_text(v: Column) -> Column:
     block = lambda x: F.when(text_of(x, "$.type").isin(*CODEX_TEXTS), F.coalesce(text_of(x, "$.text"), F.lit(""))).otherwise("")
     return F.when(has_type(v, "$", "ARRAY"), joined(F.transform(items(v), block))).otherwise(F.coalesce(text_of(v, "$"), F.lit("")))

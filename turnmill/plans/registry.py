@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from turnmill.plans import chat, docs, extra, graph, log
+from turnmill.plans import chat, docs, extra, graph, log, raw
 from turnmill.plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "chat", "docs", "extra", "graph", "log"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "chat", "docs", "extra", "graph", "log", "raw"]
 
 FLAGSHIP = "t1_turn_token_profile"

@@ -85,7 +85,8 @@ def formats(lines: DataFrame) -> DataFrame:
 
 
 def claude_lines(lines: DataFrame) -> DataFrame:
-    """Typed lines, good and faulty: session, line_no, error (null: good), type, uuid, timestamp, prompt_id, is_meta, text, blocks, usage, model."""
+    """Typed lines, good and faulty: session, line_no, error (null: good), type, uuid, timestamp, prompt_id, is_meta, text, blocks, usage, model,
+    content (the message's, as a variant), attachment_type and attachment (its content, else the whole, as a variant)."""
     v = F.col("v")
     t, uuid, ts = text_of(v, "$.type"), text_of(v, "$.uuid"), text_of(v, "$.timestamp")
     error = (
@@ -105,6 +106,8 @@ def claude_lines(lines: DataFrame) -> DataFrame:
     return parsed(lines).select(
         "session", "line_no", error.alias("error"), t.alias("type"), uuid.alias("uuid"), ts.alias("timestamp"), text_of(v, "$.promptId").alias("prompt_id"), F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)).alias("is_meta"),
         text_of(v, "$.message.content").alias("text"), content.alias("blocks"), F.when(t == "assistant", usage).alias("usage"), F.when(t == "assistant", F.coalesce(text_of(v, "$.message.model"), F.lit("unknown"))).alias("model"),
+        F.try_variant_get(v, "$.message.content", "variant").alias("content"), F.when(t == "attachment", text_of(v, "$.attachment.type")).alias("attachment_type"),
+        F.coalesce(F.try_variant_get(v, "$.attachment.content", "variant"), F.try_variant_get(v, "$.attachment", "variant")).alias("attachment"),
     )
 
 
@@ -117,11 +120,14 @@ def opens_turn() -> Column:
 
 
 def claude_turns(lines: DataFrame) -> DataFrame:
-    """Good lines with turn_i.  A meta line with the prompt id of the turn's opening line continues that turn."""
-    good = claude_lines(lines).where(F.col("error").isNull()).withColumn("_may", opens_turn())
+    """Good lines with turn_i, opens and goes_on.  A meta line with the prompt id of the turn's opening line continues that turn; a session's first user line opens one whatever it says."""
+    good = claude_lines(lines).where(F.col("error").isNull())
+    users = F.count_if(F.col("type") == "user").over(over(["session"], ["line_no"]))
+    good = good.withColumn("_may", opens_turn() | (F.col("type") == "user") & (users == 1))
     before = F.last(F.when(F.col("_may"), F.struct("prompt_id")), ignorenulls=True).over(over(["session"], ["line_no"]).rowsBetween(-(1 << 31), -1))
-    goes_on = F.coalesce(F.col("is_meta") & (F.col("prompt_id") == before["prompt_id"]), F.lit(False))
-    return turn_lines(good, F.col("_may") & ~goes_on).drop("_may")
+    goes_on = F.coalesce((F.col("type") == "user") & F.col("is_meta") & (F.col("prompt_id") == before["prompt_id"]), F.lit(False))
+    marked = good.withColumn("goes_on", goes_on).withColumn("opens", F.col("_may") & ~F.col("goes_on"))
+    return turn_lines(marked, F.col("opens")).drop("_may")
 
 
 def claude_requests(turns: DataFrame) -> DataFrame:
