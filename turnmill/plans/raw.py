@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.operators import codex, pi
 from turnmill.operators.composition import ADDED, CATEGORIES, EFFORT, SEEDS, claude_composition
 from turnmill.operators.windows import before
 from turnmill.plans.base import EVENT_LINES, event_lines, query
@@ -112,3 +113,142 @@ _CLAUDE = f"""{W}, a AS (
 @query("t7_full_composition", _CLAUDE)
 def full_composition(read):
     return claude_composition(claude_turns(claude_log(read("events")))).select("session", "turn_i", *CATEGORIES)
+
+
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def stamped(events: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The events with the start of a JSON object that holds their time, and k."""
+    return event_lines(events), F.concat(F.lit('{"timestamp":"'), F.date_format("ts", ISO), F.lit('",')), F.col("tokens")
+
+
+def body(**fields: Column | str) -> Column:
+    """The rest of that object; fields that are null are left out."""
+    return F.regexp_replace(F.to_json(of(**fields)), r"^\{", "")
+
+
+def worded(word: str, n: Column) -> Column:
+    return F.concat(F.lit(word), n.cast("string"))
+
+
+def pi_log(events: DataFrame) -> DataFrame:
+    """A purchase starts a turn, a signup ends one, a view updates a message, a click ends one or starts a tool, an error ends a tool or tells of a compaction."""
+    e, head, k = stamped(events)
+    kind, tool = F.col("kind"), worded("t", k % 7)
+    spoken = lambda role, word, empty: of(role=role, content=F.when(empty, F.array().cast("array<string>")).otherwise(F.array(worded(word, k))))
+    rest = (
+        F.when(kind == "purchase", body(type="turn_start", prompt=F.when(k % 2 == 0, worded("ask ", k))))
+        .when(kind == "signup", body(type="turn_end"))
+        .when(kind == "view", body(type="message_update", message=spoken(F.when(k % 5 == 0, "user").otherwise("assistant"), "say ", k % 7 == 0)))
+        .when((kind == "click") & (k % 2 == 1), body(type="message_end", message=spoken("assistant", "end ", k % 3 == 0)))
+        .when(kind == "click", body(type="tool_execution_start", toolCallId=tool, toolName=worded("tool", k % 3), args=of(n=k)))
+        .when(k % 2 == 1, body(type="tool_execution_end", toolCallId=tool, result=worded("res ", k)))
+        .otherwise(body(type="auto_compaction_start", summary=F.when(k % 4 == 0, worded("sum ", k))))
+    )
+    return as_read(e.select("session", (F.col("seq") + 1).alias("line_no"), F.concat(head, rest).alias("value")))
+
+
+_PI = f"""{W}, p AS (
+        SELECT *, CASE kind WHEN 'purchase' THEN 'turn_start' WHEN 'signup' THEN 'turn_end' WHEN 'view' THEN 'update' WHEN 'click' THEN CASE WHEN tokens % 2 = 1 THEN 'end' ELSE 'tool_start' END ELSE CASE WHEN tokens % 2 = 1 THEN 'tool_end' ELSE 'compaction' END END AS t,
+            CASE WHEN kind = 'view' AND tokens % 7 <> 0 THEN 'say ' || tokens WHEN kind = 'click' AND tokens % 3 <> 0 THEN 'end ' || tokens ELSE '' END AS text, kind = 'view' AND tokens % 5 = 0 AS by_user FROM lines
+    ), st AS (SELECT *, last_value(CASE WHEN t = 'tool_start' THEN {{'ms': ms, 'name': 'tool' || tokens % 3, 'input': '{{"n":' || tokens || '}}'}} END IGNORE NULLS) OVER (PARTITION BY session, tokens % 7, t IN ('tool_start', 'tool_end') ORDER BY seq) AS start FROM p),
+    f AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY session ORDER BY seq) = 'turn_end', true) AS closed FROM st WHERE t <> 'tool_start'),
+    o AS (SELECT *, t = 'turn_start' OR (t <> 'turn_end' AND closed) AS opens FROM f),
+    i AS (SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS BIGINT) - 1 AS turn_i FROM o),
+    inside AS (SELECT * FROM i WHERE t <> 'turn_end' OR NOT closed),
+    turns AS (
+        SELECT session, turn_i, CASE WHEN bool_or(t = 'turn_start' AND tokens % 2 = 0) THEN 'ask ' || max(tokens) FILTER (t = 'turn_start') ELSE coalesce(min_by(text, seq) FILTER (by_user AND text <> ''), 'Pi stream: ') END AS prompt,
+            min(ms) AS start_ms, max_by(ms, seq) AS end_ms, bool_or(t = 'compaction') AS compaction FROM inside GROUP BY session, turn_i
+    )"""
+
+
+@query("t6_pi_turns", _PI + " SELECT * FROM turns")
+def pi_turns(read):
+    return pi.event_turns(pi_log(read("events")))[0]
+
+
+@query("t6_pi_steps", _PI + f""", a AS (SELECT *, coalesce(sum(CASE WHEN t = 'end' THEN 1 ELSE 0 END) OVER (PARTITION BY session, turn_i ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m
+            FROM inside WHERE t = 'end' OR (t = 'update' AND NOT by_user AND text <> '')),
+    msg AS (SELECT session, turn_i, max(seq) FILTER (t = 'end') AS e_seq, max(ms) FILTER (t = 'end') AS e_ms, max(text) FILTER (t = 'end') AS e_text,
+            max(seq) FILTER (t = 'update') AS u_seq, max_by(ms, seq) FILTER (t = 'update') AS u_ms, max_by(text, seq) FILTER (t = 'update') AS u_text FROM a GROUP BY session, turn_i, m),
+    s AS (
+        SELECT session, turn_i, CASE WHEN e_seq IS NULL THEN 1 ELSE 0 END AS late, coalesce(e_seq, u_seq) AS seq, coalesce(e_ms, u_ms) AS at_ms, 0 AS ms, 'm' AS kind, '{pi.MODEL_STEP}' AS name, coalesce(nullif(e_text, ''), u_text) AS text, '' AS input, '' AS result FROM msg WHERE coalesce(nullif(e_text, ''), u_text, '') <> ''
+        UNION ALL SELECT session, turn_i, 0, seq, ms, 0, 'i', '{pi.COMPACTION_STEP}', CASE WHEN tokens % 4 = 0 THEN 'sum ' || tokens ELSE '{pi.COMPACTED}' END, '', '' FROM inside WHERE t = 'compaction'
+        UNION ALL SELECT session, turn_i, 0, seq, ms, greatest(coalesce(ms - start.ms, 0), 0), 't', coalesce(start.name, 'tool'), '', coalesce(start.input, ''), 'res ' || tokens FROM inside WHERE t = 'tool_end'
+    ), n AS (SELECT *, row_number() OVER w - 1 AS step_i, lead(at_ms) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY session, turn_i ORDER BY late, seq))
+    SELECT n.session, n.turn_i, step_i, kind, name, text, input, result, CASE WHEN ms > 0 THEN ms ELSE greatest(coalesce(nxt, end_ms) - at_ms, 0) END AS ms, CASE WHEN kind = 't' THEN CAST(floor(length(result) / 3.0 + 0.5) AS BIGINT) ELSE 0 END AS result_tok
+    FROM n JOIN turns USING (session, turn_i)""")
+def pi_steps(read):
+    return pi.event_turns(pi_log(read("events")))[1].select("session", "turn_i", "step_i", "kind", "name", "text", "input", "result", "ms", "result_tok")
+
+
+def codex_log(events: DataFrame) -> DataFrame:
+    """A purchase starts a task, a signup ends one, a view says, thinks or counts, a click calls, an error returns a result or marks a compaction."""
+    e, head, k = stamped(events)
+    kind = F.col("kind")
+    call, message = worded("c", k % 5), worded("m", k % 10)
+    line = lambda type_, **payload: body(type=type_, payload=of(**payload))
+    said = F.concat(F.lit(" "), message, F.lit("\n"))
+    rest = (
+        F.when(kind == "purchase", line("event_msg", type="task_started", turn_id=worded("t", F.col("event_id"))))
+        .when((kind == "signup") & (k % 3 == 0), line("event_msg", type="turn_aborted")).when(kind == "signup", line("event_msg", type="task_complete", duration_ms=k * 10))
+        .when((kind == "view") & (k % 4 == 0), line("event_msg", type="agent_message", message=message))
+        .when((kind == "view") & (k % 4 == 1), line("response_item", type="message", role="assistant", content=F.array(of(type="output_text", text=said))))
+        .when((kind == "view") & (k % 4 == 2), line("response_item", type="reasoning", summary=F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(worded("why ", k)))))
+        .when(kind == "view", line("event_msg", type="token_count", info=of(last_token_usage=of(input_tokens=F.floor(F.col("value") * 10), cached_input_tokens=k, output_tokens=k, reasoning_output_tokens=k % 5))))
+        .when(kind == "click", line("response_item", type="function_call", call_id=call, name=F.when(k % 11 == 0, "Agent").otherwise(worded("f", k % 3)), arguments=F.concat(F.lit('{"k":'), k, F.lit("}"))))
+        .when(k % 4 == 0, line("response_item", type="function_call_output", call_id=call, output=worded("out ", k)))
+        .when(k % 4 == 1, line("event_msg", type="patch_apply_end", call_id=call, stdout=worded("patched ", k), success=F.lit(False)))
+        .when(k % 4 == 2, line("compacted", type="x")).otherwise(line("event_msg", type="context_compacted"))
+    )
+    return as_read(e.select("session", (F.col("seq") + 1).alias("line_no"), F.concat(head, rest).alias("value")))
+
+
+_CODEX = f"""{W}, c AS (
+        SELECT *, last_value(CASE kind WHEN 'purchase' THEN 1 WHEN 'signup' THEN 0 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS o FROM lines
+    ), inside AS (
+        SELECT *, CAST(o - 1 AS BIGINT) AS turn_i, CASE WHEN kind = 'view' THEN CASE tokens % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'thought' ELSE 'usage' END WHEN kind = 'click' THEN 'call' WHEN kind = 'error' THEN CASE tokens % 4 WHEN 0 THEN 'result' WHEN 1 THEN 'patch' WHEN 2 THEN 'mark' ELSE 'echo' END END AS t
+        FROM c WHERE kind = 'purchase' OR was = 1
+    ), marked AS (SELECT *, max(seq) FILTER (t IN ('mark', 'echo')) OVER (PARTITION BY session, turn_i) AS compacted_at FROM inside),
+    turns AS (
+        SELECT session, turn_i, 't' || min_by(event_id, seq) AS turn_id, min(ms) AS start_ms, max_by(ms, seq) AS end_ms, max(tokens * 10) FILTER (kind = 'signup' AND tokens % 3 <> 0) AS duration_ms, coalesce(bool_or(kind = 'signup' AND tokens % 3 = 0), false) AS aborted,
+            coalesce(bool_or(t IN ('mark', 'echo')), false) AS compacted, count(*) FILTER (t = 'usage') AS requests, CAST(coalesce(sum(tokens) FILTER (t = 'usage'), 0) AS BIGINT) AS out_tok, CAST(coalesce(max(floor(value * 10)) FILTER (t = 'usage'), 0) AS BIGINT) AS max_input,
+            CAST(coalesce(max_by(floor(value * 10), seq) FILTER (t = 'usage' AND (value >= 0.1 OR tokens > 0) AND seq > coalesce(compacted_at, -1)), 0) AS BIGINT) AS last_input
+        FROM marked GROUP BY session, turn_i
+    )"""
+
+
+@query("t2_codex_turns", _CODEX + f" SELECT *, '{codex.NO_PROMPT}' AS prompt, 'codex' AS model, CAST(200000 AS BIGINT) AS \"window\" FROM turns")
+def codex_turns(read):
+    return codex.codex_turns(codex_log(read("events")))
+
+
+@query("t18_codex_steps", _CODEX + f""", u AS (SELECT session, turn_i, seq, CAST(floor(value * 10) AS BIGINT) AS input, tokens AS output, tokens % 5 AS reasoning, ms FROM inside WHERE t = 'usage'),
+    near AS (
+        SELECT i.*, u.input AS in_tok, u.output AS used_out, u.reasoning FROM inside AS i LEFT JOIN u USING (session, turn_i) WHERE i.t IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY i.session, i.turn_i, i.seq ORDER BY abs(u.seq - i.seq), u.seq) = 1
+    ), said AS (SELECT *, 'm' || tokens % 10 AS words FROM near WHERE t = 'text' QUALIFY row_number() OVER (PARTITION BY session, turn_i, tokens % 10 ORDER BY seq) = 1),
+    echoes AS (SELECT *, lag(t) OVER (PARTITION BY session, turn_i ORDER BY seq) AS before FROM near WHERE t IN ('mark', 'echo')),
+    called AS (SELECT session, turn_i, tokens % 5 AS id, max_by({{'name': CASE WHEN tokens % 11 = 0 THEN 'Agent' ELSE 'f' || tokens % 3 END, 'input': '{{"k":' || tokens || '}}', 'ms': ms}}, seq) AS c FROM inside WHERE t = 'call' GROUP BY ALL),
+    answered AS (SELECT session, turn_i, tokens % 5 AS id, coalesce(max_by({{'output': 'out ' || tokens, 'bad': false, 'ms': ms}}, seq) FILTER (t = 'result'), min_by({{'output': 'patched ' || tokens, 'bad': true, 'ms': ms}}, seq) FILTER (t = 'patch')) AS r FROM inside WHERE t IN ('result', 'patch') GROUP BY ALL),
+    calls AS (SELECT n.*, c, r FROM near AS n JOIN called ON called.session = n.session AND called.turn_i = n.turn_i AND called.id = n.tokens % 5 LEFT JOIN answered ON answered.session = n.session AND answered.turn_i = n.turn_i AND answered.id = n.tokens % 5 WHERE t = 'call'),
+    made AS (
+        SELECT session, turn_i, seq, 0 AS part, ms AS at_ms, 'i' AS kind, '{pi.COMPACTION_STEP}' AS name, '{codex.COMPACTED}' AS text, '' AS input, '' AS result, false AS is_error, 0 AS think_tok, in_tok, used_out FROM echoes WHERE t = 'mark' OR before IS DISTINCT FROM 'mark'
+        UNION ALL SELECT session, turn_i, seq, 0, ms, 'm', '{pi.MODEL_STEP}', CASE WHEN tokens % 3 = 0 THEN '{codex.HIDDEN_THOUGHT}' ELSE 'why ' || tokens END, '', '', false, coalesce(reasoning, 0), in_tok, used_out FROM near WHERE t = 'thought'
+        UNION ALL SELECT session, turn_i, seq, 0, ms, 'm', '{pi.MODEL_STEP}', words, '', '', false, 0, in_tok, used_out FROM said
+        UNION ALL SELECT session, turn_i, seq, 0, ms, 'm', '{pi.MODEL_STEP}', '', c.input, '', false, 0, in_tok, used_out FROM calls
+        UNION ALL SELECT session, turn_i, seq, 1, coalesce(r.ms, c.ms), CASE WHEN c.name = 'Agent' THEN 's' ELSE 't' END, c.name, '', c.input, coalesce(r.output, '{codex.NO_RESULT}'), coalesce(r.bad, true), 0, in_tok, used_out FROM calls
+    ), bare AS (
+        SELECT t.session, t.turn_i, 0 AS seq, 0 AS part, coalesce(max_by(u.ms, u.seq), any_value(t.start_ms)) AS at_ms, 'm' AS kind, '{pi.MODEL_STEP}' AS name, CASE WHEN count(u.seq) > 0 THEN '{codex.ONLY_COUNTS}' ELSE '{codex.NOTHING}' END AS text, '' AS input, '' AS result, false AS is_error, 0 AS think_tok, max_by(u.input, u.seq) AS in_tok, max_by(u.output, u.seq) AS used_out
+        FROM turns AS t ANTI JOIN made USING (session, turn_i) LEFT JOIN u USING (session, turn_i) GROUP BY t.session, t.turn_i
+    ), every AS (SELECT * FROM made UNION ALL SELECT * FROM bare),
+    n AS (SELECT *, row_number() OVER w - 1 AS step_i, lead(at_ms) OVER w AS nxt, CASE WHEN kind = 'm' AND think_tok = 0 AND text LIKE 'm_' THEN CAST(floor(length(text) / 3.0 + 0.5) AS BIGINT) ELSE 0 END AS text_tok FROM every WINDOW w AS (PARTITION BY session, turn_i ORDER BY seq, part)),
+    d AS (SELECT n.*, greatest(coalesce(nxt, end_ms) - at_ms, 0) AS wait FROM n JOIN turns USING (session, turn_i))
+    SELECT session, turn_i, step_i, kind, name, text, input, result, is_error, CAST(think_tok AS BIGINT) AS think_tok, text_tok, coalesce(in_tok, 0) AS in_tok, coalesce(used_out, 0) AS out_tok,
+        CAST(CASE WHEN wait = 0 AND kind = 'm' AND coalesce(used_out, 0) + think_tok + text_tok > 0 THEN greatest(1, floor((coalesce(used_out, 0) + think_tok + text_tok) / 30.0 + 0.5) * 1000) ELSE wait END AS BIGINT) AS ms
+    FROM d""")
+def codex_steps(read):
+    events = codex.turn_events(codex_log(read("events")))
+    steps = codex.codex_steps(events, codex.codex_turns(codex_log(read("events")), events))
+    return steps.select("session", "turn_i", "step_i", "kind", "name", "text", "input", "result", "is_error", "think_tok", "text_tok", "in_tok", "out_tok", "ms")
