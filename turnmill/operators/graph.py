@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import characters, jaccard
+from turnmill.operators.lineage import settled
 from turnmill.operators.windows import first_of
 
 # The most that evidence of a source may weigh; other sources count as the last one.
@@ -109,38 +114,59 @@ def alike_within(rows: DataFrame, tenths: int = 7) -> DataFrame:
     return met.withColumn("similarity", jaccard(F.col("ca"), F.col("cb"))).where(F.col("similarity") > tenths / 10).select("a", "b", "similarity")
 
 
-def greedy_leaders(rows: DataFrame, least: float = 0.7) -> DataFrame:
-    """(session, seq, label) -> with leader: in order of seq a label joins the first leader whose characters are more than ``least`` alike, else it leads itself.
+def greedy_leaders(rows: DataFrame, tenths: int = 7) -> DataFrame:
+    """(session, seq, label) -> with leader: in order of seq a label joins the first leader whose characters are more than ``tenths`` tenths alike, else it leads itself.
 
-    What a row joins depends on the rows before it, so a session's labels (a graph's candidates, some hundreds at most) are folded as one array.
+    seq is unique within a session.  Leaders are the lexicographically first independent set of the graph of alike labels, found by rounds: a
+    label with no earlier alike one that could still lead is a leader, and those alike to it and later are none.  Labels of the same
+    characters are one, the first; a label without characters is alike to none.  No session meets in one row or task.
     """
-    start = F.array().cast("array<struct<seq:bigint,label:string,leader:bigint>>")
-
-    def join(done: Column, x: Column) -> Column:
-        alike = F.filter(done, lambda d: (d["seq"] == d["leader"]) & (jaccard(characters(d["label"]), characters(x["label"])) > least))
-        leader = F.when(F.size(alike) > 0, F.get(alike, 0)["seq"]).otherwise(x["seq"])
-        return F.concat(done, F.array(F.struct(x["seq"].alias("seq"), x["label"].alias("label"), leader.alias("leader"))))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "label")))
-    each = rows.groupBy("session").agg(F.aggregate(ordered, start, join).alias("x"))
-    return each.select("session", F.explode("x").alias("x")).select("session", "x.*")
+    sets = rows.select("session", F.col("seq").cast("long").alias("seq"), "label", F.array_sort(characters(F.col("label"))).alias("c"))
+    firsts = sets.where(F.size("c") > 0).groupBy("session", "c").agg(F.min("seq").alias("first"))
+    alike = alike_within(firsts.select(F.struct("session", "first").alias("id"), F.col("session").alias("block"), "c"), tenths)
+    pairs = settled(alike.select(F.col("a.session").alias("session"), F.col("a.first").alias("a"), F.col("b.first").alias("b")))
+    left, found = pairs, []
+    while not left.isEmpty():
+        free = left.select("session", "a").distinct().join(left.select("session", F.col("b").alias("a")).distinct(), ["session", "a"], "left_anti")
+        follow = settled(left.join(free, ["session", "a"], "left_semi").select("session", "b").distinct())
+        found.append(follow)
+        open_ = left.join(free, ["session", "a"], "left_anti").join(follow, ["session", "b"], "left_anti")
+        left = settled(open_.join(follow.withColumnRenamed("b", "a"), ["session", "a"], "left_anti"))
+    if found:
+        followers = reduce(DataFrame.unionByName, found)
+        leaders = pairs.join(followers.withColumnRenamed("b", "a"), ["session", "a"], "left_anti").groupBy("session", F.col("b").alias("first")).agg(F.min("a").alias("leader"))
+    else:
+        leaders = pairs.select("session", F.col("b").alias("first"), F.col("a").alias("leader"))
+    told = firsts.join(leaders, ["session", "first"], "left").select("session", "c", F.coalesce("leader", "first").alias("leader"))
+    return sets.join(told, ["session", "c"], "left").select("session", "seq", "label", F.coalesce("leader", "seq").alias("leader"))
 
 
 def merged_themes(runs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(session, run, theme, first_turn, last_turn): neighbouring runs whose themes' characters are more than ``least`` alike become one, under the shorter theme.
+    """(session, run, theme, first_turn, last_turn) -> session, place (from 0), theme, first_turn, last_turn: neighbouring runs whose themes'
+    characters are more than ``least`` alike become one, under the shorter theme (the earlier of two of one length).
 
-    Each comparison is with the theme merged so far, so a session's runs are folded in order.
+    Each comparison is with the theme merged so far, so a session's runs are folded in order; the state is the run that is open.
     """
-    kind = "array<struct<theme:string,first_turn:bigint,last_turn:bigint>>"
-
-    def join(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        alike = jaccard(characters(last["theme"]), characters(x["theme"])) > least
-        shorter = F.when(F.char_length(last["theme"]) <= F.char_length(x["theme"]), last["theme"]).otherwise(x["theme"])
-        own = F.array(F.struct(x["theme"].alias("theme"), x["first_turn"].alias("first_turn"), x["last_turn"].alias("last_turn")))
-        both = F.array(F.struct(shorter.alias("theme"), last["first_turn"].alias("first_turn"), x["last_turn"].alias("last_turn")))
-        return F.when(F.size(done) == 0, own).when(alike, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), both)).otherwise(F.concat(done, own))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("run").cast("long").alias("run"), "theme", F.col("first_turn").cast("long").alias("first_turn"), F.col("last_turn").cast("long").alias("last_turn"))))
-    each = runs.groupBy("session").agg(F.aggregate(ordered, F.array().cast(kind), join).alias("x"))
-    return each.select("session", F.posexplode("x").alias("place", "x")).select("session", "place", "x.*")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = lambda text: len(text.encode("utf-16-le"))
+        held = None
+        for batch in batches:
+            out = []
+            for session, theme, first, last in zip(batch["session"], batch["theme"], batch["first_turn"], batch["last_turn"], strict=True):
+                if held is not None and held[0] == session:
+                    a, b = set(held[2]), set(theme)
+                    if len(a & b) > least * len(a | b):
+                        shorter = held[2] if size(held[2]) <= size(theme) else theme
+                        held = (session, held[1], shorter, held[3], last)
+                        continue
+                if held is not None:
+                    out.append(held)
+                held = (session, held[1] + 1 if held is not None and held[0] == session else 0, theme, first, last)
+            yield pd.DataFrame(out, columns=["session", "place", "theme", "first_turn", "last_turn"])
+        if held is not None:
+            yield pd.DataFrame([held], columns=["session", "place", "theme", "first_turn", "last_turn"])
+
+    kind = dict(runs.dtypes)["session"]
+    ordered = runs.repartition("session").sortWithinPartitions("session", "run").select("session", "theme", "first_turn", "last_turn")
+    return ordered.mapInPandas(fold, f"session {kind}, place long, theme string, first_turn long, last_turn long")

@@ -29,14 +29,14 @@ def distinct_edges(read):
     return G.distinct_edges(edges(read), ["seq"]).select("seq", "label", "directed")
 
 
-@query("j10_edges_within", W + " SELECT seq, s, t FROM edges WHERE s IN (SELECT id FROM nodes) AND t IN (SELECT id FROM nodes)")
+@query("j10_edges_within", W + " SELECT seq, s, t FROM edges WHERE s IN (SELECT id FROM nodes WHERE first_turn > 10) AND t IN (SELECT id FROM nodes WHERE first_turn > 10)")
 def edges_within(read):
-    return G.within(edges(read), nodes(read)).select("seq", "s", "t")
+    return G.within(edges(read), nodes(read).where("first_turn > 10")).select("seq", "s", "t")
 
 
-@query("j11_dangling_ends", W + " SELECT DISTINCT id FROM (SELECT s AS id FROM edges UNION SELECT t FROM edges) WHERE id NOT IN (SELECT id FROM nodes)")
+@query("j11_dangling_ends", W + " SELECT DISTINCT id FROM (SELECT s AS id FROM edges UNION SELECT t FROM edges) WHERE id NOT IN (SELECT id FROM nodes WHERE first_turn > 10)")
 def dangling_ends(read):
-    return G.dangling(edges(read), nodes(read))
+    return G.dangling(edges(read), nodes(read).where("first_turn > 10"))
 
 
 @query("j12_orphans", W + " SELECT id FROM nodes WHERE id NOT IN (SELECT s FROM edges) AND id NOT IN (SELECT t FROM edges)")
@@ -84,6 +84,34 @@ def label_jaccard(read):
     return G.alike_within(p).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+LEADERS = """WITH RECURSIVE p AS (SELECT p_brand AS session, p_partkey AS seq, p_name AS label, list_distinct(string_split(p_name, '')) AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+    walk(session, n, seq, leader, done) AS (
+        SELECT session, n, seq, seq, [{'seq': seq, 'c': c}] FROM p WHERE n = 1
+        UNION ALL
+        SELECT session, n, seq, coalesce(joined, seq), CASE WHEN joined IS NULL THEN done || [{'seq': seq, 'c': c}] ELSE done END FROM (
+            SELECT p.session, p.n, p.seq, p.c, walk.done, list_filter(walk.done, lambda d: 10 * len(list_intersect(d.c, p.c)) > 7 * (len(d.c) + len(p.c) - len(list_intersect(d.c, p.c))))[1].seq AS joined
+            FROM walk JOIN p ON p.session = walk.session AND p.n = walk.n + 1)
+    )"""
+
+
+@query("j15_label_leaders", LEADERS + " SELECT session, seq, leader FROM walk")
+def label_leaders(read):
+    return G.greedy_leaders(read("part").select(F.col("p_brand").alias("session"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("label"))).select("session", "seq", "leader")
+
+
+@query("t22_merged_themes", """WITH RECURSIVE r AS (SELECT o_custkey AS session, o_orderkey AS k, o_orderpriority AS theme, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    walk(session, n, place, theme, first_turn, last_turn) AS (
+        SELECT session, n, 0, theme, k, k FROM r WHERE n = 1
+        UNION ALL
+        SELECT session, n, CASE WHEN alike THEN place ELSE place + 1 END, CASE WHEN alike AND length(old) <= length(theme) THEN old ELSE theme END, CASE WHEN alike THEN first_turn ELSE k END, k FROM (
+            SELECT r.*, walk.place, walk.theme AS old, walk.first_turn, len(list_intersect(string_split(r.theme, ''), string_split(walk.theme, ''))) > 0.5 * len(list_distinct(string_split(r.theme, '') || string_split(walk.theme, ''))) AS alike
+            FROM walk JOIN r ON r.session = walk.session AND r.n = walk.n + 1)
+    ) SELECT session, CAST(place AS BIGINT) AS place, arg_max(theme, n) AS theme, max(first_turn) AS first_turn, max(last_turn) AS last_turn FROM walk GROUP BY session, place""")
+def merged_themes(read):
+    runs = read("orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("theme"), F.col("o_orderkey").alias("first_turn"), F.col("o_orderkey").alias("last_turn"))
+    return G.merged_themes(runs)
+
+
 @query("j18_one_hop", W + " SELECT s AS id FROM edges WHERE t = 7 OR s = 7 UNION SELECT t FROM edges WHERE s = 7 OR t = 7")
 def one_hop(read):
     return G.neighbours(edges(read), F.lit(7))
@@ -167,9 +195,9 @@ def united_sets(read):
     return read("lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus"))), "").alias("flags"))
 
 
-@query("u5_filtered_types", "SELECT DISTINCT p_type FROM part EXCEPT SELECT DISTINCT p_type FROM part WHERE p_size <= 2")
+@query("u5_filtered_types", "SELECT DISTINCT p_type, p_brand FROM part EXCEPT SELECT DISTINCT p_type, p_brand FROM part WHERE p_size <= 2")
 def filtered_types(read):
-    return read("part").select("p_type").subtract(read("part").where("p_size <= 2").select("p_type"))
+    return read("part").select("p_type", "p_brand").subtract(read("part").where("p_size <= 2").select("p_type", "p_brand"))
 
 
 @query("u7_last_evidence", "SELECT l_partkey, l_suppkey, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY l_partkey, l_suppkey")
