@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +86,8 @@ def formats(lines: DataFrame) -> DataFrame:
     return lines.select("session").distinct().join(first, "session", "left").select("session", F.coalesce("label", F.lit("unknown")).alias("format"))
 
 
-def claude_lines(lines: DataFrame) -> DataFrame:
-    """Typed lines, good and faulty: session, line_no, error (null: good), type, uuid, timestamp, prompt_id, is_meta, text, blocks, usage, model,
+def claude_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed lines, good and faulty, with the columns to ``keep``: session, line_no, error (null: good), type, uuid, timestamp, prompt_id, is_meta, text, blocks, usage, model,
     content (the message's, as a variant), attachment_type and attachment (its content, else the whole, as a variant)."""
     v = F.col("v")
     t, uuid, ts = text_of(v, "$.type"), text_of(v, "$.uuid"), text_of(v, "$.timestamp")
@@ -104,7 +106,7 @@ def claude_lines(lines: DataFrame) -> DataFrame:
     )
     content = F.when(has_type(v, "$.message.content", "ARRAY"), F.from_json(F.to_json(F.try_variant_get(v, "$.message.content", "variant")), BLOCKS))
     return parsed(lines).select(
-        "session", "line_no", error.alias("error"), t.alias("type"), uuid.alias("uuid"), ts.alias("timestamp"), text_of(v, "$.promptId").alias("prompt_id"), F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)).alias("is_meta"),
+        "session", "line_no", *keep, error.alias("error"), t.alias("type"), uuid.alias("uuid"), ts.alias("timestamp"), text_of(v, "$.promptId").alias("prompt_id"), F.coalesce(F.try_variant_get(v, "$.isMeta", "boolean"), F.lit(False)).alias("is_meta"),
         text_of(v, "$.message.content").alias("text"), content.alias("blocks"), F.when(t == "assistant", usage).alias("usage"), F.when(t == "assistant", F.coalesce(text_of(v, "$.message.model"), F.lit("unknown"))).alias("model"),
         F.try_variant_get(v, "$.message.content", "variant").alias("content"), F.when(t == "attachment", text_of(v, "$.attachment.type")).alias("attachment_type"),
         F.coalesce(F.try_variant_get(v, "$.attachment.content", "variant"), F.try_variant_get(v, "$.attachment", "variant")).alias("attachment"),
