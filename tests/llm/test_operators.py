@@ -472,36 +472,59 @@ def test_lm_score_against_all_segmentations(spark):
     for i, t, *_ in rows:
         for w in lower(t).decode().split() if i < 6 else []:
             counts[w] = counts.get(w, 0) + 1
-    cut, uses = lm_score.DISCOUNT, np.zeros(len(pieces) + 1)
-    for w in counts:
-        n, every = arcs(w)
-        there = forward(n, every, first)
-        back = forward(n, [(n - j, n - i, u, k) for i, j, u, k in every], first)
-        for i, j, u, k in every:
-            uses[u] += k * there[i] * math.exp(first[u] * k) * back[n - j] / there[n]
-    mass = cut * uses + lm_score.EVERY_PIECE
-    whole = mass.sum() + sum(c - cut for c in counts.values()) + ends + 1
-    weight = np.log(mass / whole)
-    weight[-1] -= math.log(256)
-    assert math.isclose(np.exp(weight[:-1]).sum() + 256 * math.exp(weight[-1]) + sum(c - cut for c in counts.values()) / whole + (ends + 1) / whole, 1)
+    weight, end = first, 0.0
+    for _ in range(lm_score.ROUNDS):
+        uses = np.zeros(len(pieces) + 1)
+        for w, c in counts.items():
+            n, every = arcs(w)
+            there = forward(n, every, weight)
+            back = forward(n, [(n - j, n - i, u, k) for i, j, u, k in every], weight)
+            for i, j, u, k in every:
+                uses[u] += c * k * there[i] * math.exp(weight[u] * k) * back[n - j] / there[n]
+        mass = uses + lm_score.EVERY_PIECE
+        whole = mass.sum() + ends + 1
+        weight, end = np.log(mass / whole), math.log((ends + 1) / whole)
+        weight[-1] -= math.log(256)
+    assert math.isclose(np.exp(weight[:-1]).sum() + 256 * math.exp(weight[-1]) + math.exp(end), 1)
     for r in got:
         words = lower(dict((i, t) for i, t, *_ in rows)[r["doc_id"]]).decode().split()
-        # The document's whole lattice, word behind word, with an arc over each known word.
+        # The document's whole lattice, word behind word.
         size, every = 0, []
         for w in words:
             n, own = arcs(w)
-            every += [(size + i, size + j, math.exp(weight[u] * k)) for i, j, u, k in own] + ([(size, size + n, (counts[w] - cut) / whole)] if w in counts else [])
+            every += [(size + i, size + j, u, k) for i, j, u, k in own]
             size += n
-        at = [1.0] + [0.0] * size
-        for i, j, p in sorted(every):
-            at[j] += at[i] * p
-        assert math.isclose(r["score"], math.log10(at[size] * (ends + 1) / whole), rel_tol=1e-9), words
-    known = {w: math.log((c - cut) / whole) for w, c in counts.items()}
-    own = lattice.log_probability(["cat", "qzx", "the"], lattice.Lattice(pieces), weight, known, 0.0)
-    assert math.isclose(own, sum(lattice.log_probability([w], lattice.Lattice(pieces), weight, known, 0.0) for w in ("cat", "qzx", "the")))
+        assert math.isclose(r["score"], math.log10(forward(size, every, weight)[size]) + end / math.log(10), rel_tol=1e-9), words
+    own = lattice.log_probability(["cat", "qzx", "the"], lattice.Lattice(pieces), weight, 0.0)
+    assert math.isclose(own, sum(lattice.log_probability([w], lattice.Lattice(pieces), weight, 0.0) for w in ("cat", "qzx", "the")))
     assert len(got) == len(rows)
 
 
+def test_long_words_in_blocks(monkeypatch):
+    """Walked by themselves, words give what they give together; a word of a million characters takes bounded memory and seconds."""
+    import time
+    import tracemalloc
+
+    pieces, scores = lm_score.read_pieces()
+    lat, weights = lattice.Lattice(pieces), lattice.rank_weights(scores)
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinsh漢é") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    counts = np.arange(len(words)) + 1.0
+    want = lat.log_marginals(words, weights), lat.expected_uses(words, weights, counts)
+    monkeypatch.setattr(lattice, "LONG", 1)
+    monkeypatch.setattr(lattice, "BLOCK", 7)
+    got = lat.log_marginals(words, weights), lat.expected_uses(words, weights, counts)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+    monkeypatch.setattr(lattice, "BLOCK", 50_000)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    began = time.time()
+    tracemalloc.start()
+    uses = lat.expected_uses([word], weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(uses).all() and peak < 400e6 and time.time() - began < 180
+
+
 def test_lattice_sums_all_cuts():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
     lat = lattice.Lattice(pieces)

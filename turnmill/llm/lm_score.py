@@ -1,10 +1,9 @@
 """Language-model scores of whole texts: a subword lattice over an existing piece vocabulary.
 
-The lattice's units are the pieces of the vocabulary, single bytes, the words seen in training, and one end.  All of them share one
-distribution.  It is the outcome of one step of expectation maximisation over the training words: of a word's count, DISCOUNT goes to its cuts into
-pieces, each by its weight under the vocabulary's own scores, the rest to the word as one unit; the training documents' ends count for the end.  A document's
-probability is the sum over all its segmentations into units, by forward recursion in log space.  Texts alone are read: no column tells a
-text's language or kind.
+The lattice's units are the pieces of the vocabulary, single bytes for characters that have none, and one end; together they are one distribution.
+The vocabulary's own scores are the first weights of all segmentations.  ROUNDS of expectation maximisation over the training words then count
+how often each piece is used, every cut by its weight.  A document's probability is the sum over all its segmentations into
+units, by forward recursion in log space.  Texts alone are read: no column tells a text's language or kind.
 
 Counts of all words meet by shuffle.  HEAD words of highest count, a fixed number whatever the input's size, are sent to every task;
 the other words of each document are joined by shuffle, and none of them is frequent, so no key is hot.
@@ -20,14 +19,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.llm.common import durable, ship
+from turnmill.llm.common import durable, remembered, ship
 from turnmill.llm.lattice import Lattice, rank_weights
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Words that every task holds; words that a task holds before it hands on their counts.
 HEAD, HELD_WORDS = 250_000, 300_000
-#: Of a training word's count, what its cuts into pieces get; what each piece and the end get besides.
-DISCOUNT, EVERY_PIECE, EVERY_END = 0.75, 0.01, 1.0
+#: Rounds of expectation maximisation; what each piece and the end get besides their counts.
+ROUNDS = 3
+EVERY_PIECE, EVERY_END = 0.01, 1.0
 
 
 def read_pieces(path: str | None = None) -> tuple[list[str], list[float]]:
@@ -67,25 +67,36 @@ def count_words(docs: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(F.col("train"), 0).otherwise(F.col("n"))).alias("other"))
 
 
-def in_chunks(batches: Iterator[pd.DataFrame], rows: int = 60_000) -> Iterator[pd.DataFrame]:
-    held, n = [], 0
+def in_chunks(batches: Iterator[pd.DataFrame], rows: int = 60_000, size: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """Batches together, up to so many words or bytes of words."""
+    held, n, bytes_ = [], 0, 0
     for batch in batches:
         held.append(batch)
         n += len(batch)
-        if n >= rows:
+        bytes_ += sum(map(len, batch["word"]))
+        if n >= rows or bytes_ >= size:
             yield pd.concat(held)
-            held, n = [], 0
+            held, n, bytes_ = [], 0, 0
     if held:
         yield pd.concat(held)
 
 
-def piece_uses(words: DataFrame, pieces: list[str], first: np.ndarray) -> np.ndarray:
-    """How often each piece (and, last, a byte) is used in the cuts of the distinct training words, each cut by its weight under ``first``."""
+def shared_lattice(pieces: list[str]) -> Lattice:
+    """One lattice per Python worker and vocabulary."""
+    return remembered(f"lattice {len(pieces)} {hash(tuple(pieces))}", lambda: Lattice(pieces))
+
+
+def spelled(words) -> list[str]:
+    return [w.decode("utf-8", "surrogatepass") for w in words]
+
+
+def piece_uses(words: DataFrame, pieces: list[str], weights: np.ndarray) -> np.ndarray:
+    """How often each piece (and, last, a byte) is used in the cuts of the training words (word, n), each cut by its weight."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, total = Lattice(pieces), np.zeros(len(pieces) + 1)
+        lattice, total = shared_lattice(pieces), np.zeros(len(pieces) + 1)
         for chunk in in_chunks(batches):
-            total += lattice.expected_uses([w.decode("utf-8", "surrogatepass") for w in chunk["word"]], first)
+            total += lattice.expected_uses(spelled(chunk["word"]), weights, chunk["n"].to_numpy(np.float64))
         used = np.flatnonzero(total)
         yield pd.DataFrame({"piece": used.astype("int32"), "uses": total[used]})
 
@@ -96,20 +107,25 @@ def piece_uses(words: DataFrame, pieces: list[str], first: np.ndarray) -> np.nda
     return uses
 
 
-def unit_weights(uses: np.ndarray, n_words: int, n_distinct: int, n_ends: int, first: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """Log weights of pieces and of one byte, that of the end, and the sum of all units' expected counts.
+def unit_weights(uses: np.ndarray, n_ends: int) -> tuple[np.ndarray, float]:
+    """Log weights of pieces and of one byte, and that of the end, from the units' expected counts."""
+    counts = uses + EVERY_PIECE
+    total = float(counts.sum()) + n_ends + EVERY_END
+    each = counts / total
+    each[-1] /= 256
+    return np.log(each), float(np.log((n_ends + EVERY_END) / total))
+
 
-    Without training words the pieces weigh what the vocabulary says, together as much as the end.
-    """
-    if n_distinct:
-        counts = DISCOUNT * uses + EVERY_PIECE
-    else:
+def fitted(words: DataFrame, pieces: list[str], first: np.ndarray, n_ends: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights after ``rounds`` over the training words (word, n).  Without training words pieces weigh what the vocabulary says, together as much as the end."""
+    if words.isEmpty():
         counts = np.exp(first)
         counts[-1] *= 256
-    total = float(counts.sum()) + n_words - DISCOUNT * n_distinct + n_ends + EVERY_END
-    each = counts / total
-    each[-1] /= 256
-    return np.log(each), float(np.log((n_ends + EVERY_END) / total)), total
+        return unit_weights(counts, n_ends)
+    weights, end = first, 0.0
+    for _ in range(rounds):
+        weights, end = unit_weights(piece_uses(words, pieces, weights), n_ends)
+    return weights, end
 
 
 def least_uses(rated: DataFrame, head: int) -> int:
@@ -143,17 +159,14 @@ def score_texts(docs: DataFrame, is_training: Column, id_col: str = "doc_id", te
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("distinct")).first()
     total, vocabulary = facts["n"] + ends, facts["distinct"] + (1 if ends else 0)
     divisor = total + 0.5 * (vocabulary + 1)
-    uses = piece_uses(words.where("n > 0").select("word"), pieces, first) if facts["distinct"] else np.zeros(len(pieces) + 1)
-    weights, end, units = unit_weights(uses, facts["n"], facts["distinct"], ends, first)
+    weights, end = fitted(words.where("n > 0").select("word", "n"), pieces, first, ends)
 
     def marginals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(pieces)
+        lattice = shared_lattice(pieces)
         for chunk in in_chunks(batches):
-            spelled = lattice.log_marginals([w.decode("utf-8", "surrogatepass") for w in chunk["word"]], weights)
+            own = lattice.log_marginals(spelled(chunk["word"]), weights) / np.log(10)
             n = chunk["n"].to_numpy()
-            whole = np.log(np.maximum(n - DISCOUNT, 1e-300) / units)
-            both = np.where(n > 0, np.logaddexp(spelled, whole), spelled)
-            yield pd.DataFrame({"word": chunk["word"], "uses": n + chunk["other"], "known": (n > 0).astype("int64"), "base": np.log10((n + 0.5) / divisor), "own": both / np.log(10)})
+            yield pd.DataFrame({"word": chunk["word"], "uses": n + chunk["other"], "known": (n > 0).astype("int64"), "base": np.log10((n + 0.5) / divisor), "own": own})
 
     rated = durable(words.mapInPandas(marginals, "word binary, uses long, known long, base double, own double"))
     columns = ["known", "base", "own"]
