@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from turnmill.operators import codex, pi
 from turnmill.operators.composition import ADDED, CATEGORIES, EFFORT, SEEDS, claude_composition
-from turnmill.operators.windows import before
+from turnmill.operators.windows import before, over
 from turnmill.plans.base import EVENT_LINES, event_lines, query
-from turnmill.sources.transcripts import claude_turns
+from turnmill.sources import wire
+from turnmill.sources.transcripts import claude_turns, longest_branch
 
 S = ["session"]
 W = "WITH RECURSIVE " + EVENT_LINES
@@ -252,3 +253,74 @@ def codex_steps(read):
     events = codex.turn_events(codex_log(read("events")))
     steps = codex.codex_steps(events, codex.codex_turns(codex_log(read("events")), events))
     return steps.select("session", "turn_i", "step_i", "kind", "name", "text", "input", "result", "is_error", "think_tok", "text_tok", "in_tok", "out_tok", "ms")
+
+
+def tree_log(events: DataFrame) -> DataFrame:
+    """Every event as an entry whose parent is one to four entries before it, by k."""
+    e, head, k = stamped(events)
+    parent = F.lag("event_id", 1).over(over(S, ["seq"])), F.lag("event_id", 2).over(over(S, ["seq"])), F.lag("event_id", 3).over(over(S, ["seq"])), F.lag("event_id", 4).over(over(S, ["seq"]))
+    e = e.withColumn("parent", F.when(k % 4 == 0, parent[0]).when(k % 4 == 1, parent[1]).when(k % 4 == 2, parent[2]).otherwise(parent[3]))
+    entry = body(type="message", id=F.col("event_id").cast("string"), parentId=F.col("parent").cast("string"), message=of(role="user", content=worded("m", k)))
+    return as_read(e.select("session", (F.col("seq") + 1).alias("line_no"), F.concat(head, entry).alias("value")))
+
+
+@query("j19_longest_branch", W + """, p AS (SELECT session, event_id AS id, seq, CASE tokens % 4 WHEN 0 THEN lag(event_id, 1) OVER w WHEN 1 THEN lag(event_id, 2) OVER w WHEN 2 THEN lag(event_id, 3) OVER w ELSE lag(event_id, 4) OVER w END AS parent FROM lines WINDOW w AS (PARTITION BY session ORDER BY seq)),
+    d(session, id, seq, depth) AS (SELECT session, id, seq, 0 FROM p WHERE parent IS NULL UNION ALL SELECT p.session, p.id, p.seq, d.depth + 1 FROM d JOIN p ON p.session = d.session AND p.parent = d.id),
+    leaf AS (SELECT session, id FROM d QUALIFY row_number() OVER (PARTITION BY session ORDER BY depth DESC, seq DESC) = 1),
+    path(session, id) AS (SELECT session, id FROM leaf UNION ALL SELECT p.session, p.parent FROM path JOIN p USING (session, id) WHERE p.parent IS NOT NULL)
+    SELECT d.session, d.seq, CAST(d.id AS VARCHAR) AS id, CAST(depth AS BIGINT) AS depth FROM d JOIN path USING (session, id)""")
+def longest_branches(read):
+    return longest_branch(tree_log(read("events")))
+
+
+def message_text() -> Column:
+    """A first message whose sections hold stretches of a document, some left out by its length."""
+    n, cut = F.col("n_chars"), lambda k: F.substring("text", 1 + 60 * k, 60)
+    some = lambda yes, *parts: F.when(yes, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])).otherwise("")
+    return F.concat(
+        F.lit("<system-reminder>\nintro "), some(n % 2 == 0, wire.GLOBAL, "me:\n\n", cut(0), "\n\n"), some(n % 3 == 0, wire.PROJECT, " /repo:\n\n", cut(1), "\n"), some(n % 5 < 3, wire.SERVERS, "\n\n", cut(2), "\n\n"),
+        some(n % 7 < 4, wire.SKILLS, ":\n\n", cut(3), "\n"), some(n % 4 < 2, wire.DATE, "\n2024\n"), some(n % 11 > 0, wire.CLOSING), F.lit(" tail"),
+    )
+
+
+_MESSAGE = f"""concat('<system-reminder>\n' || 'intro ', CASE WHEN n_chars % 2 = 0 THEN '{wire.GLOBAL}me:\n\n' || substr(text, 1, 60) || '\n\n' ELSE '' END, CASE WHEN n_chars % 3 = 0 THEN '{wire.PROJECT} /repo:\n\n' || substr(text, 61, 60) || '\n' ELSE '' END,
+    CASE WHEN n_chars % 5 < 3 THEN '{wire.SERVERS}\n\n' || substr(text, 121, 60) || '\n\n' ELSE '' END, CASE WHEN n_chars % 7 < 4 THEN '{wire.SKILLS}:\n\n' || substr(text, 181, 60) || '\n' ELSE '' END,
+    CASE WHEN n_chars % 4 < 2 THEN '{wire.DATE}\n2024\n' ELSE '' END, CASE WHEN n_chars % 11 > 0 THEN '{wire.CLOSING}' ELSE '' END, ' tail')"""
+
+
+def _section(own: str, following: tuple[str, ...]) -> str:
+    until = "stop"
+    for x in reversed(following):
+        until = f"CASE WHEN {x} > {own} THEN {x} ELSE {until} END"
+    begin = f"CASE WHEN strpos(substr(t, {own} + 1), '\n\n') > 0 THEN {own} + strpos(substr(t, {own} + 1), '\n\n') + 1 ELSE {own} END"
+    end = f"greatest(length(rtrim(substr(t, 1, {until}), '\n')), least({until}, 1))"
+    return f"CASE WHEN {own} >= 0 THEN greatest(0, {end} - ({begin})) ELSE 0 END"
+
+
+@query("s14_claude_capture", f"""WITH m AS (SELECT doc_id, lang, source, {_MESSAGE} AS t FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT *, strpos(t, '{wire.GLOBAL}') - 1 AS g, strpos(t, '{wire.SERVERS}') - 1 AS m, strpos(t, '{wire.SKILLS}') - 1 AS s, strpos(t, '{wire.DATE}') - 1 AS d, CASE WHEN strpos(t, '{wire.CLOSING}') > 0 THEN strpos(t, '{wire.CLOSING}') - 1 ELSE length(t) END AS stop FROM m),
+    p AS (SELECT *, CASE WHEN g >= 0 AND strpos(substr(t, g + 21), '{wire.PROJECT}') > 0 THEN g + 19 + strpos(substr(t, g + 21), '{wire.PROJECT}') ELSE -1 END AS p FROM g),
+    z AS (SELECT *, {_section("g", ("p", "m", "s", "d"))} AS section_global, {_section("p", ("m", "s", "d"))} AS section_project, {_section("m", ("s", "d"))} AS section_servers, {_section("s", ("d",))} AS section_skills FROM p)
+    SELECT doc_id AS session, coalesce(lang, 'unknown') AS model, length(coalesce(source, '')) + 22 AS sys_prompt, length(t) AS section_total, section_global, section_project, section_servers, section_skills, CASE WHEN d >= 0 THEN stop - d ELSE 0 END AS section_date,
+        greatest(0, stop - section_global - section_project - section_servers - section_skills) AS section_wrapper FROM z""")
+def claude_capture(read):
+    request = of(method="POST", body=of(model=F.col("lang"), system=F.array(of(text=F.col("source")), of(text=wire.IDENTITY)), messages=F.array(of(role="user", content=F.array(of(type="text", text=message_text()))))))
+    lines = read("documents").where("text is not null").select(F.col("doc_id").alias("session"), F.lit(1).alias("line_no"), F.to_json(of(request=request)).alias("value"))
+    return wire.claude_captures(as_read(lines)).select("session", "model", "sys_prompt", *[f"section_{n}" for n in ("total", "global", "project", "servers", "skills", "date", "wrapper")])
+
+
+@query("s15_codex_capture", f"""WITH {EVENT_LINES}, f AS (SELECT * FROM lines WHERE kind IN ('purchase', 'view') QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq) = 1)
+    SELECT session, CASE WHEN kind = 'purchase' THEN 'responses' ELSE 'chat_completions' END AS wire_api, CASE WHEN kind = 'purchase' THEN length('do ' || tokens) ELSE length('dev ' || tokens) END AS sys_prompt, CASE WHEN kind = 'purchase' THEN 't' || tokens ELSE 'a,b' END AS tool_names,
+        CASE WHEN kind = 'purchase' THEN length('dev ' || tokens) ELSE 0 END AS runtime, CASE WHEN tokens % 3 = 0 THEN event_id ELSE tokens END AS input, CASE WHEN tokens % 3 <> 0 THEN tokens // 2 END AS cached FROM f""")
+def codex_capture(read):
+    e, _, k = stamped(read("events"))
+    developer = of(role="developer", content=F.array(of(type="input_text", text=worded("dev ", k))))
+    old = F.to_json(of(instructions=worded("do ", k), tools=F.array(of(name=worded("t", k))), input=F.array(developer)))
+    new = F.concat(F.lit('{"input":[{"type":"additional_tools","tools":[{"name":"b"},{"function":{"name":"a"}}]},'), F.to_json(developer), F.lit("]}"))
+    first = F.concat(F.lit('data: {"usage":{"input_tokens":'), k, F.lit(',"cached_input_tokens":'), F.floor(k / 2), F.lit("}}\ndata: [DONE]\n"))
+    second = F.when(k % 3 == 0, F.concat(F.lit('data: {"response":{"usage":{"input_tokens":'), F.col("event_id"), F.lit("}}}\n"))).otherwise("data: {broken\n")
+    request = F.concat(F.lit('{"request":{"method":"'), F.when(F.col("kind") == "error", "GET").otherwise("POST"), F.lit('","url":"'), F.when(F.col("kind") == "click", "/other").otherwise("/responses"), F.lit('","body":'))
+    payload = F.when(F.col("kind") == "purchase", old).when(F.col("kind") == "signup", F.lit('{"input":[]}')).otherwise(new)
+    value = F.concat(request, payload, F.lit('},"response":'), F.to_json(of(body=F.concat(first, second))), F.lit("}"))
+    found = wire.codex_captures(as_read(e.select("session", (F.col("seq") + 1).alias("line_no"), value.alias("value"))))
+    return found.select("session", "wire_api", "sys_prompt", "tool_names", "runtime", "input", "cached")
