@@ -45,13 +45,16 @@ def test_shards_are_written_once(spark, tmp_path):
 
     rows = lambda mark, sessions: spark.createDataFrame([(s, i // 2, i, f"{mark}{i}") for s in sessions for i in range(3)], "session string, shard int, turn_i long, content string")
     root = str(tmp_path)
-    found = lambda: {(r["session"], r["shard"], r["value"]) for r in spark.read.schema("value string, session string, shard int").text(f"{root}/shards", wholetext=True).collect()}
+    found = lambda: {(r["session"], r["shard"], r["value"]) for r in spark.read.schema("shard int, value string, session string").json(f"{root}/shards").collect()}
     write_shards(rows("a", ["1", "x"]), root)
-    first = {(s, k, t) for s in ("1", "x") for k, t in ((0, "a0\na1\n"), (1, "a2\n"))}
+    first = {(s, k, t) for s in ("1", "x") for k, t in ((0, "a0\na1"), (1, "a2"))}
     assert found() == first
     write_shards(rows("b", ["x", "y"]), root)
-    assert found() == first | {("y", 0, "b0\nb1\n"), ("y", 1, "b2\n")}
+    assert found() == first | {("y", 0, "b0\nb1"), ("y", 1, "b2")}
+    write_shards(rows("c", ["x"]), root, force=True)
+    assert ("x", 0, "c0\nc1") in found() and ("1", 0, "a0\na1") in found()
+    write_shards(rows("d", ["x"]).where("shard = 0"), root, force=True)
+    assert {k for s, k, _ in found() if s == "x"} == {0}
     write_shards(rows("c", ["x"]), root, force=True)
-    assert ("x", 0, "c0\nc1\n") in found() and ("1", 0, "a0\na1\n") in found()
     listed = spark.read.schema(MANIFEST).json(f"{root}/manifests").orderBy("session", "shard").collect()
     assert [(r["session"], r["shard"], r["first_turn"], r["last_turn"], r["turns"]) for r in listed][:2] == [("1", 0, 0, 1, 2), ("1", 1, 2, 2, 1)] and len(listed) == 6

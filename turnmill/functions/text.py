@@ -185,7 +185,7 @@ def looks_like_code(text: Column) -> Column:
 def looks_like_diff(text: Column) -> Column:
     """A line that begins a git diff, or a row of a table with a diff's sign above the line below its head."""
     lines = F.replace(text, F.lit("\r\n"), F.lit("\n"))
-    return lines.rlike(r"(^|\n)\s*diff --git ") | lines.rlike(r"(^|\n)[+\- ]\|[^\n]*\|[^\S\n]*\n\s?\|[\s\-:|]+\|[^\S\n]*(\n|$)")
+    return lines.rlike(r"(^|\n)[^\S\n]*diff --git [^\n]*\S") | lines.rlike(r"(^|\n)[+\- ]\|[^\n]*\|[^\S\n]*\n\s?\|[\s\-:|]+\|[^\S\n]*(\n|$)")
 
 
 def vault_tags(text: Column) -> Column:

@@ -67,8 +67,13 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merged_candidates(rows: DataFrame) -> DataFrame:
-    """One row per id: the first record of highest confidence; turns sorted, distinct and joined."""
-    return rows.groupBy("id").agg(F.max_by("label", F.struct("conf", -F.col("seq"))).alias("label"), F.max("conf").alias("conf"), F.min("first_turn").alias("first_turn"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("turns")))), ",").alias("turns"))
+    """One row per id: the first record of highest confidence; turns sorted, distinct and joined.
+
+    Turns are made distinct per id before any id's are gathered, so what is gathered is what is returned.
+    """
+    best = rows.groupBy("id").agg(F.max_by("label", F.struct("conf", -F.col("seq"))).alias("label"), F.max("conf").alias("conf"), F.min("first_turn").alias("first_turn"))
+    turns = rows.select("id", F.explode("turns").alias("turn")).distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("turn")), ",").alias("turns"))
+    return best.join(turns, "id", "left").select("id", "label", "conf", "first_turn", F.coalesce("turns", F.lit("")).alias("turns"))
 
 
 def merged_relations(edges: DataFrame) -> DataFrame:
@@ -94,9 +99,18 @@ def merged_graphs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_range(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each point (id, at) with the first range (range_id, low, high) that holds it, or none."""
-    found = points.join(ranges, F.col("at").between(F.col("low"), F.col("high")), "left")
-    return found.groupBy("id", "at").agg(F.min("range_id").alias("range_id"))
+    """Each point (id, at) with the first range (range_id, low, high; whole numbers) that holds it, or none.
+
+    The axis is cut into stretches as long as a range is on average, so all ranges together meet about twice as many stretches as there are
+    ranges, and a point meets those of its own stretch alone.
+    """
+    whole = ranges.where("low <= high")
+    size = whole.agg(F.ceil(F.avg(F.col("high") - F.col("low") + 1)).cast("long")).first()[0] or 1
+    stretch = lambda x: F.floor(F.col(x) / size).cast("long")
+    cut = whole.select("range_id", "low", "high", F.explode(F.sequence(stretch("low"), stretch("high"))).alias("_s"))
+    met = points.withColumn("_s", stretch("at")).join(cut, "_s").where(F.col("at").between(F.col("low"), F.col("high")))
+    found = met.groupBy("id", "at").agg(F.min("range_id").alias("range_id"))
+    return points.select("id", "at").distinct().join(found, ["id", "at"], "left")
 
 
 def alike_within(rows: DataFrame, tenths: int = 7) -> DataFrame:

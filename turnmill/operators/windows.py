@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from turnmill.operators.lineage import settled
 
 
 def over(keys: list[str], order: list) -> Window:
@@ -39,9 +40,23 @@ def islands(df: DataFrame, keys: list[str], order: list, starts: Column, out: st
     return running(df, keys, order, F.when(starts, 1).otherwise(0), out)
 
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key."""
-    return top_of(df, keys, order, 1)
+def rank_key(df: DataFrame, order: list[str]) -> Column:
+    """An order as one value: names rise, names behind a minus (numbers and moments) fall; nulls come first where values rise, last where they fall."""
+    parts, kinds = [], dict(df.dtypes)
+    for name in order:
+        own = F.col(name.removeprefix("-"))
+        if name.startswith("-"):
+            number = F.unix_micros(own.cast("timestamp")) if kinds[name[1:]].startswith("timestamp") else own
+            parts += [own.isNull(), -number]
+        else:
+            parts.append(own)
+    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by rank_key().  An aggregate: rows of a key meet before the shuffle, so no key is hot."""
+    row = F.min_by(F.struct(*df.columns), rank_key(df, order)).alias("_row")
+    return df.groupBy(*keys).agg(row).select("_row.*")
 
 
 def top_of(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
@@ -50,6 +65,13 @@ def top_of(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 
 
 def placed(df: DataFrame, order: list, out: str) -> DataFrame:
-    """0-based place of a row among all rows: range partitions in order, counted, each beginning where the one before it ends."""
-    schema = T.StructType([*df.schema, T.StructField(out, T.LongType())])
-    return df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """0-based place of a row among all rows: ranges of the order, counted, each beginning where the one before it ends.
+
+    The ranges are settled before they are read twice, for the bounds are found by a sample.
+    """
+    ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # One row per range.
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    numbered = ranged.withColumn("_own", F.row_number().over(over(["_part"], order)))
+    return numbered.join(F.broadcast(starts), "_part").withColumn(out, (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_part", "_start", "_own")

@@ -96,7 +96,7 @@ def best_lines(read):
     lines = whole.select("doc_id", "lead", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     bare = lines.select("doc_id", (F.col("pos") + F.col("lead")).cast("long").alias("place"), X.trimmed(F.regexp_replace("line", r"^[-*]\s+", "")).alias("line")).where(X.units(F.col("line")) >= 8)
     scored = bare.withColumn("score", X.knowledge_score(F.col("line"))).where("score > 0")
-    once = first_of(scored.withColumn("head", F.substring("line", 1, 80)), ["doc_id", "head"], [F.desc("score"), "place"])
+    once = first_of(scored.withColumn("head", F.substring("line", 1, 80)), ["doc_id", "head"], ["-score", "place"])
     best = top_of(once, ["doc_id"], [F.desc("score"), "place"], 10).select("doc_id", "place")
     return best.unionByName(whole.join(scored.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("place")))
 
@@ -160,7 +160,7 @@ def code_like(read):
 
 @query("f12_diff_like", r"""WITH n AS (SELECT doc_id, text, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM (
         SELECT doc_id, text FROM documents UNION ALL SELECT -1 - page_id, CASE page_id % 3 WHEN 0 THEN 'x' || chr(10) || '  diff --git a b' WHEN 1 THEN '+| a | b |' || chr(10) || ' |---|---|' ELSE '|a|' || chr(10) || '|-|' END || url FROM pages))
-    SELECT doc_id, list_bool_or(list_transform(l, lambda x: starts_with(trim(x), 'diff --git '))) OR list_bool_or(list_transform(range(1, len(l)), lambda i: regexp_matches(l[i], '^[+\- ]\|.*\|\s*$') AND regexp_matches(l[i + 1], '^\s?\|[\s\-:|]+\|\s*$'))) IS TRUE AS diff FROM n WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+    SELECT doc_id, list_bool_or(list_transform(l, lambda x: starts_with(regexp_replace(x, '^\s+|\s+$', '', 'g'), 'diff --git '))) OR list_bool_or(list_transform(range(1, len(l)), lambda i: regexp_matches(l[i], '^[+\- ]\|.*\|\s*$') AND regexp_matches(l[i + 1], '^\s?\|[\s\-:|]+\|\s*$'))) IS TRUE AS diff FROM n WHERE text IS NOT NULL""".replace("\\\\", "\\"))
 def diff_like(read):
     made = F.when(F.col("page_id") % 3 == 0, F.lit("x\n  diff --git a b")).when(F.col("page_id") % 3 == 1, F.lit("+| a | b |\n |---|---|")).otherwise(F.lit("|a|\n|-|"))
     rows = read("documents").select("doc_id", "text").unionByName(read("pages").select((-1 - F.col("page_id")).alias("doc_id"), F.concat(made, "url").alias("text")))
@@ -176,7 +176,7 @@ def redacted(read):
 
 
 @query("f13_sensitive_keys", f"""WITH k AS (SELECT page_id, unnest(['api-key', 'apikey', 'X_TOKEN', 'host', 'Authorization', 'credentials', 'passwordless', 'note']) AS key, url FROM pages)
-    SELECT page_id, key, CASE WHEN regexp_matches(key, '(?i){redact.SENSITIVE_KEY}') THEN '{redact.SANITIZED}' WHEN length(url) > 200 THEN left(url, 197) || '...' WHEN length(url) >= 20 AND regexp_matches(url, '{redact.SECRET_VALUE}') THEN '{redact.SANITIZED}' ELSE url END AS value FROM k""")
+    SELECT page_id, key, CASE WHEN regexp_matches(key, '(?i){redact.SENSITIVE_KEY}') THEN '{redact.SANITIZED}' WHEN length(url) >= 20 AND regexp_matches(url, '{redact.SECRET_VALUE}') THEN '{redact.SANITIZED}' WHEN length(url) > 200 THEN left(url, 197) || '...' ELSE url END AS value FROM k""")
 def sensitive_keys(read):
     names = F.array(*[F.lit(x) for x in ("api-key", "apikey", "X_TOKEN", "host", "Authorization", "credentials", "passwordless", "note")])
     filled = read("pages").select("page_id", F.explode(redact.fields(F.map_from_arrays(names, F.array_repeat(F.col("url"), 8)))).alias("key", "value"))

@@ -74,7 +74,7 @@ def one_topic_per_group(read):
 @query("j13_first_range", """WITH r AS (SELECT n_nationkey AS range_id, n_nationkey * 2 AS low, n_nationkey * 2 + 4 AS high FROM nation) SELECT p_partkey AS id, p_size AS at, min(range_id) AS range_id FROM part LEFT JOIN r ON p_size BETWEEN low AND high GROUP BY ALL""")
 def first_range(read):
     ranges = read("nation").select(F.col("n_nationkey").alias("range_id"), (F.col("n_nationkey") * 2).alias("low"), (F.col("n_nationkey") * 2 + 4).alias("high"))
-    return G.first_range(read("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("at")), F.broadcast(ranges))
+    return G.first_range(read("part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("at")), ranges)
 
 
 @query("u3_label_jaccard", """WITH p AS (SELECT p_partkey AS id, p_type AS block, list_distinct(string_split(p_name, '')) AS c FROM part)
@@ -203,7 +203,7 @@ def filtered_types(read):
 @query("u7_last_evidence", "SELECT l_partkey, l_suppkey, max(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY l_partkey, l_suppkey")
 def last_evidence(read):
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return first_of(read("lineitem").withColumn("seq", seq), ["l_partkey", "l_suppkey"], [F.desc("seq")]).select("l_partkey", "l_suppkey", "seq")
+    return first_of(read("lineitem").withColumn("seq", seq), ["l_partkey", "l_suppkey"], ["-seq"]).select("l_partkey", "l_suppkey", "seq")
 
 
 @query("x16_label_support", "SELECT p_partkey, contains(lower(p_type || ' ' || p_name), lower(left(p_name, 2))) AS supported FROM part")
@@ -216,8 +216,8 @@ def label_support(read):
 def lane_layout(read):
     parts = placed(read("part").select("p_brand", "p_size", F.col("p_partkey").alias("id")), ["p_brand", "p_size", "id"], "place")
     begins = parts.groupBy("p_brand").agg(F.min("place").alias("begin"))
-    lanes = begins.withColumn("lane", F.row_number().over(over([], ["p_brand"])) - 1)
-    return parts.join(F.broadcast(lanes), "p_brand").select("id", "lane", (F.col("place") - F.col("begin")).alias("row"))
+    lanes = placed(begins, ["p_brand"], "lane")
+    return parts.join(lanes, "p_brand").select("id", "lane", (F.col("place") - F.col("begin")).alias("row"))
 
 
 @query("o6_top_parts_per_brand", "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) WHERE n <= 3")

@@ -135,7 +135,7 @@ def tool_histogram(read):
 
 @query("a8_turn_peaks", TURNED + " SELECT session, turn_i, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY session, turn_i ORDER BY value DESC, seq) AS n FROM turns) WHERE n = 1")
 def turn_peaks(read):
-    return first_of(turned(read), ["session", "turn_i"], [F.desc("value"), "seq"]).select("session", "turn_i", "seq", "value")
+    return first_of(turned(read), ["session", "turn_i"], ["-value", "seq"]).select("session", "turn_i", "seq", "value")
 
 
 @query("a9_turn_metrics", TURNED + """, d AS (SELECT *, greatest(0, coalesce(lead(ms) OVER (PARTITION BY session, turn_i ORDER BY seq) - ms, 0)) AS lasts FROM turns)
@@ -336,7 +336,7 @@ def latest_wins(read):
 
     e = read("events")
     old, new = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
-    return upserted(old, new, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "value", "event_id")
+    return upserted(old, new, ["user_id", "event_type"], ["-ts", "-event_id"]).select("user_id", "event_type", "value", "event_id")
 
 
 @query("u4_shard_replacement", """WITH o AS (SELECT user_id, event_type, max(event_id) AS event_id, false AS fresh FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL), n AS (SELECT user_id, event_type, max(event_id) AS event_id, true AS fresh FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_type <> 'error' GROUP BY ALL)
