@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from turnmill.operators import codex, pi, steps
+from turnmill.operators import codex, openclaw, opencode, pi, steps
 
 
 def lines_of(spark, rows, session="s"):
@@ -116,9 +116,49 @@ def test_codex_calls_and_late_results(spark):
     assert steps.turn_facts(turns, codex.codex_steps(codex.turn_events(lines_of(spark, rows)), turns).drop("out_tok")).first()["sub_ms"] == 1500
 
 
+def test_opencode(spark):
+    line = lambda second, kind, part=None, **more: {"type": kind, "timestamp": at(second), "sessionID": "x", "part": part or {}, **more}
+    rows = [
+        line(1, "text", {"text": "before any step"}), line(2, "step_start", {"prompt": " ask "}), line(3, "text", {"content": "answer"}), line(3, "text", {"text": ""}),
+        line(4, "tool_use", {"tool": "bash", "state": {"input": {"c": 1}, "output": "ok", "status": "completed", "time": {"start": 1000, "end": 1250}}}), line(5, "tool_use", {"tool": "task", "state": {"input": {}, "output": "sub", "status": "error"}}),
+        line(6, "step_finish", {"tokens": {"input": 50, "output": 5, "cache": {"read": 7}}}), line(7, "step_finish", {"tokens": {"input": 20, "output": 1}}), line(7, "error", error={"data": {"message": "broke"}}), line(8, "step_start"), line(9, "step_finish", {}),
+    ]
+    events = opencode.step_events(lines_of(spark, rows))
+    turns = opencode.opencode_turns(events, "f")
+    got, made = collected((turns, opencode.opencode_steps(events, turns)))
+    assert [(t.prompt, t.requests, t.out_tok, t.max_input, t.last_input) for t in got] == [("OpenCode stream: f", 0, 0, 0, 0), ("ask", 2, 6, 50, 20), ("OpenCode stream: f", 1, 0, 0, 0)]
+    assert [(s.turn_i, s.kind, s.name if s.kind in "ts" else s.text, s.result, s.ms, s.in_tok) for s in made] == [
+        (0, "m", "before any step", "", 0, 0), (1, "m", "answer", "", 1000, 50), (1, "m", "", "", 0, 50), (1, "t", "bash", "ok", 250, 50), (1, "m", "", "", 0, 50), (1, "s", "task", "sub", 2000, 50), (1, "i", "broke", "", 0, 20), (2, "m", opencode.NOTHING, "", 1000, 0),
+    ]
+
+
+def test_openclaw(spark):
+    up = lambda second, kind, run="", **more: {"sessionId": "x", "runId": run, "timestamp": at(second), "update": {"sessionUpdate": kind, **more}}
+    words = lambda t: {"type": "text", "text": t}
+    rows = [
+        {"type": "openclaw_session", "cwd": "/x"}, up(1, "user_message_chunk", "r1", content=words("hello")), up(1, "user_message_chunk", "", content=words("there")), up(2, "agent_thought_chunk", "r1", content=words("hm")), up(2, "agent_thought_chunk", "r1", content=words("m")),
+        up(3, "agent_message_chunk", "r1", content=words("An")), up(3, "usage_update", "r1", used=500, size=1000), up(3, "agent_message_chunk", "r2", content=words("swer")), up(4, "tool_call", "r1", toolCallId="c", title="bash", rawInput={"x": 1}), up(4, "tool_call", "r1"),
+        up(5, "tool_call_update", "r1", toolCallId="c", status="in_progress"), up(6, "tool_call_update", "r1", toolCallId="c", status="failed", content=[words("out")]), up(6, "tool_call_update", toolCallId="tool_3", status="completed", rawOutput={"a": 1}),
+        up(7, "user_message_chunk", "r3", text="next"), up(7, "user_message_chunk", "r4", text="other run"), up(8, "user_message_chunk", "r4", text=""), up(8, "session_info_update", "r9"), up(9, "usage_update", "", used=0, size=10),
+    ]
+    events = openclaw.update_events(lines_of(spark, rows))
+    turns = openclaw.openclaw_turns(events, "f")
+    got, made = collected((turns, openclaw.openclaw_steps(events, turns)))
+    assert [(t.prompt, t.requests, t.max_input, t.last_input) for t in got] == [("hello\nthere", 3, 500, 500), ("next", 0, 0, 0), ("other run", 1, 0, 0)]
+    assert [(s.kind, s.name if s.kind == "t" else s.text, s.input, s.result, s.is_error, s.think_tok) for s in made] == [
+        ("m", "hmm", "", "", False, 1), ("m", "Answer", "", "", False, 0), ("m", "", '{"x":1}', "", False, 0), ("m", "", "{}", "", False, 0), ("t", "bash", '{"x":1}', "out", True, 0), ("t", "tool_3", "{}", '{"a":1}', False, 0),
+    ]
+    only = [up(1, "session_info_update", "r0"), up(2, "user_message_chunk", "r0", text="a"), up(3, "user_message_chunk", "r1", text="b"), up(4, "agent_message_chunk", "r1", content="x"), up(5, "user_message_chunk", "r1", text="c")]
+    turns = openclaw.openclaw_turns(openclaw.update_events(lines_of(spark, only)), "f")
+    assert [t.prompt for t in turns.orderBy("turn_i").collect()] == ["a", "b", "c"]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "session string, line_no int, value string")
     events = codex.turn_events(empty)
     turns = codex.codex_turns(empty, events)
-    for df in (*pi.event_turns(empty), *pi.session_turns(empty), turns, codex.codex_steps(events, turns)):
+    steps_ = opencode.step_events(empty)
+    claws = openclaw.update_events(empty)
+    others = (opencode.opencode_turns(steps_), opencode.opencode_steps(steps_, opencode.opencode_turns(steps_)), openclaw.openclaw_turns(claws), openclaw.openclaw_steps(claws, openclaw.openclaw_turns(claws)))
+    for df in (*pi.event_turns(empty), *pi.session_turns(empty), turns, codex.codex_steps(events, turns), *others):
         assert df.collect() == []
