@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.operators import codex, pi
+from turnmill.operators import codex, headers, pi
 from turnmill.operators.composition import ADDED, CATEGORIES, EFFORT, SEEDS, claude_composition
+from turnmill.operators.headers import claude_meta
 from turnmill.operators.windows import before, over
 from turnmill.plans.base import EVENT_LINES, event_lines, query
 from turnmill.sources import wire
@@ -61,10 +62,10 @@ def claude_log(events: DataFrame) -> DataFrame:
         .otherwise(F.to_json(of(type="ultra_effort_enter")))
     )
     value = (
-        F.when(F.col("kind") == "purchase", F.concat(head("user"), F.lit('"promptId":"p'), F.col("event_id"), F.lit('","message":{"content":'), quoted(F.concat(F.lit("order "), F.col("event_id"), said(" item", k))), F.lit("}}")))
+        F.when(F.col("kind") == "purchase", F.concat(head("user"), F.lit('"cwd":"'), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("/w"), k % 5)), F.lit('","promptId":"p'), F.col("event_id"), F.lit('","message":{"content":'), quoted(F.concat(F.lit("order "), F.col("event_id"), said(" item", k))), F.lit("}}")))
         .when(F.col("kind") == "error", F.concat(head("user"), F.lit('"isMeta":true,'), F.coalesce(F.concat(F.lit('"promptId":"p'), F.col("asked"), F.lit('",')), F.lit("")), F.lit('"message":{"content":'), quoted(F.concat(F.lit("meta "), k)), F.lit("}}")))
         .when(F.col("kind") == "click", message("user", F.concat(F.lit("["), F.regexp_replace(F.to_json(result), r"\}$", ""), F.lit(',"content":'), output, F.lit("}]"))))
-        .when(F.col("kind") == "view", F.concat(head("assistant"), F.lit('"message":{"content":'), answer, F.lit(',"usage":'), usage, F.lit("}}")))
+        .when(F.col("kind") == "view", F.concat(head("assistant"), F.lit('"message":{'), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit('"model":"agent-'), k % 3, F.lit('",'))), F.lit('"content":'), answer, F.lit(',"usage":'), usage, F.lit("}}")))
         .otherwise(F.concat(head("attachment"), F.lit('"attachment":'), attached, F.lit("}")))
     )
     return as_read(e.select("session", (F.col("seq") + 1).alias("line_no"), value.alias("value")))
@@ -119,6 +120,14 @@ def full_composition(read):
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
+@query("a13_session_meta", f"""{_CLAUDE[: _CLAUDE.index("    u AS (")].rstrip().rstrip(",")}
+    SELECT session, coalesce(min_by('agent-' || tokens % 3, seq) FILTER (kind = 'view' AND tokens % 3 > 0), 'unknown') AS model, coalesce(CAST(min_by(tokens % 3, seq) FILTER (kind = 'view' AND tokens % 3 > 0) AS VARCHAR), 'unknown') AS version,
+        coalesce(min_by('/w' || tokens % 5, seq) FILTER (kind = 'purchase' AND tokens % 5 > 0), '') AS cwd FROM t GROUP BY session""")
+def session_meta(read):
+    lines = claude_log(read("events"))
+    return claude_meta(lines, claude_turns(lines))
+
+
 def stamped(events: DataFrame) -> tuple[DataFrame, Column, Column]:
     """The events with the start of a JSON object that holds their time, and k."""
     return event_lines(events), F.concat(F.lit('{"timestamp":"'), F.date_format("ts", ISO), F.lit('",')), F.col("tokens")
@@ -225,6 +234,15 @@ def codex_turns(read):
     return codex.codex_turns(codex_log(read("events")))
 
 
+@query("a12_codex_headers", _CODEX + """, u AS (SELECT session, turn_i, CAST(floor(value * 10) AS BIGINT) AS input, row_number() OVER (PARTITION BY session ORDER BY turn_i, seq) - 1 AS i FROM inside WHERE t = 'usage'),
+    b AS (SELECT * FROM u WHERE input > 0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY input DESC, i) = 1), s AS (SELECT session, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(out_tok) AS BIGINT) AS total_output FROM turns GROUP BY session)
+    SELECT session, 'codex' AS model, 'log' AS version, '' AS cwd, '""" + codex.NO_PROMPT + """' AS title, requests, total_output, coalesce(b.i, 0) AS peak_index, coalesce(b.input, 0) AS peak_tokens, coalesce(b.turn_i, 0) AS peak_turn, CAST(200000 AS BIGINT) AS context_limit FROM s LEFT JOIN b USING (session)""")
+def codex_headers(read):
+    lines = codex_log(read("events"))
+    events = codex.turn_events(lines)
+    return headers.codex_headers(lines, events, codex.codex_turns(lines, events), "log")
+
+
 @query("t18_codex_steps", _CODEX + f""", u AS (SELECT session, turn_i, seq, CAST(floor(value * 10) AS BIGINT) AS input, tokens AS output, tokens % 5 AS reasoning, ms FROM inside WHERE t = 'usage'),
     near AS (
         SELECT i.*, u.input AS in_tok, u.output AS used_out, u.reasoning FROM inside AS i LEFT JOIN u USING (session, turn_i) WHERE i.t IS NOT NULL

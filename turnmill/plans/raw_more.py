@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnmill.operators import openclaw, opencode, pi
+from turnmill.operators import headers, openclaw, opencode, pi
 from turnmill.plans.base import query
 from turnmill.plans.raw import W, as_read, body, of, stamped, worded
 
@@ -53,6 +53,16 @@ def opencode_steps(read):
     return opencode.opencode_steps(events, opencode.opencode_turns(events)).select("session", "turn_i", "step_i", "kind", "name", "text", "input", "result", "is_error", "in_tok", "used_tok", "ms")
 
 
+@query("a12_opencode_headers", _OPENCODE + """, n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn_i, seq) - 1 AS i FROM u), b AS (SELECT * FROM n WHERE input > 0 QUALIFY row_number() OVER (PARTITION BY session ORDER BY input DESC, i) = 1),
+    s AS (SELECT session, min_by(prompt, turn_i) AS title, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(out_tok) AS BIGINT) AS total_output FROM turns GROUP BY session)
+    SELECT session, 'opencode' AS model, 'x' AS version, '' AS cwd, title, requests, total_output, b.i AS peak_index, b.input AS peak_tokens, b.turn_i AS peak_turn, CAST(200000 AS BIGINT) AS context_limit FROM s JOIN b USING (session)""")
+def opencode_headers(read):
+    lines = opencode_log(read("events"))
+    events = opencode.step_events(lines)
+    turns = opencode.opencode_turns(events)
+    return headers.opencode_headers(lines, turns, opencode.opencode_steps(events, turns))
+
+
 def openclaw_log(events: DataFrame) -> DataFrame:
     """A purchase and every second signup are a user's chunk, a view is a text or a thought, a click a call, an error an update of one, the other signups tell of usage."""
     e, head, k = stamped(events)
