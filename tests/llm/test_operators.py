@@ -644,15 +644,15 @@ def test_url_scores_against_numpy(spark):
 
 
 def test_url_accuracy_on_hosts_held_out(spark):
-    """Every fourth name of either kind is kept out of the fit; most of its urls must be told right, and nearly all that are to be allowed."""
+    """Every fourth name of either kind is kept out of the fit; of either kind nine in ten of its urls must be told right."""
     apart = lambda names: (tuple(n for i, n in enumerate(names) if i % 4), tuple(n for i, n in enumerate(names) if i % 4 == 0))
     (block, block_held), (allow, allow_held) = apart(url_filter.BLOCKED_NAMES), apart(url_filter.ALLOWED_NAMES)
     held = url_filter.labelled_urls(block_held, allow_held)
     table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
-    got = {r["page_id"]: r["score"] >= 0.5 for r in url_filter.filter_urls(table, labelled=url_filter.labelled_urls(block, allow)).collect()}
-    right = [got[i] == bool(label) for i, (_, label) in enumerate(held)]
-    allowed = [ok for ok, (_, label) in zip(right, held, strict=True) if not label]
-    assert sum(right) / len(right) >= 0.85 and sum(allowed) / len(allowed) > 0.95
+    got = {r["page_id"]: r["verdict"] == "block" for r in url_filter.filter_urls(table, rules=(), labelled=url_filter.labelled_urls(block, allow)).collect()}
+    for kind in (0, 1):
+        right = [got[i] == bool(label) for i, (_, label) in enumerate(held) if label == kind]
+        assert sum(right) / len(right) >= 0.9
 
 
 def test_shards_move_only_into_the_new_one(spark):
