@@ -183,7 +183,7 @@ def pi_turns(read):
     msg AS (SELECT session, turn_i, max(seq) FILTER (t = 'end') AS e_seq, max(ms) FILTER (t = 'end') AS e_ms, max(text) FILTER (t = 'end') AS e_text,
             max(seq) FILTER (t = 'update') AS u_seq, max_by(ms, seq) FILTER (t = 'update') AS u_ms, max_by(text, seq) FILTER (t = 'update') AS u_text FROM a GROUP BY session, turn_i, m),
     s AS (
-        SELECT session, turn_i, CASE WHEN e_seq IS NULL THEN 1 ELSE 0 END AS late, coalesce(e_seq, u_seq) AS seq, coalesce(e_ms, u_ms) AS at_ms, 0 AS ms, 'm' AS kind, '{pi.MODEL_STEP}' AS name, coalesce(nullif(e_text, ''), u_text) AS text, '' AS input, '' AS result FROM msg WHERE coalesce(nullif(e_text, ''), u_text, '') <> ''
+        SELECT session, turn_i, CASE WHEN e_seq IS NULL THEN 1 ELSE 0 END AS late, coalesce(e_seq, u_seq) AS seq, coalesce(e_ms, u_ms) AS at_ms, CAST(0 AS BIGINT) AS ms, 'm' AS kind, '{pi.MODEL_STEP}' AS name, coalesce(nullif(e_text, ''), u_text) AS text, '' AS input, '' AS result FROM msg WHERE coalesce(nullif(e_text, ''), u_text, '') <> ''
         UNION ALL SELECT session, turn_i, 0, seq, ms, 0, 'i', '{pi.COMPACTION_STEP}', CASE WHEN tokens % 4 = 0 THEN 'sum ' || tokens ELSE '{pi.COMPACTED}' END, '', '' FROM inside WHERE t = 'compaction'
         UNION ALL SELECT session, turn_i, 0, seq, ms, greatest(coalesce(ms - start.ms, 0), 0), 't', coalesce(start.name, 'tool'), '', coalesce(start.input, ''), 'res ' || tokens FROM inside WHERE t = 'tool_end'
     ), n AS (SELECT *, row_number() OVER w - 1 AS step_i, lead(at_ms) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY session, turn_i ORDER BY late, seq))

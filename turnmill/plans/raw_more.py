@@ -41,7 +41,7 @@ def opencode_turns(read):
 @query("t3_opencode_steps", _OPENCODE + f""", near AS (SELECT i.*, u.input AS in_tok, u.output AS used_tok FROM i LEFT JOIN u USING (session, turn_i) QUALIFY row_number() OVER (PARTITION BY i.session, i.turn_i, i.seq ORDER BY abs(u.seq - i.seq), u.seq) = 1),
     c AS (SELECT *, CASE WHEN tokens % 11 = 0 THEN 'task' ELSE 'f' || tokens % 3 END AS tool, '{{"n":' || tokens || '}}' AS arg FROM near WHERE kind = 'click'),
     made AS (
-        SELECT session, turn_i, seq, 0 AS part, ms AS at_ms, 0 AS ms, 'm' AS kind, '{pi.MODEL_STEP}' AS name, 'say ' || tokens AS text, '' AS input, '' AS result, false AS is_error, in_tok, used_tok FROM near WHERE kind = 'view' AND tokens % 7 <> 0
+        SELECT session, turn_i, seq, 0 AS part, ms AS at_ms, CAST(0 AS BIGINT) AS ms, 'm' AS kind, '{pi.MODEL_STEP}' AS name, 'say ' || tokens AS text, '' AS input, '' AS result, false AS is_error, in_tok, used_tok FROM near WHERE kind = 'view' AND tokens % 7 <> 0
         UNION ALL SELECT session, turn_i, seq, 0, ms, 0, 'm', '{pi.MODEL_STEP}', '', arg, '', false, in_tok, used_tok FROM c
         UNION ALL SELECT session, turn_i, seq, 1, ms, tokens % 4 * 100, CASE WHEN tool = 'task' THEN 's' ELSE 't' END, tool, '', arg, 'out ' || tokens, tokens % 5 = 0, in_tok, used_tok FROM c
         UNION ALL SELECT session, turn_i, seq, 0, ms, 0, 'i', '{opencode.ERROR_STEP}', 'bad ' || tokens, '', '', false, in_tok, used_tok FROM near WHERE kind = 'error'
