@@ -45,6 +45,13 @@ def test_last_ids_count(spark):
     assert sorted(map(tuple, graph.degrees(read).collect())) == [(7, 2), (5000, 0)]
 
 
+def test_edges_within_all_nodes(spark):
+    """Edges of early nodes count; those with an end that is no node don't."""
+    lines = spark.createDataFrame([(1, 7, 3, 1, "A", "O", 0.1), (2, 7, 8, 1, "A", "O", 0.1), (3, 6, 3, 1, "A", "O", 0.1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double")
+    parts = spark.createDataFrame([(7, "a", "T", 1, 1.0), (4, "b", "T", 10, 1.0)], "p_partkey long, p_name string, p_type string, p_size int, p_retailprice double")
+    assert [tuple(r) for r in graph.edges_within({"lineitem": lines, "part": parts}.__getitem__).collect()] == [(11, 7, 4)]
+
+
 def test_sums_of_all_documents(spark, duck):
     check(spark, duck, "a30_memory_chars", [" WHERE doc_id < 100"])
     check(spark, duck, "a15_filled_seeds", [" FILTER (doc_id % 40 = 0)"])
