@@ -52,6 +52,24 @@ def test_edges_within_all_nodes(spark):
     assert [tuple(r) for r in graph.edges_within({"lineitem": lines, "part": parts}.__getitem__).collect()] == [(11, 7, 4)]
 
 
+def test_alike_classes_lose_no_link(spark):
+    """Members and pairs of classes tell all pairs of rows; copies add one row each, texts of the same characters stay apart."""
+    from itertools import combinations
+
+    from turnmill.operators.graph import alike_classes
+
+    texts = ["red ring", "red ring", "ring red", "blue bolt", "red rings", "", "", None, "xyz", "red ring"] * 3
+    rows = [(i, "B" if i % 7 == 3 else "A", t) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in alike_classes(spark.createDataFrame(rows, "id long, block string, text string")).collect()]
+    of = {b: a for kind, a, b, _ in got if kind == "member"}
+    links = {(a, b) for kind, a, b, _ in got if kind == "pair"}
+    told = {(i, j) for i, j in combinations(range(len(rows)), 2) if of[i] == of[j] or tuple(sorted((of[i], of[j]))) in links}
+    alike = lambda a, b: 10 * len(a & b) > 7 * len(a | b)
+    chars = lambda t: set(t) or {""}
+    want = {(i, j) for (i, x, s), (j, y, t) in combinations(rows, 2) if x == y and s is not None and t is not None and alike(chars(s), chars(t))}
+    assert told == want and len(of) == len(rows) and len(links) < 12
+
+
 def test_sums_of_all_documents(spark, duck):
     check(spark, duck, "a30_memory_chars", [" WHERE doc_id < 100"])
     check(spark, duck, "a15_filled_seeds", [" FILTER (doc_id % 40 = 0)"])

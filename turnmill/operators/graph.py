@@ -128,6 +128,18 @@ def alike_within(rows: DataFrame, tenths: int = 7) -> DataFrame:
     return met.withColumn("similarity", jaccard(F.col("ca"), F.col("cb"))).where(F.col("similarity") > tenths / 10).select("a", "b", "similarity")
 
 
+def alike_classes(rows: DataFrame, tenths: int = 7) -> DataFrame:
+    """(id, block, text) -> kind, a, b, similarity: which texts of a block are more than ``tenths`` tenths alike by their characters.
+
+    Equal texts of a block are a class, told by its smallest id.  A ``member`` row per row (b) names its class (a); a ``pair`` row links two classes
+    (a < b), so rows of different texts are linked if their classes are, and copies are not expanded.  A row without text or block is a class of its own.
+    """
+    firsts = rows.where(F.col("block").isNotNull() & F.col("text").isNotNull()).groupBy("block", "text").agg(F.min("id").alias("a"))
+    pairs = alike_within(firsts.select(F.col("a").alias("id"), "block", characters(F.col("text")).alias("c")), tenths)
+    members = rows.join(firsts, ["block", "text"], "left").select(F.lit("member").alias("kind"), F.coalesce("a", "id").alias("a"), F.col("id").alias("b"), F.when(F.col("a").isNotNull(), 1.0).alias("similarity"))
+    return members.unionByName(pairs.select(F.lit("pair").alias("kind"), "a", "b", "similarity"))
+
+
 def greedy_leaders(rows: DataFrame, tenths: int = 7) -> DataFrame:
     """(session, seq, label) -> with leader: in order of seq a label joins the first leader whose characters are more than ``tenths`` tenths alike, else it leads itself.
 
