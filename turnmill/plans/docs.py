@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnmill.functions import redact
@@ -92,13 +93,16 @@ def best_lines(read):
     """
     text = F.replace("text", F.lit("\r\n"), F.lit("\n"))
     lead = F.size(F.split(F.regexp_extract(text, r"^\s*", 0), "\n")) - 1
-    whole = read("documents").select("doc_id", lead.alias("lead"), X.trimmed(text).alias("text")).where("text <> ''")
-    lines = whole.select("doc_id", "lead", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    bare = lines.select("doc_id", (F.col("pos") + F.col("lead")).cast("long").alias("place"), X.trimmed(F.regexp_replace("line", r"^[-*]\s+", "")).alias("line")).where(X.units(F.col("line")) >= 8)
-    scored = bare.withColumn("score", X.knowledge_score(F.col("line"))).where("score > 0")
-    once = first_of(scored.withColumn("head", F.substring("line", 1, 80)), ["doc_id", "head"], ["-score", "place"])
-    best = top_of(once, ["doc_id"], [F.desc("score"), "place"], 10).select("doc_id", "place")
-    return best.unionByName(whole.join(scored.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("place")))
+    # Lines are cleaned before they are exploded: a filter on them then doesn't repeat the cleaning for each name of it.
+    cleaned = F.transform(F.split(X.trimmed(text), "\n"), lambda x: X.trimmed(F.regexp_replace(x, r"^[-*]\s+", "")))
+    # A row at place -1 stands for the whole text, so texts are read once.
+    each = read("documents").where(F.col("text").rlike(r"\S")).select("doc_id", lead.alias("lead"), F.posexplode(F.concat(F.array(F.lit("")), cleaned)).alias("pos", "line"))
+    rows = each.where((F.col("pos") == 0) | X.may_score(F.col("line")) & (X.units(F.col("line")) >= 8))
+    place = F.when(F.col("pos") > 0, (F.col("pos") + F.col("lead") - 1).cast("long"))
+    scored = rows.select("doc_id", place.alias("place"), F.substring("line", 1, 80).alias("head"), F.when(F.col("pos") > 0, X.knowledge_score(F.col("line"))).alias("score"))
+    best = top_of(first_of(scored.where("place is null or score > 0"), ["doc_id", "head"], ["-score", "place"]), ["doc_id"], [F.desc_nulls_first("score"), "place"], 11)
+    found = F.max("score").over(Window.partitionBy("doc_id")).isNotNull()
+    return best.withColumn("_found", found).where(F.col("place").isNotNull() | ~F.col("_found")).select("doc_id", "place")
 
 
 @query("x12_outcome_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents)
