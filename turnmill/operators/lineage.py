@@ -17,3 +17,17 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnmill-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows that a task sorts and walks at a time, where keys allow it.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """Rows dealt by their keys into parts of some TASK_ROWS.
+
+    The number of parts grows with the rows (counted unless told), so that a task's share doesn't; parts of a number that is told aren't
+    merged by their compressed size, of which lines of logs have little.
+    """
+    n = df.count() if rows is None else rows
+    return df.repartition(max(1, -(-n // TASK_ROWS)), *keys)

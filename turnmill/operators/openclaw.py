@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.content import at, bound, openclaw_text, stringified
+from turnmill.operators.lineage import settled
 from turnmill.operators.pi import MODEL_STEP, STEP
 from turnmill.operators.steps import KEYS, aware, rounded, timed
 from turnmill.operators.windows import before, islands, ordinal, over, up_to
@@ -45,7 +46,8 @@ def update_events(lines: DataFrame) -> DataFrame:
     other = (F.col("run_id") != "") & (first_run != "") & (F.col("run_id") != last_run)
     opens = (F.col("_n") == 0) | is_user & (is_first | F.coalesce(other, F.lit(False)))
     opened = islands(marked.withColumn("opens", opens), S, ["seq"], F.col("opens"), "_t")
-    return opened.withColumn("turn_i", (F.col("_t") - 1).cast("long")).drop("_t", "_b", "_n")
+    # Turns and steps both read these, and a line is parsed once.
+    return settled(opened.withColumn("turn_i", (F.col("_t") - 1).cast("long")).drop("_t", "_b", "_n"))
 
 
 def _content() -> Column:
@@ -91,7 +93,7 @@ def openclaw_steps(events: DataFrame, turns: DataFrame) -> DataFrame:
     runs = islands(kept, KEYS, ["seq"], ~goes_on, "_r")
     # A call without an id is named by the number of steps before it.
     id_ = F.when((kind == CALL) & (F.col("own_id") == ""), F.concat(F.lit("tool_"), (F.col("_r") - 1).cast("string"))).otherwise(F.col("own_id"))
-    runs = runs.withColumn("id", id_)
+    runs = settled(runs.withColumn("id", id_))
     name = F.when((kind == CALL) & (F.col("own_id") == "") & (F.col("bare") == "tool"), F.col("id")).otherwise(F.col("title"))
     calls = runs.where(kind == CALL).select(*KEYS, "seq", "ms", "_r", "id", name.alias("name"), "asked")
     none, zero, no = F.lit(""), F.lit(0).cast("long"), F.lit(False)

@@ -30,9 +30,9 @@ def timed(steps: DataFrame, turns: DataFrame, order: list[str]) -> DataFrame:
 
     ``steps``: session, turn_i, at_ms, ms and more; ``turns``: session, turn_i, start_ms, end_ms.
     """
-    numbered = ordinal(steps, KEYS, order, "step_i").drop(*order)
-    following = F.lead("at_ms").over(over(KEYS, ["step_i"]))
-    with_next = numbered.withColumn("_next", following).join(turns.select(*KEYS, "start_ms", "end_ms"), KEYS)
+    following = F.lead("at_ms").over(over(KEYS, order))
+    numbered = ordinal(steps, KEYS, order, "step_i").withColumn("_next", following).drop(*order)
+    with_next = numbered.join(turns.select(*KEYS, "start_ms", "end_ms"), KEYS)
     until = F.coalesce("_next", "end_ms", "start_ms")
     return with_next.withColumn("ms", F.when(F.col("ms") > 0, F.col("ms")).otherwise(between(F.coalesce("at_ms", "start_ms"), until))).drop("_next", "start_ms", "end_ms")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnmill.operators import codex, headers, pi
 from turnmill.operators.composition import ADDED, CATEGORIES, EFFORT, SEEDS, claude_composition
 from turnmill.operators.headers import claude_meta
+from turnmill.operators.lineage import dealt
 from turnmill.operators.windows import before, over
 from turnmill.plans.base import EVENT_LINES, event_lines, query
 from turnmill.sources import wire
@@ -38,7 +39,7 @@ def quoted(text: Column) -> Column:
 
 def as_read(lines: DataFrame) -> DataFrame:
     """Lines as a reader of files would hand them over: what writes them and what reads them would make one stage too large to compile."""
-    return lines.repartition("session")
+    return dealt(lines, "session")
 
 
 def claude_log(events: DataFrame) -> DataFrame:
