@@ -88,7 +88,7 @@ def opencode_usage(part: Column) -> Column:
 def opencode_tool(part: Column) -> Column:
     """struct(name, input, result, duration_ms, is_error) of a part that is a tool's call."""
     state = lambda path: at(part, "$.state." + path)
-    first = lambda *found: stringified(F.coalesce(*found))
+    first = lambda *found: bound(F.coalesce(*found), stringified)
     lasted = number_of(part, "$.state.time.end") - number_of(part, "$.state.time.start")
     return F.struct(
         first(at(part, "$.tool"), at(part, "$.name"), state("tool"), F.parse_json(F.lit('"tool"'))).alias("name"),

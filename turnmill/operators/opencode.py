@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions.content import at, bound, opencode_tool, opencode_usage, stringified
+from turnmill.operators.lineage import settled
 from turnmill.operators.pi import MODEL_STEP, STEP
 from turnmill.operators.steps import KEYS, aware, rounded, timed
 from turnmill.operators.windows import islands, ordinal, over, up_to
@@ -20,16 +21,17 @@ SUB_AGENT = "task"
 
 def step_events(lines: DataFrame) -> DataFrame:
     """Lines with turn_i: session, turn_i, seq, ms, type, part, v.  The first line opens a turn too."""
-    good = opencode_lines(lines).where(F.col("error").isNull())
+    good = opencode_lines(lines).where(F.col("error").isNull()).select("session", "seq", "ms", "type", "part", "v")
     opened = islands(ordinal(good, ["session"], ["seq"], "_n"), ["session"], ["seq"], (F.col("type") == "step_start") | (F.col("_n") == 0), "_t")
-    return opened.withColumn("turn_i", (F.col("_t") - 1).cast("long")).drop("_t", "_n")
+    # Turns and steps both read these, and a line is parsed once.
+    return settled(opened.withColumn("turn_i", (F.col("_t") - 1).cast("long")).drop("_t", "_n"))
 
 
 def _usage(events: DataFrame) -> Column:
     """struct(seq, input, cached, output) of a finished step with usage."""
-    used = bound(F.col("part"), opencode_usage)
-    n = lambda c: F.coalesce(used[c], F.lit(0.0)).cast("long").alias(c)
-    return F.when((F.col("type") == "step_finish") & used.isNotNull(), F.struct("seq", n("input"), n("cached"), n("output")))
+    n = lambda used, c: F.coalesce(used[c], F.lit(0.0)).cast("long").alias(c)
+    told = lambda used: F.when(used.isNotNull(), F.struct("seq", n(used, "input"), n(used, "cached"), n(used, "output")))
+    return F.when(F.col("type") == "step_finish", bound(bound(F.col("part"), opencode_usage), told))
 
 
 def opencode_turns(events: DataFrame, filename: Column | str = "") -> DataFrame:
@@ -54,7 +56,7 @@ def opencode_steps(events: DataFrame, turns: DataFrame) -> DataFrame:
     last, following = F.last("u", ignorenulls=True).over(up_to(KEYS, ["seq"])), F.first("u", ignorenulls=True).over(over(KEYS, ["seq"]).rowsBetween(0, Window.unboundedFollowing))
     near = read.withColumn("_l", last).withColumn("_f", following)
     nearest = F.when(F.col("_f").isNull() | (F.col("seq") - F.col("_l.seq") <= F.col("_f.seq") - F.col("seq")), F.col("_l")).otherwise(F.col("_f"))
-    near = near.withColumn("near", nearest).drop("_l", "_f")
+    near = settled(near.withColumn("near", nearest).where("text <> '' or tool is not null or said is not null").drop("_l", "_f"))
     none, zero, no, own = F.lit(""), F.lit(0).cast("long"), F.lit(False), F.col("text")
 
     def step(kind, name, ms, text, input_, result, error, text_tok, asst_tok, call_tok, result_tok, order) -> list[Column]:
