@@ -80,14 +80,14 @@ def codex_headers(lines: DataFrame, events: DataFrame, turns: DataFrame, filenam
     return _joined(named, turns.withColumnRenamed("window", "limit"), _peak(requests))
 
 
-def opencode_headers(lines: DataFrame, turns: DataFrame, steps: DataFrame, filename: Column | str = "") -> DataFrame:
-    """Of opencode_turns() and opencode_steps(): the peak is that of the largest request, without any that of the largest total of a turn."""
+def opencode_headers(lines: DataFrame, turns: DataFrame, steps: DataFrame, filename: Column | str = "", events: DataFrame | None = None) -> DataFrame:
+    """Of opencode_turns() and opencode_steps(), and step_events() where they are at hand: the peak is that of the largest request, without any that of the largest total of a turn."""
     v = F.col("v")
     read = opencode_lines(lines).where(F.col("error").isNull())
     always = F.lit(True)
     named = read.groupBy("session").agg(_or_file(_first(F.col("session_id"), always), filename).alias("version"), F.coalesce(_first(text_of(v, "$.cwd"), always), _first(text_of(v, "$.part.cwd"), always)).alias("cwd"))
     used = bound(F.col("part"), opencode_usage)
-    requests = step_events(lines).where((F.col("type") == "step_finish") & used.isNotNull()).select("session", "turn_i", F.col("seq").alias("at"), F.coalesce(used["input"], F.lit(0.0)).cast("long").alias("input"))
+    requests = (step_events(lines) if events is None else events).where((F.col("type") == "step_finish") & used.isNotNull()).select("session", "turn_i", F.col("seq").alias("at"), F.coalesce(used["input"], F.lit(0.0)).cast("long").alias("input"))
     peaks = _peak(requests)
     facts = turn_facts(turns, steps)
     totals = carried_totals(facts, cum_totals(facts)).join(requests.select("session").distinct(), "session", "left_anti")

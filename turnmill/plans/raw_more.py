@@ -60,7 +60,7 @@ def opencode_headers(read):
     lines = opencode_log(read("events"))
     events = opencode.step_events(lines)
     turns = opencode.opencode_turns(events)
-    return headers.opencode_headers(lines, turns, opencode.opencode_steps(events, turns))
+    return headers.opencode_headers(lines, turns, opencode.opencode_steps(events, turns), events=events)
 
 
 def openclaw_log(events: DataFrame) -> DataFrame:
