@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.content import at, bound, pi_text, stringified
+from turnmill.operators.lineage import settled
 from turnmill.operators.steps import KEYS, aware, between, rounded, timed
 from turnmill.operators.windows import before, islands, ordinal, over
 from turnmill.sources.transcripts import TREE_TYPES, has_type, longest_branch, pi_lines, text_of
@@ -65,6 +66,8 @@ def event_turns(lines: DataFrame, filename: Column | str = "") -> tuple[DataFram
         tool_id.alias("tool_id"), text_of(v, "$.toolName").alias("tool_name"), text_of(v, "$.name").alias("other_name"), stringified(_value(at(v, "$.args"), at(v, "$.input"))).alias("args"),
         stringified(at(v, "$.result")).alias("raw_result"), F.coalesce(F.try_variant_get(v, "$.isError", "boolean"), F.lit(False)).alias("is_error"),
     )
+    # Messages and tools both read these, and a line is parsed once.
+    read = settled(read)
     started = F.last(F.when(t == "tool_execution_start", F.struct("ms", _some(F.col("tool_name"), F.col("other_name"), F.lit("tool")).alias("name"), F.col("args").alias("input"))), ignorenulls=True)
     tools = read.where(t.startswith("tool_execution")).withColumn("start", started.over(before(["session", "tool_id"], ["seq"])))
 
@@ -72,6 +75,7 @@ def event_turns(lines: DataFrame, filename: Column | str = "") -> tuple[DataFram
     closed = F.coalesce(F.lag("type").over(over(S, ["seq"])) == "turn_end", F.lag("type").over(over(S, ["seq"])).isNull())
     marked = flow.withColumn("_closed", closed).withColumn("_opens", (t == "turn_start") | (t.isin(*ENSURING) & F.col("_closed")))
     inside = islands(marked, S, ["seq"], F.col("_opens"), "_t").withColumn("turn_i", (F.col("_t") - 1).cast("long")).where((t != "turn_end") | ~F.col("_closed"))
+    inside = settled(inside)
 
     filename = filename if isinstance(filename, Column) else F.lit(filename)
     first = F.when(F.col("_opens"), _some(F.col("asked"), F.concat(F.lit(STREAM), filename)))
@@ -103,7 +107,7 @@ def session_turns(lines: DataFrame, filename: Column | str = "") -> tuple[DataFr
     A user's message opens a turn; answers, results and compactions before the first one open it.  Columns as of event_turns().
     """
     v, t = F.col("v"), F.col("type")
-    good = pi_lines(lines).where(F.col("error").isNull())
+    good = settled(pi_lines(lines).where(F.col("error").isNull()))
     branch = longest_branch(lines).select("session", "seq", "depth")
     flat = good.where(t != "header").join(good.where(t.isin(*TREE_TYPES) & text_of(v, "$.id").isNotNull()).select("session").distinct(), "session", "left_anti").withColumn("depth", F.col("seq").cast("long"))
     path = good.join(branch, ["session", "seq"]).unionByName(flat)
@@ -116,6 +120,7 @@ def session_turns(lines: DataFrame, filename: Column | str = "") -> tuple[DataFr
     ).where(F.col("role").isin("user", "assistant", "toolResult", "compaction"))
     opens = (F.col("role") == "user") | (F.col("_n") == 0)
     inside = islands(ordinal(read, S, ["depth"], "_n").withColumn("_opens", opens), S, ["depth"], F.col("_opens"), "_t").withColumn("turn_i", (F.col("_t") - 1).cast("long"))
+    inside = settled(inside)
     filename = filename if isinstance(filename, Column) else F.lit(filename)
     asked = F.when(F.col("_opens"), F.when(F.col("role") == "user", _some(F.col("text"), F.concat(F.lit(SESSION), filename))).otherwise(F.concat(F.lit(SESSION), filename)))
     turns = inside.groupBy(*KEYS).agg(
