@@ -27,3 +27,26 @@ def test_openclaw_lines_are_parsed_once(spark):
     steps = openclaw.openclaw_steps(events, openclaw.openclaw_turns(events))
     assert "parse_json" not in plan(steps) and "parsejson" not in plan(steps)
     assert [(r["step_i"], r["text"]) for r in steps.collect()] == [(0, "ab")]
+
+
+def test_a_line_is_parsed_once_under_filters(spark):
+    """A filter on the parsed line, that names it several times, stays above the parsing."""
+    from turnmill.sources.transcripts import codex_lines
+
+    good = codex_lines(log(spark, {"type": "a"}, {"x": 1}, ["type"])).where("error is null")
+    assert plan(good).count("parsejson") + plan(good).count("parse_json") == 1
+    assert [r["seq"] for r in good.collect()] == [0]
+
+
+def test_turns_and_steps_share_parsed_lines(spark):
+    """Of opencode, codex and pi: plans of steps hold no parsing of their own."""
+    from turnmill.operators import codex, opencode, pi
+
+    lines = log(spark, {"type": "step_start"}, {"type": "text", "part": {"text": "a"}})
+    events = opencode.step_events(lines)
+    parses = lambda df: plan(df).count("parsejson") + plan(df).count("parse_json(value")
+    assert parses(opencode.opencode_steps(events, opencode.opencode_turns(events))) == 0
+    assert parses(pi.event_turns(log(spark, {"type": "turn_start"}))[1]) == 0
+    lines = log(spark, {"type": "event_msg", "payload": {"type": "task_started", "turn_id": "t"}})
+    events = codex.turn_events(lines)
+    assert parses(codex.codex_steps(events, codex.codex_turns(lines, events))) <= 1

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnmill.functions.content import at, bound, codex_reasoning, codex_text, output_text, stringified
+from turnmill.operators.lineage import settled
 from turnmill.operators.pi import COMPACTION_STEP, MODEL_STEP, STEP
 from turnmill.operators.segments import AGENT_TOOLS
 from turnmill.operators.steps import KEYS, aware, rounded, timed
@@ -36,7 +37,8 @@ def turn_events(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     good = codex_lines(lines).where(F.col("error").isNull()).withColumn("what", F.coalesce(text_of(v, "$.payload.type"), F.lit("")))
     message = F.col("type") == "event_msg"
-    return closed_turns(good, message & (F.col("what") == "task_started"), message & F.col("what").isin("task_complete", "turn_aborted"))
+    # Turns and steps both read these, and a line is parsed once.
+    return settled(closed_turns(good, message & (F.col("what") == "task_started"), message & F.col("what").isin("task_complete", "turn_aborted")))
 
 
 def codex_turns(lines: DataFrame, events: DataFrame | None = None) -> DataFrame:
@@ -119,6 +121,7 @@ def codex_steps(events: DataFrame, turns: DataFrame) -> DataFrame:
     nearest = F.when(F.col("_f").isNull() | (F.col("seq") - F.col("_l.seq") <= F.col("_f.seq") - F.col("seq")), F.col("_l")).otherwise(F.col("_f"))
     marks = F.col("label").isin("mark", "echo")
     near = near.withColumn("near", nearest).drop("_l", "_f").withColumn("_mark", F.last(F.when(marks, F.col("label")), ignorenulls=True).over(before(KEYS, ["seq"])))
+    near = settled(near)
     once = F.row_number().over(Window.partitionBy(*KEYS, "label", F.when(F.col("label") == "text", F.col("text"))).orderBy("seq")) == 1
     none, zero, no = F.lit(""), F.lit(0).cast("long"), F.lit(False)
     tokens_in, tokens_out = (F.coalesce(F.col(f"near.{c}"), zero) for c in ("input", "output"))
@@ -137,7 +140,7 @@ def codex_steps(events: DataFrame, turns: DataFrame) -> DataFrame:
     kind = F.when(F.col("c.name").isin(*AGENT_TOOLS), "s").otherwise("t")
     result = F.coalesce("r.output", F.lit(NO_RESULT))
     answered = calls.select(step(kind, F.col("c.name"), F.coalesce("r.ms", "c.ms"), F.coalesce("r.took", zero), none, F.col("c.input"), result, F.coalesce("r.is_error", F.lit(True)), zero, zero, zero, zero, F.when(F.col("r").isNotNull(), rounded(F.col("r.output"))).otherwise(zero), 1))
-    made = reduce(DataFrame.unionByName, (compactions, thoughts, texts, calling, answered))
+    made = settled(reduce(DataFrame.unionByName, (compactions, thoughts, texts, calling, answered)))
     # Turns without a step get one that says so, with the last usage if there is any.
     usages = near.where("label = 'usage'").groupBy(*KEYS).agg(F.max(F.struct("seq", "ms", "usage")).alias("u"))
     bare = turns.select(*KEYS, "start_ms").join(made.select(*KEYS).distinct(), KEYS, "left_anti").join(usages, KEYS, "left")

@@ -269,8 +269,9 @@ def codex_headers(read):
         CAST(CASE WHEN wait = 0 AND kind = 'm' AND coalesce(used_out, 0) + think_tok + text_tok > 0 THEN greatest(1, floor((coalesce(used_out, 0) + think_tok + text_tok) / 30.0 + 0.5) * 1000) ELSE wait END AS BIGINT) AS ms
     FROM d""")
 def codex_steps(read):
-    events = codex.turn_events(codex_log(read("events")))
-    steps = codex.codex_steps(events, codex.codex_turns(codex_log(read("events")), events))
+    lines = codex_log(read("events"))
+    events = codex.turn_events(lines)
+    steps = codex.codex_steps(events, codex.codex_turns(lines, events))
     return steps.select("session", "turn_i", "step_i", "kind", "name", "text", "input", "result", "is_error", "think_tok", "text_tok", "in_tok", "out_tok", "ms")
 
 
