@@ -50,3 +50,15 @@ def test_turns_and_steps_share_parsed_lines(spark):
     lines = log(spark, {"type": "event_msg", "payload": {"type": "task_started", "turn_id": "t"}})
     events = codex.turn_events(lines)
     assert parses(codex.codex_steps(events, codex.codex_turns(lines, events))) <= 1
+
+
+def test_claude_meta_parses_a_line_once(spark):
+    """One aggregate over the turns finds model and folder; a list of unlike blocks still tells that it is written."""
+    from turnmill.operators import headers
+    from turnmill.sources.transcripts import claude_turns
+
+    head = lambda **more: {"uuid": "u", "timestamp": "2024-01-01T00:00:00Z", **more}
+    lines = log(spark, head(type="user", cwd="/a", message={"content": [{"type": "text", "text": "go"}, "plain"]}), head(type="assistant", message={"content": [], "model": "x-7"}), head(type="user", cwd="/b", message={"content": "on"}))
+    meta = headers.claude_meta(lines, claude_turns(lines))
+    assert plan(meta).count("parsejson") + plan(meta).count("parse_json(value") == 1
+    assert [tuple(r) for r in meta.collect()] == [("s", "x-7", "7", "/a")]

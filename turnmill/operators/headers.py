@@ -9,7 +9,7 @@ from turnmill.functions.content import bound, opencode_usage
 from turnmill.operators.opencode import step_events
 from turnmill.operators.steps import turn_facts
 from turnmill.operators.windows import over
-from turnmill.sources.transcripts import codex_lines, has_type, number_of, openclaw_lines, opencode_lines, parsed, pi_lines, text_of
+from turnmill.sources.transcripts import claude_turns, codex_lines, has_type, number_of, openclaw_lines, opencode_lines, pi_lines, text_of
 
 S = ["session"]
 HEADER = ["session", "model", "version", "cwd", "title", "requests", "total_output", "peak_index", "peak_tokens", "peak_turn", "context_limit"]
@@ -125,13 +125,14 @@ def pi_headers(lines: DataFrame, turns: DataFrame, steps: DataFrame, filename: C
     return _joined(named, totals.select("session", "turn_i", F.lit("pi").alias("model"), "prompt", F.col("steps").alias("requests"), F.col("said_tok").alias("out_tok"), F.lit(None).cast("long").alias("limit")), peaks)
 
 
-def claude_meta(lines: DataFrame, turns: DataFrame) -> DataFrame:
-    """session, model, version, cwd: the first model that an assistant's line of a turn names (its last part between dashes is the version), the first folder that a turn's opening line names; ``unknown`` and empty without."""
-    v = F.col("v")
-    folders = parsed(lines).select("session", "line_no", F.coalesce(text_of(v, "$.cwd"), F.lit("")).alias("own_cwd"))
-    opening = turns.where("opens").select("session", "line_no").join(folders, ["session", "line_no"])
-    cwd = opening.groupBy("session").agg(_first(F.col("own_cwd"), F.lit(True), "line_no").alias("cwd"))
-    names = turns.where("type = 'assistant'").groupBy("session").agg(_first(F.col("model"), F.col("model") != "unknown", "line_no").alias("model"))
-    both = turns.select("session").distinct().join(names, "session", "left").join(cwd, "session", "left")
+def claude_meta(lines: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """session, model, version, cwd: the first model that an assistant's line of a turn names (its last part between dashes is the version), the first folder that a turn's opening line names; ``unknown`` and empty without.
+
+    ``lines`` are read only where claude_turns() of them aren't at hand, and one aggregate takes all, so that a line is parsed once.
+    """
+    turns = claude_turns(lines) if turns is None else turns
+    found = turns.groupBy("session").agg(
+        _first(F.col("model"), (F.col("type") == "assistant") & (F.col("model") != "unknown"), "line_no").alias("model"), _first(F.col("cwd"), F.col("opens"), "line_no").alias("cwd")
+    )
     version = F.when(F.col("model").isNull(), "unknown").otherwise(F.regexp_extract("model", "[^-]*$", 0))
-    return both.select("session", F.coalesce("model", F.lit("unknown")).alias("model"), version.alias("version"), F.coalesce("cwd", F.lit("")).alias("cwd"))
+    return found.select("session", F.coalesce("model", F.lit("unknown")).alias("model"), version.alias("version"), F.coalesce("cwd", F.lit("")).alias("cwd"))

@@ -40,7 +40,13 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "").select("*", once).withColumn("kind", F.schema_of_variant("v"))
 
 
+#: Casts that only values of a type survive: the schema of one means a walk over all that it holds.
+CASTS = {"OBJECT": "struct<x:variant>", "ARRAY": "array<variant>"}
+
+
 def has_type(v: Column, path: str, prefix: str) -> Column:
+    if prefix in CASTS:
+        return F.try_variant_get(v, path, CASTS[prefix]).isNotNull()
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith(prefix), F.lit(False))
 
 
@@ -90,12 +96,12 @@ def formats(lines: DataFrame) -> DataFrame:
 
 def claude_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Typed lines, good and faulty, with the columns to ``keep``: session, line_no, error (null: good), type, uuid, timestamp, prompt_id, is_meta, text, blocks, usage, model,
-    content (the message's, as a variant), attachment_type and attachment (its content, else the whole, as a variant)."""
+    content (the message's, as a variant), attachment_type and attachment (its content, else the whole, as a variant), cwd."""
     v = F.col("v")
     t, uuid, ts = text_of(v, "$.type"), text_of(v, "$.uuid"), text_of(v, "$.timestamp")
     error = (
         F.when(v.isNull(), "Invalid JSON: could not parse line")
-        .when(~is_object(F.col("kind")), "Line is not a JSON object")
+        .when(~has_type(v, "$", "OBJECT"), "Line is not a JSON object")
         .when(t.isNull() | uuid.isNull() | ts.isNull(), "Missing required fields")
         .when(~t.isin(*KNOWN_TYPES), "Unknown line type")
         .when((t == "assistant") & ~has_type(v, "$.message", "OBJECT"), 'Assistant line missing or invalid "message" field')
@@ -112,12 +118,14 @@ def claude_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         text_of(v, "$.message.content").alias("text"), content.alias("blocks"), F.when(t == "assistant", usage).alias("usage"), F.when(t == "assistant", F.coalesce(text_of(v, "$.message.model"), F.lit("unknown"))).alias("model"),
         F.try_variant_get(v, "$.message.content", "variant").alias("content"), F.when(t == "attachment", text_of(v, "$.attachment.type")).alias("attachment_type"),
         F.coalesce(F.try_variant_get(v, "$.attachment.content", "variant"), F.try_variant_get(v, "$.attachment", "variant")).alias("attachment"),
+        text_of(v, "$.cwd").alias("cwd"),
     )
 
 
 def opens_turn() -> Column:
     """Over claude_lines(): whether a user line may open a turn."""
-    kinds = F.coalesce(F.transform("blocks", lambda b: b["type"]), F.array().cast("array<string>"))
+    listed = F.try_variant_get("content", "$", "array<variant>")
+    kinds = F.coalesce(F.transform(listed, lambda b: F.try_variant_get(b, "$.type", "string")), F.array().cast("array<string>"))
     written = F.coalesce(F.col("text") != "", F.lit(False)) | F.arrays_overlap(kinds, F.array(F.lit("text"), F.lit("image")))
     noted = F.coalesce(F.col("text").startswith(NOTIFICATION), F.lit(False))
     return (F.col("type") == "user") & ~F.array_contains(kinds, "tool_result") & ~noted & (written | F.col("prompt_id").isNotNull())
@@ -172,7 +180,7 @@ def openclaw_lines(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     either = lambda a, b: F.coalesce(F.nullif(text_of(v, a), F.lit("")), text_of(v, b), F.lit(""))
     update = F.coalesce(text_of(v, "$.sessionUpdate"), text_of(v, "$.update.sessionUpdate"))
-    error = F.when(v.isNull(), "Invalid JSON: could not parse line").when(~is_object(F.col("kind")), "OpenClaw line must be an object").when(update.isNull() & ~F.coalesce(text_of(v, "$.type") == "openclaw_session", F.lit(False)), "OpenClaw line missing sessionUpdate")
+    error = F.when(v.isNull(), "Invalid JSON: could not parse line").when(~has_type(v, "$", "OBJECT"), "OpenClaw line must be an object").when(update.isNull() & ~F.coalesce(text_of(v, "$.type") == "openclaw_session", F.lit(False)), "OpenClaw line missing sessionUpdate")
     return parsed(lines).select("session", (F.col("line_no") - 1).alias("seq"), error.alias("error"), either("$.sessionId", "$.session_id").alias("session_id"), either("$.runId", "$.run_id").alias("run_id"), update.alias("update"), moment(v, "$.timestamp", "$.at").alias("ms"), "v")
 
 
