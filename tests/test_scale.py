@@ -62,3 +62,15 @@ def test_claude_meta_parses_a_line_once(spark):
     meta = headers.claude_meta(lines, claude_turns(lines))
     assert plan(meta).count("parsejson") + plan(meta).count("parse_json(value") == 1
     assert [tuple(r) for r in meta.collect()] == [("s", "x-7", "7", "/a")]
+
+
+def test_diffs_run_in_parts_that_grow_with_the_lines(spark, monkeypatch):
+    from turnmill.operators import diff
+
+    monkeypatch.setattr(lineage, "TASK_ROWS", 10)
+    texts = spark.createDataFrame([(i, "diff --git a/x b/x\n-a\n+b") for i in range(40)] + [(40, "-a\n+b diff --git "), (None, "diff --git ")], "id int, text string")
+    lines = diff.diff_lines(texts)
+    assert "join" not in plan(lines)
+    rows = diff.side_by_side(lines)
+    assert rows.rdd.getNumPartitions() == 12
+    assert [(r["row"], r["type"]) for r in rows.where("id = 3").orderBy("row").collect()] == [(0, "meta"), (1, "change")] and rows.select("id").distinct().count() == 40

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnmill.operators.lineage import dealt
 from turnmill.operators.windows import before, islands, ordinal, up_to
 
 # How lines of a unified diff begin.
@@ -20,8 +21,10 @@ CELL = "struct<line:bigint,marker:string,text:string,kind:string>"
 
 def diff_lines(texts: DataFrame) -> DataFrame:
     """(id, text) -> id, pos, line of the texts that hold a file's line; lines that fence code go."""
-    lines = texts.select("id", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")).alias("pos", "line")).where(~F.col("line").startswith(FENCE))
-    return lines.join(lines.where(F.col("line").startswith(FILE_LINE)).select("id").distinct(), "id", "left_semi")
+    held = F.concat(F.lit("\n"), F.col("text")).contains("\n" + FILE_LINE)
+    # A generator's row: a text that is made by an expression is made once.
+    once = texts.where("id is not null").select("id", F.explode(F.array("text")).alias("text"))
+    return once.where(held).select("id", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")).alias("pos", "line")).where(~F.col("line").startswith(FENCE))
 
 
 def diff_paths(lines: DataFrame) -> DataFrame:
@@ -37,7 +40,9 @@ def side_by_side(lines: DataFrame) -> DataFrame:
     Deleted lines wait, in their order, for the next added lines; whatever waits when anything else follows stands alone.  As a queue: of a
     run's adds, as many stay without a partner as adds have at most been ahead of deletions so far, and the others take deletions one by one.
     Counters begin anew with each hunk; one at 0 stays there until a deletion (or an addition) moves it.
+    Texts are dealt into parts that grow in number with the lines: every window and the grouping run within a part.
     """
+    lines = dealt(lines, "id")
     line, kind = F.col("line"), F.col("kind")
     hunk = line.rlike(HUNK)
     named = lines.withColumn("kind", F.when(hunk, "hunk").when(_begins(line, META), "meta").when(line.startswith("-"), "delete").when(line.startswith("+"), "add").otherwise("context"))
