@@ -74,3 +74,25 @@ def test_diffs_run_in_parts_that_grow_with_the_lines(spark, monkeypatch):
     rows = diff.side_by_side(lines)
     assert rows.rdd.getNumPartitions() == 12
     assert [(r["row"], r["type"]) for r in rows.where("id = 3").orderBy("row").collect()] == [(0, "meta"), (1, "change")] and rows.select("id").distinct().count() == 40
+
+
+def test_short_sessions_are_walked_and_long_ones_jumped(spark, monkeypatch):
+    """Both ways agree: cycles, repeated ids, unknown and empty parents, sessions without a root; and a walk takes no joins."""
+    import random
+
+    from turnmill.sources import transcripts
+
+    draw = random.Random(9)
+    rows = []
+    for session, n in ((2**53, 5), (2**53 + 1, 90), (3, 40), (4, 2), (5, 70)):
+        ids = [f"i{draw.randrange(n)}" for _ in range(n)]
+        parents = [draw.choice([None, "", "gone", *ids, *ids[:i], *ids[:i]]) if session != 4 else ids[0] for i in range(n)]
+        rows += [(session, i, json.dumps({"type": "message", "id": own, "parentId": up})) for i, (own, up) in enumerate(zip(ids, parents, strict=True), 1)]
+    lines = spark.createDataFrame([*rows, (None, 1, json.dumps({"type": "message", "id": "a"}))], "session long, line_no int, value string")
+    told = lambda: sorted(map(tuple, transcripts.longest_branch(lines).collect()))
+    assert "join" not in plan(transcripts.longest_branch(lines))
+    walked = told()
+    monkeypatch.setattr(transcripts, "WALKED", 50)
+    mixed = told()
+    monkeypatch.setattr(transcripts, "WALKED", 0)
+    assert walked == mixed == told() and {r[0] for r in walked} >= {2**53, 2**53 + 1}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnmill.operators.lineage import settled
+from turnmill.operators.lineage import dealt, settled
 from turnmill.operators.turns import turn_lines
 from turnmill.operators.windows import over
 
@@ -19,6 +20,8 @@ PI_EVENTS = ("agent_start", "agent_end", "turn_start", "turn_end", "message_star
 TREE_TYPES = ("message", "custom", "compaction")
 ATTACHMENTS = ("skill_listing", "task_reminder", "mcp_instructions_delta", "ultra_effort_enter")
 SNIFFED_LINES = 25
+#: Lines of a session that one task walks by itself.
+WALKED = 100_000
 NOTIFICATION = "<task-notification>"
 BLOCKS = "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,is_error:boolean,content:string>>"
 
@@ -197,13 +200,82 @@ def codex_usage(lines: DataFrame) -> DataFrame:
 def longest_branch(lines: DataFrame) -> DataFrame:
     """(session, seq, id, depth): entries on a tree-shaped log's longest path from root to leaf; of equally long paths that of the later leaf.
 
-    Of entries with one id the last counts.  What hangs from a cycle has no root and is left out.  Ancestors are found at distances 1, 2, 4 and
-    so on, so a branch of n entries takes log2(n) joins, and no path is ever held in one row.
+    Of entries with one id the last counts.  What hangs from a cycle has no root and is left out.  A session of up to WALKED lines is walked in
+    its task, every entry once.  In longer ones ancestors are found at distances 1, 2, 4 and so on, so a branch of n entries takes log2(n)
+    joins, and no path is ever held in one row.
     """
     v = F.col("v")
-    own = F.struct("seq", text_of(v, "$.parentId").alias("parent"))
-    entries = pi_lines(lines).where(F.col("error").isNull() & F.col("type").isin(*TREE_TYPES)).withColumn("id", text_of(v, "$.id")).where("id <> ''")
-    nodes = entries.groupBy("session", "id").agg(F.max_by(own, "seq").alias("own")).select("session", "id", "own.*")
+    # One row per session; of the long ones there are few, as each has more than WALKED lines.
+    sizes = settled(lines.groupBy("session").count())
+    whole, longest = sizes.agg(F.sum("count"), F.max("count")).first()
+    split = (longest or 0) > WALKED
+    long = sizes.where(F.col("count") > WALKED).select("session")
+
+    def entries(some: DataFrame) -> DataFrame:
+        good = pi_lines(some).where(F.col("error").isNull() & F.col("type").isin(*TREE_TYPES))
+        return good.select("session", "seq", text_of(v, "$.id").alias("id"), text_of(v, "$.parentId").alias("parent")).where("id <> ''")
+
+    walked = _walked(dealt(entries(lines.join(F.broadcast(long), "session", "left_anti") if split else lines).where("session IS NOT NULL"), "session", rows=whole or 0))
+    return walked.unionByName(_jumped(entries(lines.join(F.broadcast(long), "session", "left_semi")))) if split else walked
+
+
+def _walked(entries: DataFrame) -> DataFrame:
+    """longest_branch() of entries dealt by their session, of sessions that a task can hold one of."""
+
+    def path(ids: list[str], seqs: list[int], parents: list[str | None]) -> list[tuple[int, str, int]]:
+        last = dict(zip(ids, zip(seqs, parents, strict=True), strict=True))
+        depth: dict[str, int] = {}
+        for own in last:
+            above, at = [], own
+            # Entries that are met again before a known one are of a cycle: -1 for good.
+            while at in last and at not in depth:
+                depth[at] = -1
+                above.append(at)
+                at = last[at][1]
+            n = depth[at] if at in last else -1
+            if at in last and n < 0:
+                continue
+            for x in reversed(above):
+                n += 1
+                depth[x] = n
+        leaf = max((x for x in last if depth[x] >= 0), key=lambda x: (depth[x], last[x][0]), default=None)
+        out = []
+        while leaf in last:
+            out.append((last[leaf][0], leaf, depth[leaf]))
+            leaf = last[leaf][1]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            own, out = batch["session"].to_numpy(), []
+            starts = [0, *((own[1:] != own[:-1]).nonzero()[0] + 1).tolist()] if len(own) else []
+            for a, b in zip(starts, [*starts[1:], len(batch)][: len(starts)], strict=True):
+                piece = batch.iloc[a:b]
+                if held and held[0]["session"].iloc[0] != piece["session"].iloc[0]:
+                    out.append(told(held))
+                    held = []
+                held.append(piece)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield told(held)
+
+    def told(held: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(held)
+        found = path(whole["id"].tolist(), whole["seq"].tolist(), whole["parent"].tolist())
+        seq, ids, depth = zip(*found, strict=True) if found else ((), (), ())
+        return pd.DataFrame({"session": pd.Series([whole["session"].iloc[0]] * len(found), dtype=whole["session"].dtype), "seq": pd.Series(seq, dtype="int64"), "id": pd.Series(ids, dtype=object), "depth": pd.Series(depth, dtype="int64")})
+
+    kind = dict(entries.dtypes)["session"]
+    ordered = entries.withColumn("seq", F.col("seq").cast("long")).sortWithinPartitions("session", "seq")
+    found = ordered.mapInPandas(run, f"session {kind}, seq long, id string, depth long")
+    return found.withColumn("seq", F.col("seq").cast(dict(entries.dtypes)["seq"]))
+
+
+def _jumped(entries: DataFrame) -> DataFrame:
+    """longest_branch() of sessions of any length."""
+    nodes = entries.groupBy("session", "id").agg(F.max_by(F.struct("seq", "parent"), "seq").alias("own")).select("session", "id", "own.*")
     known = nodes.select("session", F.col("id").alias("up"))
     tied = nodes.withColumnRenamed("parent", "up").join(known.withColumn("_known", F.lit(True)), ["session", "up"], "left")
     level = settled(tied.select("session", "id", "seq", F.when(F.col("_known"), F.col("up")).alias("up"), F.when(F.col("_known"), 1).otherwise(0).cast("long").alias("depth")))
