@@ -96,3 +96,16 @@ def test_short_sessions_are_walked_and_long_ones_jumped(spark, monkeypatch):
     mixed = told()
     monkeypatch.setattr(transcripts, "WALKED", 0)
     assert walked == mixed == told() and {r[0] for r in walked} >= {2**53, 2**53 + 1}
+
+
+def test_turns_alone_settle_no_events(spark, monkeypatch):
+    from turnmill.operators import opencode
+    from turnmill.plans import raw_more
+
+    lines = log(spark, {"type": "step_start", "part": {"prompt": "go"}}, {"type": "step_finish", "part": {"tokens": {"input": 3, "output": 2}}}, {"type": "step_start"})
+    want = opencode.opencode_turns(opencode.step_events(lines)).orderBy("turn_i").collect()
+    monkeypatch.setattr(opencode, "settled", lambda df: 1 / 0)
+    monkeypatch.setattr(raw_more, "opencode_log", lambda events: events)
+    turns = raw_more.opencode_turns(lambda table: lines)
+    assert turns.orderBy("turn_i").collect() == want and [r["max_input"] for r in want] == [3, 0]
+    assert plan(turns).count("parsejson") + plan(turns).count("parse_json(value") == 1

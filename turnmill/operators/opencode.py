@@ -19,12 +19,15 @@ STREAM, ERROR_STEP, NOTHING = "OpenCode stream: ", "OpenCode 错误", "（OpenCo
 SUB_AGENT = "task"
 
 
-def step_events(lines: DataFrame) -> DataFrame:
-    """Lines with turn_i: session, turn_i, seq, ms, type, part, v.  The first line opens a turn too."""
+def step_events(lines: DataFrame, keep: bool = True) -> DataFrame:
+    """Lines with turn_i: session, turn_i, seq, ms, type, part, v.  The first line opens a turn too.
+
+    Turns and steps both read these, and a line is parsed once: they are settled, unless nothing is to ``keep`` because one reads them alone.
+    """
     good = opencode_lines(lines).where(F.col("error").isNull()).select("session", "seq", "ms", "type", "part", "v")
     opened = islands(ordinal(good, ["session"], ["seq"], "_n"), ["session"], ["seq"], (F.col("type") == "step_start") | (F.col("_n") == 0), "_t")
-    # Turns and steps both read these, and a line is parsed once.
-    return settled(opened.withColumn("turn_i", (F.col("_t") - 1).cast("long")).drop("_t", "_n"))
+    numbered = opened.withColumn("turn_i", (F.col("_t") - 1).cast("long")).drop("_t", "_n")
+    return settled(numbered) if keep else numbered
 
 
 def _usage(events: DataFrame) -> Column:

@@ -35,7 +35,7 @@ _OPENCODE = f"""{W}, i AS (SELECT *, CAST(sum(CASE WHEN kind = 'purchase' OR seq
 
 @query("t3_opencode_turns", _OPENCODE + " SELECT * FROM turns")
 def opencode_turns(read):
-    return opencode.opencode_turns(opencode.step_events(opencode_log(read("events"))))
+    return opencode.opencode_turns(opencode.step_events(opencode_log(read("events")), keep=False))
 
 
 @query("t3_opencode_steps", _OPENCODE + f""", near AS (SELECT i.*, u.input AS in_tok, u.output AS used_tok FROM i LEFT JOIN u USING (session, turn_i) QUALIFY row_number() OVER (PARTITION BY i.session, i.turn_i, i.seq ORDER BY abs(u.seq - i.seq), u.seq) = 1),
