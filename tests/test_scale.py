@@ -109,3 +109,15 @@ def test_turns_alone_settle_no_events(spark, monkeypatch):
     turns = raw_more.opencode_turns(lambda table: lines)
     assert turns.orderBy("turn_i").collect() == want and [r["max_input"] for r in want] == [3, 0]
     assert plan(turns).count("parsejson") + plan(turns).count("parse_json(value") == 1
+
+
+def test_only_a_sessions_first_capture_is_opened(spark):
+    from turnmill.sources import wire
+
+    sent = lambda **body: {"request": {"method": "POST", "url": "/responses", "body": body}}
+    lines = log(spark, sent(input=[]), sent(input={"a": 1}), sent(input=[None]), sent(instructions="do", input=[]))
+    for found in (wire.codex_captures(lines), wire.claude_captures(lines)):
+        above, below = plan(found).split("aggregate [", 1)
+        assert "length(" in above
+        assert "length(" not in below and "sha2" not in below
+    assert [(r["wire_api"], r["sys_prompt"]) for r in wire.codex_captures(lines).collect()] == [("chat_completions", 0)]

@@ -22,11 +22,9 @@ def posts(lines: DataFrame) -> DataFrame:
     return parsed(lines).where((text_of(v, "$.request.method") == "POST") & has_type(v, "$.request.body", "OBJECT")).select("session", "line_no", "v")
 
 
-def first_per_session(rows: DataFrame, columns: list[Column]) -> DataFrame:
-    """``columns`` of each session's first row, taken before the shuffle: bodies stay where they are."""
-    made = rows.select("session", "line_no", *columns)
-    names = [c for c in made.columns if c not in ("session", "line_no")]
-    return made.groupBy("session").agg(F.min_by(F.struct(*names), "line_no").alias("x")).select("session", "x.*")
+def first_per_session(rows: DataFrame) -> DataFrame:
+    """session and v of each session's first row: all that is told of a session is opened from that one, the others are only looked at."""
+    return rows.groupBy("session").agg(F.min_by("v", "line_no").alias("v"))
 
 
 def event_usage(body: Column) -> Column:
@@ -57,11 +55,12 @@ def codex_captures(lines: DataFrame) -> DataFrame:
     url = F.coalesce(F.nullif(text_of(v, "$.request.url"), F.lit("")), text_of(v, "$.request.upstream_url"), F.lit(""))
     old = has_type(v, "$.request.body.instructions", "STRING")
     inputs = F.when(has_type(v, "$.request.body.input", "ARRAY"), items(at(v, "$.request.body.input"))).otherwise(F.array().cast("array<variant>"))
-    kept = posts(lines).where(url.contains("/responses")).select("session", "line_no", "v", old.alias("old"), inputs.alias("inputs")).where(F.col("old") | (F.size("inputs") > 0))
+    fit = posts(lines).where(url.contains("/responses") & (old | F.try_variant_get(v, "$.request.body.input[0]", "variant").isNotNull()))
+    kept = first_per_session(fit).select("session", "v", old.alias("old"), inputs.alias("inputs"))
     told = F.flatten(F.transform(F.filter("inputs", lambda x: F.coalesce(text_of(x, "$.role") == "developer", F.lit(False))), lambda x: bound(at(x, "$.content"), _texts)))
     own = F.when(has_type(v, "$.request.body.tools", "ARRAY"), items(at(v, "$.request.body.tools"))).otherwise(F.array().cast("array<variant>"))
     added = F.flatten(F.transform(F.filter("inputs", lambda x: F.coalesce(text_of(x, "$.type") == "additional_tools", F.lit(False)) & has_type(x, "$.tools", "ARRAY")), lambda x: items(at(x, "$.tools"))))
-    opened = kept.select("session", "line_no", "old", "v", told.alias("told"), own.alias("own"), added.alias("added"))
+    opened = kept.select("session", "old", "v", told.alias("told"), own.alias("own"), added.alias("added"))
     tools = F.when(F.col("old") | (F.size("added") == 0), F.col("own")).otherwise(F.col("added"))
     listed = F.concat(F.lit("["), F.array_join(F.transform(tools, lambda x: F.to_json(x)), ","), F.lit("]"))
     name = lambda x: F.coalesce(text_of(x, "$.name"), text_of(x, "$.function.name"), F.lit(""))
@@ -75,7 +74,7 @@ def codex_captures(lines: DataFrame) -> DataFrame:
         units(prompt).alias("sys_prompt"), units(listed).alias("tools"), size(lambda t: ~is_skill(t) & ~is_plugin(t)).alias("runtime"), size(is_skill).alias("skills"), size(is_plugin).alias("plugins"),
         F.array_join(F.array_sort(F.filter(F.transform(tools, name), lambda x: x != "")), ",").alias("tool_names"), event_usage(body).alias("usage"), F.sha2(prompt, 256).alias("prompt_hash"), F.sha2(listed, 256).alias("tools_hash"),
     ]
-    found = first_per_session(opened, columns)
+    found = opened.select("session", *columns)
     return found.select(*[c for c in found.columns if c not in ("usage", "prompt_hash", "tools_hash")], "usage.*", "prompt_hash", "tools_hash")
 
 
@@ -125,13 +124,13 @@ def message_sections(text: Column) -> dict[str, Column]:
 def claude_captures(lines: DataFrame) -> DataFrame:
     """One row per capture log with a request that lists messages: session, model, version, sys_prompt, billing, identity, harness, tools, input, and the sizes of message_sections() (section_total, section_global and so on)."""
     v = F.col("v")
-    kept = posts(lines).where(has_type(v, "$.request.body.messages", "ARRAY"))
+    kept = first_per_session(posts(lines).where(has_type(v, "$.request.body.messages", "ARRAY")))
     blocks = F.when(has_type(v, "$.request.body.system", "ARRAY"), F.transform(items(at(v, "$.request.body.system")), lambda b: F.coalesce(text_of(b, "$.text"), F.lit("")))).otherwise(F.array().cast("array<string>"))
     text = F.when(has_type(v, "$.request.body.messages[0].content", "ARRAY"), text_of(v, "$.request.body.messages[0].content[0].text"))
     agent = F.coalesce(text_of(v, "$.request.headers.user-agent"), F.lit(""))
     reply = F.coalesce(text_of(v, "$.response.body"), F.lit(""))
     opened = kept.select(
-        "session", "line_no", blocks.alias("blocks"), F.coalesce(text, F.lit("")).alias("text"), F.when(at(v, "$.request.body.tools").isNull(), "[]").otherwise(F.to_json(at(v, "$.request.body.tools"))).alias("tools"),
+        "session", blocks.alias("blocks"), F.coalesce(text, F.lit("")).alias("text"), F.when(at(v, "$.request.body.tools").isNull(), "[]").otherwise(F.to_json(at(v, "$.request.body.tools"))).alias("tools"),
         F.coalesce(F.nullif(stringified(at(v, "$.request.body.model")), F.lit("")), F.lit("unknown")).alias("model"), F.coalesce(F.nullif(F.regexp_extract(agent, r"claude-cli/([\d.]+)", 1), F.lit("")), F.lit("unknown")).alias("version"),
         F.coalesce(F.nullif(F.regexp_extract(reply, r'"input_tokens":(\d+)', 1), F.lit("")).cast("long"), F.lit(0)).alias("input"),
     )
@@ -141,4 +140,4 @@ def claude_captures(lines: DataFrame) -> DataFrame:
         "model", "version", size(lambda t: F.lit(True)).alias("sys_prompt"), size(bills).alias("billing"), size(lambda t: ~bills(t) & t.contains(IDENTITY)).alias("identity"), size(lambda t: ~bills(t) & ~t.contains(IDENTITY)).alias("harness"),
         units(F.col("tools")).alias("tools"), "input", *[c.alias(f"section_{n}") for n, c in message_sections(F.col("text")).items()],
     ]
-    return first_per_session(opened, columns)
+    return opened.select("session", *columns)
