@@ -121,3 +121,19 @@ def test_only_a_sessions_first_capture_is_opened(spark):
         assert "length(" in above
         assert "length(" not in below and "sha2" not in below
     assert [(r["wire_api"], r["sys_prompt"]) for r in wire.codex_captures(lines).collect()] == [("chat_completions", 0)]
+
+
+def test_composition_reads_lines_once(spark, monkeypatch):
+    """Totals and parts come from one read, settled as one row a turn and one a part that fills."""
+    from turnmill.operators import composition
+    from turnmill.sources.transcripts import claude_turns
+
+    head = lambda **more: {"uuid": "u", "timestamp": "2024-01-01T00:00:00Z", **more}
+    listed = lambda *texts: head(type="attachment", attachment={"type": "task_reminder", "content": list(texts)})
+    said = head(type="assistant", message={"content": [{"type": "text", "text": "yes"}, {"type": "text", "text": "no"}], "usage": {"input_tokens": 5, "output_tokens": 1}})
+    turns = claude_turns(log(spark, head(type="user", message={"content": "go"}), said, listed("ab", "c"), head(type="user", message={"content": ""})))
+    kept = []
+    monkeypatch.setattr(composition, "settled", lambda df: kept.append(lineage.settled(df)) or kept[-1])
+    found = composition.claude_composition(turns)
+    assert len(kept) == 1 and kept[0].count() == 3 and "parse_json" not in plan(found) and "parsejson" not in plan(found)
+    assert [(r["turn_i"], r["asstText"]) for r in found.collect()] == [(0, 2)]

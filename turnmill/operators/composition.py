@@ -13,7 +13,7 @@ last turn with requests.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from turnmill.functions.content import at, bound, content_text, items
 from turnmill.functions.text import half_up, tokens, units
+from turnmill.operators.lineage import settled
 from turnmill.operators.segments import AGENT_TOOLS
 from turnmill.operators.turns import epochs
 from turnmill.operators.windows import up_to
@@ -33,6 +34,7 @@ ADDED = ("toolResults", "thinking", "toolCalls", "userMsgs", "asstText", "subage
 REPLACED = ("skills", "mcp")
 FILLED = ("memory", "reminders")
 CATEGORIES = (*SEEDS, *ADDED)
+KEYS = ["session", "turn_i"]
 
 
 def calibrated(constants: dict | None) -> dict[str, int]:
@@ -62,6 +64,11 @@ def context_parts(turns: DataFrame, estimate: Callable[[Column], Column] = token
     A line is opened once, into all its parts, and texts are left behind at once: only sizes move.  Results find the name of the call that
     they answer within their turn; of calls with one id the last counts.
     """
+    return _lines_parts(turns, estimate).where("category is not null").drop("used")
+
+
+def _lines_parts(turns: DataFrame, estimate: Callable[[Column], Column]) -> DataFrame:
+    """context_parts() and used, the tokens of the line's request; lines without parts have a row too, that has no category."""
     own = lambda x, name: F.coalesce(text_of(x, f"$.{name}"), F.lit(""))
     content = F.col("content")
 
@@ -82,13 +89,15 @@ def context_parts(turns: DataFrame, estimate: Callable[[Column], Column] = token
     said = F.when(F.col("opens") | F.col("goes_on"), F.array(_part("userMsgs", "add", bound(content, lambda y: content_text(y))))).otherwise(none)
     results = F.when(~F.col("goes_on"), F.coalesce(F.transform(listed, result), none)).otherwise(none)
     parts = F.when(F.col("type") == "assistant", F.transform(listed, block)).when(F.col("type") == "user", F.concat(said, results)).when(F.col("type") == "attachment", _attached())
-    rows = turns.select("session", "turn_i", "line_no", F.explode(parts).alias("p")).where("p is not null").select("session", "turn_i", "line_no", "p.*")
+    used = F.col("usage.input") + F.col("usage.cache_read")
+    rows = turns.select("session", "turn_i", "line_no", used.alias("used"), F.explode_outer(parts).alias("p")).select("session", "turn_i", "line_no", "used", "p.*")
     # An empty text only counts where it replaces.
-    sized = rows.where("text <> '' or how = 'replace'").select("session", "turn_i", "line_no", "pos", "category", "how", "id", "name", units(F.col("text")).alias("raw"), estimate(F.col("text")).cast("double").alias("tok"))
+    counts = (F.col("text") != "") | (F.col("how") == "replace")
+    sized = rows.select("session", "turn_i", "line_no", "used", "pos", F.when(counts, F.col("category")).alias("category"), "how", "id", "name", units(F.col("text")).alias("raw"), estimate(F.col("text")).cast("double").alias("tok"))
     name = F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("line_no", "pos"))).over(Window.partitionBy("session", "turn_i", "id"))
     named = sized.withColumn("called", name)
     category = F.when((F.col("category") == "toolResults") & F.col("called").isin(*AGENT_TOOLS), "subagent").otherwise(F.col("category"))
-    return named.select("session", "turn_i", "line_no", "pos", category.alias("category"), "how", "raw", "tok")
+    return named.select("session", "turn_i", "line_no", "pos", category.alias("category"), "how", "raw", "tok", "used")
 
 
 def _attached() -> Column:
@@ -111,13 +120,21 @@ def compositions(turns: DataFrame, parts: DataFrame, seeds: dict[str, int] = SEE
     ``turns``: session, turn_i, total (of the largest request; 0 without one), every turn once.  ``parts``: as of context_parts(), in any
     order.  Sums are rounded (half up) where they are told, not before.
     """
-    keys = ["session", "turn_i"]
+    own, filled = _own(parts), _filled(parts.where(F.col("category").isin(*FILLED)), seeds)
+    return _running(turns.select(*KEYS, "total").join(own, KEYS, "left").join(filled, KEYS, "left"), seeds, estimate)
+
+
+def _own(parts: DataFrame, *more: Column, keys: Sequence[Column | str] = KEYS) -> DataFrame:
+    """What the parts of a turn (or of other ``keys``) add up to, or replace."""
     sized = parts.withColumn("at", F.struct("line_no", "pos"))
-    seed = {c: estimate(F.repeat(F.lit(" "), F.lit(n))).cast("double") for c, n in seeds.items()}
     is_ = lambda c: F.col("category") == c
-    own = sized.groupBy(*keys).agg(*[F.sum(F.when(is_(c), F.col("tok"))).alias(c) for c in ADDED], *[F.max_by(F.when(is_(c), F.col("tok")), F.when(is_(c), F.col("at"))).alias(f"{c}_new") for c in REPLACED])
-    filled = _filled(sized.where(F.col("category").isin(*FILLED)), seeds)
-    every = epochs(turns.select(*keys, "total")).join(own, keys, "left").join(filled, keys, "left")
+    return sized.groupBy(*keys).agg(*[F.sum(F.when(is_(c), F.col("tok"))).alias(c) for c in ADDED], *[F.max_by(F.when(is_(c), F.col("tok")), F.when(is_(c), F.col("at"))).alias(f"{c}_new") for c in REPLACED], *more)
+
+
+def _running(turns: DataFrame, seeds: dict[str, int], estimate: Callable[[Column], Column]) -> DataFrame:
+    """compositions() of turns with their total, what their parts add or replace, and what is filled after them."""
+    seed = {c: estimate(F.repeat(F.lit(" "), F.lit(n))).cast("double") for c, n in seeds.items()}
+    every = epochs(turns)
     by_turn, since = up_to(["session"], ["turn_i"]), up_to(["session", "epoch"], ["turn_i"])
 
     def kept(c: str) -> Column:
@@ -126,7 +143,7 @@ def compositions(turns: DataFrame, parts: DataFrame, seeds: dict[str, int] = SEE
         return F.when(last.isNull() | (last["tok"] <= 0) & (last["epoch"] < F.col("epoch")), seed[c]).otherwise(last["tok"])
 
     told = {c: seed[c] for c in SEEDS} | {c: kept(c) for c in (*REPLACED, *FILLED)} | {c: F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(since) for c in ADDED}
-    return every.select(*keys, *[half_up(F.round(told[c], 6)).alias(c) for c in CATEGORIES])
+    return every.select(*KEYS, *[half_up(F.round(told[c], 6)).alias(c) for c in CATEGORIES])
 
 
 def _filled(parts: DataFrame, seeds: dict[str, int]) -> DataFrame:
@@ -162,7 +179,14 @@ def _filled(parts: DataFrame, seeds: dict[str, int]) -> DataFrame:
 
 
 def claude_composition(turns: DataFrame, seeds: dict[str, int] = SEEDS, estimate: Callable[[Column], Column] = tokens) -> DataFrame:
-    """compositions() of claude_turns()."""
-    usage = F.col("usage.input") + F.col("usage.cache_read")
-    each = turns.groupBy("session", "turn_i").agg(F.coalesce(F.max(usage), F.lit(0)).cast("double").alias("total"))
-    return compositions(each, context_parts(turns, estimate), seeds, estimate)
+    """compositions() of claude_turns().
+
+    Lines are parsed once, for totals and parts: one row per turn and one per part that fills are settled, the order of those still to be told.
+    """
+    parts = _lines_parts(turns, estimate)
+    fills = F.when(F.col("category").isin(*FILLED), F.struct("line_no", "pos", "category", "how", "raw", "tok"))
+    # Numbers that fall to one row: each part that fills has its own, all others share their turn's.
+    told = settled(_own(parts, F.max("used").alias("total"), keys=[*KEYS, fills.alias("fill")]))
+    filled = _filled(told.where("fill is not null").select(*KEYS, "fill.*"), seeds)
+    summed = told.groupBy(*KEYS).agg(F.coalesce(F.max("total"), F.lit(0)).cast("double").alias("total"), *[F.sum(c).alias(c) for c in ADDED], *[F.max(f"{c}_new").alias(f"{c}_new") for c in REPLACED])
+    return _running(summed.join(filled, KEYS, "left"), seeds, estimate)
