@@ -70,6 +70,31 @@ def test_alike_classes_lose_no_link(spark):
     assert told == want and len(of) == len(rows) and len(links) < 12
 
 
+def test_alike_parts_are_told_pair_by_pair(spark):
+    """Copies are pairs as others are; parts of another type or without a name are in none."""
+    parts = spark.createDataFrame([(4, "red ring", "T"), (2, "red ring", "T"), (9, "ring red", "T"), (5, "red rings", "T"), (6, "red ring", "U"), (7, None, "T"), (8, "blue bolt", "T")], "p_partkey long, p_name string, p_type string")
+    got = {(r["a"], r["b"]): r["similarity"] for r in graph.label_jaccard({"part": parts}.__getitem__).collect()}
+    assert got == {(2, 4): 1.0, (2, 9): 1.0, (4, 9): 1.0, (2, 5): 0.875, (4, 5): 0.875, (5, 9): 0.875}
+
+
+def test_alike_pairs_of_large_classes(spark, monkeypatch):
+    """All pairs against brute force where classes are cut into chunks and these dealt into parts; ids that repeat count as often as they are."""
+    from itertools import combinations
+
+    from turnmill.operators import graph as operators
+
+    monkeypatch.setattr(operators, "CHUNK_ROWS", 4)
+    monkeypatch.setattr(operators, "TASK_PAIRS", 200)
+    texts = ["red ring", "ring red", "blue bolt", "red rings", "", None, "xyz", "red ring"]
+    rows = [(None if i % 23 == 5 else i - i % 19 // 18, None if i % 13 == 6 else "B" if i % 7 == 3 else "A", texts[i * i % 8 if i < 40 else 0]) for i in range(90)]
+    df = operators.alike_pairs(spark.createDataFrame(rows, "id long, block string, text string"))
+    chars = lambda t: set(t) or {""}
+    whole = [(i, x, chars(t)) for i, x, t in rows if None not in (i, x, t)]
+    want = [(min(i, j), max(i, j), round(len(s & t) / len(s | t), 6)) for (i, x, s), (j, y, t) in combinations(whole, 2) if x == y and i != j and 10 * len(s & t) > 7 * len(s | t)]
+    assert sorted(map(tuple, df.collect())) == sorted(want) and len(want) > 1000
+    assert df.rdd.getNumPartitions() > 5
+
+
 def test_sums_of_all_documents(spark, duck):
     check(spark, duck, "a30_memory_chars", [" WHERE doc_id < 100"])
     check(spark, duck, "a15_filled_seeds", [" FILTER (doc_id % 40 = 0)"])

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnmill.functions.text import characters, jaccard
-from turnmill.operators.lineage import settled
+from turnmill.operators.lineage import dealt, settled
 from turnmill.operators.windows import first_of
 
 # The most that evidence of a source may weigh; other sources count as the last one.
 SOURCE_CAP = {"user": 1.0, "reply": 0.9, "tool_summary": 0.6, "reasoning_summary": 0.45}
 
+#: Rows of a class that are paired at a time, and pairs that a task makes.
+CHUNK_ROWS, TASK_PAIRS = 200, 5_000_000
+
 
 def capped(source: Column, weight: Column) -> Column:
     cap = F.when(source == "user", 1.0).when(source == "reply", 0.9).when(source == "tool_summary", 0.6).otherwise(0.45)
@@ -140,6 +143,35 @@ def alike_classes(rows: DataFrame, tenths: int = 7) -> DataFrame:
     return members.unionByName(pairs.select(F.lit("pair").alias("kind"), "a", "b", "similarity"))
 
 
+def alike_pairs(rows: DataFrame, tenths: int = 7, places: int = 6) -> DataFrame:
+    """(id, block, text) -> a, b, similarity (to ``places``), a < b: all pairs of rows of one block whose texts are more than ``tenths`` tenths alike by their characters.
+
+    Texts of a block that have the same characters are a class, and only classes are compared.  Alike classes, and each class with itself, are then
+    opened into the pairs of their rows: ids are gathered in chunks of some CHUNK_ROWS, each two chunks meet in a row, and such rows are dealt into
+    parts of some TASK_PAIRS pairs.  So a task holds two chunks at a time, however large a class is; the pairs themselves grow with its square.
+    """
+    kind = F.array_join(F.sort_array(characters(F.col("text"))), "").alias("text")
+    known = rows.where(F.col("id").isNotNull() & F.col("block").isNotNull() & F.col("text").isNotNull()).select("id", "block", "text")
+    classes = settled(known.groupBy("block", "text").agg(F.count("*").alias("n")).groupBy("block", kind).agg(F.sum("n").alias("n")).withColumn("k", F.ceil(F.col("n") / CHUNK_ROWS)))
+    alike = alike_within(classes.select(F.struct("block", "text").alias("id"), "block", characters(F.col("text")).alias("c")), tenths)
+    links = alike.select(F.col("a.block").alias("block"), F.col("a.text").alias("ta"), F.col("b.text").alias("tb"), F.round("similarity", places).alias("similarity"))
+    links = links.unionByName(classes.select("block", F.col("text").alias("ta"), F.col("text").alias("tb"), F.lit(1.0).alias("similarity")))
+    sized = lambda x: classes.select("block", F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"))
+    links = settled(links.join(sized("a"), ["block", "ta"]).join(sized("b"), ["block", "tb"]))
+    pairs, meetings = (n or 0 for n in links.agg(F.sum(F.col("na") * F.col("nb")), F.sum(F.col("ka") * F.col("kb"))).first())
+
+    # One side's chunks are told and dealt before the other's, so that a class of many chunks is not opened by one task.
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias(k)
+    met = dealt(links.select("block", "ta", "tb", "similarity", "kb", each("ka")), "block", "ta", "tb", "ka", rows=meetings)
+    met = met.select("block", "ta", "tb", "similarity", "ka", each("kb")).where("ta <> tb or ka <= kb")
+    cut = known.select("id", "block", kind).join(classes, ["block", "text"]).groupBy("block", "text", F.pmod(F.xxhash64("id"), "k").alias("k")).agg(F.collect_list("id").alias("ids"))
+    side = lambda x: cut.select("block", F.col("text").alias(f"t{x}"), F.col("k").alias(f"k{x}"), F.col("ids").alias(f"i{x}"))
+    met = met.join(side("a"), ["block", "ta", "ka"]).join(side("b"), ["block", "tb", "kb"]).repartition(max(1, -(-pairs // TASK_PAIRS)), "block", "ta", "tb", "ka", "kb")
+    own = (F.col("ta") == F.col("tb")) & (F.col("ka") == F.col("kb"))
+    opened = met.select(own.alias("own"), "similarity", "ib", F.explode("ia").alias("x")).select("own", "similarity", "x", F.explode("ib").alias("y"))
+    return opened.where("x < y or (not own and x > y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
 def greedy_leaders(rows: DataFrame, tenths: int = 7) -> DataFrame:
     """(session, seq, label) -> with leader: in order of seq a label joins the first leader whose characters are more than ``tenths`` tenths alike, else it leads itself.
 
